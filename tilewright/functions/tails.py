@@ -7,10 +7,16 @@ applied to result rows (one per test), never to observations.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+# ship the functions themselves, so that executors need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 _lgamma = np.vectorize(math.lgamma, otypes=[float])
 _erfc = np.vectorize(math.erfc, otypes=[float])
@@ -69,13 +75,13 @@ def _gamma_upper(a: float, x: float) -> float:
     return front * h
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     """Two-sided standard normal tail."""
     return pd.Series(_normal(z.to_numpy(dtype=float, na_value=np.nan)))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided Student t tail."""
     t, v = t.to_numpy(dtype=float, na_value=np.nan), df.to_numpy(dtype=float, na_value=np.nan)
@@ -86,7 +92,7 @@ def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out).where(np.isfinite(out), None)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     """Upper chi-square tail."""
     out = [
@@ -96,7 +102,7 @@ def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def hypergeom_p(hits: pd.Series, drawn: pd.Series, marked: pd.Series, universe: pd.Series) -> pd.Series:
     """P(X >= hits) for ``drawn`` out of ``universe`` with ``marked`` marked."""
     out = []
@@ -124,7 +130,7 @@ def _rank_counts(n: int) -> np.ndarray:
 _RANK_COUNTS = {n: _rank_counts(n) for n in range(1, 26)}
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_p(w_plus: pd.Series, n: pd.Series, tie_term: pd.Series, untouched: pd.Series) -> pd.Series:
     """Two-sided signed-rank tail: exact to 25 pairs without ties or zeros, else the tie-corrected normal one.
 

@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright.session import cut_lineage
+
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
 
 
@@ -75,7 +77,11 @@ def running(
             max(10000, 4 * buckets),
         )
     ).scalar()
-    ranged = cells.withColumn("_range", _range_of(F.col(order).cast("double"), edges, buckets))
+    ranged = (
+        cells.withColumn("_edges", edges)
+        .withColumn("_range", _range_of(F.col(order).cast("double"), F.col("_edges"), buckets))
+        .drop("_edges")
+    )
 
     direction = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     before = Window.partitionBy(*groups).orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
@@ -159,8 +165,9 @@ def unit_ranks(df: DataFrame, groups: Sequence[str], value: str, name: str = "un
 
 def fdr(df: DataFrame, groups: Sequence[str], p: str = "p", name: str = "q") -> DataFrame:
     """Benjamini-Hochberg q-values over each family of tests; null p stays null and does not count."""
-    ranks = running(df.withColumn("_one", F.lit(1)), groups, p, {"_cum": ("sum", "_one")})
-    raw = ranks.withColumn("_raw", F.col(p) * F.col("_cum_all") / F.col("_cum"))
+    df = cut_lineage(df)  # one row per test: small next to the observations, and read several times below
+    ranks = running(df.select(*groups, p, F.lit(1).alias("_one")), groups, p, {"_cum": ("sum", "_one")})
+    raw = cut_lineage(ranks.select(*groups, p, (F.col(p) * F.col("_cum_all") / F.col("_cum")).alias("_raw")))
     low = running(raw, groups, p, {"_low": ("min", "_raw")}, ascending=False)
     adjusted = low.select(*groups, p, F.least(F.col("_low"), F.lit(1.0)).alias(name))
     return df.join(adjusted, [*groups, p], "left")
@@ -213,3 +220,41 @@ def numbered(df: DataFrame, groups: Sequence[str], order: str, name: str = "ordi
     """Dense row numbers by a unique numeric key per group, through running counts instead of one sorted task."""
     run = running(df.withColumn("_one", F.lit(1)), groups, order, {"_pos": ("sum", "_one")})
     return df.join(run.select(*groups, order, (F.col("_pos") - 1 + start).alias(name)), [*groups, order])
+
+
+def quantiles(
+    df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], name: str = "q"
+) -> DataFrame:
+    """Exact linearly interpolated quantiles per group, as one array column.
+
+    ``percentile`` keeps every distinct value of a group in one buffer; here the ranks come from running counts and each
+    wanted order statistic is picked with a conditional maximum, so the aggregate carries two numbers per quantile.
+    """
+    base = (
+        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
+        .groupBy(*groups, F.col(value).cast("double").alias(value))
+        .agg(F.count(F.lit(1)).alias("_n"))
+    )
+    cum = running(base, groups, value, {"_cum": ("sum", "_n")}).join(base, [*groups, value])
+    first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((first <= position) & (position <= last), F.col(value)))
+
+    picks = []
+    for p in probs:
+        h = F.lit(float(p)) * (F.col("_cum_all") - 1)
+        picks += [at(F.floor(h)).alias(f"_l{len(picks)}"), at(F.ceil(h)).alias(f"_h{len(picks)}")]
+    agg = cum.groupBy(*groups).agg(F.max("_cum_all").alias("_n"), *picks)
+    out = []
+    for i, p in enumerate(probs):
+        lo, hi = F.col(f"_l{2 * i}"), F.col(f"_h{2 * i}")
+        h = F.lit(float(p)) * (F.col("_n") - 1)
+        out.append(lo + (hi - lo) * (h - F.floor(h)))
+    return agg.select(*groups, F.array(*out).alias(name))
+
+
+def with_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], name: str = "q") -> DataFrame:
+    """Rows with their group's quantile array."""
+    q = quantiles(df, groups, value, probs, name)
+    return df.join(q, list(groups)) if groups else df.withColumn(name, q.scalar())

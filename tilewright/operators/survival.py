@@ -9,17 +9,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.tails import chi2_p, normal_p
-from tilewright.operators.ordered import running, value_ranks
+from tilewright.operators.ordered import quantiles, running
 from tilewright.session import cut_lineage
 
 
 def time_bins(df: DataFrame, time: str, k: int = 20, method: str = "quantile") -> DataFrame:
     """One row ``edges``: distinct quantiles of the finite times, or a uniform grid where at most two remain."""
     t = df.where(F.col(time).isNotNull() & ~F.isnan(time))
-    s = t.agg(
-        F.array_distinct(F.percentile(time, [i / k for i in range(k + 1)])).alias("q"),
-        F.min(time).alias("lo"),
-        F.max(time).alias("hi"),
+    s = t.agg(F.min(time).alias("lo"), F.max(time).alias("hi")).withColumn(
+        "q", F.array_distinct(quantiles(t, [], time, [i / k for i in range(k + 1)]).scalar())
     )
     grid = F.transform(
         F.sequence(F.lit(0), F.lit(k)),
@@ -142,7 +140,8 @@ def concordance(df: DataFrame, groups: Sequence[str] = (), time: str = "t", even
 
 def median_split(df: DataFrame, risk: str = "risk", name: str = "high") -> DataFrame:
     """1 where the risk is at least the median."""
-    return df.withColumn(name, (F.col(risk) >= df.agg(F.median(risk)).scalar()).cast("int"))
+    middle = quantiles(df, [], risk, [0.5]).scalar()
+    return df.withColumn(name, (F.col(risk) >= middle[0]).cast("int"))
 
 
 def risk_groups(df: DataFrame, flag: str = "high", time: str = "t", event: str = "e", risk: str = "risk") -> DataFrame:
@@ -169,11 +168,10 @@ def threshold_search(
     The candidates are at most ``candidates`` numbers held in one array, so every patient row is counted per time and
     candidate in one combined aggregate.
     """
-    grid = df.agg(
-        F.array_distinct(F.percentile(risk, [0.1 + 0.8 * i / (candidates - 1) for i in range(candidates)])).alias("c")
-    ).scalar()
-    marked = df.select(
-        time, event, F.explode(F.transform(grid, lambda c: F.struct(c.alias("cut"), (F.col(risk) >= c).cast("int").alias("hi")))).alias("m")
+    steps = [0.1 + 0.8 * i / (candidates - 1) for i in range(candidates)]
+    grid = F.array_distinct(quantiles(df, [], risk, steps).scalar())
+    marked = df.withColumn("_grid", grid).select(
+        time, event, F.explode(F.transform("_grid", lambda c: F.struct(c.alias("cut"), (F.col(risk) >= c).cast("int").alias("hi")))).alias("m")
     ).select(F.col("m.cut").alias("cut"), F.col(time).alias("t"), F.col(event).alias("e"), F.col("m.hi").alias("hi"))
     cells = cut_lineage(
         marked.groupBy("cut", "t").agg(
