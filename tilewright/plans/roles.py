@@ -177,3 +177,61 @@ PATIENTS = """patients as (
     date_diff('day', o_orderdate::date, (select max(o_orderdate)::date from orders))::double as t,
     (o_orderstatus = 'F')::int as e, o_totalprice / 100000.0::double as risk
   from orders join customer on o_custkey = c_custkey)"""
+
+
+_staged: dict[tuple, str] = {}
+
+
+def staged(spark: SparkSession, key: tuple, build) -> DataFrame:
+    """A table several queries share, written once per application into the shared work folder."""
+    from tilewright.session import new_path
+
+    at = (spark.sparkContext.applicationId, *key)
+    if at not in _staged:
+        path = new_path(spark, "stage")
+        build().write.parquet(path)
+        _staged[at] = path
+    return spark.read.parquet(_staged[at])
+
+
+def knn(spark: SparkSession, sf: str, k: int, by_sample: bool = True) -> DataFrame:
+    """Neighbour pairs of ``cells``; ecology, density and transition queries all start from them."""
+    from tilewright.operators.neighbors import knn_join
+
+    groups = ["sample_name"] if by_sample else []
+    return staged(spark, ("knn", sf, k, by_sample), lambda: knn_join(cells(spark, sf), k, groups))
+
+
+def edges(spark: SparkSession, sf: str) -> DataFrame:
+    """Cell to tile edges within the radius with inverse-distance weights per sample."""
+    from tilewright.operators.neighbors import within_radius
+    from tilewright.operators.ordered import group_minmax
+
+    raw = within_radius(cells(spark, sf), tiles(spark, sf), RADIUS, ["sample_name"], right_id="tile_id")
+    return group_minmax(raw, ["sample_name"], "dist", "weight", 1.0, invert=True)
+
+
+CENTERS = """centers as (
+  select k, list(m order by i) as vec from (
+    select label::int as k, i, avg(v::double) as m from (
+      select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings where label < 5)
+    group by label, i) group by k)"""
+
+
+def centers(spark: SparkSession, sf: str) -> DataFrame:
+    from tilewright.operators.prototypes import mean_vectors
+
+    e = load(spark, sf, "embeddings").where("label < 5")
+    return mean_vectors(e.withColumn("label", F.col("label").cast("int")), "label", "embedding", 64)
+
+
+_N = "sqrt(list_sum(list_transform({v}, lambda x: x::double * x::double)))"
+_D = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2]::double))"
+
+SOFT = f"""sims as (
+  select sample_name, node_idx, label, cohort, k,
+    {_D.format(a='embedding', b='vec')} / (({_N.format(v='embedding')} + 1e-8) * ({_N.format(v='vec')} + 1e-8)) as cosine
+  from cells, centers),
+ex as (select *, exp(cosine / 0.3) as e from sims),
+soft as (select *, e / (sum(e) over w + 1e-8) as p, row_number() over (partition by node_idx order by e desc, k) as rk
+  from ex window w as (partition by node_idx))"""
