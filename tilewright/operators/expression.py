@@ -37,3 +37,291 @@ def robust_z_fit(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 def robust_z(df: DataFrame, keys: Sequence[str], value: str, name: str = "z") -> DataFrame:
     fit = robust_z_fit(df, keys, value)
     return df.join(fit, list(keys)).withColumn(name, (F.col(value) - F.col("mu")) / F.col("spread")).drop("mu", "spread")
+
+
+# ---------------------------------------------------------------- transforms
+
+
+def weighted_expression(edges: DataFrame, tile_expr: DataFrame, groups: Sequence[str] = ("sample_name",)) -> DataFrame:
+    """(groups, node_idx, gene, value): edge-weighted mean tile expression per cell; cells whose weights sum to 0 drop out.
+
+    A missing weight counts as 1. Edges whose tile is not in the table vanish in the join.
+    """
+    groups = list(groups)
+    w = F.coalesce(F.col("weight"), F.lit(1.0))
+    e = edges.select(*groups, "src", F.col("dst").alias("tile_id"), w.alias("_w"))
+    return (
+        e.join(tile_expr, [*groups, "tile_id"])
+        .groupBy(*groups, F.col("src").alias("node_idx"), "gene")
+        .agg(F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("value")).alias("_sv"))
+        .where("_sw > 0")
+        .select(*groups, "node_idx", "gene", (F.col("_sv") / F.col("_sw")).alias("value"))
+    )
+
+
+def tpm_log(df: DataFrame, lengths: DataFrame, unit: Sequence[str], value: str = "value", name: str = "tpm_log") -> DataFrame:
+    """log2(1 + TPM) per unit with gene lengths in bases; a missing or non-positive length gives 0."""
+    j = df.join(lengths.select("gene", "length"), "gene", "left")
+    j = j.withColumn("_rpk", F.when(F.col("length") > 0, F.col(value) / (F.col("length") / 1000.0)).otherwise(F.lit(0.0)))
+    total = j.groupBy(*unit).agg(F.sum("_rpk").alias("_t"))
+    tpm = F.when(F.col("_t") > 0, F.col("_rpk") / (F.col("_t") / 1e6)).otherwise(F.lit(0.0))
+    return j.join(total, list(unit)).withColumn(name, F.log1p(tpm) / F.log(F.lit(2.0))).drop("_rpk", "_t", "length")
+
+
+def library_size(counts: DataFrame, cell: Sequence[str], value: str = "value") -> DataFrame:
+    return counts.groupBy(*cell).agg(F.sum(value).alias("library"))
+
+
+def log_normalize(counts: DataFrame, cell: Sequence[str], value: str = "value", scale: float = 1e4, name: str = "norm") -> DataFrame:
+    """log(1 + x / library * scale); an empty library counts as 1."""
+    lib = library_size(counts, cell, value)
+    size = F.when(F.col("library") == 0, F.lit(1.0)).otherwise(F.col("library"))
+    return counts.join(lib, list(cell)).withColumn(name, F.log1p(F.col(value) / size * scale)).drop("library")
+
+
+def collapse_genes(df: DataFrame, sample: Sequence[str], value: str = "value") -> DataFrame:
+    """Upper-case symbols, duplicates averaged, genes that are null or zero everywhere dropped."""
+    up = df.withColumn("gene", F.upper("gene"))
+    alive = up.groupBy("gene").agg(F.max(F.abs(value)).alias("_m")).where("_m > 0").drop("_m")
+    return up.join(alive, "gene", "left_semi").groupBy(*sample, "gene").agg(F.avg(value).alias(value))
+
+
+def informative_features(df: DataFrame, feature: str, value: str, least: int = 5) -> DataFrame:
+    """Rows of features with a positive standard deviation and at least ``least`` finite values."""
+    finite = F.when(~F.isnan(F.col(value)), F.col(value))
+    ok = df.groupBy(feature).agg(F.stddev_samp(finite).alias("_s"), F.count(finite).alias("_n"))
+    return df.join(ok.where((F.col("_s") > 0) & (F.col("_n") >= least)).select(feature), feature, "left_semi")
+
+
+def variable_genes(df: DataFrame, n: int, gene: str = "gene", value: str = "value") -> DataFrame:
+    """The n genes of the largest variance."""
+    return df.groupBy(gene).agg(F.var_samp(value).alias("variance")).orderBy(F.desc("variance"), gene).limit(n)
+
+
+def pca(df: DataFrame, features: str, k: int, seed: int = 0) -> DataFrame:
+    """First k principal components of standardised feature arrays (``pyspark.ml``)."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.feature import PCA, StandardScaler
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+
+    v = df.withColumn("_v", array_to_vector(F.col(features)))
+    steps = [
+        StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True),
+        PCA(k=k, inputCol="_s", outputCol="_p"),
+    ]
+    return Pipeline(stages=steps).fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_v", "_s", "_p")
+
+
+# ---------------------------------------------------------------- profiles
+
+
+def pseudobulk(df: DataFrame, keys: Sequence[str], value: str = "value", min_rows: int = 1) -> DataFrame:
+    """Mean value per keys, keys with at least ``min_rows`` rows."""
+    return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg(value).alias(value)).where(F.col("n") >= min_rows)
+
+
+def prototype_expression(df: DataFrame, min_cells: int = 1) -> DataFrame:
+    """(prototype, gene): mean over samples of the sample means, prototypes with enough cells."""
+    per = df.groupBy("sample_name", "prototype_id", "gene").agg(F.avg("value").alias("v"), F.count(F.lit(1)).alias("c"))
+    return per.groupBy("prototype_id", "gene").agg(F.avg("v").alias("value"), F.sum("c").alias("n")).where(F.col("n") >= min_cells)
+
+
+def winsorise(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float) -> DataFrame:
+    q = quantiles(df, keys, value, [low, high], "_q")
+    return df.join(q, list(keys)).withColumn(value, F.greatest(F.least(F.col(value), F.col("_q")[1]), F.col("_q")[0])).drop("_q")
+
+
+def robust_profile(df: DataFrame, keys: Sequence[str], value: str = "value", how: str = "median", winsor: tuple | None = (0.05, 0.95)) -> DataFrame:
+    """Median or mean of the winsorised values per keys, nulls ignored."""
+    w = winsorise(df, keys, value, *winsor) if winsor else df
+    if how == "mean":
+        return w.groupBy(*keys).agg(F.avg(value).alias(value))
+    if how != "median":
+        raise ValueError(f"unknown aggregate {how!r}")
+    return quantiles(w, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias(value))
+
+
+SUMMARIES = {"mean": F.avg, "std": F.stddev_pop, "median": F.median, "max": F.max, "min": F.min, "sum": F.sum}
+
+
+def summarise(df: DataFrame, keys: Sequence[str], value: str, how: Sequence[str]) -> DataFrame:
+    """Several named summaries of one column; the median goes through exact distributed quantiles."""
+    plain = [SUMMARIES[h](value).alias(h) for h in how if h != "median"]
+    out = df.groupBy(*keys).agg(*plain) if plain else df.select(*keys).distinct()
+    if "median" in how:
+        med = quantiles(df, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias("median"))
+        out = out.join(med, list(keys))
+    return out.select(*keys, *how)
+
+
+def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, n: str) -> DataFrame:
+    """Running average's end value: sum(value * n) / sum(n)."""
+    return df.groupBy(*keys).agg((F.sum(F.col(value) * F.col(n)) / F.sum(n)).alias("average"))
+
+
+# ---------------------------------------------------------------- differential expression
+
+
+def layer_profiles(
+    tagged: DataFrame, expr: DataFrame, unit: Sequence[str], min_cells: int, how: str = "median", winsor: tuple | None = (0.05, 0.95)
+) -> DataFrame:
+    """(pair, sample, gene, a, b): interface and core profiles of the samples with enough cells in both layers.
+
+    ``tagged`` has one row per cell and pair with its layer. Expression is computed once and shared by all pairs.
+    """
+    size = tagged.groupBy("pair", "sample_name").agg(
+        F.count_if(F.col("layer") == "interface").alias("ni"), F.count_if(F.col("layer") == "core").alias("nc")
+    )
+    ok = size.where((F.col("ni") >= min_cells) & (F.col("nc") >= min_cells)).select("pair", "sample_name")
+    rows = tagged.join(ok, ["pair", "sample_name"], "left_semi").join(expr, list(unit))
+    p = robust_profile(rows, ["pair", "sample_name", "layer", "gene"], "value", how, winsor)
+    on = lambda layer: F.max(F.when(F.col("layer") == layer, F.col("value")))
+    wide = p.groupBy("pair", "sample_name", "gene").agg(on("interface").alias("a"), on("core").alias("b"))
+    return wide.where(F.col("a").isNotNull() & F.col("b").isNotNull())
+
+
+def paired_expression(
+    profiles: DataFrame, keys: Sequence[str] = ("pair",), test: str = "wilcoxon", eps: float = 1e-6, min_samples: int = 2
+) -> DataFrame:
+    """(keys, gene): means, log2 fold change, paired p and q within each key over the whole family of genes."""
+    from tilewright.operators.ordered import fdr
+    from tilewright.operators.stats import PAIRED_TESTS
+
+    keys = list(keys)
+    by = [*keys, "gene"]
+    m = profiles.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
+    m = m.where(F.col("n") >= min_samples).withColumn("log2fc", F.log2(F.col("mean_a") + eps) - F.log2(F.col("mean_b") + eps))
+    p = PAIRED_TESTS[test](profiles, by, "a", "b").drop("pairs")
+    return fdr(m.join(p, by), keys)
+
+
+def tag_layers(cells: DataFrame, mix: str, pairs: Sequence[tuple[int, int]], core: float, interface: float, delta: float | None = None, quantile: float | None = None) -> DataFrame:
+    """One row per cell, pair and layer (interface / core) from the neighbour shares.
+
+    ``delta`` keeps only balanced interface cells; ``quantile`` raises the interface level to that quantile within the sample.
+    """
+    from tilewright.functions import predicates as P
+
+    m = F.col(mix)
+    rows = F.array(
+        *[
+            F.struct(
+                F.lit(f"P{i}_P{j}").alias("pair"),
+                P.interface_strength(m, i, j).alias("s"),
+                P.is_pair_core(m, i, j, core, interface).alias("core"),
+                (P.is_balanced(m, i, j, delta) if delta is not None else F.lit(True)).alias("ok"),
+            )
+            for i, j in pairs
+        ]
+    )
+    x = cells.select("sample_name", "node_idx", F.explode(rows).alias("z")).select("sample_name", "node_idx", "z.*")
+    at = F.lit(float(interface))
+    if quantile is not None:
+        q = quantiles(x, ["pair", "sample_name"], "s", [quantile], "_q")
+        x = x.join(q, ["pair", "sample_name"])
+        at = F.greatest(at, F.col("_q")[0])
+    layers = F.array_compact(
+        F.array(F.when((F.col("s") >= at) & F.col("ok"), F.lit("interface")), F.when(F.col("core"), F.lit("core")))
+    )
+    return x.select("pair", "sample_name", "node_idx", F.explode(layers).alias("layer"))
+
+
+def layer_diagnostics(tagged: DataFrame, samples: DataFrame, pairs: Sequence[tuple[int, int]], min_cells: int) -> DataFrame:
+    """(pair, sample): cell counts per layer and why the pair was skipped there, if it was."""
+    names = F.array(*[F.lit(f"P{i}_P{j}") for i, j in pairs])
+    base = samples.select("sample_name").distinct().withColumn("pair", F.explode(names))
+    n = tagged.groupBy("pair", "sample_name").agg(
+        F.count_if(F.col("layer") == "interface").alias("n_interface"), F.count_if(F.col("layer") == "core").alias("n_core")
+    )
+    d = base.join(n, ["pair", "sample_name"], "left").fillna(0, ["n_interface", "n_core"])
+    reason = (
+        F.when((F.col("n_interface") < min_cells) & (F.col("n_core") < min_cells), "few_both")
+        .when(F.col("n_interface") < min_cells, "few_interface")
+        .when(F.col("n_core") < min_cells, "few_core")
+        .otherwise("used")
+    )
+    return d.withColumn("reason", reason)
+
+
+def pair_totals(diagnostics: DataFrame) -> DataFrame:
+    used = F.col("reason") == "used"
+    return diagnostics.groupBy("pair").agg(
+        F.count_if(used).alias("samples"),
+        F.sum(F.when(used, F.col("n_interface")).otherwise(0)).alias("interface_cells"),
+        F.sum(F.when(used, F.col("n_core")).otherwise(0)).alias("core_cells"),
+    )
+
+
+def with_fallback(strict: DataFrame, relaxed: DataFrame, tag: str = "fallback") -> DataFrame:
+    """The strict result, or the relaxed one where the strict one is empty; the tag tells which."""
+    none = ~strict.select(F.lit(1)).limit(1).exists()
+    return strict.withColumn(tag, F.lit(False)).unionByName(relaxed.where(none).withColumn(tag, F.lit(True)), allowMissingColumns=True)
+
+
+def welch_expression(df: DataFrame, keys: Sequence[str], flag: str, min_group: int, eps: float = 1e-6, family: Sequence[str] = ()) -> DataFrame:
+    """Welch test of flagged against other rows per key with log2 fold change of the means and q."""
+    from tilewright.operators.ordered import fdr
+    from tilewright.operators.stats import welch
+
+    w = welch(df, keys, "value", flag, min_group)
+    return fdr(w.withColumn("log2fc", F.log2((F.col("mean1") + eps) / (F.col("mean0") + eps))), family)
+
+
+def one_vs_rest(df: DataFrame, label: str, values: Sequence, name: str = "target") -> DataFrame:
+    """Every row once per listed value with ``flag`` = whether it carries that value."""
+    return df.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values]))).withColumn(
+        "flag", (F.col(label) == F.col(name)).cast("int")
+    )
+
+
+def set_means(profiles: DataFrame, sets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, name, a, b): mean of both profiles over the genes of each set."""
+    return profiles.join(sets.select("name", "gene").distinct(), "gene").groupBy(*keys, F.col("name").alias("gene")).agg(
+        F.avg("a").alias("a"), F.avg("b").alias("b")
+    )
+
+
+def find_markers(
+    cells: DataFrame, counts: DataFrame, keys: Sequence[str], label: str, targets: Sequence, min_pct: float = 0.1, min_lfc: float = 0.0
+) -> DataFrame:
+    """Marker genes of each target class against the rest, per keys, from sparse counts.
+
+    ``cells(unit, keys, label)`` lists every cell, ``counts(unit, gene, value)`` only non-zero normalised values. Zeros
+    are never written out: they enter the means through the group sizes and the rank test as one block of ties.
+    """
+    from tilewright.functions.tails import normal_p
+    from tilewright.operators.ordered import value_ranks
+
+    keys = list(keys)
+    t = one_vs_rest(cells, label, targets)
+    size = t.groupBy(*keys, "target").agg(F.sum("flag").alias("c1"), F.sum(1 - F.col("flag")).alias("c0"))
+    rows = counts.join(t.select("unit", *keys, "target", "flag"), "unit")
+    by = [*keys, "target", "gene"]
+    on = lambda f: F.sum(F.when(F.col("flag") == f, F.expm1("value")).otherwise(0.0))
+    m = rows.groupBy(*by).agg(
+        F.count_if(F.col("flag") == 1).alias("z1"), F.count_if(F.col("flag") == 0).alias("z0"), on(1).alias("s1"), on(0).alias("s0")
+    ).join(size, [*keys, "target"])
+    m = m.select(
+        *by,
+        "c1",
+        "c0",
+        "z1",
+        "z0",
+        (F.col("z1") / F.col("c1")).alias("pct1"),
+        (F.col("z0") / F.col("c0")).alias("pct2"),
+        (F.log2(F.col("s1") / F.col("c1") + 1) - F.log2(F.col("s0") / F.col("c0") + 1)).alias("avg_log2fc"),
+    ).where((F.greatest("pct1", "pct2") >= min_pct) & (F.abs("avg_log2fc") >= min_lfc))
+    ranks = value_ranks(rows, by, "value", {"n1": F.col("flag")})
+    # ranks above the block of zeros: shift by the number of zeros
+    shift = F.col("c1") + F.col("c0") - F.col("z1") - F.col("z0")
+    r = ranks.join(m, by).groupBy(*by, "c1", "c0", "z1", "z0", "pct1", "pct2", "avg_log2fc").agg(
+        F.sum(F.col("n1") * (F.col("avg_rank") + shift)).alias("r1"),
+        F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"),
+    )
+    n1, n0 = F.col("c1"), F.col("c0")
+    n = n1 + n0
+    u = F.col("r1") + (n1 - F.col("z1")) * (shift + 1) / 2 - n1 * (n1 + 1) / 2
+    ties = F.col("ties") + F.pow(shift, F.lit(3)) - shift
+    var = n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))
+    z = F.when(var > 0, F.greatest(F.abs(u - n1 * n0 / 2) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(F.lit(0.0))
+    return r.select(*by, "pct1", "pct2", "avg_log2fc", z.alias("z")).withColumn("p", normal_p("z"))

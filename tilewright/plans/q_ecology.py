@@ -150,7 +150,7 @@ def sample_metric_table(spark, sf):
 @query("G16", f"""with {CELLS}, nr as (select src, dst, dist from (select a.node_idx as src, b.node_idx as dst, sqrt((a.pos_x-b.pos_x)*(a.pos_x-b.pos_x)+(a.pos_y-b.pos_y)*(a.pos_y-b.pos_y)) as dist,
       row_number() over (partition by a.node_idx order by (a.pos_x-b.pos_x)*(a.pos_x-b.pos_x)+(a.pos_y-b.pos_y)*(a.pos_y-b.pos_y), b.node_idx) as rk from cells a, cells b where a.prototype_id = 1) where rk between 2 and 64),
     e as (select radius, prototype_id from nr join cells on node_idx = dst, (select unnest([20.0, 40.0, 80.0])::double as radius) where dist <= radius)
-    select radius, prototype_id, count(*) as n, round(count(*) / sum(count(*)) over (partition by radius), 6) as share from e group by all""")
+    select radius, prototype_id, count(*) as n, round(count(*) / sum(count(*)) over (partition by radius), 6) as share from e group by radius, prototype_id""")
 def radial_profile(spark, sf):
     return E.radial_profile(cells(spark, sf), 1, [20, 40, 80], "prototype_id", 64).withColumns(r6("share"))
 
@@ -181,7 +181,7 @@ def differential_enrichment(spark, sf):
 
 
 @query("G21", f"""{_B}, x as ({' union all '.join(f'select {k} as anchor, cell_type from mix where p{k} >= 0.25' for k in PROTOS)})
-    select anchor, cell_type, count(*) as n, round(count(*) / sum(count(*)) over (partition by anchor), 6) as share from x group by all""")
+    select anchor, cell_type, count(*) as n, round(count(*) / sum(count(*)) over (partition by anchor), 6) as share from x group by anchor, cell_type""")
 def anchor_focus_shares(spark, sf):
     return E.focus_shares(mixed(spark, sf), "mix", PROTOS, "cell_type", 0.25).withColumns(r6("share"))
 
@@ -230,7 +230,7 @@ def anchor_tile_mix(spark, sf):
     s as (select w.sample_name, src, (a.q[1] * 0.8 + a.q[2] * 0.1 + a.q[3] * 0.1) * t.q[1] + (a.q[1] * 0.1 + a.q[2] * 0.8 + a.q[3] * 0.1) * t.q[2] + (a.q[1] * 0.1 + a.q[2] * 0.1 + a.q[3] * 0.8) * t.q[3] as d, weight
       from weighted w join qc a on a.node_idx = w.src join t on t.sample_name = w.sample_name and t.tile_id = w.dst),
     p as (select src, sum(sign(d * weight) * pow(abs(d * weight) + 1e-8, 0.5)) / (count(*) + 1e-8) as score from s group by src),
-    f as (select node_idx, coalesce(score, 0) as score from cells left join p on src = node_idx)
+    f as (select node_idx, coalesce(p.score, 0) as score from cells left join p on src = node_idx)
     select sample_name, node_idx, round((score - (select min(score) from f)) / (select max(score) - min(score) from f), 6) as score from f join cells using (node_idx)""".replace("score from f join cells using (node_idx)", "score from (select node_idx, f.score, sample_name from f join cells using (node_idx)) f"))
 def cross_modal_compatibility(spark, sf):
     from tilewright.functions.arrays import total
