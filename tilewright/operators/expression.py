@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.operators.ordered import quantiles
+from tilewright.session import cut_lineage
 
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str, name: str = "scaled") -> DataFrame:
@@ -23,7 +24,7 @@ def robust_scale(df: DataFrame, keys: Sequence[str], value: str, name: str = "sc
 
 def robust_z_fit(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Median and spread per key: 1.4826 times the median absolute deviation, else the standard deviation, else 1."""
-    mid = quantiles(df, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias("mu"))
+    mid = cut_lineage(quantiles(df, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias("mu")))
     sd = df.groupBy(*keys).agg(F.stddev_samp(value).alias("_sd"))
     away = df.join(mid, list(keys)).withColumn("_away", F.abs(F.col(value) - F.col("mu")))
     mad = quantiles(away, keys, "_away", [0.5], "_q").select(*keys, (1.4826 * F.col("_q")[0]).alias("_mad"))
@@ -133,7 +134,7 @@ def winsorise(df: DataFrame, keys: Sequence[str], value: str, low: float, high:
 
 def robust_profile(df: DataFrame, keys: Sequence[str], value: str = "value", how: str = "median", winsor: tuple | None = (0.05, 0.95)) -> DataFrame:
     """Median or mean of the winsorised values per keys, nulls ignored."""
-    w = winsorise(df, keys, value, *winsor) if winsor else df
+    w = cut_lineage(winsorise(df, keys, value, *winsor).select(*keys, value)) if winsor else df
     if how == "mean":
         return w.groupBy(*keys).agg(F.avg(value).alias(value))
     if how != "median":
@@ -173,7 +174,7 @@ def layer_profiles(
         F.count_if(F.col("layer") == "interface").alias("ni"), F.count_if(F.col("layer") == "core").alias("nc")
     )
     ok = size.where((F.col("ni") >= min_cells) & (F.col("nc") >= min_cells)).select("pair", "sample_name")
-    rows = tagged.join(ok, ["pair", "sample_name"], "left_semi").join(expr, list(unit))
+    rows = cut_lineage(tagged.join(ok, ["pair", "sample_name"], "left_semi").join(expr, list(unit)))
     p = robust_profile(rows, ["pair", "sample_name", "layer", "gene"], "value", how, winsor)
     on = lambda layer: F.max(F.when(F.col("layer") == layer, F.col("value")))
     wide = p.groupBy("pair", "sample_name", "gene").agg(on("interface").alias("a"), on("core").alias("b"))
@@ -189,6 +190,7 @@ def paired_expression(
 
     keys = list(keys)
     by = [*keys, "gene"]
+    profiles = cut_lineage(profiles)
     m = profiles.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
     m = m.where(F.col("n") >= min_samples).withColumn("log2fc", F.log2(F.col("mean_a") + eps) - F.log2(F.col("mean_b") + eps))
     p = PAIRED_TESTS[test](profiles, by, "a", "b").drop("pairs")
@@ -223,7 +225,7 @@ def tag_layers(cells: DataFrame, mix: str, pairs: Sequence[tuple[int, int]], cor
     layers = F.array_compact(
         F.array(F.when((F.col("s") >= at) & F.col("ok"), F.lit("interface")), F.when(F.col("core"), F.lit("core")))
     )
-    return x.select("pair", "sample_name", "node_idx", F.explode(layers).alias("layer"))
+    return cut_lineage(x.select("pair", "sample_name", "node_idx", F.explode(layers).alias("layer")))
 
 
 def layer_diagnostics(tagged: DataFrame, samples: DataFrame, pairs: Sequence[tuple[int, int]], min_cells: int) -> DataFrame:

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.tails import chi2_p, hypergeom_p, normal_p, signed_rank_p, t_p
-from tilewright.operators.ordered import attach_ranks, fdr, quantiles, running, value_ranks
+from tilewright.operators.ordered import fdr, quantiles, running, value_ranks
+from tilewright.session import cut_lineage
 
 
 def _flag(flag: str) -> Column:
@@ -261,7 +262,7 @@ def kruskal(df: DataFrame, keys: Sequence[str], value: str, label: str, min_grou
 
 def dunn(df: DataFrame, keys: Sequence[str], value: str, label: str, min_group: int = 1) -> DataFrame:
     """Pairwise comparison of class mean ranks per key, q within the key. Classes pair up, not rows."""
-    r = _class_ranks(df, keys, value, label, min_group).withColumn("mean_rank", F.col("rank_sum") / F.col("n"))
+    r = cut_lineage(_class_ranks(df, keys, value, label, min_group).withColumn("mean_rank", F.col("rank_sum") / F.col("n")))
     a = r.select(*keys, F.col(label).alias("a"), F.col("n").alias("na"), F.col("mean_rank").alias("ra"), "total", "ties")
     b = r.select(*keys, F.col(label).alias("b"), F.col("n").alias("nb"), F.col("mean_rank").alias("rb"))
     n = F.col("total")
@@ -276,7 +277,8 @@ def dunn(df: DataFrame, keys: Sequence[str], value: str, label: str, min_group:
 def spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Rank correlation per key over complete cases, from average-tie ranks."""
     both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*keys, x, y)
-    ranked = attach_ranks(attach_ranks(both, keys, x, "_rx"), keys, y, "_ry")
+    rank = lambda c, name: value_ranks(both, keys, c).select(*keys, c, F.col("avg_rank").alias(name))
+    ranked = both.join(rank(x, "_rx"), [*keys, x]).join(rank(y, "_ry"), [*keys, y])
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.corr("_rx", "_ry").alias("rho"))
 
 

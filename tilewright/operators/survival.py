@@ -38,6 +38,7 @@ def kaplan_meier(df: DataFrame, groups: Sequence[str], time: str = "t", event: s
         .withColumn("gone", (F.col("events") == F.col("at_risk")).cast("int"))
         .withColumn("log_s", F.when(F.col("gone") == 0, F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(F.lit(0.0)))
     )
+    step = cut_lineage(step)
     run = running(step, groups, time, {"acc": ("sum", "log_s"), "dead": ("max", "gone")})
     return step.join(run, [*groups, time]).select(
         *groups,
