@@ -25,6 +25,10 @@ def local_session(cores: str = "8", name: str = "tilewright", shuffle: str = "8"
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
+        # small tables on one machine: keep all cores busy rather than filling 64 MB partitions
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
+        .config("spark.sql.files.openCostInBytes", "262144")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .getOrCreate()
     )
