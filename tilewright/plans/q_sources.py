@@ -16,7 +16,7 @@ def cohort_config(spark, sf):
     n = load(spark, sf, "nation")
     label = F.struct(F.lit("f.csv").alias("file"), F.when(F.col("n_regionkey") == 0, "who").alias("patient_column"))
     c = F.struct(F.concat(F.lit("cohort "), "n_name").alias("name"), F.col("n_nationkey").alias("pos_level"), label.alias("label"))
-    n.groupBy("n_regionkey").agg(F.collect_list(c).alias("cohorts")).select(F.lit("m").alias("model_path"), "cohorts").write.json(path)
+    n.groupBy("n_regionkey").agg(F.collect_list(c).alias("cohorts")).select(F.lit("m").alias("model_path"), "cohorts").write.option("maxRecordsPerFile", 1).json(path)
     s = R.cohort_specs(spark, path)
     return s.select("name", "label_format", "patient_column", "value_column", F.size("positive_values").alias("n_positive"), "pos_level")
 
@@ -296,10 +296,10 @@ def wide_prediction_files(spark, sf):
     return W.write_predictions_wide(t, new_path(spark, "pred"), ["G0", "G1", "G2"]).withColumns(r6("G0", "G1", "G2"))
 
 
-@query("S27 W12", f"""with {PATIENTS} select patient as sample_index, 'order ' || patient as sample_name, round(risk, 6) as risk_score, round(t / 365, 6) as time_years, e as event from patients""")
+@query("S27 W12", f"""with {PATIENTS} select patient as sample_index, 'order ' || patient as sample_name, round(risk, 8) as risk_score, round(t / 365, 6) as time_years, e as event from patients""")
 def survival_prediction_file(spark, sf):
     p = patients(spark, sf).select(
-        F.col("patient").alias("sample_index"), F.concat(F.lit("order "), "patient").alias("sample_name"), F.round("risk", 6).alias("risk_score"),
+        F.col("patient").alias("sample_index"), F.concat(F.lit("order "), "patient").alias("sample_name"), F.round("risk", 8).alias("risk_score"),
         F.round(F.col("t") / 365, 6).alias("time_years"), F.col("e").alias("event"),
     )
     return W.write_survival_predictions(p, new_path(spark, "os"))

@@ -231,7 +231,7 @@ def prior_composition(spark: SparkSession, path: str, macros: Sequence[str], sep
     raw = spark.read.option("header", True).option("sep", sep).csv(path)
     low = {c.lower(): c for c in raw.columns}
     key = next(low[c] for c in low if "proto" in c or "archetype" in c)
-    kind = next((low[c] for c in low if "macro" in c or "type" in c or "class" in c), None)
+    kind = next((low[c] for c in low if low[c] != key and ("macro" in c or "type" in c or "class" in c)), None)
     if kind is not None:
         size = next(low[c] for c in low if "frac" in c or "prop" in c or "value" in c)
         long = raw.select(T.prototype_name(F.col(key)).alias("prototype"), F.col(kind).alias("macro"), F.col(size).try_cast("double").alias("v"))
