@@ -330,7 +330,7 @@ def assemble_metrics(density: DataFrame, proximity: DataFrame, core: DataFrame,
     )
 
 
-def deduplicate(points: DataFrame, radius: float, groups: Sequence[str], order: str = "node_idx", max_rounds: int = 200) -> DataFrame:
+def deduplicate(points: DataFrame, radius: float, groups: Sequence[str], order: str = "node_idx") -> DataFrame:
     """Greedy spatial thinning: in id order keep a point unless an earlier kept one lies within the radius.
 
     Fixed point instead of a sequential scan: a point with no undecided or kept earlier neighbour is kept, a point with a
@@ -344,7 +344,7 @@ def deduplicate(points: DataFrame, radius: float, groups: Sequence[str], order:
     first = points.groupBy(*groups, "pos_x", "pos_y").agg(F.min(order).alias("node_idx"))
     pairs = cut_lineage(within_radius(first, first, radius, groups).where("src < dst").select(*groups, "src", "dst"))
     state = cut_lineage(first.select(*groups, "node_idx", F.lit(None).cast("int").alias("keep")))
-    for _ in range(max_rounds):
+    while True:  # every round settles at least the first undecided point of each group
         earlier = (
             pairs.join(state.select(*groups, F.col("node_idx").alias("src"), "keep"), [*groups, "src"])
             .groupBy(*groups, F.col("dst").alias("node_idx"))

@@ -23,7 +23,7 @@ from pyspark.sql.window import Window
 
 from tilewright.session import cut_lineage
 
-_FOLD = {"sum": F.sum, "min": F.min, "max": F.max}
+_FOLD = {"sum": F.sum, "min": F.min, "max": F.max, "own": F.sum}
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -60,16 +60,18 @@ def running(
     """Running sum / min / max of columns in the order of a numeric column, peers included.
 
     ``measures`` maps an output name to ``(fold, column)``. The result has one row per (groups, order) with, for each
-    measure, the inclusive running value ``<name>`` and the group's total ``<name>_all``. Group columns must not be
-    null; rows with a null order are left out.
+    measure, the inclusive running value ``<name>`` and the group's total ``<name>_all``; the fold "own" gives just the
+    row's own sum. Group columns must not be null; rows with a null order are left out.
     """
     groups = list(groups)
     buckets = buckets or bucket_count(df)
+    folded = {name: fold for name, (fold, _) in measures.items() if fold != "own"}
     cells = (
         df.where(F.col(order).isNotNull())
         .groupBy(*groups, order)
         .agg(*[_FOLD[fold](col).alias(f"_v_{name}") for name, (fold, col) in measures.items()])
     )
+    cells = cut_lineage(cells)  # read three times below; the input itself is computed once, however deep its plan
     edges = cells.agg(
         F.percentile_approx(
             F.col(order).cast("double"),
@@ -77,23 +79,23 @@ def running(
             max(10000, 4 * buckets),
         )
     ).scalar()
+    # coalesce makes the range a non-null column: otherwise Spark infers "range is not null" from the join below and
+    # pushes the whole search down to every input row
     ranged = (
         cells.withColumn("_edges", edges)
-        .withColumn("_range", _range_of(F.col(order).cast("double"), F.col("_edges"), buckets))
+        .withColumn("_range", F.coalesce(_range_of(F.col(order).cast("double"), F.col("_edges"), buckets), F.lit(0)))
         .drop("_edges")
     )
 
     direction = (lambda c: F.col(c).asc()) if ascending else (lambda c: F.col(c).desc())
     before = Window.partitionBy(*groups).orderBy(direction("_range")).rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*groups)
-    totals = ranged.groupBy(*groups, "_range").agg(
-        *[_FOLD[fold](f"_v_{name}").alias(f"_t_{name}") for name, (fold, _) in measures.items()]
-    )
+    totals = ranged.groupBy(*groups, "_range").agg(*[_FOLD[f](f"_v_{n}").alias(f"_t_{n}") for n, f in folded.items()])
     totals = totals.select(
         *groups,
         "_range",
-        *[_FOLD[fold](f"_t_{name}").over(before).alias(f"_b_{name}") for name, (fold, _) in measures.items()],
-        *[_FOLD[fold](f"_t_{name}").over(whole).alias(f"{name}_all") for name, (fold, _) in measures.items()],
+        *[_FOLD[f](f"_t_{n}").over(before).alias(f"_b_{n}") for n, f in folded.items()],
+        *[_FOLD[f](f"_t_{n}").over(whole).alias(f"{n}_all") for n, f in folded.items()],
     )
     inside = (
         Window.partitionBy(*groups, "_range")
@@ -104,12 +106,18 @@ def running(
         *groups,
         order,
         "_range",
-        *[_FOLD[fold](f"_v_{name}").over(inside).alias(f"_r_{name}") for name, (fold, _) in measures.items()],
+        *[
+            (F.col(f"_v_{n}") if fold == "own" else _FOLD[fold](f"_v_{n}").over(inside)).alias(f"_r_{n}")
+            for n, (fold, _) in measures.items()
+        ],
     )
     joined = local.join(totals, [*groups, "_range"])
 
     def combine(name: str, fold: str) -> Column:
-        here, prior = F.col(f"_r_{name}"), F.col(f"_b_{name}")
+        here = F.col(f"_r_{name}")
+        if fold == "own":
+            return here
+        prior = F.col(f"_b_{name}")
         if fold == "sum":
             return here + F.coalesce(prior, F.lit(0))
         return F.least(here, prior) if fold == "min" else F.greatest(here, prior)
@@ -118,7 +126,7 @@ def running(
         *groups,
         order,
         *[combine(name, fold).alias(name) for name, (fold, _) in measures.items()],
-        *[f"{name}_all" for name in measures],
+        *[f"{name}_all" for name in folded],
     )
 
 
@@ -134,11 +142,11 @@ def value_ranks(
     base = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"{k}") for k, c in sums.items()]
     )
-    run = running(base, groups, value, {"cum": ("sum", "n"), **{f"cum_{k}": ("sum", k) for k in sums}})
-    keys = [*groups, value]
-    out = run.join(base, keys)
-    return out.select(
-        *keys,
+    own = {"n": ("own", "n"), **{k: ("own", k) for k in sums}}
+    run = running(base, groups, value, {"cum": ("sum", "n"), **{f"cum_{k}": ("sum", k) for k in sums}, **own})
+    return run.select(
+        *groups,
+        value,
         "n",
         (F.col("cum") - (F.col("n") - 1) / 2).alias("avg_rank"),
         F.col("cum_all").alias("n_all"),
@@ -167,7 +175,7 @@ def fdr(df: DataFrame, groups: Sequence[str], p: str = "p", name: str = "q") ->
     """Benjamini-Hochberg q-values over each family of tests; null p stays null and does not count."""
     df = cut_lineage(df)  # one row per test: small next to the observations, and read several times below
     ranks = running(df.select(*groups, p, F.lit(1).alias("_one")), groups, p, {"_cum": ("sum", "_one")})
-    raw = cut_lineage(ranks.select(*groups, p, (F.col(p) * F.col("_cum_all") / F.col("_cum")).alias("_raw")))
+    raw = ranks.select(*groups, p, (F.col(p) * F.col("_cum_all") / F.col("_cum")).alias("_raw"))
     low = running(raw, groups, p, {"_low": ("min", "_raw")}, ascending=False)
     adjusted = low.select(*groups, p, F.least(F.col("_low"), F.lit(1.0)).alias(name))
     return df.join(adjusted, [*groups, p], "left")
@@ -235,7 +243,7 @@ def quantiles(
         .groupBy(*groups, F.col(value).cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cum = running(base, groups, value, {"_cum": ("sum", "_n")}).join(base, [*groups, value])
+    cum = running(base, groups, value, {"_cum": ("sum", "_n"), "_n": ("own", "_n")})
     first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
 
     def at(position: Column) -> Column:

@@ -194,7 +194,7 @@ def apply_map(df: DataFrame, mapping: DataFrame, column: str = "prototype_id", n
     return df.join(m, column, "left").withColumn(name, F.coalesce("_to", F.col(column))).drop("_to")
 
 
-def components(pairs: DataFrame, nodes: DataFrame, threshold: float, min_size: int = 1, max_rounds: int = 50) -> DataFrame:
+def components(pairs: DataFrame, nodes: DataFrame, threshold: float, min_size: int = 1) -> DataFrame:
     """(node, hub): connected components of ``pairs(src, dst, value)`` at value >= threshold.
 
     Every node takes the smallest label around it and then that label's own label, until nothing changes; the label jump
@@ -204,7 +204,7 @@ def components(pairs: DataFrame, nodes: DataFrame, threshold: float, min_size: i
     link = pairs.where((F.col("value") >= threshold) & (F.col("src") != F.col("dst"))).select("src", "dst")
     edges = cut_lineage(link.unionByName(link.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
     state = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("lab")))
-    for _ in range(max_rounds):
+    while True:
         around = (
             edges.join(state.withColumnRenamed("node", "dst"), "dst")
             .groupBy(F.col("src").alias("node"))

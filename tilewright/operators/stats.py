@@ -99,8 +99,8 @@ def _thresholds(df: DataFrame, keys: Sequence[str], score: str, flag: str) -> Da
     cells = df.where(F.col(score).isNotNull()).groupBy(*keys, score).agg(
         F.sum(_flag(flag)).alias("n1"), F.sum(1 - _flag(flag)).alias("n0")
     )
-    run = running(cells, keys, score, {"tp": ("sum", "n1"), "fp": ("sum", "n0")}, ascending=False)
-    return cells.join(run, [*keys, score])
+    own = {"n1": ("own", "n1"), "n0": ("own", "n0")}
+    return running(cells, keys, score, {"tp": ("sum", "n1"), "fp": ("sum", "n0"), **own}, ascending=False)
 
 
 def roc_curve(df: DataFrame, keys: Sequence[str], score: str, flag: str) -> DataFrame:
@@ -128,8 +128,9 @@ def auc_interval(df: DataFrame, keys: Sequence[str], score: str, flag: str, auto
     cells = df.where(F.col(score).isNotNull() & F.col(flag).isNotNull()).groupBy(*keys, score).agg(
         F.sum(_flag(flag)).alias("n1"), F.sum(1 - _flag(flag)).alias("n0")
     )
-    run = running(cells, keys, score, {"c1": ("sum", "n1"), "c0": ("sum", "n0")})
-    j = cells.join(run, [*keys, score]).where("c1_all > 0 and c0_all > 0")
+    own = {"n1": ("own", "n1"), "n0": ("own", "n0")}
+    run = running(cells, keys, score, {"c1": ("sum", "n1"), "c0": ("sum", "n0"), **own})
+    j = run.where("c1_all > 0 and c0_all > 0")
     case = (F.col("c0") - F.col("n0") / 2) / F.col("c0_all")
     control = (F.col("c1_all") - F.col("c1") + F.col("n1") / 2) / F.col("c1_all")
     s = j.groupBy(*keys).agg(

@@ -31,16 +31,15 @@ def kaplan_meier(df: DataFrame, groups: Sequence[str], time: str = "t", event: s
     """Product-limit curve per group: (groups, t, at_risk, events, survival) at every distinct time."""
     groups = list(groups)
     cells = df.groupBy(*groups, time).agg(F.count(F.lit(1)).alias("n"), F.sum(event).alias("events"))
-    left = running(cells, groups, time, {"at_risk": ("sum", "n")}, ascending=False)
+    left = running(cells, groups, time, {"at_risk": ("sum", "n"), "events": ("own", "events")}, ascending=False)
     step = (
-        cells.join(left, [*groups, time])
-        .where(F.col("at_risk_all") >= min_group)
+        left.where(F.col("at_risk_all") >= min_group)
         .withColumn("gone", (F.col("events") == F.col("at_risk")).cast("int"))
         .withColumn("log_s", F.when(F.col("gone") == 0, F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(F.lit(0.0)))
     )
-    step = cut_lineage(step)
-    run = running(step, groups, time, {"acc": ("sum", "log_s"), "dead": ("max", "gone")})
-    return step.join(run, [*groups, time]).select(
+    own = {"at_risk": ("own", "at_risk"), "events": ("own", "events")}
+    run = running(step, groups, time, {"acc": ("sum", "log_s"), "dead": ("max", "gone"), **own})
+    return run.select(
         *groups,
         time,
         "at_risk",
@@ -58,11 +57,11 @@ def log_rank(df: DataFrame, flag: str, groups: Sequence[str] = (), time: str = "
         F.sum(event).alias("d"),
         F.sum(F.col(event) * F.col(flag)).alias("d1"),
     )
-    risk = running(cells, groups, time, {"r": ("sum", "n"), "r1": ("sum", "n1")}, ascending=False)
+    own = {"d": ("own", "d"), "d1": ("own", "d1")}
+    risk = running(cells, groups, time, {"r": ("sum", "n"), "r1": ("sum", "n1"), **own}, ascending=False)
     share = F.col("r1") / F.col("r")
     stat = (
-        cells.join(risk, [*groups, time])
-        .where(F.col("d") > 0)
+        risk.where(F.col("d") > 0)
         .groupBy(*groups)
         .agg(
             F.sum(F.col("d1") - F.col("d") * share).alias("diff"),
@@ -106,30 +105,33 @@ def concordance(df: DataFrame, groups: Sequence[str] = (), time: str = "t", even
         )
     )
     keys = [*groups, "bit", "prefix"]
-    later = running(digits, keys, time, {"z": ("sum", "zeros")}, ascending=False)
+    own = {"zeros": ("own", "zeros"), "ones": ("own", "ones")}
+    later = running(digits, keys, time, {"z": ("sum", "zeros"), **own}, ascending=False)
     good = (
-        digits.join(later, [*keys, time])
+        later.where("ones > 0")
         .groupBy(*groups)
         .agg(F.sum(F.col("ones") * (F.col("z") - F.col("zeros"))).alias("concordant"))
     )
-    same = running(ranked, [*groups, "rk"], time, {"m": ("sum", "n")}, ascending=False)
-    at = ranked.groupBy(*groups, "rk", time).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
+    own = {"n": ("own", "n"), "d": ("own", "d")}
+    # ties need two rows with the same risk, so risks seen once drop out first
+    again = ranked.groupBy(*groups, "rk").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
+    same = ranked.join(again, [*groups, "rk"], "left_semi")
     tied = (
-        at.join(same, [*groups, "rk", time])
+        running(same, [*groups, "rk"], time, {"m": ("sum", "n"), **own}, ascending=False)
         .groupBy(*groups)
         .agg(F.sum(F.col("d") * (F.col("m") - F.col("n"))).alias("tied"))
     )
     per_time = ranked.groupBy(*groups, time).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    after = running(per_time, groups, time, {"m": ("sum", "n")}, ascending=False)
     pairs = (
-        per_time.join(after, [*groups, time])
+        running(per_time, groups, time, {"m": ("sum", "n"), **own}, ascending=False)
         .groupBy(*groups)
         .agg(F.sum(F.col("d") * (F.col("m") - F.col("n"))).alias("comparable"))
     )
     if groups:
-        out = pairs.join(good, groups).join(tied, groups)
+        out = pairs.join(good, groups, "left").join(tied, groups, "left")
     else:
         out = pairs.withColumn("concordant", good.scalar()).withColumn("tied", tied.scalar())
+    out = out.fillna(0, ["concordant", "tied"])
     return out.select(
         *groups,
         "comparable",
@@ -183,8 +185,8 @@ def threshold_search(
         )
     )
     sizes = cells.groupBy("cut").agg(F.sum("n").alias("total"), F.sum("n1").alias("high"))
-    later = running(cells, ["cut"], "t", {"r": ("sum", "n"), "r1": ("sum", "n1")}, ascending=False)
-    at = cells.join(later, ["cut", "t"])
+    own = {c: ("own", c) for c in ("n", "n1", "d", "d1")}
+    at = running(cells, ["cut"], "t", {"r": ("sum", "n"), "r1": ("sum", "n1"), **own}, ascending=False)
     after, after_hi = F.col("r") - F.col("n"), F.col("r1") - F.col("n1")
     if criterion == "cindex":
         # an event in the high group beats later low ones; equal groups count half
@@ -234,7 +236,8 @@ def cox(df: DataFrame, x: str, time: str = "t", event: str = "e", rounds: int =
             F.sum("d").alias("d"),
             F.sum(F.col("d") * F.col("x")).alias("dx"),
         )
-        risk = running(at, [], "t", {f"r{k}": ("sum", f"s{k}") for k in range(3)}, ascending=False)
+        own = {c: ("own", c) for c in ("e0", "e1", "e2", "d", "dx")}
+        risk = running(at, [], "t", {**{f"r{k}": ("sum", f"s{k}") for k in range(3)}, **own}, ascending=False)
         # Efron: the l-th of d tied events sees the risk set less l/d of the tied events' weight
         share = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: i / F.col("d"))
         parts = F.transform(
@@ -244,9 +247,7 @@ def cox(df: DataFrame, x: str, time: str = "t", event: str = "e", rounds: int =
         mean = F.aggregate(parts, F.lit(0.0), lambda s, q: s + q["q1"] / q["q0"])
         curve = F.aggregate(parts, F.lit(0.0), lambda s, q: s + q["q2"] / q["q0"] - F.pow(q["q1"] / q["q0"], 2))
         row = (
-            at.drop("s0", "s1", "s2")
-            .join(risk, "t")
-            .where(F.col("d") > 0)
+            risk.where(F.col("d") > 0)
             .agg(F.sum(F.col("dx") - mean).alias("score"), F.sum(curve).alias("info"))
             .first()
         )

@@ -199,7 +199,7 @@ _DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: z[1]::double * z[2
 
 
 @query(
-    "F23 F24 J20",
+    "F23 F24",
     f"""with p as (select a.vec_id, a.embedding as u, b.embedding as v from embeddings a
         join embeddings b on b.vec_id = a.vec_id + 1),
       n as (select *, {_NORM.format(v='u')} as nu, {_NORM.format(v='v')} as nv, {_DOT.format(a='u', b='v')} as d,

@@ -17,7 +17,7 @@ def assigned(spark, sf, tau=0.3):
     return P.assign(cells(spark, sf), centers(spark, sf), tau)
 
 
-@query("A1 F25 F26 F28", f"""{_BASE}, h as (select node_idx, 1 + sum(p * ln(p + 1e-12)) / ln(5) as confidence from soft group by node_idx)
+@query("A1 F25 F26 F28 D14", f"""{_BASE}, h as (select node_idx, 1 + sum(p * ln(p + 1e-12)) / ln(5) as confidence from soft group by node_idx)
     select s.node_idx, s.k as prototype, round(p, 6) as top_prob, round(confidence, 6) as confidence from soft s join h using (node_idx) where rk = 1""")
 def prototype_assignment(spark, sf):
     a = assigned(spark, sf)

@@ -121,8 +121,10 @@ def geojson_polygons(spark, sf):
         '{"geometry":{"type":"%s","coordinates":%s},"classification":{"name":"%s|%d"},"properties":{"level":1}}',
         F.when(multi, "MultiPolygon").otherwise("Polygon"), coords, "cell_type", "node_idx",
     )
-    one = cells(spark, sf).groupBy("sample_name").agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("doc"))
-    one.repartition("sample_name").write.partitionBy("sample_name").text(path)
+    # files of at most 200 features, several per sample
+    part = F.floor(F.col("node_idx") / 200)
+    one = cells(spark, sf).groupBy("sample_name", part.alias("part")).agg(F.concat(F.lit('{"features":['), F.array_join(F.collect_list(feature), ","), F.lit("]}")).alias("doc"))
+    one.write.partitionBy("sample_name", "part").option("maxRecordsPerFile", 1).text(path)
     p = R.polygons(spark, path)
     c = F.split("class", r"\|")
     return p.select(c[1].cast("long").alias("id"), c[0].alias("class"), F.round(F.col("ring")[0]["x"], 4).alias("x0"), F.round(F.col("ring")[0]["y"], 4).alias("y0"), F.size("ring").alias("points"))
@@ -150,12 +152,12 @@ def gtf_exon_lengths(spark, sf):
     return R.exon_lengths(_gtf(spark, sf))
 
 
-@query("S11", "select row_number() over (order by p_partkey) - 1 as idx, 'GENE' || p_partkey as gene from part where p_partkey % 5 > 1")
+@query("S11", "select row_number() over (order by p_name) - 1 as idx, 'GENE-' || replace(p_name, ' ', '-') as gene from (select distinct p_name from part) where p_name >= 'd'")
 def gene_list_file(spark, sf):
     path = new_path(spark, "genes")
-    p = load(spark, sf, "part").repartitionByRange(1, "p_partkey").sortWithinPartitions("p_partkey")
-    k = F.col("p_partkey") % 5
-    p.select(F.when(k == 0, "  ").when(k == 1, "# note").otherwise(F.concat(F.lit("GENE"), "p_partkey", F.lit(", extra")))).write.text(path)
+    p = load(spark, sf, "part").select("p_name").distinct().repartitionByRange(1, "p_name").sortWithinPartitions("p_name")  # the name list
+    k, name = F.col("p_name"), F.replace("p_name", F.lit(" "), F.lit("-"))
+    p.select(F.when(k < "c", "  ").when(k < "d", "# note").otherwise(F.concat(F.lit("GENE-"), name, F.lit(", extra")))).write.text(path)
     return R.gene_list(spark, path)
 
 
@@ -175,16 +177,16 @@ def gene_length_file(spark, sf):
     return R.gene_lengths(spark, path)
 
 
-@query("S14 D20", "select p_brand as name, case when p_brand < 'Brand#2' then 'up' else 'two-sided' end as direction, p_name as gene, count(*) as n from part group by all")
+@query("S14 D20", "select distinct p_brand as name, case when p_brand < 'Brand#2' then 'up' else 'two-sided' end as direction, p_name as gene from part")
 def gene_set_file(spark, sf):
     path = new_path(spark, "sets")
     p = load(spark, sf, "part")
-    s = p.groupBy("p_brand").agg(F.collect_list(F.concat("p_name", F.lit(" "))).alias("genes"))
+    s = p.groupBy("p_brand").agg(F.collect_set(F.concat("p_name", F.lit(" "))).alias("genes"))
     body = F.struct("genes", F.when(F.col("p_brand") < "Brand#2", "up").alias("direction"))
     s.select(F.to_json(F.create_map("p_brand", body))).write.text(path)
     files_ = spark.read.text(path)  # one object per line stands for one file
     files_.write.option("maxRecordsPerFile", 1).text(f"{path}-single")
-    return R.gene_sets(spark, f"{path}-single").groupBy("name", "direction", "gene").agg(F.count(F.lit(1)).alias("n"))
+    return R.gene_sets(spark, f"{path}-single")
 
 
 @query("S15", f"""with {CELLS}, c as (select prototype_id, {', '.join(f"count(*) filter (cell_type = '{t}')::double as {t}" for t in CELL_TYPES)} from cells group by 1)
@@ -212,7 +214,8 @@ def _mtx(spark, sf):
     body = li.select(p.alias("v"), F.lit(2).alias("o"))
     head = li.agg(F.format_string("%d %d %d", F.max("l_partkey") + 1, F.max("l_orderkey") + 1, F.count(F.lit(1))).alias("v")).withColumn("o", F.lit(1))
     note = head.select(F.lit("%%MatrixMarket matrix coordinate integer general").alias("v"), F.lit(0).alias("o"))
-    note.unionByName(head).unionByName(body).repartitionByRange(1, "o").sortWithinPartitions("o").select("v").write.text(path)
+    note.unionByName(head).repartitionByRange(1, "o").sortWithinPartitions("o").select("v").write.text(path)  # two lines
+    body.select("v").write.mode("append").text(path)
     return R.matrix_market(spark, path)
 
 
@@ -244,16 +247,27 @@ def bulk_with_phenotype(spark, sf):
     return R.bulk_matrix(spark, f"{path}/expr").join(p, "sample").select("sample", "gene", F.round("value", 6).alias("value"), "response")
 
 
-@query("S19 D21", f"""with {CELLS} select cohort as patient_id, sample_name as slide_id, count(*) as patches, max(label) as label from (select c.*, (cohort = 'C1')::int as label2 from cells c) group by all""".replace("max(label) as label", "any_value(label2) as label").replace("group by all", "group by cohort, sample_name"))
+@query("S19 D21 E5", f"""with {CELLS} select cohort as patient_id, sample_name as slide_id, count(*) as patches, (cohort = 'C1')::int + 10 as label from cells group by cohort, sample_name""")
 def slide_bags(spark, sf):
     c = cells(spark, sf)
     patches = c.select(F.col("sample_name").alias("slide_id"), "embedding")
     slides = c.select(F.col("sample_name").alias("slide_id"), F.col("cohort").alias("patient_id")).distinct()
     labels = slides.select("patient_id", (F.col("patient_id") == "C1").cast("int").alias("label")).distinct()
-    b = R.slide_bags(patches, slides, labels)
+    b = R.slide_bags(patches, slides, labels, target=lambda c: c + 10)
     return b.groupBy("patient_id", "slide_id").agg(F.count(F.lit(1)).alias("patches"), F.max("label").alias("label"))
 
 
+@query("D22 F54", """with t as (select unnest(['CLASSNAME.', 'a slide of CLASSNAME']) as template)
+    select distinct p_type as set, p_brand as class, replace(template, 'CLASSNAME', p_name) as prompt from part, t""")
+def prompt_file(spark, sf):
+    path = new_path(spark, "prompts")
+    c = load(spark, sf, "part").groupBy("p_type", "p_brand").agg(F.collect_set("p_name").alias("names"))
+    s = c.groupBy("p_type").agg(F.map_from_entries(F.collect_list(F.struct("p_brand", "names"))).alias("classnames"))
+    forms = F.array(F.lit("CLASSNAME."), F.lit("a slide of CLASSNAME")).alias("templates")
+    s.select(F.to_json(F.create_map("p_type", F.struct("classnames", forms)))).write.option("maxRecordsPerFile", 1).text(path)
+    return R.prompts(spark, path)
+
+
 @query("S20 P14", "select doc_id as id, '/tiles/' || source || '/' || doc_id as path, case lang when 'en' then 0 else 1 end as label from documents where lang in ('en', 'fr')")
 def tile_image_index(spark, sf):
     return R.tile_index(load(spark, sf, "documents"), "/tiles", "doc_id", "source", "lang", {"en": 0, "fr": 1})

@@ -8,7 +8,7 @@ from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import PATIENTS, patients
 
 
-@query("A31 W7 W6", f"""with {PATIENTS}, c as (select arm, t, count(*) as n, sum(e)::bigint as events from patients group by all),
+@query("A31 W7 W6 D2", f"""with {PATIENTS}, c as (select arm, t, count(*) as n, sum(e)::bigint as events from patients group by all),
     r as (select *, (sum(n) over (partition by arm order by t desc))::bigint as at_risk from c)
     select arm, t, at_risk, events, round(case when max((events = at_risk)::int) over w = 1 then 0 else exp(sum(case when events = at_risk then 0 else ln(1 - events / at_risk) end) over w) end, 6) as survival
     from r window w as (partition by arm order by t)""")

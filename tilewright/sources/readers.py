@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -246,10 +246,15 @@ def prior_composition(spark: SparkSession, path: str, macros: Sequence[str], sep
 
 
 def matrix_market(spark: SparkSession, path: str) -> DataFrame:
-    """(gene_idx, cell_idx, x) from coordinate lines; comments and the size line are skipped."""
-    t = spark.read.text(path).where(~F.col("value").startswith("%")).select(F.split("value", " ").alias("p"), "_metadata.file_path", F.monotonically_increasing_id().alias("i"))
-    first = t.groupBy("file_path").agg(F.min("i").alias("i0"))  # the size line opens every file
-    return t.join(first, "file_path").where("i > i0").select(
+    """(gene_idx, cell_idx, x) from coordinate lines; comments and the size line are skipped.
+
+    A matrix may be cut into several files; the size line is the first line without "%" of each file with a banner.
+    """
+    raw = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("i"))
+    t = raw.where(~F.col("value").startswith("%")).withColumn("p", F.split("value", " "))
+    heads = raw.where(F.col("value").startswith("%%MatrixMarket")).select("file_path").distinct()
+    first = t.join(heads, "file_path", "left_semi").groupBy("file_path").agg(F.min("i").alias("i0"))
+    return t.join(first, "file_path", "left").where("i0 is null or i > i0").select(
         F.col("p")[0].cast("int").alias("gene_idx"), F.col("p")[1].cast("int").alias("cell_idx"), F.col("p")[2].cast("double").alias("x")
     )
 
@@ -293,9 +298,21 @@ def phenotype(spark: SparkSession, path: str, column: str) -> DataFrame:
     return long.select(T.squeeze(F.col("sample")).alias("sample"), T.response_label(F.col("v")).alias("response"))
 
 
-def slide_bags(patches_: DataFrame, slides: DataFrame, labels: DataFrame) -> DataFrame:
-    """Patch embeddings with their patient and label: slides of a patient form one bag."""
-    return patches_.join(slides, "slide_id").join(labels, "patient_id")
+def slide_bags(
+    patches_: DataFrame, slides: DataFrame, labels: DataFrame, target: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """Patch embeddings with their patient and label: slides of a patient form one bag. ``target`` maps the label column."""
+    bags = patches_.join(slides, "slide_id").join(labels, "patient_id")
+    return bags.withColumn("label", target(F.col("label"))) if target else bags
+
+
+def prompts(spark: SparkSession, path: str) -> DataFrame:
+    """(set, class, prompt) from ``{set: {classnames: {class: [...]}, templates: [...]}}``: every name in every template."""
+    whole = spark.read.option("wholetext", True).text(path)
+    kind = "map<string, struct<classnames:map<string,array<string>>, templates:array<string>>>"
+    s = whole.select(F.explode(F.from_json("value", kind)).alias("set", "s"))
+    c = s.select("set", F.explode("s.classnames").alias("class", "names"), F.col("s.templates").alias("templates"))
+    return c.select("set", "class", F.explode(T.expand_templates(F.col("names"), F.col("templates"))).alias("prompt"))
 
 
 def tile_index(df: DataFrame, root: str, identifier: str, folder: str | None, target: str, classes: dict[str, int]) -> DataFrame:
