@@ -56,21 +56,25 @@ def running(
     measures: dict[str, tuple[str, str]],
     ascending: bool = True,
     buckets: int | None = None,
+    unique: bool = False,
 ) -> DataFrame:
     """Running sum / min / max of columns in the order of a numeric column, peers included.
 
     ``measures`` maps an output name to ``(fold, column)``. The result has one row per (groups, order) with, for each
     measure, the inclusive running value ``<name>`` and the group's total ``<name>_all``; the fold "own" gives just the
-    row's own sum. Group columns must not be null; rows with a null order are left out.
+    row's own sum. Group columns must not be null; rows with a null order are left out. ``unique`` tells that
+    (groups, order) is already a key of the input, which saves an aggregate.
     """
     groups = list(groups)
     buckets = buckets or bucket_count(df)
     folded = {name: fold for name, (fold, _) in measures.items() if fold != "own"}
-    cells = (
-        df.where(F.col(order).isNotNull())
-        .groupBy(*groups, order)
-        .agg(*[_FOLD[fold](col).alias(f"_v_{name}") for name, (fold, col) in measures.items()])
-    )
+    valued = df.where(F.col(order).isNotNull())
+    if unique:
+        cells = valued.select(*groups, order, *[F.col(col).alias(f"_v_{name}") for name, (_, col) in measures.items()])
+    else:
+        cells = valued.groupBy(*groups, order).agg(
+            *[_FOLD[fold](col).alias(f"_v_{name}") for name, (fold, col) in measures.items()]
+        )
     cells = cut_lineage(cells)  # read three times below; the input itself is computed once, however deep its plan
     edges = cells.agg(
         F.percentile_approx(
@@ -143,7 +147,7 @@ def value_ranks(
         F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"{k}") for k, c in sums.items()]
     )
     own = {"n": ("own", "n"), **{k: ("own", k) for k in sums}}
-    run = running(base, groups, value, {"cum": ("sum", "n"), **{f"cum_{k}": ("sum", k) for k in sums}, **own})
+    run = running(base, groups, value, {"cum": ("sum", "n"), **{f"cum_{k}": ("sum", k) for k in sums}, **own}, unique=True)
     return run.select(
         *groups,
         value,
@@ -176,7 +180,7 @@ def fdr(df: DataFrame, groups: Sequence[str], p: str = "p", name: str = "q") ->
     df = cut_lineage(df)  # one row per test: small next to the observations, and read several times below
     ranks = running(df.select(*groups, p, F.lit(1).alias("_one")), groups, p, {"_cum": ("sum", "_one")})
     raw = ranks.select(*groups, p, (F.col(p) * F.col("_cum_all") / F.col("_cum")).alias("_raw"))
-    low = running(raw, groups, p, {"_low": ("min", "_raw")}, ascending=False)
+    low = running(raw, groups, p, {"_low": ("min", "_raw")}, ascending=False, unique=True)
     adjusted = low.select(*groups, p, F.least(F.col("_low"), F.lit(1.0)).alias(name))
     return df.join(adjusted, [*groups, p], "left")
 
@@ -243,7 +247,7 @@ def quantiles(
         .groupBy(*groups, F.col(value).cast("double").alias(value))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    cum = running(base, groups, value, {"_cum": ("sum", "_n"), "_n": ("own", "_n")})
+    cum = running(base, groups, value, {"_cum": ("sum", "_n"), "_n": ("own", "_n")}, unique=True)
     first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
 
     def at(position: Column) -> Column:

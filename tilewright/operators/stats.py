@@ -100,7 +100,7 @@ def _thresholds(df: DataFrame, keys: Sequence[str], score: str, flag: str) -> Da
         F.sum(_flag(flag)).alias("n1"), F.sum(1 - _flag(flag)).alias("n0")
     )
     own = {"n1": ("own", "n1"), "n0": ("own", "n0")}
-    return running(cells, keys, score, {"tp": ("sum", "n1"), "fp": ("sum", "n0"), **own}, ascending=False)
+    return running(cells, keys, score, {"tp": ("sum", "n1"), "fp": ("sum", "n0"), **own}, ascending=False, unique=True)
 
 
 def roc_curve(df: DataFrame, keys: Sequence[str], score: str, flag: str) -> DataFrame:
@@ -129,7 +129,7 @@ def auc_interval(df: DataFrame, keys: Sequence[str], score: str, flag: str, auto
         F.sum(_flag(flag)).alias("n1"), F.sum(1 - _flag(flag)).alias("n0")
     )
     own = {"n1": ("own", "n1"), "n0": ("own", "n0")}
-    run = running(cells, keys, score, {"c1": ("sum", "n1"), "c0": ("sum", "n0"), **own})
+    run = running(cells, keys, score, {"c1": ("sum", "n1"), "c0": ("sum", "n0"), **own}, unique=True)
     j = run.where("c1_all > 0 and c0_all > 0")
     case = (F.col("c0") - F.col("n0") / 2) / F.col("c0_all")
     control = (F.col("c1_all") - F.col("c1") + F.col("n1") / 2) / F.col("c1_all")

@@ -31,14 +31,14 @@ def kaplan_meier(df: DataFrame, groups: Sequence[str], time: str = "t", event: s
     """Product-limit curve per group: (groups, t, at_risk, events, survival) at every distinct time."""
     groups = list(groups)
     cells = df.groupBy(*groups, time).agg(F.count(F.lit(1)).alias("n"), F.sum(event).alias("events"))
-    left = running(cells, groups, time, {"at_risk": ("sum", "n"), "events": ("own", "events")}, ascending=False)
+    left = running(cells, groups, time, {"at_risk": ("sum", "n"), "events": ("own", "events")}, ascending=False, unique=True)
     step = (
         left.where(F.col("at_risk_all") >= min_group)
         .withColumn("gone", (F.col("events") == F.col("at_risk")).cast("int"))
         .withColumn("log_s", F.when(F.col("gone") == 0, F.log1p(-F.col("events") / F.col("at_risk"))).otherwise(F.lit(0.0)))
     )
     own = {"at_risk": ("own", "at_risk"), "events": ("own", "events")}
-    run = running(step, groups, time, {"acc": ("sum", "log_s"), "dead": ("max", "gone"), **own})
+    run = running(step, groups, time, {"acc": ("sum", "log_s"), "dead": ("max", "gone"), **own}, unique=True)
     return run.select(
         *groups,
         time,
@@ -58,7 +58,7 @@ def log_rank(df: DataFrame, flag: str, groups: Sequence[str] = (), time: str = "
         F.sum(F.col(event) * F.col(flag)).alias("d1"),
     )
     own = {"d": ("own", "d"), "d1": ("own", "d1")}
-    risk = running(cells, groups, time, {"r": ("sum", "n"), "r1": ("sum", "n1"), **own}, ascending=False)
+    risk = running(cells, groups, time, {"r": ("sum", "n"), "r1": ("sum", "n1"), **own}, ascending=False, unique=True)
     share = F.col("r1") / F.col("r")
     stat = (
         risk.where(F.col("d") > 0)
@@ -79,9 +79,9 @@ def log_rank(df: DataFrame, flag: str, groups: Sequence[str] = (), time: str = "
 def concordance(df: DataFrame, groups: Sequence[str] = (), time: str = "t", event: str = "e", risk: str = "risk") -> DataFrame:
     """Concordance index per group: over pairs with t_i < t_j and an event at i, the share with risk_i > risk_j, ties half.
 
-    Counting is by digits, not by pairs. With risks as dense ranks, risk_j < risk_i exactly when the two ranks agree
-    above some bit, i has a one there and j a zero. So every row is listed once per bit under its higher digits, and
-    the zeros later in time are read off a running count: n log n rows in place of n squared pairs.
+    Counting is by digits, not by pairs. With risks as dense ranks in base 4, risk_j < risk_i exactly when the two ranks
+    agree above some digit and j has the smaller digit there. So every row is listed once per digit under its higher
+    digits, and the later rows with a smaller digit are read off running counts: n log n rows, not n squared pairs.
     """
     groups = list(groups)
     base = df.where(
@@ -89,41 +89,38 @@ def concordance(df: DataFrame, groups: Sequence[str] = (), time: str = "t", even
     )
     cells = base.groupBy(*groups, time, risk).agg(F.count(F.lit(1)).alias("n"), F.sum(event).alias("d"))
     dense = running(
-        cells.select(*groups, risk).distinct().withColumn("_1", F.lit(1)), groups, risk, {"rk": ("sum", "_1")}
+        cells.select(*groups, risk).distinct().withColumn("_1", F.lit(1)), groups, risk, {"rk": ("sum", "_1")}, unique=True
     )
     ranked = cut_lineage(cells.join(dense.select(*groups, risk, "rk"), [*groups, risk]).drop(risk))
     top = ranked.agg(F.max("rk")).first()[0]  # one number: how many digits the ranks have
-    bits = max(1, int(top or 1).bit_length())
+    places = max(1, (int(top or 1).bit_length() + 1) // 2)
+    below = [F.sum(F.when(F.col("digit") < k, F.col("n")).otherwise(0)).alias(f"b{k}") for k in (1, 2, 3)]
+    events = [F.sum(F.when(F.col("digit") == k, F.col("d")).otherwise(0)).alias(f"e{k}") for k in (1, 2, 3)]
     digits = (
-        ranked.withColumn("bit", F.explode(F.sequence(F.lit(0), F.lit(bits - 1))))
-        .withColumn("prefix", F.expr("shiftright(rk, bit + 1)"))
-        .withColumn("one", F.expr("shiftright(rk, bit) & 1"))
-        .groupBy(*groups, "bit", "prefix", time)
-        .agg(
-            F.sum(F.when(F.col("one") == 0, F.col("n")).otherwise(0)).alias("zeros"),
-            F.sum(F.when(F.col("one") == 1, F.col("d")).otherwise(0)).alias("ones"),
-        )
-    )
-    keys = [*groups, "bit", "prefix"]
-    own = {"zeros": ("own", "zeros"), "ones": ("own", "ones")}
-    later = running(digits, keys, time, {"z": ("sum", "zeros"), **own}, ascending=False)
-    good = (
-        later.where("ones > 0")
-        .groupBy(*groups)
-        .agg(F.sum(F.col("ones") * (F.col("z") - F.col("zeros"))).alias("concordant"))
+        ranked.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
+        .withColumn("prefix", F.expr("shiftright(rk, 2 * place + 2)"))
+        .withColumn("digit", F.expr("shiftright(rk, 2 * place) & 3"))
+        .groupBy(*groups, "place", "prefix", time)
+        .agg(*below, *events)
     )
+    keys = [*groups, "place", "prefix"]
+    runs = {f"r{k}": ("sum", f"b{k}") for k in (1, 2, 3)}
+    own = {c: ("own", c) for c in ("b1", "b2", "b3", "e1", "e2", "e3")}
+    later = running(digits, keys, time, {**runs, **own}, ascending=False, unique=True)
+    won = [F.col(f"e{k}") * (F.col(f"r{k}") - F.col(f"b{k}")) for k in (1, 2, 3)]
+    good = later.where("e1 + e2 + e3 > 0").groupBy(*groups).agg(F.sum(won[0] + won[1] + won[2]).alias("concordant"))
     own = {"n": ("own", "n"), "d": ("own", "d")}
     # ties need two rows with the same risk, so risks seen once drop out first
     again = ranked.groupBy(*groups, "rk").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
     same = ranked.join(again, [*groups, "rk"], "left_semi")
     tied = (
-        running(same, [*groups, "rk"], time, {"m": ("sum", "n"), **own}, ascending=False)
+        running(same, [*groups, "rk"], time, {"m": ("sum", "n"), **own}, ascending=False, unique=True)
         .groupBy(*groups)
         .agg(F.sum(F.col("d") * (F.col("m") - F.col("n"))).alias("tied"))
     )
     per_time = ranked.groupBy(*groups, time).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
     pairs = (
-        running(per_time, groups, time, {"m": ("sum", "n"), **own}, ascending=False)
+        running(per_time, groups, time, {"m": ("sum", "n"), **own}, ascending=False, unique=True)
         .groupBy(*groups)
         .agg(F.sum(F.col("d") * (F.col("m") - F.col("n"))).alias("comparable"))
     )
@@ -186,7 +183,7 @@ def threshold_search(
     )
     sizes = cells.groupBy("cut").agg(F.sum("n").alias("total"), F.sum("n1").alias("high"))
     own = {c: ("own", c) for c in ("n", "n1", "d", "d1")}
-    at = running(cells, ["cut"], "t", {"r": ("sum", "n"), "r1": ("sum", "n1"), **own}, ascending=False)
+    at = running(cells, ["cut"], "t", {"r": ("sum", "n"), "r1": ("sum", "n1"), **own}, ascending=False, unique=True)
     after, after_hi = F.col("r") - F.col("n"), F.col("r1") - F.col("n1")
     if criterion == "cindex":
         # an event in the high group beats later low ones; equal groups count half
@@ -237,7 +234,7 @@ def cox(df: DataFrame, x: str, time: str = "t", event: str = "e", rounds: int =
             F.sum(F.col("d") * F.col("x")).alias("dx"),
         )
         own = {c: ("own", c) for c in ("e0", "e1", "e2", "d", "dx")}
-        risk = running(at, [], "t", {**{f"r{k}": ("sum", f"s{k}") for k in range(3)}, **own}, ascending=False)
+        risk = running(at, [], "t", {**{f"r{k}": ("sum", f"s{k}") for k in range(3)}, **own}, ascending=False, unique=True)
         # Efron: the l-th of d tied events sees the risk set less l/d of the tied events' weight
         share = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: i / F.col("d"))
         parts = F.transform(
