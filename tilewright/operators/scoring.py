@@ -12,6 +12,7 @@ from tilewright.functions.scores import LIGAND_RECEPTOR
 from tilewright.operators.ordered import group_minmax, quantiles, top_n
 from tilewright.operators.prototypes import gathered
 from tilewright.operators.sampling import draw_number, k_folds
+from tilewright.session import cut_lineage
 
 # ---------------------------------------------------------------- discovery and banks
 
@@ -235,6 +236,7 @@ def call_prototypes(
     s = s.join(prior, ["prototype", "macro"], "left")
     factor = F.pow(F.greatest(F.coalesce("frac", F.lit(1.0)), F.lit(1e-6)), F.lit(float(beta)))
     s = s.withColumn("raw", (F.col("identity") + w_spatial * F.col("spatial") + w_func * F.col("functional")) * factor)
+    s = cut_lineage(s)  # read for the spread of each prototype and again for the scores
     st = s.groupBy("prototype").agg(F.avg("raw").alias("mu"), F.stddev_samp("raw").alias("sd"))
     st = st.withColumn("sd", F.when(F.col("sd") >= 1e-6, F.col("sd")).otherwise(1.0))
     positive = sum(((F.col(t) > 0).cast("int") for t in ("spatial", "functional")), (F.col("identity") > 0).cast("int"))
@@ -365,7 +367,6 @@ def weight_search(
     """
     from tilewright.operators.expression import robust_z_fit
     from tilewright.operators.stats import roc_auc
-    from tilewright.session import cut_lineage
 
     folded = cut_lineage(k_folds(df.select(unit, label, *features), k, [unit], seed))
     names = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)])
@@ -422,7 +423,6 @@ def combination_report(df: DataFrame, unit: str, label: str, features: Sequence[
     """(combo, auc and interval): every single feature and every named weighting of the robustly scaled features."""
     from tilewright.operators.expression import robust_z
     from tilewright.operators.stats import auc_interval
-    from tilewright.session import cut_lineage
 
     names = F.array(*[F.struct(F.lit(c).alias("combo"), F.col(c).cast("double").alias("x")) for c in features])
     z = cut_lineage(robust_z(df.select(unit, label, F.explode(names).alias("n")).select(unit, label, "n.*"), ["combo"], "x", "s"))

@@ -55,7 +55,7 @@ def signature(spark, sf):
 
 
 def bank(spark, sf):
-    return Sc.marker_bank(Sc.discover(signature(spark, sf), p_max=0.2))
+    return staged(spark, ("bank", sf), lambda: Sc.marker_bank(Sc.discover(signature(spark, sf), p_max=0.2)))
 
 
 @query("P18 F52 D18 S23", f"""with {MEASURES}, {_SIG}, {_FOUND} select prototype, other, contrast, gene, round(log2fc, 6) as log2fc, round(p, 5) as p, direction from found""")
