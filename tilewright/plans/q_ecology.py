@@ -231,7 +231,7 @@ def anchor_tile_mix(spark, sf):
       from weighted w join qc a on a.node_idx = w.src join t on t.sample_name = w.sample_name and t.tile_id = w.dst),
     p as (select src, sum(sign(d * weight) * pow(abs(d * weight) + 1e-8, 0.5)) / (count(*) + 1e-8) as score from s group by src),
     f as (select node_idx, coalesce(p.score, 0) as score from cells left join p on src = node_idx)
-    select sample_name, node_idx, round((score - (select min(score) from f)) / (select max(score) - min(score) from f), 6) as score from f join cells using (node_idx)""".replace("score from f join cells using (node_idx)", "score from (select node_idx, f.score, sample_name from f join cells using (node_idx)) f"))
+    select sample_name, node_idx, round((score - (select min(score) from f)) / (select max(score) - min(score) from f), 6) as score from (select node_idx, f.score, sample_name from f join cells using (node_idx)) f""")
 def cross_modal_compatibility(spark, sf):
     from tilewright.functions.arrays import total
 

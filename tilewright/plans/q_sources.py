@@ -30,8 +30,9 @@ def cohort_label_file(spark, sf):
     return R.cohort_labels(spark, path, positives=["1-urgent", "2-HIGH"])
 
 
-@query("S3 D11", """select substr('PATIENT_' || lpad(o_custkey::varchar, 6, '0'), 1, 12) as patient_id, arg_min(o_orderkey / 365.0::double, o_orderkey) filter (o_orderstatus <> 'P') as t_years,
-    arg_min((o_orderstatus = 'F')::int::double, o_orderkey) filter (o_orderstatus <> 'P') as e from orders group by 1""".replace("arg_min(o_orderkey / 365.0::double, o_orderkey)", "round(arg_min(o_orderkey / 365.0::double, o_orderkey)").replace(" filter (o_orderstatus <> 'P') as t_years", " filter (o_orderstatus <> 'P'), 6) as t_years"))
+@query("S3 D11", """select substr('PATIENT_' || lpad(o_custkey::varchar, 6, '0'), 1, 12) as patient_id,
+      round(arg_min(o_orderkey / 365.0::double, o_orderkey) filter (o_orderstatus <> 'P'), 6) as t_years,
+      arg_min((o_orderstatus = 'F')::int::double, o_orderkey) filter (o_orderstatus <> 'P') as e from orders group by 1""")
 def survival_label_file(spark, sf):
     path = new_path(spark, "survival")
     o = load(spark, sf, "orders").orderBy("o_orderkey")
@@ -291,7 +292,7 @@ def tagged_result_files(spark, sf):
     return raw.select(tag.alias("pair"), "gene", F.col("k").cast("long").alias("k"))
 
 
-@query("S23 F9", "select upper(p_name) as gene, 'P' || (p_size % 5) || '_log2fc' as column, p_partkey as k, round(p_retailprice / 100, 4) as value from part".replace("'P' || (p_size % 5) || '_log2fc' as column", "'lfc' as \"column\"").replace("p_partkey as k, ", ""))
+@query("S23 F9", "select upper(p_name) as gene, 'lfc' as \"column\", round(p_retailprice / 100, 4) as value from part")
 def signature_file(spark, sf):
     path = new_path(spark, "sig")
     p = load(spark, sf, "part")

@@ -43,9 +43,8 @@ def minmax_in_group(spark, sf):
     return both.drop("weight").withColumns(r6("scaled", "inverse"))
 
 
-@query("W11", "select o_custkey, max_by(o_orderkey, (o_orderdate, o_orderkey)) as last_order, min_by(o_orderkey, (o_orderdate, o_orderkey)) as first_order from orders group by o_custkey".replace(
-    "max_by(o_orderkey, (o_orderdate, o_orderkey))", "arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey))").replace(
-    "min_by(o_orderkey, (o_orderdate, o_orderkey))", "arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey))"))
+@query("W11", """select o_custkey, arg_max(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as last_order,
+      arg_min(o_orderkey, struct_pack(d := o_orderdate, k := o_orderkey)) as first_order from orders group by o_custkey""")
 def first_and_last_rows(spark, sf):
     o = load(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderkey")
     last = O.first_per_key(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], last=True)
