@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, packing, rules, simhash, token_counts
+from tilewright.llm import byte_bpe, importance, packing, rules, simhash, token_counts
 from tilewright.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,3 +56,9 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(rules.RULES_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.quality_rules(load(spark, sf_dir, "documents"))
+
+
+@query()
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), carry=["doc_id"])
+    return found.select("row.doc_id", "log_weight", "gumbel_key", "kept")
