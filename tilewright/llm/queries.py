@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, importance, packing, rules, simhash, token_counts
+from tilewright.llm import byte_bpe, importance, packing, rules, simhash, token_counts, topk
 from tilewright.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -62,3 +62,19 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = importance.resample(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"), carry=["doc_id"])
     return found.select("row.doc_id", "log_weight", "gumbel_key", "kept")
+
+
+@query("""
+with v as (
+  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where embedding is not null and vec_id is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x::double))) = 0),
+scored as (
+  select q.vec_id as query_id, c.vec_id,
+    list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::bigint as score
+  from v q join v c on q.vec_id % 50 = 0 and q.vec_id <> c.vec_id and len(q.v) = len(c.v))
+select query_id, rank, vec_id, score from (
+  select *, (row_number() over (partition by query_id order by score desc, vec_id))::int as rank from scored)
+where rank <= 5""")
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(load(spark, sf_dir, "embeddings"))
