@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, importance, packing, rules, simhash, token_counts, topk
+from tilewright.llm import byte_bpe, importance, packing, rules, simhash, token_counts, topk, warc
 from tilewright.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,11 @@ select query_id, rank, vec_id, score from (
 where rank <= 5""")
 def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(load(spark, sf_dir, "embeddings"))
+
+
+@query(warc.ARCHIVE_SQL)
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.shared_uri(spark, "archives")
+    manifest = warc.archive(load(spark, sf_dir, "pages"), folder)
+    back = warc.read_archives(manifest, folder)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
