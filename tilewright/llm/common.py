@@ -25,11 +25,11 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
-def fresh(df: DataFrame, stem: str) -> DataFrame:
+def fresh(df: DataFrame, stem: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once under the shared folder and read it back: later branches see the same rows, and a lost executor
     costs a re-read instead of the whole lineage."""
     path = new_path(df.sparkSession, stem)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -56,18 +56,23 @@ def texts(column: pa.Array) -> list[str]:
 
 
 class Memo(dict):
-    """Results by key. It starts anew beyond ``most`` entries, so memory is bounded whatever the corpus holds."""
+    """Results by key, in two generations of at most ``most`` entries, so memory is bounded whatever the corpus holds.
+    Entries still in use move on when a generation is full."""
 
-    def __init__(self, most: int = 600_000):
+    def __init__(self, most: int = 350_000):
         super().__init__()
-        self.most = most
+        self.most, self.older = most, {}
 
     def fill(self, wanted: set, solve: Callable[[list], list]) -> None:
         """Solve those of ``wanted`` that aren't known; all of them can be looked up afterwards."""
         missing = [x for x in wanted if x not in self]
         if len(self) + len(missing) > self.most:
+            self.older = dict(self)
             self.clear()
             missing = list(wanted)
+        older = self.older
+        self.update((x, older[x]) for x in missing if x in older)
+        missing = [x for x in missing if x not in older]
         self.update(zip(missing, solve(missing), strict=True))
 
 

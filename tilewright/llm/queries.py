@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, importance, packing, rules, simhash, token_counts, topk, warc
+from tilewright.llm import byte_bpe, hmm, importance, packing, rules, simhash, token_counts, topk, warc
 from tilewright.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.archive(load(spark, sf_dir, "pages"), folder)
     back = warc.read_archives(manifest, folder)
     return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query()
+def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.language_model(load(spark, sf_dir, "documents"))
