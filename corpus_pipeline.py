@@ -3,20 +3,50 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tilewright.llm import packing
+from tilewright.llm import importance, lines, packing, rules, simhash
 from tilewright.llm.common import fresh
 from tilewright.session import load
 
 
+def target_like(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality classifier: the documents that importance resampling draws."""
+    found = importance.resample(docs, load(spark, sf_dir, "labels"))
+    return found.where("kept").select("row.*")
+
+
+def well_formed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Quality rules: documents that pass by themselves and aren't made of their host's frequent lines."""
+    return rules.keep_good(docs)
+
+
+def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Line deduplication: every document stays, without the lines that came before."""
+    found = lines.dedup_lines(docs)
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
+def first_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """SimHash near-duplicates: the document with the smallest id of each group."""
+    return simhash.keep_first(docs)
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packing: every document in sequences of 4096 tokens."""
     return packing.harmonic_packing(docs)
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality classifier", target_like),
+    ("quality rules", well_formed),
+    ("line dedup", without_repeated_lines),
+    ("near-dedup", first_of_each_group),
+    ("packing", packed),
+]
 
-#: Tokenizers and trained models can't be expressed in SQL.
+#: Hashed models, noise and tokenizers can't be expressed in SQL; the tests hold brute-force versions against each stage.
 ORACLE_SQL = None
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, hmm, importance, packing, rules, simhash, token_counts, topk, warc
+from tilewright.llm import byte_bpe, hmm, importance, lines, packing, rules, simhash, token_counts, topk, warc
 from tilewright.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,9 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def op4_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.language_model(load(spark, sf_dir, "documents"))
+
+
+@query(lines.LINES_SQL)
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(load(spark, sf_dir, "documents"))
+    return found.select("row.doc_id", "n_lines", "n_exact", "n_near", F.md5("text").alias("text_md5"))
