@@ -73,7 +73,7 @@ def _variant_keys(line: str) -> np.ndarray:
         c = np.frombuffer(line.encode("utf-32-le"), "<u4").astype("u8") + np.uint64(1)
         c = (c ^ (c << np.uint64(25))) * np.uint64(0xD6E8FEB86659FD93)
         c ^= c >> np.uint64(32)
-        power = np.cumprod(np.concatenate([[1], np.full(len(c), BASE, "u8")]).astype("u8"))
+        power = np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(len(c), BASE, "u8")]))
         prefix = np.concatenate([np.zeros(1, "u8"), np.cumsum(c * power[:-1])])
         suffix = prefix[-1] - prefix[1:]  # without the characters up to the place; one power too high
         inverse = np.uint64(pow(BASE, -1, 1 << 64))
