@@ -135,12 +135,15 @@ def existing_pairs(df: DataFrame, mix: str, protos: Sequence[int], threshold: fl
     return x.groupBy("i", "j").agg(F.bool_or("both").alias("ok")).where("ok").drop("ok")
 
 
-def radial_profile(cells: DataFrame, anchor: int, radii: Sequence[float], label: str, most: int = 256, groups: Sequence[str] = ()) -> DataFrame:
-    """(radius, class, share): classes among the ``most`` nearest neighbours of the anchor cells within each radius."""
-    near = knn_between(cells.where(F.col("prototype_id") == anchor), cells, most, groups).where("rank > 1")
-    kinds = cells.select(*groups, F.col("node_idx").alias("dst"), F.col(label).alias(label))
+def radial_profile(cells: DataFrame, anchor: int, radii: Sequence[float], label: str, groups: Sequence[str] = ()) -> DataFrame:
+    """(radius, class, share): classes of all cells within each radius of the anchor cells, an anchor itself left out."""
+    from tilewright.operators.neighbors import within_radius
+
+    anchors = cells.where(F.col("prototype_id") == anchor)
+    near = within_radius(cells, anchors, max(radii), groups).where("src <> dst")
+    kinds = cells.select(*groups, F.col("node_idx").alias("src"), F.col(label).alias(label))
     rows = F.array(*[F.lit(float(r)) for r in radii])
-    e = near.join(kinds, [*groups, "dst"]).withColumn("radius", F.explode(F.filter(rows, lambda r: F.col("dist") <= r)))
+    e = near.join(kinds, [*groups, "src"]).withColumn("radius", F.explode(F.filter(rows, lambda r: F.col("dist") <= r)))
     c = e.groupBy("radius", label).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("radius")))
 

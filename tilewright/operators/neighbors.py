@@ -23,9 +23,15 @@ from tilewright.session import cut_lineage
 MAX_LEVEL = 24
 
 
+def placed(points: DataFrame, x: str, y: str) -> DataFrame:
+    """Points with both coordinates: neither null nor NaN nor infinite."""
+    inside = [F.abs(F.col(c).cast("double")) < float("inf") for c in (x, y)]
+    return points.where(inside[0] & inside[1] & ~F.isnan(F.col(x).cast("double")) & ~F.isnan(F.col(y).cast("double")))
+
+
 def _positions(points: DataFrame, groups: list[str], x: str, y: str, node: str, keep: int) -> DataFrame:
     """Distinct positions with their ``keep`` smallest ids (bounded), as (groups, px, py, ids)."""
-    p = points.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
+    p = placed(points, x, y).select(
         *groups, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"), F.col(node).alias("_id")
     )
     w = Window.partitionBy(*groups, "px", "py").orderBy("_id")
@@ -49,13 +55,13 @@ def nearest(
     groups = list(groups)
     spots = _positions(refs, groups, x, y, node, k)
     asks = (
-        queries.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        placed(queries, x, y)
         .select(*groups, F.col(x).cast("double").alias("px"), F.col(y).cast("double").alias("py"))
         .distinct()
     )
     # the driver learns four numbers: the bounding square of all points
     ends = [F.min(x), F.max(x), F.min(y), F.max(y)]
-    box = queries.agg(*[e.cast("double") for e in ends]).first(), refs.agg(*[e.cast("double") for e in ends]).first()
+    box = [placed(p, x, y).agg(*[e.cast("double") for e in ends]).first() for p in (queries, refs)]
     known = [b for b in box if b[0] is not None and b[2] is not None]
     x0, y0 = (min((b[i] for b in known), default=0.0) for i in (0, 2))
     x1, y1 = (max((b[i] for b in known), default=0.0) for i in (1, 3))
@@ -222,14 +228,14 @@ def within_radius(
     groups = list(groups)
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    a = left.select(
+    a = placed(left, x, y).select(
         *groups,
         F.col(left_id).alias("src"),
         F.col(x).cast("double").alias("ax"),
         F.col(y).cast("double").alias("ay"),
     ).withColumns({"cx": cell("ax"), "cy": cell("ay")})
     b = (
-        right.select(
+        placed(right, x, y).select(
             *groups,
             F.col(right_id).alias("dst"),
             F.col(x).cast("double").alias("bx"),

@@ -412,7 +412,7 @@ def elastic_weights(
     )
     grid = ParamGridBuilder().addGrid(lr.elasticNetParam, list(alphas)).build()
     judge = BinaryClassificationEvaluator(labelCol="_y", metricName="areaUnderROC")
-    best = CrossValidator(estimator=flow, estimatorParamMaps=grid, evaluator=judge, numFolds=k, seed=seed).fit(rows).bestModel
+    best = CrossValidator(estimator=flow, estimatorParamMaps=grid, evaluator=judge, numFolds=k, seed=seed, parallelism=4).fit(rows).bestModel
     beta = [max(0.0, float(b)) for b in best.stages[-1].coefficients]
     total = sum(beta)
     w = [b / total if total > 0 else 1.0 / len(beta) for b in beta]

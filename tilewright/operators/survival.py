@@ -211,6 +211,9 @@ def best_threshold(scored: DataFrame, digits: int = 12) -> DataFrame:
     return scored.agg(F.max_by(F.struct("cut", "score", "high", "low"), key).alias("b")).select("b.*")
 
 
+TIES = 1024
+
+
 def cox(df: DataFrame, x: str, time: str = "t", event: str = "e", rounds: int = 25, tol: float = 1e-9) -> DataFrame:
     """One-covariate Cox model with Efron ties: coefficient, standard error, hazard ratio, 95 % interval, p.
 
@@ -236,18 +239,16 @@ def cox(df: DataFrame, x: str, time: str = "t", event: str = "e", rounds: int =
         own = {c: ("own", c) for c in ("e0", "e1", "e2", "d", "dx")}
         risk = running(at, [], "t", {**{f"r{k}": ("sum", f"s{k}") for k in range(3)}, **own}, ascending=False, unique=True)
         # Efron: the l-th of d tied events sees the risk set less l/d of the tied events' weight
-        share = F.transform(F.sequence(F.lit(0), F.col("d") - 1), lambda i: i / F.col("d"))
-        parts = F.transform(
-            share,
-            lambda f: F.struct(*[(F.col(f"r{k}") - f * F.col(f"e{k}")).alias(f"q{k}") for k in range(3)]),
-        )
-        mean = F.aggregate(parts, F.lit(0.0), lambda s, q: s + q["q1"] / q["q0"])
-        curve = F.aggregate(parts, F.lit(0.0), lambda s, q: s + q["q2"] / q["q0"] - F.pow(q["q1"] / q["q0"], 2))
-        row = (
-            risk.where(F.col("d") > 0)
-            .agg(F.sum(F.col("dx") - mean).alias("score"), F.sum(curve).alias("info"))
-            .first()
-        )
+        # (a row per tied event, unfolded in bounded steps however many tie)
+        block = F.explode(F.sequence(F.lit(0), F.floor((F.col("d") - 1) / TIES).cast("int"))).alias("_b")
+        tied = risk.where(F.col("d") > 0).select("*", block)
+        last = F.least(F.col("d") - 1, F.col("_b") * TIES + (TIES - 1)).cast("int")
+        tied = tied.select("*", F.explode(F.sequence(F.col("_b") * TIES, last)).alias("_l"))
+        q0, q1, q2 = (F.col(f"r{k}") - F.col("_l") / F.col("d") * F.col(f"e{k}") for k in range(3))
+        row = tied.agg(
+            F.sum(F.when(F.col("_l") == 0, F.col("dx")).otherwise(0.0) - q1 / q0).alias("score"),
+            F.sum(q2 / q0 - F.pow(q1 / q0, 2)).alias("info"),
+        ).first()
         if row.info is None or row.info <= 0:
             break
         info = row.info

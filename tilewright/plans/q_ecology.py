@@ -147,12 +147,12 @@ def sample_metric_table(spark, sf):
     return t.withColumns(r6("ID_2_0", "edges_cross_rate", "P2_occ_r60", *[f"core_frac_P{k}" for k in PROTOS], *[f"global_P{k}" for k in PROTOS]))
 
 
-@query("G16", f"""with {CELLS}, nr as (select src, dst, dist from (select a.node_idx as src, b.node_idx as dst, sqrt((a.pos_x-b.pos_x)*(a.pos_x-b.pos_x)+(a.pos_y-b.pos_y)*(a.pos_y-b.pos_y)) as dist,
-      row_number() over (partition by a.node_idx order by (a.pos_x-b.pos_x)*(a.pos_x-b.pos_x)+(a.pos_y-b.pos_y)*(a.pos_y-b.pos_y), b.node_idx) as rk from cells a, cells b where a.prototype_id = 1) where rk between 2 and 64),
-    e as (select radius, prototype_id from nr join cells on node_idx = dst, (select unnest([20.0, 40.0, 80.0])::double as radius) where dist <= radius)
-    select radius, prototype_id, count(*) as n, round(count(*) / sum(count(*)) over (partition by radius), 6) as share from e group by radius, prototype_id""")
+@query("G16", f"""with {CELLS}, nr as (select b.cell_type, sqrt((a.pos_x-b.pos_x)*(a.pos_x-b.pos_x)+(a.pos_y-b.pos_y)*(a.pos_y-b.pos_y)) as dist
+      from cells a join cells b on a.prototype_id = 1 and a.node_idx <> b.node_idx and abs(a.pos_x - b.pos_x) <= 100 and abs(a.pos_y - b.pos_y) <= 100),
+    e as (select radius, cell_type from nr, (select unnest([20.0, 40.0, 60.0, 100.0])::double as radius) where dist <= radius)
+    select radius, cell_type, count(*) as n, round(count(*) / sum(count(*)) over (partition by radius), 6) as share from e group by radius, cell_type""")
 def radial_profile(spark, sf):
-    return E.radial_profile(cells(spark, sf), 1, [20, 40, 80], "prototype_id", 64).withColumns(r6("share"))
+    return E.radial_profile(cells(spark, sf), 1, [20, 40, 60, 100], "cell_type").withColumns(r6("share"))
 
 
 @query("G17 D15", f"""with {CELLS}, {knn_sql(8, False, 'knn_all')}, {_TRANS.format(n='knn_all')} select src, dst, round(value, 6) as value from tr""")

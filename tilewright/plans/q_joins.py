@@ -221,9 +221,9 @@ def k_fold_assignment(spark, sf):
 _POIS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
 
 
-@query("X8", f"""with u as (select c_custkey, r as round, ('0x' || substr(md5('42b:' || c_custkey || ':' || r), 1, 13))::bigint / {float(16**13)}::double as u from customer, (select unnest(range(1, 6)) as r)),
+@query("X8", f"""with u as (select c_custkey, r as round, ('0x' || substr(md5('42b:' || c_custkey || ':' || r), 1, 13))::bigint / {float(16**13)}::double as u from customer, (select unnest(range(1, 51)) as r)),
     w as (select *, {' + '.join(f'(u >= {v!r})::int' for v in _POIS)} as weight from u) select round, count(*) as drawn, sum(weight)::bigint as total from w where weight > 0 group by round""")
 def bootstrap_weights(spark, sf):
-    b = X.bootstrap(load(spark, sf, "customer").select("c_custkey"), 5, ["c_custkey"])
+    b = X.bootstrap(load(spark, sf, "customer").select("c_custkey"), 50, ["c_custkey"])
     g = b.groupBy(F.col("round").cast("long").alias("round"))
     return g.agg(F.count(F.lit(1)).alias("drawn"), F.sum("weight").alias("total"))

@@ -231,12 +231,12 @@ _ARI = """n2 as (select *, n * (n - 1) / 2 as c from cont), i as (select rnd, su
 
 
 @query("A37 X8", f"""{_BASE}, h as (select node_idx, k as a from soft where rk = 1), u as (select node_idx, a, c.prototype_id as b, r as rnd,
-      ('0x' || substr(md5('42b:' || node_idx || ':' || r), 1, 13))::bigint / {float(16**13)}::double as u from h join cells c using (node_idx), (select unnest(range(1, 11)) as r)),
+      ('0x' || substr(md5('42b:' || node_idx || ':' || r), 1, 13))::bigint / {float(16**13)}::double as u from h join cells c using (node_idx), (select unnest(range(1, 51)) as r)),
     w as (select *, (u >= 0.44932896411722156)::int + (u >= 0.8087921354109988)::int + (u >= 0.9525774039285098)::int + (u >= 0.990920142199846)::int + (u >= 0.9985886898541133)::int + (u >= 0.9998156574787961)::int + (u >= 0.9999792531620871)::int as w from u),
     cont as (select rnd, a, b, sum(w)::double as n from w where w > 0 group by all), {_ARI}""")
 def bootstrap_stability(spark, sf):
     a = assigned(spark, sf).select("node_idx", "prototype", "prototype_id")
-    b = X.bootstrap(a, 10, ["node_idx"], 0.8)
+    b = X.bootstrap(a, 50, ["node_idx"], 0.8)
     return P.adjusted_rand(b, ["round"], "prototype", "prototype_id", "weight").withColumns(r6("ari")).withColumn("round", F.col("round").cast("long"))
 
 

@@ -76,10 +76,10 @@ def marker_bank(spark, sf):
 @query("L12 W4", f"""with {MEASURES}, {_SIG}, h as (select contrast, prototype, coalesce(other, -1) as other, gene, log2fc from sig)
     select contrast, prototype, other, gene, side, rank::int as rank, round(log2fc, 6) as log2fc from (
       select *, 'high' as side, row_number() over (partition by contrast, prototype, other order by log2fc desc, gene) as rank from h where log2fc > 0 union all
-      select *, 'low', row_number() over (partition by contrast, prototype, other order by log2fc, gene) from h where log2fc < 0) where rank <= 5""")
+      select *, 'low', row_number() over (partition by contrast, prototype, other order by log2fc, gene) from h where log2fc < 0) where rank <= 25""")
 def high_low_signatures(spark, sf):
     s = signature(spark, sf).withColumn("other", F.coalesce("other", F.lit(-1))).drop("p")
-    return Sc.high_low_lists(s, ["contrast", "prototype", "other"], 5).withColumns(r6("log2fc"))
+    return Sc.high_low_lists(s, ["contrast", "prototype", "other"], 25).withColumns(r6("log2fc"))
 
 
 _PRIOR_SQL = "prior as (select p as prototype, m as macro, (1 + (p + length(m)) % 4) / 10.0::double as frac from (select unnest([0, 2, 4])::int as p), (select distinct c_mktsegment as m from customer))"
@@ -96,7 +96,7 @@ _CORR = """seedsig as (select cl.unit, cl.cell_type, b.prototype, b.tag, sum(coa
       left join cnt on cnt.unit = cl.unit and cnt.gene = b.gene group by all),
     corr_ as (select s.cell_type, s.prototype, s.tag, g.gene, corr(coalesce(cnt.value, 0), signal) as r from seedsig s, (select distinct gene from cnt) g left join cnt on cnt.unit = s.unit and cnt.gene = g.gene group by all)"""
 _REFINE = """tagm as (select cell_type, target as prototype, gene, avg_log2fc, tag, abs(avg_log2fc) as score from mrk, (select unnest(['identity_up', 'identity_down', 'core', 'edge']) as tag) where case when tag = 'identity_down' then avg_log2fc < 0 else avg_log2fc > 0 end),
-    topm as (select * from (select *, row_number() over (partition by cell_type, prototype, tag order by score desc, gene) as rank from tagm) where rank <= 10),
+    topm as (select * from (select *, row_number() over (partition by cell_type, prototype, tag order by score desc, gene) as rank from tagm) where rank <= 120),
     scw as (select *, case when max(score) over w > min(score) over w then (score - min(score) over w) / (max(score) over w - min(score) over w) else 1.0::double end as w from topm window w as (partition by cell_type, prototype, tag)),
     refined as (select prototype, tag, gene, sum(wt) as weight from (select s.prototype, s.tag, s.gene, w * coalesce(frac, 1) * (case when s.tag in ('core', 'edge') and (select count(*) from bank b where b.prototype = s.prototype and b.tag = s.tag) >= 3 then greatest(coalesce(r, 0), 0) else 1 end) as wt
       from scw s left join prior p on p.prototype = s.prototype and p.macro = s.cell_type left join corr_ c on c.cell_type = s.cell_type and c.prototype = s.prototype and c.tag = s.tag and c.gene = s.gene) where wt > 0 group by all)"""
@@ -125,7 +125,7 @@ def seed_correlation(spark, sf):
 def refined(spark, sf):
     def build():
         m = markers(spark, sf).select("cell_type", F.col("cell_type").alias("macro"), F.col("target").alias("prototype"), "gene", "avg_log2fc")
-        return Sc.refine_weights(m, bank(spark, sf), prior(spark, sf), seed_correlation(spark, sf), 10)
+        return Sc.refine_weights(m, bank(spark, sf), prior(spark, sf), seed_correlation(spark, sf), 120)
 
     return staged(spark, ("refined", sf), build)
 
@@ -139,12 +139,12 @@ _FUSE = """fb as (select distinct prototype, tag, gene from (select prototype, t
     fw as (select prototype, tag, gene, weight from refined union all select f.prototype, f.tag, f.gene, 0.6 * (select median(weight) from refined) from fb f where tag = 'identity_up' and not exists (select 1 from refined r where r.prototype = f.prototype and r.tag = f.tag and r.gene = f.gene)),
     sc as (select w.prototype, w.gene, w.weight, weight * (case when exists (select 1 from fb where fb.prototype = w.prototype and fb.gene = w.gene and tag = 'pcr_up') then 1.6 else 1 end) * (case when exists (select 1 from fb where fb.prototype = w.prototype and fb.gene = w.gene and tag = 'pcr_down') then 0.5 else 1 end)
       * (case when exists (select 1 from fb where fb.prototype <> w.prototype and fb.gene = w.gene and tag = 'pcr_up') then 0.7 else 1 end) / (select count(*) from fw x where x.gene = w.gene) as score from fw w where tag = 'identity_up'),
-    ki as (select * from (select *, row_number() over (partition by prototype order by score desc, gene) as rk from sc) where rk <= 12),
+    ki as (select * from (select *, row_number() over (partition by prototype order by score desc, gene) as rk from sc) where rk <= 200),
     outw as (select prototype, 'identity_up' as tag, gene, weight from ki union all select prototype, tag, gene, weight from fw where tag <> 'identity_up' union all select prototype, tag, gene, 1.0::double from fb where tag in ('pcr_up', 'pcr_down'))"""
 
 
 def fused(spark, sf):
-    return Sc.fuse_markers(bank(spark, sf), refined(spark, sf).select("prototype", "tag", "gene"), refined(spark, sf), top=12, least=10)
+    return Sc.fuse_markers(bank(spark, sf), refined(spark, sf).select("prototype", "tag", "gene"), refined(spark, sf), top=200, least=60)
 
 
 @query("A48", f"""with {MEASURES}, {_SPARSE}, {_MK}, {_SIG}, {_FOUND}, {_BANK}, {_PRIOR_SQL}, {_CORR}, {_REFINE}, {_FUSE} select prototype, tag, gene, round(weight, 5) as weight from outw""")
@@ -155,19 +155,19 @@ def fused_weights(spark, sf):
 @query("A48 U4 U5 U6", f"""with {MEASURES}, {_SPARSE}, {_MK}, {_SIG}, {_FOUND}, {_BANK}, {_PRIOR_SQL}, {_CORR}, {_REFINE}, {_FUSE},
     dn as (select distinct a.prototype, b.gene from (select distinct prototype from ki) a join ki b on a.prototype <> b.prototype where not exists (select 1 from ki c where c.prototype = a.prototype and c.gene = b.gene)),
     co as (select prototype, gene from fb where tag = 'core'), ca as (select k.prototype, k.gene, row_number() over (partition by k.prototype order by k.gene) as rk from ki k where not exists (select 1 from co where co.prototype = k.prototype and co.gene = k.gene)),
-    core2 as (select * from co union all select prototype, gene from ca where rk <= 10 - (select count(*) from co where co.prototype = ca.prototype)),
+    core2 as (select * from co union all select prototype, gene from ca where rk <= 60 - (select count(*) from co where co.prototype = ca.prototype)),
     eo as (select prototype, gene from fb where tag = 'edge'), ea as (select k.prototype, k.gene, row_number() over (partition by k.prototype order by k.gene) as rk from ki k where not exists (select 1 from eo where eo.prototype = k.prototype and eo.gene = k.gene) and not exists (select 1 from core2 c where c.prototype = k.prototype and c.gene = k.gene)),
-    edge2 as (select * from eo union all select prototype, gene from ea where rk <= 10 - (select count(*) from eo where eo.prototype = ea.prototype))
+    edge2 as (select * from eo union all select prototype, gene from ea where rk <= 60 - (select count(*) from eo where eo.prototype = ea.prototype))
     select prototype, 'identity_up' as tag, gene from ki union all select prototype, 'identity_down', gene from dn union all select prototype, 'core', gene from core2 union all select prototype, 'edge', gene from edge2 union all select prototype, tag, gene from fb where tag in ('pcr_up', 'pcr_down')""")
 def fused_bank(spark, sf):
     return fused(spark, sf)[0].select("prototype", "tag", "gene")
 
 
-_SETS = "sets as (select distinct 'set' || (p_size % 4) as name, upper(replace(p_brand, '#', '')) as gene from part where length(p_name) > 8)"
+_SETS = "sets as (select distinct 'set' || (p_size % 4) as name, upper(replace(p_brand, '#', '')) as gene from part)"
 
 
 def gene_sets(spark, sf):
-    p = load(spark, sf, "part").where("length(p_name) > 8")
+    p = load(spark, sf, "part")
     return p.select(F.concat(F.lit("set"), (F.col("p_size") % 4).cast("string")).alias("name"), F.upper(F.regexp_replace("p_brand", "#", "")).alias("gene")).distinct()
 
 
@@ -185,16 +185,15 @@ def rank_signature_scores(spark, sf):
     return Sc.rank_score(unit_expr(spark, sf), gene_sets(spark, sf), ["unit"], 30).withColumns(r6("score"))
 
 
-@query("A40 W18", f"""with {MEASURES}, {_SETS}, se as (select sample_name, gene, avg(value) as value from measures group by all), s4 as (select * from sets where right(gene, 1) in ('1', '3', '5', '7', '9')),
+@query("A40 W18", f"""with {MEASURES}, {_SETS}, se as (select sample_name, gene, avg(value) as value from measures group by all),
     r as (select *, row_number() over (partition by sample_name order by value desc, gene) as pos, count(*) over (partition by sample_name) as n from se),
-    x as (select r.*, s.name, s4.gene is not null as hit from r join (select distinct name from s4) s on true left join s4 on s4.name = s.name and s4.gene = r.gene),
+    x as (select r.*, s.name, s4.gene is not null as hit from r join (select distinct name from sets) s on true left join sets s4 on s4.name = s.name and s4.gene = r.gene),
     c as (select *, sum(case when hit then pow(n - pos + 1, 0.25) else 0 end) over w / sum(case when hit then pow(n - pos + 1, 0.25) else 0 end) over p as pin, sum((not hit)::int) over w / sum((not hit)::int) over p as pout from x
       window w as (partition by sample_name, name order by pos), p as (partition by sample_name, name))
     select sample_name, name, round(sum(pin - pout), 5) as score from c group by all""")
 def single_sample_enrichment(spark, sf):
     e = measures(spark, sf).groupBy("sample_name", "gene").agg(F.avg("value").alias("value"))
-    sets = gene_sets(spark, sf).where("right(gene, 1) in ('1', '3', '5', '7', '9')")
-    return Sc.enrichment_score(e, sets, ["sample_name"]).withColumn("score", F.round("score", 5))
+    return Sc.enrichment_score(e, gene_sets(spark, sf), ["sample_name"]).withColumn("score", F.round("score", 5))
 
 
 _BW = "bw as (select prototype, tag, gene, (1 + length(gene) % 3) / 2.0::double as weight from bank where tag <> 'edge')"
@@ -258,11 +257,11 @@ def alignment_quality(spark, sf):
     return q.withColumn("unlabelled", c.agg(F.count_if(F.col("cell_type") == "Unknown")).scalar())
 
 
-@query("G45", f"""with {CELLS}, l as (select sample_name, node_idx, unnest(embedding[1:6])::double as s, generate_subscripts(embedding[1:6], 1) - 1 as cls from cells),
+@query("G45", f"""with {CELLS}, l as (select sample_name, node_idx, unnest(embedding)::double as s, generate_subscripts(embedding, 1) - 1 as cls from cells),
     t as (select sample_name, cls, avg(s) as score from (select *, row_number() over (partition by sample_name, cls order by s desc, node_idx) as rk from l) where rk <= 5 group by all)
     select sample_name, cls::int as cls, round(score, 6) as score, score = max(score) over (partition by sample_name) as best from t""")
 def top_j_pooling(spark, sf):
-    c = cells(spark, sf).withColumn("s", F.slice("embedding", 1, 6))
+    c = cells(spark, sf).withColumn("s", F.col("embedding"))
     t = Sc.top_j_pooling(c, "sample_name", ["node_idx"], "s", 5)
     best = t.groupBy("sample_name").agg(F.max_by("cls", "score").alias("b"))
     return t.join(best, "sample_name").select("sample_name", "cls", F.round("score", 6).alias("score"), (F.col("cls") == F.col("b")).alias("best"))
@@ -347,20 +346,20 @@ def two_feature_weights(spark, sf):
     return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b"], Sc.simplex_grid(spark, 2, 20)).select("cand", F.round("auc", 6).alias("auc"))
 
 
-@query("A50", _searchsql(3, "select i + 11 * j as cand, i / 10.0::double as w0, j / 10.0::double as w1, (10 - i - j) / 10.0::double as w2 from (select unnest(range(0, 11)) as i), (select unnest(range(0, 11)) as j) where i + j <= 10", "0 + w0 * zs[1] + w1 * zs[2] + w2 * zs[3]"))
+@query("A50", _searchsql(3, "select i + 101 * j as cand, i / 100.0::double as w0, j / 100.0::double as w1, (100 - i - j) / 100.0::double as w2 from (select unnest(range(0, 101)) as i), (select unnest(range(0, 101)) as j) where i + j <= 100", "0 + w0 * zs[1] + w1 * zs[2] + w2 * zs[3]"))
 def three_feature_weights(spark, sf):
-    return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b", "c"], Sc.simplex_grid(spark, 3, 10)).select("cand", F.round("auc", 6).alias("auc"))
+    return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b", "c"], Sc.simplex_grid(spark, 3, 100)).select("cand", F.round("auc", 6).alias("auc"))
 
 
 @query("A51 E4", _searchsql(3, f"""select i as cand, e0 / (0 + e0 + e1 + e2) as w0, e1 / (0 + e0 + e1 + e2) as w1, e2 / (0 + e0 + e1 + e2) as w2 from (
-    select i, {', '.join(f"-ln(({_HX.format(s='42d', i=f'i || chr(58) || {k}')} + 1) / {float(16**13 + 1)}::double) as e{k}" for k in range(3))} from (select unnest(range(0, 40)) as i))""", "0 + w0 * zs[1] + w1 * zs[2] + w2 * zs[3]"))
+    select i, {', '.join(f"-ln(({_HX.format(s='42d', i=f'i || chr(58) || {k}')} + 1) / {float(16**13 + 1)}::double) as e{k}" for k in range(3))} from (select unnest(range(0, 2000)) as i))""", "0 + w0 * zs[1] + w1 * zs[2] + w2 * zs[3]"))
 def random_simplex_weights(spark, sf):
-    return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b", "c"], Sc.dirichlet_candidates(spark, 3, 40)).select("cand", F.round("auc", 6).alias("auc"))
+    return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b", "c"], Sc.dirichlet_candidates(spark, 3, 2000)).select("cand", F.round("auc", 6).alias("auc"))
 
 
 @query("A52")
 def elastic_net_weights(spark, sf):
-    return Sc.elastic_weights(features(spark, sf), "y", ["a", "b", "c"], [0.0, 0.5, 1.0], 3).withColumns(r6("weight", digits=4))
+    return Sc.elastic_weights(features(spark, sf), "y", ["a", "b", "c"], [0.0, 0.25, 0.5, 0.75, 1.0], 5).withColumns(r6("weight", digits=4))
 
 
 @query("A53", f"""with {_FEAT}, l as (select unit, y, f, case f when 'a' then a when 'b' then b else c end as x from feat, (select unnest(['a', 'b', 'c']) as f)),

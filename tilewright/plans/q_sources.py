@@ -220,10 +220,10 @@ def _mtx(spark, sf):
     return R.matrix_market(spark, path)
 
 
-@query("S16 L9 G36 D16", """with c as (select l_orderkey + 1 as cell_idx, sum(l_quantity) as library from lineitem group by 1 having sum(l_quantity) >= 100), k as (select * from c order by library desc, cell_idx limit 3000)
+@query("S16 L9 G36 D16", """with c as (select l_orderkey + 1 as cell_idx, sum(l_quantity) as library from lineitem group by 1 having sum(l_quantity) >= 100), k as (select * from c order by library desc, cell_idx limit 120000)
     select (l_partkey + 1)::int as gene_idx, cell_idx::int as cell_idx, l_quantity as x from lineitem join k on cell_idx = l_orderkey + 1""")
 def matrix_market_prefilter(spark, sf):
-    return R.prefilter_cells(_mtx(spark, sf), 3000, 100)
+    return R.prefilter_cells(_mtx(spark, sf), 100, keep_top=120_000)
 
 
 @query("S17 J21 F14", """select o_orderkey::int as cell_idx, 'BC' || o_custkey || case when o_orderkey % 2 = 0 then '-1' else '' end as barcode, case when o_custkey in (select c_custkey from customer where c_custkey % 3 <> 0) then c_mktsegment end as celltype, round(sum(l_quantity), 2) as total

@@ -16,7 +16,7 @@ from tilewright.session import load
 CELL_TYPES = ["Connective", "Neoplastic", "Dead", "Epithelial", "Inflammatory"]
 SCALE = 1000.0
 TILE = 50.0
-GENES = 8  # vector components used as genes of a tile
+GENES = 64  # every vector component is a gene of a tile
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
@@ -214,15 +214,15 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
 CENTERS = """centers as (
   select k, list(m order by i) as vec from (
     select label::int as k, i, avg(v::double) as m from (
-      select label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings where label < 5)
+      select label % 5 as label, unnest(embedding) as v, generate_subscripts(embedding, 1) as i from embeddings)
     group by label, i) group by k)"""
 
 
 def centers(spark: SparkSession, sf: str) -> DataFrame:
     from tilewright.operators.prototypes import mean_vectors
 
-    e = load(spark, sf, "embeddings").where("label < 5")
-    return mean_vectors(e.withColumn("label", F.col("label").cast("int")), "label", "embedding", 64)
+    e = load(spark, sf, "embeddings").withColumn("label", (F.col("label") % 5).cast("int"))
+    return mean_vectors(e, "label", "embedding", 64)
 
 
 _N = "sqrt(list_sum(list_transform({v}, lambda x: x::double * x::double)))"

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -46,14 +49,18 @@ _own_dir: dict[str, str] = {}
 def work_dir(spark: SparkSession) -> str:
     """Folder every executor can reach: the cluster's ``spark.checkpoint.dir``.
 
-    Only where that setting is absent (tests, one machine) a temporary folder is made, once per application.
+    Only a local master (tests, one machine) may lack that setting: a temporary folder is made once per application and
+    removed when Python ends. Elsewhere executors would each write to their own disk, so its absence is an error.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared:
         return shared
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_dir:
         _own_dir[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp" if os.path.isdir("/tmp") else None)
+        atexit.register(shutil.rmtree, _own_dir[app], ignore_errors=True)
     return _own_dir[app]
 
 
@@ -69,4 +76,15 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     path = new_path(df.sparkSession, "state")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._state_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete the files of an iteration's state that nothing reads any more."""
+    path = getattr(df, "_state_path", None)
+    if path:
+        jvm = df.sparkSession.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

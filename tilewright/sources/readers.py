@@ -6,6 +6,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tilewright.functions import text as T
 from tilewright.operators.ordered import first_per_key
@@ -31,6 +32,19 @@ def _place() -> Column:
     )
 
 
+def _in_file_order(rows: DataFrame, name: str) -> DataFrame:
+    """Rows with a place ``_at`` numbered from 0 by path, split and position: ranks within each split, and one small table of
+    the splits' sizes."""
+    split = ["_at.f", "_at.b"]
+    at = Window.partitionBy(*split).orderBy("_at.i")
+    before = Window.orderBy("f", "b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*[F.col(c).alias(c[-1]) for c in split]).agg(F.count(F.lit(1)).alias("n"))
+    starts = sizes.select("f", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    ranked = rows.withColumn("_rank", F.row_number().over(at) - 1)
+    joined = ranked.join(starts, (F.col("_at.f") == F.col("f")) & (F.col("_at.b") == F.col("b")))
+    return joined.withColumn(name, F.col("_start") + F.col("_rank")).drop("_start", "_rank", "f", "b", "_at")
+
+
 def _stem() -> Column:
     """File name without folder and extension."""
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^./]*)?$", 1)
@@ -158,7 +172,7 @@ def polygons(spark: SparkSession, path: str, root: str = "features") -> DataFram
     parts = F.when(F.col("x.geometry.type") == "MultiPolygon", multi).when(F.col("x.geometry.type") == "Polygon", single)
     r = f.select("sample_name", "ds", "i", F.col("x.classification.name").alias("class"), F.posexplode(parts).alias("part", "poly"))
     ring = F.transform(F.get(F.col("poly"), F.lit(0)), lambda p: F.struct((p[0] * F.col("ds")).alias("x"), (p[1] * F.col("ds")).alias("y")))
-    return r.select("sample_name", (F.col("i") * 1000 + F.col("part")).alias("poly_id"), "class", ring.alias("ring"))
+    return r.select("sample_name", (F.shiftleft(F.col("i").cast("long"), 32) + F.col("part")).alias("poly_id"), "class", ring.alias("ring"))
 
 
 def gtf(spark: SparkSession, path: str) -> DataFrame:
@@ -191,20 +205,16 @@ def exon_lengths(rows: DataFrame) -> DataFrame:
 
 def gene_list(spark: SparkSession, path: str) -> DataFrame:
     """(idx, gene): first token of every line that is neither blank nor a comment, numbered in file order."""
-    from tilewright.operators.ordered import numbered
-
     raw = spark.read.text(path).select(F.trim("value").alias("v"), _place().alias("_at"))
-    rows = raw.where((F.col("v") != "") & ~F.col("v").startswith("#")).select(F.get(F.split("v", r"[\s,]+"), F.lit(0)).alias("gene"), "_at.i")
-    return numbered(rows, [], "i", "idx").select("idx", "gene")
+    rows = raw.where((F.col("v") != "") & ~F.col("v").startswith("#")).select(F.get(F.split("v", r"[\s,]+"), F.lit(0)).alias("gene"), "_at")
+    return _in_file_order(rows, "idx").select("idx", "gene")
 
 
 def gene_map(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
     """(idx, symbol, ensembl) from a headerless two-column file, ids without version, numbered from 0."""
-    from tilewright.operators.ordered import numbered
-
     raw = spark.read.option("sep", sep).schema("symbol string, ensembl string").csv(path)
-    rows = raw.select("symbol", T.without_version(F.col("ensembl")).alias("ensembl"), F.monotonically_increasing_id().alias("i"))
-    return numbered(rows, [], "i", "idx").select("idx", "symbol", "ensembl")
+    rows = raw.select("symbol", T.without_version(F.col("ensembl")).alias("ensembl"), _place().alias("_at"))
+    return _in_file_order(rows, "idx").select("idx", "symbol", "ensembl")
 
 
 def gene_lengths(spark: SparkSession, path: str, sep: str = "\t") -> DataFrame:
@@ -251,7 +261,7 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     A matrix may be cut into several files; the size line is the first line without "%" of each file with a banner.
     """
     raw = spark.read.text(path).select("value", "_metadata.file_path", F.monotonically_increasing_id().alias("i"))
-    t = raw.where(~F.col("value").startswith("%")).withColumn("p", F.split("value", " "))
+    t = raw.where(~F.col("value").startswith("%")).withColumn("p", F.split(F.trim("value"), r"\s+"))
     heads = raw.where(F.col("value").startswith("%%MatrixMarket")).select("file_path").distinct()
     first = t.join(heads, "file_path", "left_semi").groupBy("file_path").agg(F.min("i").alias("i0"))
     return t.join(first, "file_path", "left").where("i0 is null or i > i0").select(
@@ -259,10 +269,10 @@ def matrix_market(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def prefilter_cells(counts: DataFrame, keep_top: int = 120_000, min_counts: float = 100) -> DataFrame:
-    """Counts of the ``keep_top`` largest cells with at least ``min_counts`` in total."""
+def prefilter_cells(counts: DataFrame, min_counts: float, keep_top: int | None = None) -> DataFrame:
+    """Counts of the cells with at least ``min_counts`` in total; with ``keep_top``, of so many of the largest."""
     lib = counts.groupBy("cell_idx").agg(F.sum("x").alias("library")).where(F.col("library") >= min_counts)
-    best = lib.orderBy(F.desc("library"), "cell_idx").limit(keep_top).select("cell_idx")
+    best = (lib if keep_top is None else lib.orderBy(F.desc("library"), "cell_idx").limit(keep_top)).select("cell_idx")
     return counts.join(best, "cell_idx", "left_semi")
 
 

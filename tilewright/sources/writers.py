@@ -30,6 +30,8 @@ def write_predictions_wide(df: DataFrame, path: str, genes: Sequence[str]) -> Da
     """Per-sample CSV, one row per ``<x>_<y>``, one column per listed gene."""
     row = F.format_string("%d_%d", F.col("x").cast("long"), F.col("y").cast("long")).alias("spot")
     wide = df.groupBy("sample_name", row).pivot("gene", list(genes)).agg(F.avg("value"))
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wide = wide.repartition(F.col("sample_name"), F.xxhash64("spot") % tasks)  # few files, and many tasks for a huge sample
     wide.write.mode("overwrite").partitionBy("sample_name").option("header", True).csv(path)
     return df.sparkSession.read.option("header", True).schema(
         "spot string, " + ", ".join(f"`{g}` double" for g in genes) + ", sample_name string"
@@ -65,15 +67,14 @@ def unfinished(units: DataFrame, done: DataFrame, key: Sequence[str]) -> DataFra
 
 
 def content_key(df: DataFrame, column: str, **params) -> str:
-    """Hash of a stage's parameters and of the set of its sample names, for reuse of a stored stage.
+    """Hash of a stage's parameters, of its samples and of the content of all its rows, for reuse of a stored stage.
 
-    Names are hashed one by one and the hashes folded by count, sum and xor, so nothing is gathered.
+    Rows are hashed one by one and the hashes folded by count, sum and xor, so nothing is gathered.
     """
-    h = F.xxhash64(column)
-    names = df.select(column).distinct()
-    row = names.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s")).withColumn(
-        "key", F.sha1(F.concat_ws("|", F.lit(repr(sorted(params.items()))), "n", "x", "s"))
-    )
+    h, name = F.xxhash64(*sorted(df.columns)), F.xxhash64(column)
+    row = df.agg(
+        F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(h.cast("decimal(38,0)")).alias("s"), F.sum(name.cast("decimal(38,0)")).alias("m")
+    ).withColumn("key", F.sha1(F.concat_ws("|", F.lit(repr(sorted(params.items()))), F.lit(",".join(sorted(df.columns))), "n", "x", "s", "m")))
     return row.first()["key"]
 
 
