@@ -341,7 +341,7 @@ def deduplicate(points: DataFrame, radius: float, groups: Sequence[str], order:
     are settled up front, since the first of them always decides.
     """
     from tilewright.operators.neighbors import within_radius
-    from tilewright.session import cut_lineage
+    from tilewright.session import cut_lineage, forget
 
     groups = list(groups)
     first = points.groupBy(*groups, "pos_x", "pos_y").agg(F.min(order).alias("node_idx"))
@@ -356,7 +356,8 @@ def deduplicate(points: DataFrame, radius: float, groups: Sequence[str], order:
         decided = F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("near_kept") == 1, 0).when(
             F.coalesce("open", F.lit(0)) == 0, 1
         )
-        state = cut_lineage(state.join(earlier, [*groups, "node_idx"], "left").select(*groups, "node_idx", decided.alias("keep")))
+        before, state = state, cut_lineage(state.join(earlier, [*groups, "node_idx"], "left").select(*groups, "node_idx", decided.alias("keep")))
+        forget(before)
         if state.where("keep is null").limit(1).count() == 0:
             break
     kept = state.where("keep = 1").select(*groups, "node_idx")

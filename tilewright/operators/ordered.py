@@ -49,6 +49,9 @@ def _range_of(value: Column, edges: Column, buckets: int) -> Column:
     )
 
 
+SKETCHES = 16
+
+
 def running(
     df: DataFrame,
     groups: Sequence[str],
@@ -76,13 +79,13 @@ def running(
             *[_FOLD[fold](col).alias(f"_v_{name}") for name, (fold, col) in measures.items()]
         )
     cells = cut_lineage(cells)  # read three times below; the input itself is computed once, however deep its plan
-    edges = cells.agg(
-        F.percentile_approx(
-            F.col(order).cast("double"),
-            [i / buckets for i in range(1, buckets)],
-            max(10000, 4 * buckets),
-        )
-    ).scalar()
+    # sketches of many partitions merge in SKETCHES tasks first, and one task merges what is left of those
+    grid, exact = [i / buckets for i in range(1, buckets)], max(10000, 4 * buckets)
+    fine = [i / (4 * buckets) for i in range(1, 4 * buckets)]
+    some = cells.groupBy(F.pmod(F.xxhash64(order), F.lit(SKETCHES))).agg(
+        F.percentile_approx(F.col(order).cast("double"), fine, exact).alias("_q")
+    )
+    edges = some.select(F.explode("_q").alias("_q")).agg(F.percentile_approx("_q", grid, exact)).scalar()
     # coalesce makes the range a non-null column: otherwise Spark infers "range is not null" from the join below and
     # pushes the whole search down to every input row
     ranged = (

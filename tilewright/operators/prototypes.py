@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.functions import arrays as A
-from tilewright.session import cut_lineage
+from tilewright.session import cut_lineage, forget
 
 MAX_CENTERS = 4096
 
@@ -203,7 +203,7 @@ def components(pairs: DataFrame, nodes: DataFrame, threshold: float, min_size: i
     """
     link = pairs.where((F.col("value") >= threshold) & (F.col("src") != F.col("dst"))).select("src", "dst")
     edges = cut_lineage(link.unionByName(link.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
-    state = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("lab")))
+    state = held = cut_lineage(nodes.select(F.col("node"), F.col("node").alias("lab")))
     while True:
         around = (
             edges.join(state.withColumnRenamed("node", "dst"), "dst")
@@ -213,13 +213,15 @@ def components(pairs: DataFrame, nodes: DataFrame, threshold: float, min_size: i
         lowered = state.join(around, "node", "left").select(
             "node", "lab", F.least("lab", F.coalesce("low", F.col("lab"))).alias("new")
         )
-        lowered = cut_lineage(lowered)
+        lowered, before = cut_lineage(lowered), held
         jump = lowered.select(F.col("node").alias("new"), F.col("new").alias("far"))
         nxt = cut_lineage(
             lowered.join(jump, "new", "left").select("node", F.col("lab").alias("old"), F.least("new", "far").alias("lab"))
         )
         changed = nxt.where("lab <> old").limit(1).count()
-        state = nxt.select("node", "lab")
+        state, held = nxt.select("node", "lab"), nxt
+        forget(before)
+        forget(lowered)
         if not changed:
             break
     size = state.groupBy("lab").agg(F.count(F.lit(1)).alias("_n"))
@@ -286,12 +288,21 @@ def adjusted_rand(df: DataFrame, keys: Sequence[str], a: str, b: str, weight: st
     return j.select(*keys, F.when(top == 0, F.lit(1.0)).otherwise((F.col("sij") - expect) / F.when(top != 0, top)).alias("ari"))
 
 
-def kmeans_centers(df: DataFrame, k: int, seed: int = 42, vector: str = "embedding") -> DataFrame:
-    """(k, vec): K-means centres of the unit vectors (distributed ``pyspark.ml`` K-means)."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
+def kmeans_centers(df: DataFrame, k: int, rounds: int = 10, vector: str = "embedding", node: str = "vec_id") -> DataFrame:
+    """(k, vec): centres of the unit vectors after ``rounds`` of Lloyd's algorithm.
 
-    unit = df.select(array_to_vector(A.l2_normalize(F.col(vector))).alias("features"))
-    model = KMeans(k=max(2, int(k)), seed=seed).fit(unit)
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    return df.sparkSession.createDataFrame(rows, "k int, vec array<double>")
+    The first centres are the vectors with the k smallest ids, so the outcome is fixed; a vector goes to the nearest centre,
+    the lowest number on a tie, and a centre without vectors stays. Each round is one aggregate of k rows.
+    """
+    unit = cut_lineage(df.where(F.col(vector).isNotNull()).select(node, A.l2_normalize(F.col(vector)).alias("u")))
+    centers = [list(r[0]) for r in unit.orderBy(node).select("u").limit(k).collect()]
+    size = len(centers[0]) if centers else 0
+    for _ in range(rounds if centers else 0):
+        square = [
+            F.aggregate(F.zip_with("u", F.lit(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v) for c in centers
+        ]
+        near = unit.select("u", F.array(*square).alias("d"))
+        near = near.select("u", F.array_position("d", F.array_min("d")).alias("at"))
+        for r in near.groupBy("at").agg(*[F.avg(F.col("u")[i]) for i in range(size)]).collect():
+            centers[r[0] - 1] = list(r[1:])
+    return df.sparkSession.createDataFrame(list(enumerate(centers)), "k int, vec array<double>")

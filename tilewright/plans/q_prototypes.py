@@ -7,7 +7,7 @@ from tilewright.operators import ordered as O
 from tilewright.operators import prototypes as P
 from tilewright.operators import sampling as X
 from tilewright.plans.registry import query, r6
-from tilewright.plans.roles import CELL_TYPES, CELLS, CENTERS, MEASURES, SOFT, cells, centers, knn, knn_sql, measures
+from tilewright.plans.roles import _N, CELL_TYPES, CELLS, CENTERS, MEASURES, SOFT, cells, centers, knn, knn_sql, measures
 from tilewright.session import load
 
 _BASE = f"with {CELLS}, {CENTERS}, {SOFT}"
@@ -240,7 +240,18 @@ def bootstrap_stability(spark, sf):
     return P.adjusted_rand(b, ["round"], "prototype", "prototype_id", "weight").withColumns(r6("ari")).withColumn("round", F.col("round").cast("long"))
 
 
-@query("A38")
+def _lloyd(k, rounds):
+    """Fixed rounds from the vectors with the smallest ids, unrolled."""
+    out = [f"""u as (select vec_id, list_transform(embedding, lambda x: x::double / ({_N.format(v='embedding')} + 1e-8)) as u from embeddings where embedding is not null),
+    c0 as (select (row_number() over (order by vec_id) - 1)::int as k, u as vec from u order by vec_id limit {k})"""]
+    for i in range(rounds):
+        out.append(f"""a{i} as (select vec_id, u, arg_min(k, (round(d, 12), k)) as k from (select vec_id, u, k, list_sum(list_transform(list_zip(u, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from u, c{i}) group by vec_id, u),
+    m{i} as (select k, list(m order by p) as vec from (select k, p, avg(v) as m from (select k, unnest(u) as v, generate_subscripts(u, 1) as p from a{i}) group by k, p) group by k),
+    c{i + 1} as materialized (select c.k, coalesce(m.vec, c.vec) as vec from c{i} c left join m{i} m using (k))""")
+    return ",\n    ".join(out)
+
+
+@query("A38", f"with {_lloyd(5, 10)} select k, (generate_subscripts(vec, 1) - 1)::int as pos, round(unnest(vec), 4) as v from c10")
 def kmeans_centres(spark, sf):
     c = P.kmeans_centers(load(spark, sf, "embeddings"), 5)
     return c.select("k", F.posexplode("vec").alias("pos", "v")).withColumns(r6("v", digits=4))

@@ -66,7 +66,20 @@ def best_threshold_logrank(spark, sf):
     return V.best_threshold(V.threshold_search(patients(spark, sf), "logrank", 100)).withColumns(r6("cut", "score"))
 
 
-@query("A32")
+def _newton(steps):
+    """Newton steps of the Efron partial likelihood, unrolled from 0."""
+    out = ["base as (select t, risk as x, count(*) as n, sum(e) as d from patients group by all)", "b0 as (select 0.0::double as b, 0.0::double as info)"]
+    for i in range(steps):
+        w = "exp(b * x)"
+        out.append(f"""m{i} as (select t, {', '.join(f'sum(n * {w} * pow(x, {k})) as s{k}, sum(d * {w} * pow(x, {k})) as e{k}' for k in range(3))}, sum(d)::bigint as d, sum(d * x) as dx from base, b{i} group by t),
+    r{i} as (select *, {', '.join(f'sum(s{k}) over w as r{k}' for k in range(3))} from m{i} window w as (order by t desc)),
+    l{i} as (select dx / d as dx, {', '.join(f'r{k} - l / d::double * e{k} as q{k}' for k in range(3))} from (select *, unnest(range(0, d)) as l from r{i} where d > 0)),
+    b{i + 1} as materialized (select b + greatest(-2, least(2, score / fi)) as b, fi as info from b{i}, (select sum(dx - q1 / q0) as score, sum(q2 / q0 - pow(q1 / q0, 2)) as fi from l{i}))""")
+    return ",\n    ".join(out)
+
+
+@query("A32", f"""with {PATIENTS}, {_newton(8)}, z as (select b as coef, 1 / sqrt(info) as se from b8)
+    select round(coef, 6) as coef, round(se, 6) as se, round(exp(coef), 6) as hr, round(exp(coef - 1.959963984540054 * se), 6) as low, round(exp(coef + 1.959963984540054 * se), 6) as high, round({Q.normal('coef / se')}, 6) as p from z""")
 def cox_single_covariate(spark, sf):
     return V.cox(patients(spark, sf), "risk").withColumns(r6("coef", "se", "hr", "low", "high", "p"))
 
