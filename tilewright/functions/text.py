@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Spellings of a missing cell type, and the values counted as a response by default.
@@ -192,3 +192,11 @@ def expand_templates(classes: Column, templates: Column) -> Column:
     return F.flatten(
         F.transform(classes, lambda n: F.transform(templates, lambda t: F.replace(t, F.lit("CLASSNAME"), n)))
     )
+
+
+def contrasts_long(df: DataFrame, keys: list[str], contrasts: list[str]) -> DataFrame:
+    """(keys, contrast, log2fc, direction): a row per contrast; ``core_vs_edge`` also comes negated as ``edge_vs_core``."""
+    both = {"edge_vs_core": -F.col("core_vs_edge")} if "core_vs_edge" in contrasts else {}
+    long = df.withColumns(both).unpivot(keys, [*contrasts, *both], "contrast", "log2fc")
+    sign = F.when(F.col("log2fc") > 0, "up").when(F.col("log2fc") < 0, "down").otherwise("none")
+    return long.withColumn("direction", sign)

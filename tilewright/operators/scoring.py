@@ -433,3 +433,15 @@ def combination_report(df: DataFrame, unit: str, label: str, features: Sequence[
         part = z.groupBy(unit, label).agg(F.sum(F.get(ws, place[F.col("combo")]) * F.col("s")).alias("s"))
         single = single.unionByName(part.withColumn("combo", F.lit(name)))
     return auc_interval(single, ["combo"], "s", label)
+
+
+def top_cells(df: DataFrame, prototype: str, cell: str, score: str, n: int, total: int) -> DataFrame:
+    """(cell, score): the ``n`` best cells of every prototype, each cell once with its best score, at most ``total`` in all."""
+    w = Window.partitionBy(prototype).orderBy(F.col(score).desc(), cell)
+    best = df.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= n)
+    return best.groupBy(cell).agg(F.max(score).alias(score)).orderBy(F.col(score).desc(), cell).limit(total)
+
+
+def largest_groups(df: DataFrame, group: str, n: int, name: str = "n") -> DataFrame:
+    """The ``n`` groups with the most rows, ties by name."""
+    return df.groupBy(group).agg(F.count(F.lit(1)).alias(name)).orderBy(F.col(name).desc(), group).limit(n)

@@ -85,7 +85,7 @@ def _folder(spark, sf):
     return path
 
 
-@query("S8 S7", "select n_regionkey::int as r, count(*) as n from nation group by 1")
+@query("S8", "select n_regionkey::int as r, count(*) as n from nation group by 1")
 def discovered_files(spark, sf):
     f = R.files(spark, _folder(spark, sf), ["TXT", ".svs"])
     return f.groupBy(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n"))
@@ -281,7 +281,7 @@ def sample_pushdown(spark, sf):
     return R.sample_rows(spark, path, "S4", ["node_idx", "pos_x"]).withColumns(r6("pos_x"))
 
 
-@query("S22 U1", "select 'P' || (p_size % 3) as pair, p_brand as gene, p_partkey as k from part")
+@query("U1", "select 'P' || (p_size % 3) as pair, p_brand as gene, p_partkey as k from part")
 def tagged_result_files(spark, sf):
     path = new_path(spark, "results")
     p = load(spark, sf, "part").select(F.col("p_brand").alias("gene"), F.col("p_partkey").alias("k"), (F.col("p_size") % 3).alias("s"))

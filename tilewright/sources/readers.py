@@ -340,12 +340,42 @@ def sample_rows(spark: SparkSession, path: str, sample: str, columns: Sequence[s
 
 
 def tagged_results(spark: SparkSession, path: str, required: Sequence[str], pattern: str, tag: str = "tag") -> DataFrame:
-    """Result CSVs below a folder as one table with a tag taken from the file name; an absent column is null."""
-    raw = spark.read.option("header", True).option("recursiveFileLookup", True).option("enforceSchema", False).csv(path)
-    missing = [c for c in required if c not in raw.columns]
-    if missing:
-        raise ValueError(f"result files lack {missing}")
-    return raw.select(*raw.columns, F.regexp_extract(_stem(), pattern, 1).alias(tag)).where(F.col(tag) != "")
+    """Result CSVs anywhere below a folder as one table, with a tag taken from the file name.
+
+    Files that lack a required column, or whose name has no tag, are left out; other columns may differ and are null where a
+    file lacks them. The driver sees one header line per file.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).text(path).select("value", "_metadata.file_path", _place().alias("_at"))
+    heads = raw.where("_at.b = 0").groupBy("file_path").agg(F.min_by("value", "_at.i").alias("head"))
+    tagged = F.regexp_extract(F.regexp_extract("file_path", r"([^/]+?)(\.[^./]*)?$", 1), pattern, 1)
+    by_head: dict[str, list[str]] = {}
+    for file, head in heads.where(tagged != "").collect():
+        if set(required) <= {c.strip().strip('"') for c in head.split(",")}:
+            by_head.setdefault(head, []).append(file)
+    out = None
+    for files_ in by_head.values():
+        own = spark.read.option("header", True).csv(files_)
+        own = own.select(*own.columns, F.regexp_extract(_stem(), pattern, 1).alias(tag))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
+    if out is None:
+        return spark.createDataFrame([], ", ".join(f"`{c}` string" for c in [*required, tag]))
+    return out
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(idx, value): lines of a text file or folder from 0, in file order."""
+    return _in_file_order(spark.read.text(path).select("value", _place().alias("_at")), "idx").select("idx", "value")
+
+
+def tenx(spark: SparkSession, folder: str) -> DataFrame:
+    """(gene, barcode, x) of a directory with matrix.mtx, features.tsv and barcodes.tsv: entries by the names their numbers
+    stand for; a feature's second column is its name where there is one."""
+    parts = F.split("value", "\t")
+    genes = numbered_lines(spark, f"{folder}/features.tsv").select(
+        (F.col("idx") + 1).alias("gene_idx"), F.coalesce(F.get(parts, F.lit(1)), F.get(parts, F.lit(0))).alias("gene")
+    )
+    barcodes = numbered_lines(spark, f"{folder}/barcodes.tsv").select((F.col("idx") + 1).alias("cell_idx"), F.trim("value").alias("barcode"))
+    return matrix_market(spark, f"{folder}/matrix.mtx").join(genes, "gene_idx").join(barcodes, "cell_idx").select("gene", "barcode", "x")
 
 
 def signature_table(spark: SparkSession, path: str) -> DataFrame:

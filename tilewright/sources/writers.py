@@ -107,3 +107,35 @@ def asset_report(samples: DataFrame, listed: DataFrame) -> DataFrame:
 
 def flag_counts(df: DataFrame, flags: Sequence[str]) -> DataFrame:
     return df.groupBy(*flags).agg(F.count(F.lit(1)).alias("n"))
+
+
+def write_files(df: DataFrame, folder: str) -> None:
+    """A file per row of (path, content): executors write below the shared ``folder``. A repeated attempt writes the same
+    bytes to the same name."""
+    root = folder if "://" in folder or folder.startswith("file:") else f"file://{folder}"
+
+    def run(batches):
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        for b in batches:
+            for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                at = f"{base}/{path}"
+                store.create_dir(at.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(at) as out:
+                    out.write(content)
+            yield b.select(["path"])
+
+    df.select("path", "content").mapInArrow(run, "path string").write.format("noop").mode("overwrite").save()
+
+
+def write_square_matrix(m: DataFrame, path: str, labels: Sequence[int]) -> DataFrame:
+    """A long matrix (src, dst, value) as CSV with a row and a column per label; read back in long form, absent entries left
+    out."""
+    names = [str(x) for x in labels]
+    wide = m.groupBy("src").pivot("dst", list(labels)).agg(F.first("value"))
+    wide.write.mode("overwrite").option("header", True).csv(path)
+    kinds = m.schema["src"].dataType.simpleString()
+    back = m.sparkSession.read.option("header", True).schema(f"src {kinds}, " + ", ".join(f"`{x}` double" for x in names)).csv(path)
+    long = back.unpivot(["src"], [F.col(f"`{x}`") for x in names], "dst", "value").where("value is not null")
+    return long.withColumn("dst", F.col("dst").cast(m.schema["dst"].dataType))
