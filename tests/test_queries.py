@@ -14,7 +14,7 @@ CROSS_SECTION = [
     "gene_symbol_cleanup", "attribute_maps", "hazard_risk", "label_attachment", "cohort_label_file", "geojson_polygons",
     "marker_bank", "rank_signature_scores", "stratified_split", "type_enriched_squares", "resumed_assignment",
 ]
-ROWS_ONLY = {"principal_components", "interface_expression_signed_rank", "elastic_net_weights"}
+ROWS_ONLY = {"principal_components", "elastic_net_weights"}
 QUERIES = all_queries()
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import sys
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -118,6 +119,7 @@ def hypergeom_p(hits: pd.Series, drawn: pd.Series, marked: pd.Series, universe:
     return pd.Series(out, dtype="float64")
 
 
+@lru_cache(512)
 def _rank_counts(n: int) -> np.ndarray:
     """Number of sign patterns by signed-rank sum for n untied ranks."""
     counts = np.zeros(n * (n + 1) // 2 + 1)
@@ -127,25 +129,22 @@ def _rank_counts(n: int) -> np.ndarray:
     return counts
 
 
-_RANK_COUNTS = {n: _rank_counts(n) for n in range(1, 26)}
-
-
 @F.pandas_udf(DoubleType())
-def signed_rank_p(w_plus: pd.Series, n: pd.Series, tie_term: pd.Series, untouched: pd.Series) -> pd.Series:
-    """Two-sided signed-rank tail: exact to 25 pairs without ties or zeros, else the tie-corrected normal one.
+def signed_rank_p(w_plus: pd.Series, n: pd.Series, tie_term: pd.Series, exact: pd.Series) -> pd.Series:
+    """Two-sided signed-rank tail: the exact one where ``exact`` is true, else the tie-corrected normal one.
 
-    ``tie_term`` is the sum of t^3 - t over tie groups, ``untouched`` tells that there were neither ties nor zeros.
+    ``tie_term`` is the sum of t^3 - t over tie groups.
     """
     out = []
-    for w, k, tie, clean in zip(w_plus, n, tie_term, untouched):
+    for w, k, tie, whole in zip(w_plus, n, tie_term, exact):
         if k is None or not k or math.isnan(k):
             out.append(None)
             continue
         k = int(k)
         top = k * (k + 1) / 2.0
         low = min(w, top - w)
-        if bool(clean) and k in _RANK_COUNTS:
-            out.append(min(1.0, 2.0 * float(_RANK_COUNTS[k][: int(low) + 1].sum()) / 2.0**k))
+        if bool(whole):
+            out.append(min(1.0, 2.0 * float(_rank_counts(k)[: int(low) + 1].sum()) / 2.0**k))
             continue
         var = k * (k + 1) * (2 * k + 1) / 24.0 - tie / 48.0
         out.append(math.erfc(abs(w - top / 2.0) / math.sqrt(var) / math.sqrt(2.0)) if var > 0 else 1.0)

@@ -191,8 +191,14 @@ def paired_t(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
     )
 
 
-def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """Paired two-sided signed-rank test of a - b per key, zero differences dropped."""
+def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str, method: str = "auto", most_exact: int = 25) -> DataFrame:
+    """Paired two-sided signed-rank test of a - b per key, zero differences dropped.
+
+    ``method``: "normal" takes the tie-corrected normal tail, "exact" the exact one wherever there are neither ties nor
+    zeros, "auto" (the usual convention) the exact one in those cases up to ``most_exact`` pairs.
+    """
+    if method not in ("auto", "exact", "normal"):
+        raise ValueError(f"unknown method {method!r}")
     d = df.select(*keys, (F.col(a) - F.col(b)).alias("_d")).where(F.col("_d").isNotNull())
     zeros = d.groupBy(*keys).agg(F.sum((F.col("_d") == 0).cast("int")).alias("zeros"), F.count(F.lit(1)).alias("pairs"))
     moved = d.where("_d <> 0").withColumn("_abs", F.abs("_d")).withColumn("_up", (F.col("_d") > 0).cast("int"))
@@ -203,7 +209,9 @@ def signed_rank(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame
         F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"),
     )
     out = zeros.join(w, list(keys), "left")
-    clean = (F.col("ties") == 0) & (F.col("zeros") == 0)
+    clean = (F.col("ties") == 0) & (F.col("zeros") == 0) & F.lit(method != "normal")
+    if method == "auto":
+        clean = clean & (F.col("n") <= most_exact)
     return out.select(
         *keys,
         "pairs",

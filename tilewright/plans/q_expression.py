@@ -172,7 +172,17 @@ def interface_expression_ttest(spark, sf):
     return d.select("pair", "gene", "n", F.round("mean_a", 6).alias("mean_interface"), F.round("mean_b", 6).alias("mean_core"), F.round("log2fc", 6).alias("log2fc"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
 
 
-@query("A8 A17")
+@query("A8 A17", f"""{_B.replace('with ', 'with recursive ', 1)}, dp(n, s, c) as (select 0, 0, 1.0::double union all
+      select n + 1, s + d * (n + 1), sum(c) from dp, (select unnest([0, 1]) as d) where n < 25 group by n + 1, s + d * (n + 1)),
+    {_TAG}, {_CX}, {_DEPROF.format(m=3)}, d as (select pair, gene, a - b as d from prof where a - b is not null),
+    r as (select pair, gene, d, {Q.avg_rank('pair, gene', 'abs(d)')} as rk, count(*) over (partition by pair, gene, abs(d)) as c from d where d <> 0),
+    w as (select pair, gene, count(*) as n, coalesce(sum(rk) filter (d > 0), 0) as w_plus, sum(c * c - 1.0::double) as ties from r group by all),
+    z as (select *, (w_plus - n * (n + 1) / 4) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::double - ties / 48.0::double) as z,
+      ties = 0 and n <= 25 and n = (select count(*) from d where d.gene = w.gene and d.pair = w.pair) as clean from w),
+    e as (select w.pair, w.gene, sum(c) / pow(2, w.n) as tail from w join dp on dp.n = w.n and dp.s <= least(w_plus, w.n * (w.n + 1) / 2 - w_plus) group by w.pair, w.gene, w.n),
+    pv as (select pair, gene, case when clean then least(2 * tail, 1) else {Q.normal('z')} end as p from z left join e using (pair, gene)),
+    tests as (select m.*, log2(mean_a + 1) - log2(mean_b + 1) as log2fc, p from (select pair, gene, count(*) as n, avg(a) as mean_a, avg(b) as mean_b from prof group by all having count(*) >= 2) m join (select distinct pair, gene from d) using (pair, gene) left join pv using (pair, gene)),
+    final as ({Q.bh('pair', 'p')}) select pair, gene, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(log2fc, 6) as log2fc, round(p, 6) as p, round(q, 6) as q from final""")
 def interface_expression_signed_rank(spark, sf):
     d = X.paired_expression(profiles(spark, sf), test="wilcoxon", eps=1.0)
     return d.withColumns(r6("mean_a", "mean_b", "log2fc", "p", "q"))
