@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.functions.tails import chi2_p, hypergeom_p, normal_p, signed_rank_p, t_p
-from tilewright.operators.ordered import fdr, quantiles, running, value_ranks
+from tilewright.operators.ordered import fdr, running, value_ranks
 from tilewright.session import cut_lineage
 
 
@@ -55,9 +55,11 @@ def mann_whitney(
     df: DataFrame, keys: Sequence[str], value: str, flag: str, min_group: int = 1, min_total: int = 2
 ) -> DataFrame:
     """Rank-sum test per key: U of the flagged group, AUC, z with tie and continuity correction, two-sided p."""
-    r = _rank_totals(df, keys, value, flag).where(
-        (F.col("n1") >= min_group) & (F.col("n0") >= min_group) & (F.col("n") >= min_total)
-    )
+    return _rank_sum(_rank_totals(df, keys, value, flag), keys, min_group, min_total)
+
+
+def _rank_sum(totals: DataFrame, keys: Sequence[str], min_group: int, min_total: int, also: Sequence[str] = ()) -> DataFrame:
+    r = totals.where((F.col("n1") >= min_group) & (F.col("n0") >= min_group) & (F.col("n") >= min_total))
     n, n1, n0 = F.col("n"), F.col("n1"), F.col("n0")
     r = r.withColumn("u", F.col("r1") - n1 * (n1 + 1) / 2)
     shift = F.abs(F.col("u") - n1 * n0 / 2)
@@ -69,6 +71,7 @@ def mann_whitney(
         "u",
         (F.col("u") / (n1 * n0)).alias("auc"),
         F.when(var > 0, F.greatest(shift - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(F.lit(0.0)).alias("z"),
+        *also,
     ).withColumn("p", normal_p("z"))
 
 
@@ -76,13 +79,26 @@ def mann_whitney_by_cohort(
     df: DataFrame, metric: str, cohort: str, value: str, flag: str, min_group: int = 3, min_total: int = 6
 ) -> DataFrame:
     """Rank-sum test per metric over all rows ("ALL") and per cohort, with group means and one q over everything."""
-    both = df.withColumn("scope", F.explode(F.array(F.lit("ALL"), F.col(cohort).cast("string"))))
-    keys = [metric, "scope"]
-    means = both.groupBy(*keys).agg(
-        F.avg(F.when(_flag(flag) == 1, F.col(value))).alias("mean1"),
-        F.avg(F.when(_flag(flag) == 0, F.col(value))).alias("mean0"),
+    # equal values of a cohort collapse first; "ALL" is rolled up from what is left
+    known = df.where(F.col(flag).isNotNull() & F.col(value).isNotNull())
+    cells = known.groupBy(metric, F.col(cohort).cast("string").alias("scope"), value).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(_flag(flag)).alias("n1")
     )
-    return fdr(mann_whitney(both, keys, value, flag, min_group, min_total).join(means, keys), [])
+    keys = [metric, "scope"]
+    both = cells.withColumn("scope", F.explode(F.array_distinct(F.array(F.lit("ALL"), F.col("scope")))))
+    both = both.where("scope is not null").groupBy(*keys, value).agg(F.sum("n").alias("n"), F.sum("n1").alias("n1"))
+    own = {"n": ("own", "n"), "n1": ("own", "n1")}
+    run = running(both, keys, value, {"c": ("sum", "n"), "c1": ("sum", "n1"), **own}, unique=True)
+    n, n1 = F.col("n"), F.col("n1")
+    totals = run.groupBy(*keys).agg(
+        F.max("c_all").alias("n"),
+        F.max("c1_all").alias("n1"),
+        F.sum(n1 * (F.col("c") - (n - 1) / 2)).alias("r1"),
+        F.sum(F.pow(n, F.lit(3)) - n).alias("ties"),
+        (F.sum(n1 * F.col(value)) / F.sum("n1")).alias("mean1"),
+        (F.sum((n - n1) * F.col(value)) / F.sum(n - n1)).alias("mean0"),
+    ).withColumn("n0", F.col("n") - F.col("n1"))
+    return fdr(_rank_sum(totals, keys, min_group, min_total, ["mean1", "mean0"]), [])
 
 
 def roc_auc(df: DataFrame, keys: Sequence[str], score: str, flag: str) -> DataFrame:
@@ -123,6 +139,18 @@ def average_precision(df: DataFrame, keys: Sequence[str], score: str, flag: str)
     )
 
 
+def _middle(score: str, running_count: str, own: str) -> Column:
+    """Median of a class within an aggregate over its running counts by score."""
+    last = F.col(running_count) - 1
+    first = last - F.col(own) + 1
+    top = F.col(f"{running_count}_all") - 1
+
+    def at(position: Column) -> Column:
+        return F.max(F.when((first <= position) & (position <= last), F.col(score).cast("double")))
+
+    return (at(F.floor(top / 2)) + at(F.ceil(top / 2))) / 2
+
+
 def auc_interval(df: DataFrame, keys: Sequence[str], score: str, flag: str, auto: bool = True) -> DataFrame:
     """AUC with DeLong variance, 95 % interval and p against 0.5; ``auto`` orients it by the group medians."""
     cells = df.where(F.col(score).isNotNull() & F.col(flag).isNotNull()).groupBy(*keys, score).agg(
@@ -139,22 +167,13 @@ def auc_interval(df: DataFrame, keys: Sequence[str], score: str, flag: str, auto
         (F.sum(F.col("n1") * case) / F.max("c1_all")).alias("auc"),
         F.sum(F.col("n1") * case * case).alias("q1"),
         F.sum(F.col("n0") * control * control).alias("q0"),
+        (_middle(score, "c1", "n1")).alias("m1"),
+        (_middle(score, "c0", "n0")).alias("m0"),
     )
     n1, n0, auc = F.col("n1"), F.col("n0"), F.col("auc")
     var = (F.col("q1") - n1 * auc * auc) / (n1 - 1) / n1 + (F.col("q0") - n0 * auc * auc) / (n0 - 1) / n0
     s = s.withColumn("se", F.sqrt(F.greatest(var, F.lit(0.0))))
-    if auto:
-        mid = quantiles(df.where(F.col(flag).isNotNull()), [*keys, flag], score, [0.5], "m")
-        mid = mid.groupBy(*keys).agg(
-            F.max(F.when(_flag(flag) == 1, F.col("m")[0])).alias("m1"),
-            F.max(F.when(_flag(flag) == 0, F.col("m")[0])).alias("m0"),
-        )
-        s = s.join(mid, list(keys)) if keys else s.withColumns(
-            {"m1": mid.select("m1").scalar(), "m0": mid.select("m0").scalar()}
-        )
-        down = F.col("m1") < F.col("m0")
-    else:
-        down = F.lit(False)
+    down = F.col("m1") < F.col("m0") if auto else F.lit(False)
     s = s.withColumn("direction", F.when(down, ">").otherwise("<")).withColumn("auc", F.when(down, 1 - auc).otherwise(auc))
     half = 1.959963984540054 * F.col("se")
     return s.select(
