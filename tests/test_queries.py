@@ -10,9 +10,13 @@ from tilewright.plans import all_queries
 SF = "/root/testdata/sf0.001"
 CROSS_SECTION = [
     "prototype_assignment", "prototype_composition", "knn_pairs", "radius_edges", "interface_density", "log2_enrichment",
-    "weighted_cell_expression", "welch_test", "auc_with_interval", "concordance_index", "kaplan_meier_curves", "log_rank_test",
+    "weighted_cell_expression", "welch_test", "concordance_index", "kaplan_meier_curves", "log_rank_test",
     "gene_symbol_cleanup", "attribute_maps", "hazard_risk", "label_attachment", "cohort_label_file", "geojson_polygons",
     "marker_bank", "rank_signature_scores", "stratified_split", "type_enriched_squares", "resumed_assignment",
+    "radial_profile", "threshold_search_cindex", "cox_single_covariate", "kmeans_centres", "auc_with_interval", "patch_files",
+    "mann_whitney_all_and_cohort", "interface_expression_signed_rank", "tagged_result_union", "interaction_exports",
+    "tenx_directory", "top_cells_per_prototype", "largest_samples", "placed_cells", "contrasts_in_long_form",
+    "matrix_market_prefilter", "gene_map_file", "log_normalised_counts", "bootstrap_stability", "spatial_deduplication",
 ]
 ROWS_ONLY = {"principal_components", "elastic_net_weights"}
 QUERIES = all_queries()

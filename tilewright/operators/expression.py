@@ -73,11 +73,11 @@ def library_size(counts: DataFrame, cell: Sequence[str], value: str = "value") -
     return counts.groupBy(*cell).agg(F.sum(value).alias("library"))
 
 
-def log_normalize(counts: DataFrame, cell: Sequence[str], value: str = "value", scale: float = 1e4, name: str = "norm") -> DataFrame:
-    """log(1 + x / library * scale); an empty library counts as 1."""
+def log_normalize(counts: DataFrame, cell: Sequence[str], value: str = "value", scale: float = 1e4, name: str = "norm", keep: bool = False) -> DataFrame:
+    """log(1 + x / library * scale); an empty library counts as 1. ``keep`` leaves the library's size in a column."""
     lib = library_size(counts, cell, value)
     size = F.when(F.col("library") == 0, F.lit(1.0)).otherwise(F.col("library"))
-    return counts.join(lib, list(cell)).withColumn(name, F.log1p(F.col(value) / size * scale)).drop("library")
+    return counts.join(lib, list(cell)).withColumn(name, F.log1p(F.col(value) / size * scale)).drop(*() if keep else ("library",))
 
 
 def collapse_genes(df: DataFrame, sample: Sequence[str], value: str = "value") -> DataFrame:

@@ -103,8 +103,12 @@ def usage(df: DataFrame, centers: DataFrame, temperature: float, vector: str = "
 
 def composition(df: DataFrame, keys: Sequence[str], label: str) -> DataFrame:
     """Counts and shares of a label within keys. The window runs over the aggregated classes, not over rows."""
-    c = df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n"))
-    return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy(*keys)))
+    return shares(df.groupBy(*keys, label).agg(F.count(F.lit(1)).alias("n")), keys)
+
+
+def shares(counts: DataFrame, keys: Sequence[str], n: str = "n") -> DataFrame:
+    """Counts with their share of the total within keys."""
+    return counts.withColumn("share", F.col(n) / F.sum(n).over(Window.partitionBy(*keys)))
 
 
 def composition_wide(df: DataFrame, keys: Sequence[str], label: str, values: Sequence, prefix: str) -> DataFrame:

@@ -34,8 +34,8 @@ def weighted_cell_expression(spark, sf):
 
 @query("F33 G36", f"""with {MEASURES}, l as (select unit, sum(value) as library from measures group by 1) select unit, line, gene, library, round(ln(1 + value / library * 10000), 6) as norm from measures join l using (unit)""")
 def log_normalised_counts(spark, sf):
-    m = X.log_normalize(measures(spark, sf).select("unit", "line", "gene", "value"), ["unit"])
-    return m.join(X.library_size(m, ["unit"]), "unit").select("unit", "line", "gene", "library", F.round("norm", 6).alias("norm"))
+    m = X.log_normalize(measures(spark, sf).select("unit", "line", "gene", "value"), ["unit"], keep=True)
+    return m.select("unit", "line", "gene", "library", F.round("norm", 6).alias("norm"))
 
 
 @query("F32 G38", f"""with {MEASURES}, g as (select upper(replace(p_brand, '#', '')) as gene, sum(p_size)::double * 10 as length from part group by 1),

@@ -31,8 +31,7 @@ def prototype_assignment(spark, sf):
 def prototype_composition(spark, sf):
     a = assigned(spark, sf)
     c = a.groupBy("sample_name", "prototype").agg(F.count(F.lit(1)).alias("n"), F.avg("confidence").alias("mean_confidence"))
-    s = P.composition(a, ["sample_name"], "prototype").select("sample_name", "prototype", "share")
-    return c.join(s, ["sample_name", "prototype"]).withColumns(r6("mean_confidence", "share"))
+    return P.shares(c, ["sample_name"]).withColumns(r6("mean_confidence", "share"))
 
 
 @query("A2", f"""{_BASE} select node_idx, k as prototype, round(cosine, 6) as cosine from soft where rk = 1""")
