@@ -46,12 +46,6 @@ def tempered_softmax(scores: Column, tau: float, eps: float = 1e-8) -> Column:
     )
 
 
-def entropy_confidence(p: Column, k: int) -> Column:
-    """1 - H(p) / ln k."""
-    h = F.aggregate(p, F.lit(0.0), lambda s, x: s - x * F.ln(x + F.lit(1e-12)))
-    return F.lit(1.0) - h / F.ln(F.lit(float(k)))
-
-
 def shannon(p: Column) -> Column:
     """Entropy in nats of clipped, renormalised weights; nothing left gives 0."""
     w = F.transform(p, lambda x: F.greatest(F.coalesce(x, F.lit(0.0)), F.lit(0.0)))
@@ -77,11 +71,6 @@ def softmax(scores: Column, temperature: float = 1.0) -> Column:
     return F.element_at(F.transform(e, lambda v: F.transform(v, lambda x: x / total(v))), 1)
 
 
-def soft_by_distance(v: Column, centers: Column, temperature: float) -> Column:
-    """Softmax of minus the distance to each centre over the temperature."""
-    return softmax(F.transform(centers, lambda c: -distance(v, c)), temperature)
-
-
 def one_hot(c: Column, categories: Sequence[str]) -> Column:
     """Indicator array over fixed categories; an unseen non-null value is an error."""
     flags = F.array(*[(c == F.lit(k)).cast("double") for k in categories])

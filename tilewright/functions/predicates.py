@@ -41,10 +41,3 @@ def zone(prototype: Column, mix: Column, core: float) -> Column:
     """core where the cell's own prototype has a share of at least ``core``, else edge."""
     own = F.coalesce(F.get(mix, prototype), F.lit(0.0))
     return F.when(own >= core, "core").otherwise("edge")
-
-
-def in_any_pair(mix: Column, pairs: Sequence[tuple[int, int]], threshold: float) -> Column:
-    out = F.lit(False)
-    for i, j in pairs:
-        out = out | is_interface(mix, i, j, threshold)
-    return out

@@ -346,6 +346,15 @@ def two_feature_weights(spark, sf):
     return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b"], Sc.simplex_grid(spark, 2, 20)).select("cand", F.round("auc", 6).alias("auc"))
 
 
+_TWO = _searchsql(2, "select i as cand, i / 20.0::double as w0, (20 - i) / 20.0::double as w1 from (select unnest(range(0, 21)) as i)", "0 + w0 * zs[1] + w1 * zs[2]").replace("round(avg(auc), 6) as auc from au", "avg(auc) as auc from au")
+
+
+@query("A49 L11", f"select cand, cand / 20.0::double as w0, round(auc, 6) as auc from ({_TWO}) order by round(auc, 12) desc, cand limit 1")
+def chosen_two_feature_weights(spark, sf):
+    best = Sc.best_candidate(Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b"], Sc.simplex_grid(spark, 2, 20)))
+    return best.select("cand", F.col("w")[0].alias("w0"), F.round("auc", 6).alias("auc"))
+
+
 @query("A50", _searchsql(3, "select i + 101 * j as cand, i / 100.0::double as w0, j / 100.0::double as w1, (100 - i - j) / 100.0::double as w2 from (select unnest(range(0, 101)) as i), (select unnest(range(0, 101)) as j) where i + j <= 100", "0 + w0 * zs[1] + w1 * zs[2] + w2 * zs[3]"))
 def three_feature_weights(spark, sf):
     return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b", "c"], Sc.simplex_grid(spark, 3, 100)).select("cand", F.round("auc", 6).alias("auc"))
