@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tilewright.functions import predicates as P
 from tilewright.functions.arrays import best_other_margin
 from tilewright.functions.scores import clip01
-from tilewright.operators.neighbors import distance_to_nearest, knn_between
+from tilewright.operators.neighbors import distance_to_nearest
 from tilewright.operators.ordered import quantiles
 
 
