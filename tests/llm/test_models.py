@@ -102,14 +102,14 @@ def test_importance_weights_and_sample(spark):
     raw = np.zeros(importance.KINDS * importance.SLOTS)
     target = raw.copy()
     for i, t in [*good, *bad, *edge]:
-        slots = next(importance.ngram_slots([t or ""]))
+        slots = next(importance.ngram_slots([t or ""], importance.Memo()))
         raw += np.bincount(slots, minlength=len(raw))
         if i in range(40):
             target += np.bincount(slots, minlength=len(raw))
     share = target.reshape(3, -1).sum(1, keepdims=True) / raw.reshape(3, -1).sum(1, keepdims=True)
     ratio = np.log((target.reshape(3, -1) + 16) / (raw.reshape(3, -1) * share + 16)).ravel()
     for row in found.collect():
-        slots = next(importance.ngram_slots([row["row"]["text"] or ""]))
+        slots = next(importance.ngram_slots([row["row"]["text"] or ""], importance.Memo()))
         assert (row["log_weight"] is None) == (len(slots) == 0)
         assert not len(slots) or math.isclose(row["log_weight"], ratio[slots].mean(), rel_tol=1e-9)
     # the k largest keys

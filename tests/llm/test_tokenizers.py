@@ -32,7 +32,7 @@ def test_byte_bpe_equals_tiktoken_and_round_trips(spark):
 def test_byte_bpe_white_space():
     import tiktoken
 
-    use = byte_bpe.codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    use = byte_bpe.Codec(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     ranks = {t: i for i, t in enumerate(use.tokens)}
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
     r, parts = random.Random(4), ["a", "b", " ", "  ", "the", " the", "é", "\n", "\n\n", " \n", "\n ", "\t", "!!", "'s", "\x1c", " "]
@@ -57,7 +57,7 @@ def test_token_counts_equal_the_tokenizer(spark, unigram):
 
 
 def test_token_counts_ties_and_rounding(unigram):
-    use = token_counts.counter(public_tokenizers.path("piece_bpe_32k.model"))
+    use = token_counts.Counter(token_counts.unigram_pieces())
     r, parts = random.Random(5), ["a", "b", " ", "  ", "the", " the", "é", "漢", "\n", " \n", "\t", "!!", "▁", "0", "😀", "ing"]
     some = ["".join(r.choice(parts) for _ in range(r.randrange(30))) for _ in range(3000)]
     some += [" ".join(r.choice(["thsta", "xq", "eron", "😀"]) for _ in range(100_000))]  # sums beyond exact single precision
@@ -105,7 +105,7 @@ def test_classes_hold_a_fixed_count():
 
 
 def test_word_ids_by_stretch():
-    use = packing.word_ids(public_tokenizers.path("word_bpe_49k.json"))
+    use = packing.WordIds(public_tokenizers.path("word_bpe_49k.json"))
     r = random.Random(3)
     parts = ["a", "B", " ", "the.", "The,", "é.", "É", "漢", "\n", "\t", "!!", ".", "'s", "’", "0", "😀", "́", "\x1c", " ",
              "<|endoftext|>", "İ", "ß", "K.", "x,y", "%%%."]

@@ -10,14 +10,13 @@ from __future__ import annotations
 
 import base64
 import struct
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilewright.llm import proto
-from tilewright.llm.common import Memo, in_groups, map_arrow, only, texts, tokenizer_path
+from tilewright.llm.common import Memo, map_arrow, only, text_groups, tokenizer_path
 
 
 def byte_characters() -> list[str]:
@@ -108,12 +107,6 @@ class Codec:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
 
-@lru_cache(2)
-def codec(path: str, pattern: str) -> Codec:
-    """One per worker process."""
-    return Codec(path, pattern)
-
-
 def _defaults(path: str | None, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
@@ -132,10 +125,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     known = dict(df.dtypes)[id_col]
 
     def make():
-        use = codec(*where)
+        use = Codec(*where)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            parts = [ids for group in in_groups(texts(batch.column(1))) for ids in use.encode(group)]
+            parts = [ids for group in text_groups(batch.column(1)) for ids in use.encode(group)]
             ends = np.cumsum([0, *map(len, parts)], dtype="int64") // 4
             flat = pa.array(np.frombuffer(b"".join(parts), "<i4"), pa.int32())
             ids = pa.ListArray.from_arrays(pa.array(ends.astype("int32")), flat)
@@ -155,7 +148,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out: str = "decoded", path: str
     kinds = dict(df.dtypes)
 
     def make():
-        use = codec(*where)
+        use = Codec(*where)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             decoded = [None if i is None else use.decode(i.tolist()) for i in _lists(batch.column(len(keep)))]

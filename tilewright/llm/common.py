@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -39,7 +39,8 @@ def only(df: DataFrame, **columns: str | Column) -> DataFrame:
 
 
 def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], schema: str) -> DataFrame:
-    """``make`` runs once per task and gives the function applied to each Arrow batch."""
+    """``make`` runs once per task and gives the function applied to each Arrow batch. What it holds (a tokenizer, a memo)
+    ends with the task: workers serve many operators, and their memories would add up."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = make()
@@ -50,16 +51,17 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
-def texts(column: pa.Array) -> list[str]:
-    """Python strings; null reads as the empty text."""
-    return [x or "" for x in column.to_pylist()]
+def text_groups(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
+    """Runs of whole texts of about ``most`` characters at a time; null reads as the empty text."""
+    texts = (x or "" for at in range(0, len(column), 256) for x in column.slice(at, 256).to_pylist())
+    return in_groups(texts, most)
 
 
 class Memo(dict):
     """Results by key, in two generations of at most ``most`` entries, so memory is bounded whatever the corpus holds.
     Entries still in use move on when a generation is full."""
 
-    def __init__(self, most: int = 350_000):
+    def __init__(self, most: int = 100_000):
         super().__init__()
         self.most, self.older = most, {}
 
@@ -76,7 +78,7 @@ class Memo(dict):
         self.update(zip(missing, solve(missing), strict=True))
 
 
-def in_groups(values: list[str], most: int = 2_000_000) -> Iterator[list[str]]:
+def in_groups(values: Iterable[str], most: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of texts of about ``most`` characters, each text whole."""
     group, size = [], 0
     for v in values:

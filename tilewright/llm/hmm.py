@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import fresh, in_groups, only, texts
+from tilewright.llm.common import fresh, only, text_groups
 
 #: Words with a class of their own, and classes that the others share.
 OWN, SHARED = 4096, 4096
@@ -38,6 +38,20 @@ def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 5 == 1
 
 
+def squeezed(ids: np.ndarray) -> bytes:
+    """32-bit numbers by planes of bytes, compressed: these are what moves between executors."""
+    import zstandard
+
+    return zstandard.ZstdCompressor(level=1).compress(ids.astype("<i4").view("u1").reshape(-1, 4).T.tobytes())
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    import zstandard
+
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<i4")[:, 0]
+
+
 def chunks(df: DataFrame) -> DataFrame:
     """(chunk, docs, ids, words, counts): runs of documents as numbers of the chunk's own words, with each word's count in
     the training documents."""
@@ -46,7 +60,7 @@ def chunks(df: DataFrame) -> DataFrame:
         part, n = TaskContext.get().partitionId(), 0
         for b in batches:
             rows = iter(b.column(0).to_pylist())
-            for group in in_groups(texts(b.column(1)), CHUNK):
+            for group in text_groups(b.column(1), CHUNK):
                 number: dict[bytes, int] = {END: 0}
                 docs, parts, train = [], [], []
                 for text in group:
@@ -62,7 +76,7 @@ def chunks(df: DataFrame) -> DataFrame:
                     if not out:
                         train += parts[-2:]
                 counts = np.bincount(np.concatenate(train), minlength=len(number)) if train else [0] * len(number)
-                columns = [[(part << 32) + n], [docs], [np.concatenate(parts).tobytes()], [list(number)], [list(counts)]]
+                columns = [[(part << 32) + n], [docs], [squeezed(np.concatenate(parts))], [list(number)], [list(counts)]]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
                 n += 1
 
@@ -141,7 +155,7 @@ def encoded(made: DataFrame, classed: DataFrame, lex: Lexicon) -> DataFrame:
                 base = np.log10((c + 0.5) / total)
                 share = np.where(c > 0, (1 - unknown[cls]) * c / np.maximum(sizes[cls], 1), unknown[cls])
                 inner = np.where(cls < OWN, 0.0, np.log(share))
-                ids = np.frombuffer(b.column(1)[i].as_buffer(), "<i4")
+                ids = unsqueezed(b.column(1)[i].as_py())
                 docs = b.column(0)[i].as_py()
                 starts = np.cumsum([0, *(d["n"] for d in docs)])[:-1]
                 sums = [np.add.reduceat(x[ids], starts) for x in (base, inner, (c > 0).astype("int64"))]

@@ -12,34 +12,30 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import Memo, fresh, in_groups, texts
+from tilewright.llm.common import Memo, fresh, in_groups, text_groups
 
 #: Slots of each of the three kinds of n-grams, and how many rows of a slot's count are doubted.
 SLOTS, DOUBT = 1 << 14, 16.0
 KINDS = 3
 MULTIPLIER, MIXER = np.uint64(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
 
-_memo: Memo | None = None
-
-
 def _hashes(words: list[bytes]) -> list[int]:
     from xxhash import xxh32_intdigest
 
     return [xxh32_intdigest(w, 7) << 32 | xxh32_intdigest(w[-2:], 9) for w in words]
 
 
-def ngram_slots(group: list[str]) -> Iterator[np.ndarray]:
+def ngram_slots(group: list[str], memo: Memo) -> Iterator[np.ndarray]:
     """The slots of every n-gram of each text."""
-    global _memo
-    _memo = _memo if _memo is not None else Memo()
     words = [t.encode().lower().split() for t in group]
-    _memo.fill(set().union(*words), _hashes)
+    memo.fill(set().union(*words), _hashes)
     for w in words:
-        both = np.fromiter(map(_memo.__getitem__, w), "u8", len(w))
+        both = np.fromiter(map(memo.__getitem__, w), "u8", len(w))
         word, end = both >> np.uint64(32), both & np.uint64(0xFFFFFFFF)
         pair = ((word[:-1] * MULTIPLIER + word[1:]) * MIXER >> np.uint64(40)) % np.uint64(SLOTS)
         pair[word[:-1] == word[1:]] = 0
@@ -61,15 +57,16 @@ def fit(df: DataFrame, id_col: str, text_col: str, labelled: dict) -> np.ndarray
     good = {i for i, g in labelled.items() if g}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = Memo()
         raw, target = np.zeros((2, KINDS * SLOTS), "int64")
         for b in batches:
             ids = iter(b.column(0).to_pylist())
-            for group in in_groups(texts(b.column(1))):
-                for slots in ngram_slots(group):
-                    counts = np.bincount(slots, minlength=KINDS * SLOTS)
-                    raw += counts
-                    if next(ids) in good:
-                        target += counts
+            for group in text_groups(b.column(1)):
+                found = list(ngram_slots(group, memo))
+                wanted = [slots for slots in found if next(ids) in good]
+                for counts, some in ((raw, found), (target, wanted)):
+                    if some:
+                        counts += np.bincount(np.concatenate(some), minlength=KINDS * SLOTS)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, pa.int64()) for x in (used, raw[used], target[used])], ["slot", "raw", "target"]
@@ -88,17 +85,16 @@ def weigh(df: DataFrame, id_col: str, text_col: str, carry: list[str], ratio: np
     """(row, log_weight, gumbel_key): the mean log ratio over a text's n-grams, and that mean times ``sharpness`` plus
     noise that follows the row's id. A text without words has no weight."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = [
-                float(ratio[s].mean()) if len(s) else None for g in in_groups(texts(b.column(1))) for s in ngram_slots(g)
-            ]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(found, pa.float64())], names)
-
-    names = ["row", "id", "log_weight"]
-    rows = df.select(F.struct(*carry).alias("row"), F.col(text_col).alias("text"), F.col(id_col).alias("id"))
-    kinds = dict(rows.dtypes)
-    out = rows.mapInArrow(run, f"row {kinds['row']}, id {kinds['id']}, log_weight double")
+    @F.pandas_udf("double")
+    def weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        memo = Memo()
+        for batch in batches:
+            slots = (s for g in in_groups(t or "" for t in batch) for s in ngram_slots(g, memo))
+            yield pd.Series([float(ratio[s].mean()) if len(s) else None for s in slots], dtype="float64")
+
+    # only texts go to Python, and only numbers come back; the rows stay where they are
+    out = df.select(F.struct(*carry).alias("row"), weight(F.col(text_col)).alias("w"), F.col(id_col).alias("id"))
+    out = out.select("row", F.when(~F.isnan("w"), F.col("w")).alias("log_weight"), "id")
     unit = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
     return out.withColumn("gumbel_key", F.col("log_weight") * sharpness - F.log(-F.log(unit))).drop("id")
 

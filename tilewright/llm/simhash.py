@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import fresh, in_groups, map_arrow, only, texts
+from tilewright.llm.common import fresh, map_arrow, only, text_groups
 from tilewright.llm.graph import component_roots
 
 SEED = 42
@@ -61,7 +61,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     def make():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [simhash([shingle_hashes(t, words) for t in g]) for g in in_groups(texts(batch.column(1)))]
+            found = [simhash([shingle_hashes(t, words) for t in g]) for g in text_groups(batch.column(1))]
             fp = pa.array(np.concatenate(found).view("<i8"), pa.int64())
             return pa.RecordBatch.from_arrays([batch.column(0), fp], ["doc_id", "fp"])
 

@@ -9,7 +9,6 @@ less 10) and then counts one piece per byte, and scores add up in single precisi
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -17,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tilewright.llm import proto
-from tilewright.llm.common import Memo, in_groups, map_arrow, only, texts, tokenizer_path
+from tilewright.llm.common import Memo, map_arrow, only, text_groups, tokenizer_path
 
 #: Fixed values of the public format: the mark that stands for a blank, and what an unknown character loses.
 MARK, PENALTY = "▁", 10.0
@@ -57,7 +56,7 @@ class Counter:
         self.exact = all(float(s * STEPS).is_integer() for _, s in normal)
         # no piece crosses from another character to a mark or holds a line feed, so best paths have borders there
         self.cuts = all(MARK not in p.lstrip(MARK) and "\n" not in p for p, _ in normal)
-        self.memo = Memo()
+        self.memo = Memo(200_000)
 
     def stretch(self, s: str, start: float = 0.0, rounded: bool = False) -> tuple[float, int]:
         """Best score and number of pieces of ``s``, from score ``start``."""
@@ -126,12 +125,6 @@ class Counter:
         return score, pieces
 
 
-@lru_cache(2)
-def counter(path: str) -> Counter:
-    """One per worker process."""
-    return Counter(unigram_pieces(path))
-
-
 def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
     """Per row: ``doc_id``, ``n_pieces`` and ``best_score`` of the whole text, in one narrow pass.
 
@@ -141,10 +134,10 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     where = path or tokenizer_path("piece_bpe_32k.model")
 
     def make():
-        use = counter(where)
+        use = Counter(unigram_pieces(where))
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = [x for group in in_groups(texts(batch.column(1))) for x in use.count(group)]
+            found = [x for group in text_groups(batch.column(1)) for x in use.count(group)]
             counts = pa.array([n for _, n in found], pa.int64())
             scores = pa.array([float(s) for s, _ in found], pa.float64())
             return pa.RecordBatch.from_arrays([batch.column(0), counts, scores], ["doc_id", "n_pieces", "best_score"])
