@@ -8,9 +8,11 @@ end is filled again by ever fewer workers. The last remainder, bounded by the ca
 
 from __future__ import annotations
 
+import struct
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -18,7 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import Memo, fresh, in_groups, map_arrow, only, single_threaded, texts, tokenizer_path
+from tilewright.llm.byte_bpe import byte_characters
+from tilewright.llm.common import Memo, fresh, map_arrow, only, single_threaded, text_groups, tokenizer_path
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: A piece may leave this part of its share unused.
@@ -27,6 +30,10 @@ SLACK = 1 / 128
 FAN_IN = 16
 
 
+#: Marks that never belong to the letters before them, and the end of the letters whose properties all libraries agree on.
+MARKS, LETTERS = ".,;:!?%$&*|#()", "\u0530"
+
+
 class WordIds:
     """Ids of texts. White space splits the tokenizer's words and is dropped, so each stretch between ASCII white space has
     its ids by itself; stretches met before come from a bounded memo."""
@@ -37,25 +44,42 @@ class WordIds:
         single_threaded()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.memo = Memo()
+        self.shown = dict(enumerate(byte_characters()))
+        self.memo, self.stems = Memo(200_000), Memo()
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """Words of plain letters are one word of the model; the others go through the whole tokenizer."""
+        plain = [self._plain(w) for w in words]
+        rest = [w for w, p in zip(words, plain, strict=True) if p is None]
+        whole = iter(self.tokenizer.encode_batch_fast(rest, add_special_tokens=False))
+        merged = self.tokenizer.model.tokenize
+        ids = [next(whole).ids if p is None else [t.id for t in merged(p)] for p in plain]
+        return [struct.pack(f"<{len(i)}I", *i) for i in ids]
+
+    def _plain(self, word: str) -> str | None:
+        """The word as the model sees it, if it is made of letters below U+0530 that normalisation leaves as they are."""
+        if word.isascii():
+            return word if word.isalpha() and word.islower() else None
+        plain = word.isalpha() and max(word) < LETTERS and word == word.lower() and is_normalized("NFC", word)
+        return word.encode().decode("latin-1").translate(self.shown) if plain else None
 
     def _solve(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(e.ids, "<u4").tobytes() for e in found]
+        """Marks after a letter are a word of the tokenizer by themselves."""
+        texts = [w.decode() for w in words]
+        stems = [t.rstrip(MARKS) for t in texts]
+        apart = [s[-1:] < LETTERS and len(c := s[-1:].lower()) == 1 and c.isalpha() for s in stems]  # lower case may add marks
+        stems = [s if a else t for s, a, t in zip(stems, apart, texts, strict=True)]
+        ends = [t[len(s) :] for s, t in zip(stems, texts, strict=True)]
+        self.stems.fill({*stems, *ends} - {""}, self._encode)
+        return [self.stems[s] + (self.stems[e] if e else b"") for s, e in zip(stems, ends, strict=True)]
 
     def ids(self, group: list[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit numbers."""
-        words = [t.encode().split() for t in group]
+        words = [t.encode().lower().split() for t in group]  # the tokenizer lowers letters anyway
         self.memo.fill(set().union(*words), self._solve)
         return [b"".join(map(self.memo.__getitem__, w)) for w in words]
 
 
-@lru_cache(2)
-def word_ids(path: str) -> WordIds:
-    """One per worker process."""
-    return WordIds(path)
-
-
 @lru_cache(65536)
 def cuts(n: int, capacity: int) -> tuple[int, ...]:
     """Lengths that a document of ``n`` ids is cut into."""
@@ -76,11 +100,11 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int
     kind = dict(df.dtypes)[id_col]
 
     def make():
-        use, end = word_ids(path), np.array([end_id], "<u4").tobytes()
+        use, end = WordIds(path), np.array([end_id], "<u4").tobytes()
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             at, start, length, crc, total = [], [], [], [], []
-            all_ids = (x for group in in_groups(texts(batch.column(1))) for x in use.ids(group))
+            all_ids = (x for group in text_groups(batch.column(1)) for x in use.ids(group))
             for row, ids in enumerate(all_ids):
                 ids += end
                 here, n = 0, len(ids) // 4
