@@ -12,36 +12,113 @@ intact, so a line takes part if another line has one of its halves.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from xxhash import xxh32_intdigest, xxh64_intdigest
 
-from tilewright.llm.common import SPACES, ascii_lower, fresh, in_groups
+from tilewright.llm.common import SPACES, fresh, in_groups, text_groups
 from tilewright.llm.rules import _let
 
 BASE = 0x9E3779B97F4A7C15
 WHOLE = -1  # the place of a line from which nothing was taken
 
 
-def _halves(line: Column) -> Column:
+def _each_line(text: str) -> Iterator[tuple[int, bytes, int]]:
+    """(number, normal form, characters) of every line with a word."""
+    for no, raw in enumerate(text.split("\n")):
+        line = raw.strip(SPACES)
+        if line:
+            yield no, line.encode().lower(), len(line)
+
+
+def _digest(line: bytes) -> tuple[int, int]:
+    """96 bits of a line; with its length the identity of a line."""
+    return _signed(xxh64_intdigest(line, 1)), xxh32_intdigest(line, 2)
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def _halves(line: bytes, n: int) -> list[int]:
     """Hashes of the first and last halves of a line, as the shorter and as the longer one of a pair."""
-    n = F.length(line)
-    sizes = (F.floor(n / 2).cast("int"), F.floor((n - 1) / 2).cast("int"))
-    keys = [F.xxhash64(F.lit(side), h, cut(line, h)) for h in sizes for side, cut in (("first", F.left), ("last", F.right))]
-    return F.array_distinct(F.array(*keys))
+    cut = line if len(line) == n else line.decode()
+    out = []
+    for h in {n // 2, (n - 1) // 2}:
+        for side, half in enumerate((cut[:h], cut[n - h :])):
+            out.append(_signed(xxh64_intdigest(half, 2 * h + side)))
+    return out
+
+
+def _mapped(docs: DataFrame, each: Callable, kinds: list[pa.DataType], schema: str) -> DataFrame:
+    """``each(text)`` gives tuples; the result has the row's (doc_id, doc) and the values of each tuple."""
+    names = [c.split()[0] for c in schema.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            first = 0
+            for group in text_groups(b.column(2), 4_000_000):
+                rows = [(first + i, *x) for i, t in enumerate(group) for x in each(t)]
+                first += len(group)
+                if rows:
+                    at, *values = zip(*rows, strict=True)
+                    own = [c.take(pa.array(at)) for c in b.columns[:2]]
+                    arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays([*own, *arrays], ["doc_id", "doc", *names])
+
+    kind = dict(docs.dtypes)["doc_id"]
+    return docs.select("doc_id", "doc", "text").mapInArrow(run, f"doc_id {kind}, doc bigint, {schema}")
+
+
+#: Places order lines: rows without an id come last, then by id, by text among rows that share an id, and by line.
+AT = ("doc_id", "doc", "no")
+
+
+def _placed(lines: DataFrame) -> DataFrame:
+    at = F.expr(f"named_struct('last', doc_id is null, {', '.join(f'{c!r}, {c}' for c in AT)})")
+    return lines.withColumns({"at": at, "h": F.struct("a", "b", "n")}).drop(*AT, "a", "b", "n")
 
 
 def _lines(docs: DataFrame) -> DataFrame:
-    """(at, line, h): every line with a word, its place and its digest. ``at`` orders lines: rows without an id come last,
-    then by id, by text among rows that share an id, and by line."""
-    each = docs.select("doc_id", "doc", F.posexplode(F.split("text", "\n", -1)).alias("no", "raw"))
-    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "doc", "no")
-    line = ascii_lower(F.btrim("raw", F.lit(SPACES)))
-    each = each.select(at.alias("at"), line.alias("line")).where("line <> ''")
-    return each.withColumn("h", F.struct(F.xxhash64("line").alias("a"), F.hash("line").alias("b"), F.length("line").alias("n")))
+    """(at, h, halves): every line with a word, by place and digest; the text itself stays behind."""
+
+    def each(text: str) -> Iterator[tuple]:
+        for no, line, n in _each_line(text):
+            yield no, *_digest(line), n, _halves(line, n)
+
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
+    return _placed(_mapped(docs, each, kinds, "no int, a bigint, b bigint, n int, halves array<bigint>"))
+
+
+#: Bits of the filter that spares most lines a join with the suspects.
+FILTER = 1 << 23
+
+
+def _texts_of(suspects: DataFrame, docs: DataFrame) -> DataFrame:
+    """(at, h, line) of the suspects. The documents are read again; a filter of fixed size (a bit for each digest that is
+    asked for) goes to all tasks, and what passes it is joined exactly."""
+    bit = F.pmod(F.col("h.a"), F.lit(FILTER))
+    words = suspects.select(F.floor(bit / 64).alias("w"), F.expr(f"shiftleft(1L, cast(pmod(h.a, {FILTER}) % 64 as int))").alias("x"))
+    asked = np.zeros(FILTER // 64, "i8")
+    for w, x in words.groupBy("w").agg(F.bit_or("x")).collect():
+        asked[w] = x
+
+    def each(text: str) -> Iterator[tuple]:
+        for no, line, n in _each_line(text):
+            a, b = _digest(line)
+            at = a % FILTER
+            if int(asked[at // 64]) >> (at % 64) & 1:
+                yield no, a, b, n, line.decode()
+
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.string()]
+    some = _placed(_mapped(docs, each, kinds, "no int, a bigint, b bigint, n int, line string"))
+    wanted = suspects.select(F.col("h").alias("s_h"), F.col("at").alias("s_at"))
+    found = some.join(wanted, (some["h"] == wanted["s_h"]) & (some["at"] == wanted["s_at"]), "left_semi")
+    return found.dropDuplicates(["h"])  # rows that repeat a place count once
 
 
 def variants(suspects: DataFrame) -> DataFrame:
@@ -82,15 +159,13 @@ def _variant_keys(line: str) -> np.ndarray:
         return keys ^ (keys >> np.uint64(32))
 
 
-def near_lines(first: DataFrame, lines: DataFrame, least: int) -> DataFrame:
+def near_lines(first: DataFrame, docs: DataFrame, least: int) -> DataFrame:
     """(h): distinct lines that have an earlier distinct line within one edit. ``first(h, at, halves)`` holds the distinct
-    lines, ``lines`` all of them."""
+    lines of ``docs``."""
     halves = first.where(F.col("h.n") >= least).select("h", "at", F.explode("halves").alias("half"))
     shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
     suspects = halves.join(shared, "half", "left_semi").select("h", "at").distinct()
-    suspects = suspects.select(F.col("h").alias("s_h"), F.col("at").alias("s_at"))
-    found = lines.join(suspects, (lines["h"] == suspects["s_h"]) & (lines["at"] == suspects["s_at"]), "left_semi")
-    found = fresh(found.dropDuplicates(["h"]), "suspects")  # rows that repeat a place count once
+    found = fresh(_texts_of(fresh(suspects, "asked"), docs), "suspects")
 
     key, place = Window.partitionBy("key"), Window.partitionBy("key", "place")
     whole = F.col("place") == WHOLE
@@ -120,12 +195,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.xxhash64(text).alias("doc")
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), doc)
-    lines = _lines(docs)
-    first = lines.withColumn("halves", _halves(F.col("line"))).groupBy("h").agg(
-        F.min("at").alias("at"), F.min("halves").alias("halves")
-    )
-    first = fresh(first, "first")
-    near = near_lines(first, lines, least).withColumn("near", F.lit(True))
+    lines = fresh(_lines(docs), "lines")
+    first = fresh(lines.groupBy("h").agg(F.min("at").alias("at"), F.first("halves").alias("halves")), "first")
+    near = near_lines(first, docs, least).withColumn("near", F.lit(True))
     known = fresh(first.select("h", F.col("at").alias("first")).join(near, "h", "left"), "known")
     places = lines.select("h", "at").join(known, "h")
     gone = places.select(
@@ -138,8 +210,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     per_doc = fresh(
         gone.where("why is not null").groupBy("g_id", "g_doc").agg(F.collect_set(F.struct("no", "why")).alias("gone")), "gone"
     )
-    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), text.alias("text"), doc)
+    rows = df.select(F.struct(*df.columns).alias("row"), F.col(id_col).alias("id"), doc)
     joined = rows.join(per_doc, rows["id"].eqNullSafe(per_doc["g_id"]) & (rows["doc"] == per_doc["g_doc"]), "left")
+    joined = joined.select("row", F.coalesce(F.col("row")[text_col], F.lit("")).alias("text"), "gone")  # moved once
     split = F.split("text", "\n", -1)
     kept = _let(
         split,
