@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 
@@ -47,10 +48,18 @@ def map_arrow(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
         for batch in batches:
             if batch.num_rows:
                 yield each(batch)
+        del each
+        give_back()
 
     return df.mapInArrow(run, schema)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: idle workers stay for a while beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+
+
 def text_groups(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:
     """Runs of whole texts of about ``most`` characters at a time; null reads as the empty text."""
     texts = (x or "" for at in range(0, len(column), 256) for x in column.slice(at, 256).to_pylist())

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh32_intdigest, xxh64_intdigest
 
-from tilewright.llm.common import SPACES, fresh, in_groups, text_groups
+from tilewright.llm.common import SPACES, fresh, give_back, in_groups, text_groups
 from tilewright.llm.rules import _let
 
 BASE = 0x9E3779B97F4A7C15
@@ -69,6 +69,7 @@ def _mapped(docs: DataFrame, each: Callable, kinds: list[pa.DataType], schema: s
                     own = [c.take(pa.array(at)) for c in b.columns[:2]]
                     arrays = [pa.array(v, k) for v, k in zip(values, kinds, strict=True)]
                     yield pa.RecordBatch.from_arrays([*own, *arrays], ["doc_id", "doc", *names])
+        give_back()
 
     kind = dict(docs.dtypes)["doc_id"]
     return docs.select("doc_id", "doc", "text").mapInArrow(run, f"doc_id {kind}, doc bigint, {schema}")
