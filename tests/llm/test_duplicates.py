@@ -167,6 +167,21 @@ def test_rules_reject_depleted_documents(spark):
     assert {i for i, k in kept.items() if not k} == {*range(12), *range(50, 61)}
 
 
+def test_rules_take_frequent_lines_out_of_kept_documents(spark):
+    bar = "Home about contact"
+    own = [" ".join(f"w{i}x{j}" for j in range(30)) for i in range(14)]
+    rows = [(i, f"{own[i]}\n\n \tHOME  about contact \nline {i}\n{bar}", "h") for i in range(12)]
+    rows += [(20, f"{own[12]}\n{bar}", "other"), (21, own[13] + "\n", "h"), (22, None, "h")]
+    docs = spark.createDataFrame([(*r, len(r[1] or "")) for r in rows], "doc_id long, text string, source string, n_chars int")
+    want = {i: f"{own[i]}\n\nline {i}" for i in range(12)} | {20: rows[12][1], 21: rows[13][1], 22: None}
+    assert dict(cases.pairs(rules.quality_rules(docs), "doc_id", "text")) == want
+    kept = rules.keep_good(docs)
+    assert kept.schema == docs.schema
+    assert {i: (t, n) for i, t, n in cases.pairs(kept, "doc_id", "text", "n_chars")} == {
+        i: (t, len(t)) for i, t in want.items() if i != 22
+    }
+
+
 def test_rules_use_no_python(spark):
     from tilewright.llm.queries import QUERIES
 

@@ -104,13 +104,26 @@ def line_counts(df: DataFrame, host: str, text: str) -> DataFrame:
     )
     words = each.select("host", "doc", F.split(F.btrim("raw", F.lit(SPACES)), SPACE_RUN).alias("words"))
     one = words.select(
-        "host", "doc", F.xxhash64(ascii_lower(F.array_join("words", " "))).alias("line"), F.size("words").alias("n")
+        "host", "doc", normal_line(F.col("words")).alias("line"), F.size("words").alias("n")
     )
     return one.groupBy("host", "doc", "line").agg(F.sum("n").alias("n_words"))
 
 
-def depleted(df: DataFrame, host: str, text: str, min_docs: int, share: float, least_left: float) -> DataFrame:
-    """(host, doc) of the texts that keep less than ``least_left`` of their words without the frequent lines."""
+def normal_line(words: Column) -> Column:
+    """Hash of a line in normal form, from its words."""
+    return F.xxhash64(ascii_lower(F.array_join(words, " ")))
+
+
+def without_lines(text: Column, hashes: Column) -> Column:
+    """``text`` without the lines of these hashes; without hashes, the text as it is."""
+    line = lambda x: normal_line(F.split(F.btrim(x, F.lit(SPACES)), SPACE_RUN))
+    rest = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(hashes, line(x)))
+    return F.when(hashes.isNull(), text).otherwise(F.array_join(rest, "\n"))
+
+
+def line_verdicts(df: DataFrame, host: str, text: str, min_docs: int, share: float, least_left: float) -> DataFrame:
+    """(d_host, d_doc, frequent, depleted) of the texts with frequent lines: the hashes of these lines, and whether the text
+    keeps less than ``least_left`` of its words without them."""
     lines = fresh(line_counts(df, host, text), "lines")
     same_host = lambda a, b: a.eqNullSafe(b)  # noqa: E731  rows without a host are a host of their own
     docs = df.select(F.col(host).alias("h"), _same_text(text).alias("doc")).distinct()
@@ -120,15 +133,13 @@ def depleted(df: DataFrame, host: str, text: str, min_docs: int, share: float, l
         F.col("found") > share * F.col("n_docs")
     )
     frequent = fresh(frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")), "frequent")
-    marked = lines.join(
-        frequent, same_host(F.col("host"), F.col("f_host")) & (F.col("line") == F.col("f_line")), "left"
+    marked = lines.join(frequent, same_host(F.col("host"), F.col("f_host")) & (F.col("line") == F.col("f_line")))
+    lost = marked.groupBy(F.col("host").alias("d_host"), F.col("doc").alias("d_doc")).agg(
+        F.sum("n_words").alias("lost"), F.collect_list("line").alias("frequent")
     )
-    left = F.sum(F.when(F.col("f_line").isNull(), F.col("n_words")).otherwise(0))
-    return (
-        marked.groupBy("host", "doc")
-        .agg(left.alias("left"), F.sum("n_words").alias("all"))
-        .where(F.col("left") < least_left * F.col("all"))
-        .select(F.col("host").alias("d_host"), F.col("doc").alias("d_doc"))
+    all_words = lines.groupBy("host", "doc").agg(F.sum("n_words").alias("all"))
+    return lost.join(all_words, same_host(F.col("d_host"), F.col("host")) & (F.col("d_doc") == F.col("doc"))).select(
+        "d_host", "d_doc", "frequent", (F.col("all") - F.col("lost") < least_left * F.col("all")).alias("depleted")
     )
 
 
@@ -136,36 +147,44 @@ def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                   min_words: int = 20, most_repeated: int = 30, min_docs: int = 10, share: float = 0.1,
                   least_left: float = 0.2) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
-    ``base_failed`` and ``kept``.
+    ``base_failed``, ``kept``, and ``text`` without the frequent lines of its host.
 
     A text fails by itself with fewer than ``min_words`` words or with over ``most_repeated`` percent of them in repeated
     windows. A line is frequent at a host if at least ``min_docs`` distinct documents and over ``share`` of the host's hold
-    it; a text that keeps less than ``least_left`` of its words without frequent lines is rejected. A null text has no words
-    and fails; rows without a host are one host; repeated rows have the same verdict and count once; null ids stay null; an
-    empty table gives no rows; other columns are not carried.
+    it; a text that keeps less than ``least_left`` of its words without frequent lines is rejected. The measures are those of
+    the whole text. A null text has no words, fails and stays null; rows without a host are one host; repeated rows have the
+    same verdict and count once; null ids stay null; an empty table gives no rows; other columns are not carried.
     """
     docs = only(df, doc_id=id_col, text=text_col, host=host_col)
-    gone = depleted(docs, "host", "text", min_docs, share, least_left)
-    own = measures(docs.withColumn("doc", _same_text("text")), "text", min_words, most_repeated).drop("text")
-    out = own.join(gone, own["host"].eqNullSafe(gone["d_host"]) & (own["doc"] == gone["d_doc"]), "left")
-    kept = ~F.col("base_failed") & F.col("d_doc").isNull()
+    found = line_verdicts(docs, "host", "text", min_docs, share, least_left)
+    own = measures(docs.withColumn("doc", _same_text("text")), "text", min_words, most_repeated)
+    out = own.join(found, own["host"].eqNullSafe(found["d_host"]) & (own["doc"] == found["d_doc"]), "left")
+    kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
     return out.select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept")
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
+        without_lines(F.col("text"), F.col("frequent")).alias("text"),
     )
 
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 20,
               most_repeated: int = 30, min_docs: int = 10, share: float = 0.1, least_left: float = 0.2) -> DataFrame:
-    """The rows of ``df`` that ``quality_rules`` keeps, with all their columns."""
+    """The rows of ``df`` that ``quality_rules`` keeps, with all their columns; the text goes without its frequent lines, and
+    ``n_chars``, where it is a column, follows."""
     docs = df.select(F.struct(*df.columns).alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    gone = depleted(docs, "host", "text", min_docs, share, least_left)
+    found = line_verdicts(docs, "host", "text", min_docs, share, least_left)
     words = words_of(F.col("text"))
     good = docs.withColumn("_words", words).withColumns(
         {"n_words": F.size("_words"), "n_repeat_words": repeated_words(F.col("_words"))}
     )
     good = good.where(~base_failed(min_words, most_repeated)).select("row", "host", _same_text("text").alias("doc"))
-    good = good.join(gone, good["host"].eqNullSafe(gone["d_host"]) & (good["doc"] == gone["d_doc"]), "left_anti")
-    return good.select("row.*")
+    good = good.join(found, good["host"].eqNullSafe(found["d_host"]) & (good["doc"] == found["d_doc"]), "left")
+    good = good.where(~F.coalesce("depleted", F.lit(False)))
+    good = good.withColumn("rest", without_lines(F.col(f"row.`{text_col}`"), F.col("frequent")))
+    new = {text_col: F.col("rest")}
+    if "n_chars" in df.columns:
+        chars = F.length("rest").cast(df.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(F.col("frequent").isNull(), F.col("row.n_chars")).otherwise(chars)
+    return good.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in df.columns])
 
 
 #: The same over the table ``documents``, with the default limits.
