@@ -17,6 +17,7 @@ CROSS_SECTION = [
     "mann_whitney_all_and_cohort", "interface_expression_signed_rank", "tagged_result_union", "interaction_exports",
     "tenx_directory", "top_cells_per_prototype", "largest_samples", "placed_cells", "contrasts_in_long_form",
     "matrix_market_prefilter", "gene_map_file", "log_normalised_counts", "bootstrap_stability", "spatial_deduplication",
+    "training_expression_files", "tile_expression_files", "sample_expression_files",
 ]
 ROWS_ONLY = {"principal_components", "elastic_net_weights"}
 QUERIES = all_queries()

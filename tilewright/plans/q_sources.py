@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import neighbors as nb
 from tilewright.plans.registry import query, r6
-from tilewright.plans.roles import CELL_TYPES, CELLS, MEASURES, PATIENTS, TILE_EXPR, cells, measures, patients, tile_expr
+from tilewright.plans.roles import CELL_TYPES, CELLS, GENES, MEASURES, PATIENTS, TILE_EXPR, cells, measures, patients, tile_expr
 from tilewright.session import load, new_path
 from tilewright.sources import readers as R
 from tilewright.sources import writers as W
@@ -59,15 +59,20 @@ def nuclei_files(spark, sf):
 def _wide_tiles(spark, sf, key):
     t = tile_expr(spark, sf)
     row = key(F.col("tile_x").cast("long"), F.col("tile_y").cast("long"))
-    return t.groupBy("sample_name", row.alias("spot")).pivot("gene", [f"G{i}" for i in range(8)]).agg(F.first("value"))
+    return t.groupBy("sample_name", row.alias("spot")).pivot("gene", [f"G{i}" for i in range(GENES)]).agg(F.first("value"))
+
+
+@query("S5 D6", f"with {CELLS}, {TILE_EXPR} select sample_name, tile_x as x, tile_y as y, gene, round(value, 6) as value from tile_expr")
+def sample_expression_files(spark, sf):
+    path = new_path(spark, "tiles")
+    w = _wide_tiles(spark, sf, lambda x, y: F.concat_ws("_", x, y))
+    w.write.partitionBy("sample_name").option("header", True).csv(path)
+    return R.tile_expression(spark, path).withColumns(r6("value"))
 
 
 @query("S5 D6", f"with {CELLS}, {TILE_EXPR} select tile_x as x, tile_y as y, gene, round(value, 6) as value from tile_expr where sample_name = 'S3'")
 def tile_expression_files(spark, sf):
-    path = new_path(spark, "tiles")
-    w = _wide_tiles(spark, sf, lambda x, y: F.concat_ws("_", x, y)).where("sample_name = 'S3'").drop("sample_name")
-    w.write.option("header", True).csv(path)
-    return R.tile_expression(spark, path).select("x", "y", "gene", F.round("value", 6).alias("value"))
+    return sample_expression_files(spark, sf).where("sample_name = 'S3'").drop("sample_name")
 
 
 @query("S6 D7 F16", f"with {CELLS}, {TILE_EXPR} select 'slide_' || sample_name as sample_name, tile_x::int as x, tile_y::int as y, gene, round(value, 6) as value from tile_expr")

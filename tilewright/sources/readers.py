@@ -113,12 +113,14 @@ def nuclei(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tile_expression(spark: SparkSession, path: str) -> DataFrame:
-    """Long (sample_name, x, y, gene, value) from wide per-sample files whose first column is ``<x>_<y>``."""
-    raw = spark.read.option("header", True).csv(path)
+    """Long (sample_name, x, y, gene, value) from wide per-sample files whose first column is ``<x>_<y>``. The sample is the
+    value of a ``<column>=<value>`` folder, or else the file's stem."""
+    raw = spark.read.option("header", True).option("recursiveFileLookup", True).csv(path)
     key, genes = raw.columns[0], raw.columns[1:]
     at = F.split(F.col(f"`{key}`"), "_")
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/[^/=]+=([^/]*)/[^/]+$", 1)
     wide = raw.select(
-        _stem().alias("sample_name"),
+        F.when(folder != "", folder).otherwise(_stem()).alias("sample_name"),
         F.coalesce(F.get(at, F.lit(0)).try_cast("double"), F.lit(0.0)).alias("x"),
         F.coalesce(F.get(at, F.lit(1)).try_cast("double"), F.lit(0.0)).alias("y"),
         *[F.coalesce(F.col(f"`{g}`").try_cast("double"), F.lit(0.0)).alias(g) for g in genes],
