@@ -18,6 +18,8 @@ CROSS_SECTION = [
     "tenx_directory", "top_cells_per_prototype", "largest_samples", "placed_cells", "contrasts_in_long_form",
     "matrix_market_prefilter", "gene_map_file", "log_normalised_counts", "bootstrap_stability", "spatial_deduplication",
     "training_expression_files", "tile_expression_files", "sample_expression_files",
+    "all_gene_prediction_files", "all_label_values", "top_genes_of_all_prototypes",
+    "all_gene_set_paired_test",
 ]
 ROWS_ONLY = {"principal_components", "elastic_net_weights"}
 QUERIES = all_queries()

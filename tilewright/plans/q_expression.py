@@ -230,9 +230,20 @@ def pair_sample_counts(spark, sf):
     pt as (select pair, gene, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t from sm group by all), tests as (select *, {Q.student('t', '(n - 1)')} as p from pt), final as ({Q.bh('pair', 'p')})
     select pair, gene as name, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(p, 5) as p, round(q, 5) as q from final""")
 def gene_set_paired_test(spark, sf):
-    prof = profiles(spark, sf)
-    g = prof.select("gene").distinct().where("gene in ('G0','G1','G2','G3','G4')")
-    sets = g.select(F.when(F.col("gene").isin("G1", "G3"), "odd").otherwise("even").alias("name"), "gene")
+    return _paired_sets(profiles(spark, sf), F.col("gene").isin("G0", "G1", "G2", "G3", "G4"))
+
+
+@query("A10", f"""{_B}, {_TAG}, {_CX}, {_DEPROF.format(m=3)}, st as (select distinct case when substr(gene, 2)::int % 2 = 1 then 'odd' else 'even' end as name, gene from prof),
+    sm as (select pair, name as gene, sample_name, avg(a) as a, avg(b) as b from prof join st using (gene) group by all),
+    pt as (select pair, gene, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t from sm group by all), tests as (select *, {Q.student('t', '(n - 1)')} as p from pt), final as ({Q.bh('pair', 'p')})
+    select pair, gene as name, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(p, 5) as p, round(q, 5) as q from final""")
+def all_gene_set_paired_test(spark, sf):
+    return _paired_sets(profiles(spark, sf), F.lit(True))
+
+
+def _paired_sets(prof, wanted):
+    odd = F.substring("gene", 2, 9).cast("int") % 2 == 1
+    sets = prof.select("gene").distinct().where(wanted).select(F.when(odd, "odd").otherwise("even").alias("name"), "gene")
     d = X.paired_expression(X.set_means(prof, sets, ["pair", "sample_name"]), test="ttest", eps=1.0)
     return d.select("pair", F.col("gene").alias("name"), "n", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
 
@@ -325,8 +336,21 @@ def sparse_markers(spark, sf):
 @query("P19 L1 L2", f"""with {MEASURES}, g as (select gene, {', '.join(f"log2(avg(value) filter (prototype_id = {k}) / avg(value) filter (prototype_id <> {k})) as c{k}" for k in range(3))} from measures group by gene)
     select gene, round(greatest(abs(c0), abs(c1), abs(c2)), 6) as effect from g order by greatest(abs(c0), abs(c1), abs(c2)) desc, gene limit 8""")
 def top_genes_by_effect(spark, sf):
+    return _top_genes(spark, sf, range(3))
+
+
+_FIVE = ", ".join(f"abs(c{k})" for k in range(5))
+
+
+@query("P19 L1 L2", f"""with {MEASURES}, g as (select gene, {', '.join(f"log2(avg(value) filter (prototype_id = {k}) / avg(value) filter (prototype_id <> {k})) as c{k}" for k in range(5))} from measures group by gene)
+    select gene, round(greatest({_FIVE}), 6) as effect from g order by greatest({_FIVE}) desc, gene limit 8""")
+def top_genes_of_all_prototypes(spark, sf):
+    return _top_genes(spark, sf, range(5))
+
+
+def _top_genes(spark, sf, prototypes):
     avg = lambda c: F.avg(F.when(c, F.col("value")))
     p = F.col("prototype_id")
-    g = measures(spark, sf).groupBy("gene").agg(*[F.log2(avg(p == k) / avg(p != k)).alias(f"c{k}") for k in range(3)])
-    e = F.greatest(*[F.abs(f"c{k}") for k in range(3)])
+    g = measures(spark, sf).groupBy("gene").agg(*[F.log2(avg(p == k) / avg(p != k)).alias(f"c{k}") for k in prototypes])
+    e = F.greatest(*[F.abs(f"c{k}") for k in prototypes])
     return g.withColumn("effect", e).orderBy(F.desc("effect"), "gene").limit(8).select("gene", F.round("effect", 6).alias("effect"))

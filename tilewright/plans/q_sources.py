@@ -316,6 +316,15 @@ def wide_prediction_files(spark, sf):
     return W.write_predictions_wide(t, new_path(spark, "pred"), ["G0", "G1", "G2"]).withColumns(r6("G0", "G1", "G2"))
 
 
+_ALL = [f"G{i}" for i in range(GENES)]
+
+
+@query("S26 F42", f"with {CELLS}, {TILE_EXPR} select sample_name, tile_x::bigint || '_' || tile_y::bigint as spot, {', '.join(f'''round(max(value) filter (gene = '{g}'), 6) as {g}''' for g in _ALL)} from tile_expr group by all")
+def all_gene_prediction_files(spark, sf):
+    t = tile_expr(spark, sf).withColumnsRenamed({"tile_x": "x", "tile_y": "y"})
+    return W.write_predictions_wide(t, new_path(spark, "pred"), _ALL).withColumns(r6(*_ALL))
+
+
 @query("S27 W12", f"""with {PATIENTS} select patient as sample_index, 'order ' || patient as sample_name, round(risk, 8) as risk_score, round(t / 365, 6) as time_years, e as event from patients""")
 def survival_prediction_file(spark, sf):
     p = patients(spark, sf).select(
