@@ -31,7 +31,9 @@ def fresh(df: DataFrame, stem: str, compression: str = "snappy") -> DataFrame:
     costs a re-read instead of the whole lineage."""
     path = new_path(df.sparkSession, stem)
     df.write.parquet(path, compression=compression)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._state_path = path
+    return out
 
 
 def only(df: DataFrame, **columns: str | Column) -> DataFrame:

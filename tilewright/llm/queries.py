@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, fill_middle, hmm, importance, lines, packing, rules, simhash, token_counts, topk, warc
+from tilewright.llm import byte_bpe, centroids, fill_middle, hmm, importance, lines, packing, rules, simhash, token_counts, topk, warc
 from tilewright.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,8 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2("output", 256).alias("output_sha256"),
         F.sha2(fill_middle.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
     )
+
+
+@query(centroids.clusters_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(load(spark, sf_dir, "embeddings"))
