@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tilewright.llm import byte_bpe, centroids, fill_middle, hmm, importance, lines, packing, rules, simhash, token_counts, topk, warc
+from tilewright.llm import byte_bpe, centroids, fill_middle, hmm, importance, lines, packing, rules, simhash, token_counts, topk, toxicity, warc
 from tilewright.session import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(centroids.clusters_sql())
 def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroids.clustered(load(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
