@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -164,17 +165,25 @@ def weighted_mean(df: DataFrame, keys: Sequence[str], value: str, n: str) -> Dat
 
 
 def layer_profiles(
-    tagged: DataFrame, expr: DataFrame, unit: Sequence[str], min_cells: int, how: str = "median", winsor: tuple | None = (0.05, 0.95)
+    tagged: DataFrame, expr: DataFrame, unit: Sequence[str], min_cells: int, how: str = "median",
+    winsor: tuple | None = (0.05, 0.95), subsample: int = 0, seed: int = 1337,
 ) -> DataFrame:
     """(pair, sample, gene, a, b): interface and core profiles of the samples with enough cells in both layers.
 
-    ``tagged`` has one row per cell and pair with its layer. Expression is computed once and shared by all pairs.
+    ``tagged`` has one row per cell and pair with its layer. Expression is computed once and shared by all pairs. With
+    ``subsample``, both layers of a (pair, sample) are cut to the same number of cells, at most that many, before any
+    expression is read.
     """
+    from tilewright.operators.sampling import equal_subsample
+
     size = tagged.groupBy("pair", "sample_name").agg(
         F.count_if(F.col("layer") == "interface").alias("ni"), F.count_if(F.col("layer") == "core").alias("nc")
     )
     ok = size.where((F.col("ni") >= min_cells) & (F.col("nc") >= min_cells)).select("pair", "sample_name")
-    rows = cut_lineage(tagged.join(ok, ["pair", "sample_name"], "left_semi").join(expr, list(unit)))
+    kept = tagged.join(ok, ["pair", "sample_name"], "left_semi")
+    if subsample:
+        kept = equal_subsample(cut_lineage(kept), ["pair", "sample_name"], "layer", subsample, ["pair", "node_idx"], seed, least=1)
+    rows = cut_lineage(kept.join(expr, list(unit)))
     p = robust_profile(rows, ["pair", "sample_name", "layer", "gene"], "value", how, winsor)
     on = lambda layer: F.max(F.when(F.col("layer") == layer, F.col("value")))
     wide = p.groupBy("pair", "sample_name", "gene").agg(on("interface").alias("a"), on("core").alias("b"))
@@ -182,9 +191,10 @@ def layer_profiles(
 
 
 def paired_expression(
-    profiles: DataFrame, keys: Sequence[str] = ("pair",), test: str = "wilcoxon", eps: float = 1e-6, min_samples: int = 2
+    profiles: DataFrame, keys: Sequence[str] = ("pair",), test: str = "wilcoxon", eps: float = 1e-6, min_samples: int = 2,
+    adjust: bool = True,
 ) -> DataFrame:
-    """(keys, gene): means, log2 fold change, paired p and q within each key over the whole family of genes."""
+    """(keys, gene): means, log2 fold change, paired p and, with ``adjust``, q within each key over the whole family of genes."""
     from tilewright.operators.ordered import fdr
     from tilewright.operators.stats import PAIRED_TESTS
 
@@ -194,43 +204,104 @@ def paired_expression(
     m = profiles.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean_a"), F.avg("b").alias("mean_b"))
     m = m.where(F.col("n") >= min_samples).withColumn("log2fc", F.log2(F.col("mean_a") + eps) - F.log2(F.col("mean_b") + eps))
     p = PAIRED_TESTS[test](profiles, by, "a", "b").drop("pairs")
-    return fdr(m.join(p, by), keys)
+    return fdr(m.join(p, by), keys) if adjust else m.join(p, by)
+
 
+def pair_name(i: int, j: int) -> str:
+    return f"P{i}_P{j}"
 
-def tag_layers(cells: DataFrame, mix: str, pairs: Sequence[tuple[int, int]], core: float, interface: float, delta: float | None = None, quantile: float | None = None) -> DataFrame:
+
+def tag_layers(
+    cells: DataFrame, mix: str, pairs: Sequence[tuple[int, int]], core: float, interface: float, delta: float | None = None,
+    quantile: float | None = None, balanced: Sequence[tuple[int, int]] | None = None,
+) -> DataFrame:
     """One row per cell, pair and layer (interface / core) from the neighbour shares.
 
-    ``delta`` keeps only balanced interface cells; ``quantile`` raises the interface level to that quantile within the sample.
+    The pairs are rows: the plan has one branch however many there are. ``delta`` keeps only balanced interface cells;
+    ``quantile`` raises the interface level to that quantile within the pair and sample. Both hold for the ``balanced``
+    pairs, all of them by default.
     """
     from tilewright.functions import predicates as P
 
-    m = F.col(mix)
-    rows = F.array(
+    strict = {tuple(sorted(p)) for p in (pairs if balanced is None else balanced)}
+    table = F.array(
         *[
             F.struct(
-                F.lit(f"P{i}_P{j}").alias("pair"),
-                P.interface_strength(m, i, j).alias("s"),
-                P.is_pair_core(m, i, j, core, interface).alias("core"),
-                (P.is_balanced(m, i, j, delta) if delta is not None else F.lit(True)).alias("ok"),
+                F.lit(pair_name(i, j)).alias("pair"), F.lit(i).alias("i"), F.lit(j).alias("j"),
+                F.lit(tuple(sorted((i, j))) in strict).alias("strict"),
             )
             for i, j in pairs
         ]
+    )
+    x = cells.select("sample_name", "node_idx", F.col(mix).alias("_m"), F.explode(table).alias("z"))
+    m, i, j = F.col("_m"), F.col("z.i"), F.col("z.j")
+    x = x.select(
+        "sample_name",
+        "node_idx",
+        "z.pair",
+        "z.strict",
+        P.interface_strength(m, i, j).alias("s"),
+        P.is_pair_core(m, i, j, core, interface).alias("core"),
+        (P.is_balanced(m, i, j, delta) if delta is not None else F.lit(True)).alias("ok"),
     )
-    x = cells.select("sample_name", "node_idx", F.explode(rows).alias("z")).select("sample_name", "node_idx", "z.*")
     at = F.lit(float(interface))
     if quantile is not None:
-        q = quantiles(x, ["pair", "sample_name"], "s", [quantile], "_q")
-        x = x.join(q, ["pair", "sample_name"])
-        at = F.greatest(at, F.col("_q")[0])
+        x = cut_lineage(x)
+        q = quantiles(x.where("strict"), ["pair", "sample_name"], "s", [quantile], "_q")
+        x = x.join(q, ["pair", "sample_name"], "left")
+        at = F.greatest(at, F.when(F.col("strict"), F.col("_q")[0]))
     layers = F.array_compact(
-        F.array(F.when((F.col("s") >= at) & F.col("ok"), F.lit("interface")), F.when(F.col("core"), F.lit("core")))
+        F.array(
+            F.when((F.col("s") >= at) & (F.col("ok") | ~F.col("strict")), F.lit("interface")),
+            F.when(F.col("core"), F.lit("core")),
+        )
     )
     return cut_lineage(x.select("pair", "sample_name", "node_idx", F.explode(layers).alias("layer")))
 
 
+@dataclass(frozen=True)
+class Contrast:
+    """Thresholds of one interface-against-core run."""
+
+    core: float = 0.8
+    interface: float = 0.45
+    min_cells: int = 60
+    p_max: float = 0.05
+    min_lfc: float = 0.1
+
+
+def interface_expression(
+    cells: DataFrame, mix: str, expr: DataFrame, pairs: Sequence[tuple[int, int]], strict: Contrast, relaxed: Contrast | None = None,
+    unit: Sequence[str] = ("sample_name", "node_idx"), delta: float | None = None, quantile: float | None = None,
+    balanced: Sequence[tuple[int, int]] | None = None, subsample: int = 0, test: str = "wilcoxon", how: str = "median",
+    winsor: tuple | None = (0.05, 0.95), eps: float = 1e-9, min_samples: int = 3, seed: int = 1337,
+) -> DataFrame:
+    """(pair, gene, n, mean_a, mean_b, log2fc, p, q, fallback): genes that differ between the interface and the cores of
+    every pair of prototypes, paired by sample.
+
+    Genes with p up to ``p_max`` and a fold change of at least ``min_lfc`` stay, and q covers those of a pair. A pair without
+    any under the ``strict`` thresholds is run again under the ``relaxed`` ones, and only such pairs are. The driver sees
+    the names of the pairs with a result.
+    """
+    from tilewright.operators.ordered import fdr
+
+    def run(some: Sequence[tuple[int, int]], at: Contrast) -> DataFrame:
+        tagged = tag_layers(cells, mix, some, at.core, at.interface, delta, quantile, balanced)
+        profiles = layer_profiles(tagged, expr, unit, at.min_cells, how, winsor, subsample, seed)
+        d = paired_expression(profiles, ("pair",), test, eps, min_samples, adjust=False)
+        return fdr(d.where((F.col("p") <= at.p_max) & (F.abs("log2fc") >= at.min_lfc)), ["pair"])
+
+    first = cut_lineage(run(pairs, strict).withColumn("fallback", F.lit(False)))
+    if relaxed is None:
+        return first
+    found = {r[0] for r in first.select("pair").distinct().collect()}
+    rest = [p for p in pairs if pair_name(*p) not in found]
+    return first.unionByName(run(rest, relaxed).withColumn("fallback", F.lit(True))) if rest else first
+
+
 def layer_diagnostics(tagged: DataFrame, samples: DataFrame, pairs: Sequence[tuple[int, int]], min_cells: int) -> DataFrame:
     """(pair, sample): cell counts per layer and why the pair was skipped there, if it was."""
-    names = F.array(*[F.lit(f"P{i}_P{j}") for i, j in pairs])
+    names = F.array(*[F.lit(pair_name(i, j)) for i, j in pairs])
     base = samples.select("sample_name").distinct().withColumn("pair", F.explode(names))
     n = tagged.groupBy("pair", "sample_name").agg(
         F.count_if(F.col("layer") == "interface").alias("n_interface"), F.count_if(F.col("layer") == "core").alias("n_core")

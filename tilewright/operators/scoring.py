@@ -11,8 +11,7 @@ from pyspark.sql.window import Window
 from tilewright.functions.scores import LIGAND_RECEPTOR
 from tilewright.operators.ordered import group_minmax, quantiles, top_n
 from tilewright.operators.prototypes import gathered
-from tilewright.operators.sampling import draw_number, k_folds
-from tilewright.session import cut_lineage
+from tilewright.session import cut_lineage, forget
 
 # ---------------------------------------------------------------- discovery and banks
 
@@ -171,27 +170,50 @@ def rank_in_unit(df: DataFrame, unit: Sequence[str], value: str, name: str = "rk
 
 def rank_score(df: DataFrame, sets: DataFrame, unit: Sequence[str], max_rank: int = 1500, value: str = "value") -> DataFrame:
     """Rank-based signature score per unit and set: 1 - U / (n * max_rank) over the set's genes, ranks capped; genes of
-    the set that the unit lacks take the worst rank. Every unit gets every set, 0 where none of the set's genes exists."""
-    names = sets.groupBy("name").agg(F.count_distinct("gene").alias("n"))
+    the set that the unit lacks take the worst rank.
+
+    Only units that hold a gene of a set have a row for it; everywhere else the score is that of :func:`zero_rule`, so
+    thousands of sets cost what their genes are found, not units times sets.
+    """
+    distinct = cut_lineage(sets.select("name", "gene").distinct())
+    names = distinct.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     worst = F.lit(float(max_rank + 1))
     r = rank_in_unit(df.where(F.col(value) > 0), unit, value)
     r = r.withColumn("rk", F.least(F.col("rk"), worst))
-    hit = r.join(sets.select("name", "gene").distinct(), "gene").groupBy(*unit, "name").agg(
-        F.sum("rk").alias("s"), F.count(F.lit(1)).alias("found")
-    )
-    known = gathered(names, "name")
-    full = df.select(*unit).distinct().withColumn("_s", known).select(*unit, F.explode("_s").alias("z")).select(*unit, "z.*")
-    j = full.join(hit, [*unit, "name"], "left").fillna(0, ["s", "found"])
+    hit = r.join(distinct, "gene").groupBy(*unit, "name").agg(F.sum("rk").alias("s"), F.count(F.lit(1)).alias("found"))
     n = F.col("n")
     u = F.col("s") + (n - F.col("found")) * worst - n * (n + 1) / 2
-    return j.select(*unit, "name", F.greatest(1 - u / (n * max_rank), F.lit(0.0)).alias("score"))
+    return hit.join(names, "name").select(*unit, "name", F.greatest(1 - u / (n * max_rank), F.lit(0.0)).alias("score"))
+
+
+def zero_rule(sets: DataFrame, max_rank: int = 1500) -> DataFrame:
+    """(name, score): the rank score of a set in a unit that holds none of its genes."""
+    n = F.col("n")
+    u = n * F.lit(float(max_rank + 1)) - n * (n + 1) / 2
+    size = sets.groupBy("name").agg(F.count_distinct("gene").alias("n"))
+    return size.select("name", F.greatest(1 - u / (n * max_rank), F.lit(0.0)).alias("score"))
+
+
+def rank_score_everywhere(df: DataFrame, sets: DataFrame, unit: Sequence[str], max_rank: int = 1500, value: str = "value") -> DataFrame:
+    """:func:`rank_score` with a row for every unit and set, as a table of few sets is wanted in wide form. The result has
+    units times sets rows; sets meet units through blocks of names, each one array of at most 1024."""
+    found = rank_score(df, sets, unit, max_rank, value)
+    rule = cut_lineage(zero_rule(sets, max_rank))
+    blocks = rule.groupBy(F.pmod(F.xxhash64("name"), F.lit(max(1, rule.count() // 512))).alias("_b")).agg(
+        F.collect_list(F.struct("name", "score")).alias("_z")
+    )
+    many = F.explode(F.sequence(F.lit(0), F.lit(max(1, rule.count() // 512) - 1))).alias("_b")
+    full = df.select(*unit).distinct().select(*unit, many).join(blocks, "_b")
+    full = full.select(*unit, F.explode("_z").alias("z")).select(*unit, "z.name", F.col("z.score").alias("_zero"))
+    return full.join(found, [*unit, "name"], "left").select(*unit, "name", F.coalesce("score", "_zero").alias("score"))
 
 
 def enrichment_score(df: DataFrame, sets: DataFrame, unit: Sequence[str], power: float = 0.25, value: str = "value") -> DataFrame:
     """Single-sample enrichment: sum over ranked genes of the in-set minus the out-of-set cumulative share.
 
     Summed by parts, a gene at position i adds to the last n - i + 1 running values, so only the set's own genes are read
-    and no running sum over all genes is needed.
+    and no running sum over all genes is needed. A set that holds every gene of a unit has no genes outside and so no
+    contrast: its score there is null. Units without any gene of a set have no row for it.
     """
     w = Window.partitionBy(*unit)
     ordered = w.orderBy(F.desc(value), "gene")
@@ -205,7 +227,7 @@ def enrichment_score(df: DataFrame, sets: DataFrame, unit: Sequence[str], power:
         F.sum("tail").alias("t"),
     )
     n, m = F.col("n"), F.col("m")
-    outside = F.when(n > m, (n * (n + 1) / 2 - F.col("t")) / (n - m)).otherwise(F.lit(0.0))
+    outside = F.when(n > m, (n * (n + 1) / 2 - F.col("t")) / (n - m))
     return s.select(*unit, "name", (F.col("inside") - outside).alias("score"))
 
 
@@ -261,8 +283,10 @@ def call_prototypes(
 def align_by_similarity(observed: DataFrame, prior: DataFrame) -> DataFrame:
     """(source, target, similarity): each source in order takes its most similar target that is still free.
 
-    ``observed`` and ``prior`` are (name, macro, frac) compositions of a handful of prototypes; the walk over the
-    sources is one fold over a bounded array.
+    ``observed`` and ``prior`` are (name, macro, frac) compositions. The walk is deferred acceptance in which every target
+    prefers the source that comes first: in each round the free sources ask for their best target that hasn't turned them
+    down, and a target keeps the first of all that asked. As all targets rank the sources alike, the end is the same as
+    walking through the sources one by one, whatever their number. A source without a free target has no row.
     """
     pair = observed.select(F.col("name").alias("s"), "macro", F.col("frac").alias("a")).join(
         prior.select(F.col("name").alias("t"), "macro", F.col("frac").alias("b")), "macro"
@@ -272,26 +296,18 @@ def align_by_similarity(observed: DataFrame, prior: DataFrame) -> DataFrame:
     sim = dots.join(size(observed, "s", "na"), "s").join(size(prior, "t", "nb"), "t").select(
         "s", "t", (F.col("d") / (F.col("na") * F.col("nb"))).alias("sim")
     )
-    ranked = sim.groupBy("s").agg(F.sort_array(F.collect_list(F.struct((-F.col("sim")).alias("neg"), "t"))).alias("c"))
-    rows = ranked.withColumn("_all", gathered(ranked, "s")).orderBy("s").limit(1)
-    kind = "array<struct<s:string,t:string,neg:double>>"
-    walk = F.aggregate(
-        "_all",
-        F.array().cast(kind),
-        lambda acc, row: F.concat(
-            acc,
-            F.coalesce(
-                F.transform(
-                    F.slice(F.filter(row["c"], lambda o: ~F.exists(acc, lambda p: p["t"] == o["t"])), 1, 1),
-                    lambda o: F.struct(row["s"].cast("string").alias("s"), o["t"].cast("string").alias("t"), o["neg"].alias("neg")),
-                ),
-                F.array().cast(kind),
-            ),
-        ),
-    )
-    return rows.select(F.explode(walk).alias("m")).select(
-        F.col("m.s").alias("source"), F.col("m.t").alias("target"), (-F.col("m.neg")).alias("similarity")
-    )
+    live = cut_lineage(sim)  # pairs whose target has not turned the source down
+    while True:
+        asked = live.groupBy("s").agg(F.min(F.struct((-F.col("sim")).alias("neg"), "t")).alias("o"))
+        asked = cut_lineage(asked.select("s", F.col("o.t").alias("t"), (-F.col("o.neg")).alias("sim")))
+        kept = cut_lineage(asked.groupBy("t").agg(F.min("s").alias("_first")))
+        if asked.count() == kept.count():
+            return asked.select(F.col("s").alias("source"), F.col("t").alias("target"), F.col("sim").alias("similarity"))
+        # what a target holds can only come earlier, so it turns down every later source, asked or not
+        left = cut_lineage(live.join(kept, "t", "left").where("_first is null or s <= _first").drop("_first"))
+        for state in (live, asked, kept):
+            forget(state)
+        live = left
 
 
 def top_j_pooling(df: DataFrame, slide: str, item: Sequence[str], scores: str, j: int) -> DataFrame:
@@ -337,102 +353,7 @@ def sender_receiver(weights: DataFrame) -> DataFrame:
     return s.join(r, "grp", "full_outer").fillna(0.0, ["sent", "received"])
 
 
-# ---------------------------------------------------------------- weights of features
-
-
-def simplex_grid(spark, parts: int, steps: int) -> DataFrame:
-    """(cand, w): all weight vectors of ``parts`` entries in multiples of 1 / steps that sum to 1."""
-    total = (steps + 1) ** (parts - 1)
-    digits = [F.floor(F.col("id") / F.lit((steps + 1) ** i)) % (steps + 1) for i in range(parts - 1)]
-    used = sum(digits[1:], digits[0])
-    w = F.array(*[(d / steps).cast("double") for d in digits], ((steps - used) / steps).cast("double"))
-    return spark.range(total).where(used <= steps).select(F.col("id").alias("cand"), w.alias("w"))
-
-
-def dirichlet_candidates(spark, parts: int, n: int, seed: int = 42) -> DataFrame:
-    """(cand, w): uniform weights on the simplex, -log(u) normalised, u from a hash of the candidate and the entry."""
-    base = spark.range(n).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    u = (draw_number(["id", "i"], seed, "d") + 1) / F.lit(float(16**13 + 1))
-    e = base.withColumn("e", -F.log(u)).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("i", "e"))).alias("x"))
-    total = F.aggregate("x", F.lit(0.0), lambda s, v: s + v["e"])
-    return e.withColumn("_t", total).select(F.col("id").alias("cand"), F.transform("x", lambda v: v["e"] / F.col("_t")).alias("w"))
-
-
-def weight_search(
-    df: DataFrame, unit: str, label: str, features: Sequence[str], candidates: DataFrame, k: int = 5, seed: int = 42
-) -> DataFrame:
-    """(cand, w, auc): mean test-fold AUC of each weighting of the features, scaled robustly on the training folds.
-
-    The candidate list is bounded and travels as one array; every row is scored against it in place.
-    """
-    from tilewright.operators.expression import robust_z_fit
-    from tilewright.operators.stats import roc_auc
-
-    folded = cut_lineage(k_folds(df.select(unit, label, *features), k, [unit], seed))
-    names = F.array(*[F.struct(F.lit(i).alias("f"), F.col(c).cast("double").alias("x")) for i, c in enumerate(features)])
-    long = folded.select(unit, label, "fold", F.explode(names).alias("z")).select(unit, label, "fold", "z.f", "z.x")
-    others = F.filter(F.sequence(F.lit(1), F.lit(k)), lambda i: i != F.col("fold"))
-    fit = robust_z_fit(long.select("f", "x", F.explode(others).alias("fold")), ["fold", "f"], "x")
-    z = long.join(fit, ["fold", "f"]).withColumn("z", (F.col("x") - F.col("mu")) / F.col("spread"))
-    rows = z.groupBy(unit, label, "fold").agg(F.sort_array(F.collect_list(F.struct("f", "z"))).alias("v"))
-    scored = rows.withColumn("_c", gathered(candidates, "cand", 100_000)).select(
-        "fold", label, F.transform("v", lambda p: p["z"]).alias("zs"), F.explode("_c").alias("c")
-    )
-    s = F.aggregate(F.zip_with("zs", F.col("c.w"), lambda a, b: b * a), F.lit(0.0), lambda t, x: t + x)
-    auc = roc_auc(scored.select("fold", F.col("c.cand").alias("cand"), F.col(label).alias("y"), s.alias("s")), ["fold", "cand"], "s", "y")
-    mean = auc.groupBy("cand").agg(F.avg("auc").alias("auc"))
-    return candidates.join(mean, "cand")
-
-
-def best_candidate(searched: DataFrame, digits: int = 12) -> DataFrame:
-    return searched.agg(F.max_by(F.struct("cand", "w", "auc"), F.struct(F.round("auc", digits), -F.col("cand"))).alias("b")).select("b.*")
-
-
-def elastic_weights(
-    df: DataFrame, label: str, features: Sequence[str], alphas: Sequence[float] = (0.0, 0.25, 0.5, 0.75, 1.0), k: int = 5, seed: int = 42
-) -> DataFrame:
-    """(feature, weight): class-weighted elastic-net logistic regression, mixing chosen by cross-validated AUC; negative
-    coefficients cut to 0 and the rest scaled to sum 1, uniform where nothing is left."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
-    from pyspark.ml.feature import StandardScaler, VectorAssembler
-    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-
-    share = df.agg(F.avg(F.col(label).cast("double"))).scalar()
-    rows = df.withColumn("_p", share).withColumn("_y", F.col(label).cast("double"))
-    rows = rows.withColumn("_w", F.when(F.col("_y") == 1, 0.5 / F.col("_p")).otherwise(0.5 / (1 - F.col("_p"))))
-    lr = LogisticRegression(featuresCol="_s", labelCol="_y", weightCol="_w", regParam=0.01, maxIter=50)
-    flow = Pipeline(
-        stages=[
-            VectorAssembler(inputCols=list(features), outputCol="_v"),
-            StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True),
-            lr,
-        ]
-    )
-    grid = ParamGridBuilder().addGrid(lr.elasticNetParam, list(alphas)).build()
-    judge = BinaryClassificationEvaluator(labelCol="_y", metricName="areaUnderROC")
-    best = CrossValidator(estimator=flow, estimatorParamMaps=grid, evaluator=judge, numFolds=k, seed=seed, parallelism=4).fit(rows).bestModel
-    beta = [max(0.0, float(b)) for b in best.stages[-1].coefficients]
-    total = sum(beta)
-    w = [b / total if total > 0 else 1.0 / len(beta) for b in beta]
-    return df.sparkSession.createDataFrame(list(zip(features, w)), "feature string, weight double")
-
-
-def combination_report(df: DataFrame, unit: str, label: str, features: Sequence[str], weights: dict[str, Sequence[float]]) -> DataFrame:
-    """(combo, auc and interval): every single feature and every named weighting of the robustly scaled features."""
-    from tilewright.operators.expression import robust_z
-    from tilewright.operators.stats import auc_interval
-
-    names = F.array(*[F.struct(F.lit(c).alias("combo"), F.col(c).cast("double").alias("x")) for c in features])
-    z = cut_lineage(robust_z(df.select(unit, label, F.explode(names).alias("n")).select(unit, label, "n.*"), ["combo"], "x", "s"))
-    single = z.select(unit, label, "combo", "s")
-    place = F.create_map(*[F.lit(v) for kv in enumerate(features) for v in reversed(kv)])
-    for name, w in weights.items():
-        ws = F.array(*[F.lit(float(v)) for v in w])
-        part = z.groupBy(unit, label).agg(F.sum(F.get(ws, place[F.col("combo")]) * F.col("s")).alias("s"))
-        single = single.unionByName(part.withColumn("combo", F.lit(name)))
-    return auc_interval(single, ["combo"], "s", label)
+# ---------------------------------------------------------------- rows and groups
 
 
 def top_cells(df: DataFrame, prototype: str, cell: str, score: str, n: int, total: int) -> DataFrame:

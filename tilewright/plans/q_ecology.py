@@ -16,7 +16,7 @@ from tilewright.plans.roles import (
 )
 
 PROTOS = list(range(5))
-PAIRS = [(0, 2), (2, 4), (1, 3)]
+PAIRS = [(i, j) for i in PROTOS for j in PROTOS if i < j]
 _MIX = f"""mix as (select c.sample_name, c.node_idx, c.prototype_id, c.cell_type, c.label, c.cohort, c.pos_x, c.pos_y, c.score,
       {', '.join(f'coalesce(avg((b.prototype_id = {k})::int), 0) as p{k}' for k in PROTOS)},
       {', '.join(f"coalesce(avg((b.cell_type = '{t}')::int), 0) as t{i}" for i, t in enumerate(CELL_TYPES))}

@@ -8,7 +8,7 @@ from tilewright.operators import prototypes as P
 from tilewright.operators import sampling
 from tilewright.operators import stats as S
 from tilewright.plans import tail_sql as Q
-from tilewright.plans.q_ecology import _B, mixed
+from tilewright.plans.q_ecology import _B, PAIRS, PROTOS, mixed
 from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import CELLS, EDGES, MEASURES, TILE_EXPR, TILES, cells, edges, measures, staged, tile_expr, tiles
 from tilewright.session import load
@@ -135,12 +135,9 @@ def principal_components(spark, sf):
 
 # ---------------------------------------------------------------- differential expression
 
-PAIRS = [(0, 2), (2, 4), (1, 3)]
-_TAG = "tag as (" + " union all ".join(
-    f"select 'P{i}_P{j}' as pair, sample_name, node_idx, 'interface' as layer from mix where least(p{i}, p{j}) >= 0.2 union all "
-    f"select 'P{i}_P{j}', sample_name, node_idx, 'core' from mix where (p{i} >= 0.3 and p{j} <= 1 - 0.2::double) or (p{j} >= 0.3 and p{i} <= 1 - 0.2::double)"
-    for i, j in PAIRS
-) + ")"
+_PX = f"""pij(i, j) as (select * from (values {', '.join(map(str, PAIRS))})), px as (select sample_name, node_idx, 'P' || i || '_P' || j as pair, m[i + 1] as x, m[j + 1] as y from (select *, [{', '.join(f'p{k}' for k in PROTOS)}] as m from mix), pij)"""
+_TAG = f"""{_PX}, tag as (select pair, sample_name, node_idx, 'interface' as layer from px where least(x, y) >= 0.2 union all
+      select pair, sample_name, node_idx, 'core' from px where (x >= 0.3 and y <= 1 - 0.2::double) or (y >= 0.3 and x <= 1 - 0.2::double))"""
 _DEPROF = """sz as (select pair, sample_name from tag group by all having count(*) filter (layer = 'interface') >= {m} and count(*) filter (layer = 'core') >= {m}),
     rws as (select t.pair, t.sample_name, t.layer, c.gene, c.value from tag t join sz on sz.pair = t.pair and sz.sample_name = t.sample_name join cx c on c.sample_name = t.sample_name and c.node_idx = t.node_idx),
     wq as (select pair, sample_name, layer, gene, quantile_cont(value, 0.05) as lo, quantile_cont(value, 0.95) as hi from rws group by all),
@@ -188,22 +185,33 @@ def interface_expression_signed_rank(spark, sf):
     return d.withColumns(r6("mean_a", "mean_b", "log2fc", "p", "q"))
 
 
-_TAGB = "tag as (" + " union all ".join(
-    f"select 'P{i}_P{j}' as pair, m.sample_name, node_idx, 'interface' as layer from mix m join (select sample_name, quantile_cont(least(p{i}, p{j}), 0.6) as q from mix group by 1) q using (sample_name) where least(p{i}, p{j}) >= greatest(0.2, q) and abs(p{i} - p{j}) <= 0.15 union all "
-    f"select 'P{i}_P{j}', sample_name, node_idx, 'core' from mix where (p{i} >= 0.3 and p{j} <= 1 - 0.2::double) or (p{j} >= 0.3 and p{i} <= 1 - 0.2::double)"
-    for i, j in PAIRS
-) + ")"
+def _contrast_sql(c, to, only="true"):
+    """One run of thresholds ``c`` over the pairs that ``only`` selects, as CTEs that end in ``to``."""
+    n = to
+    return f"""
+    tq{n} as (select pair, sample_name, quantile_cont(least(x, y), 0.6) as q from px where {only} group by all),
+    tg{n} as (select pair, sample_name, node_idx, 'interface' as layer from px join tq{n} using (pair, sample_name) where least(x, y) >= greatest({c.interface}, q) and abs(x - y) <= 0.25::double
+      union all select pair, sample_name, node_idx, 'core' from px where {only} and ((x >= {c.core} and y <= 1 - {c.interface}::double) or (y >= {c.core} and x <= 1 - {c.interface}::double))),
+    sz{n} as (select pair, sample_name, least(20, count(*) filter (layer = 'interface'), count(*) filter (layer = 'core')) as take from tg{n} group by all having least(count(*) filter (layer = 'interface'), count(*) filter (layer = 'core')) >= {c.min_cells}),
+    tk{n} as (select * from (select t.*, take, row_number() over (partition by pair, sample_name, layer order by md5('1337:' || pair || ':' || node_idx), node_idx) as r from tg{n} t join sz{n} using (pair, sample_name)) where r <= take),
+    rw{n} as (select t.pair, t.sample_name, t.layer, c.gene, c.value from tk{n} t join cx c on c.sample_name = t.sample_name and c.node_idx = t.node_idx),
+    wq{n} as (select pair, sample_name, layer, gene, quantile_cont(value, 0.05) as lo, quantile_cont(value, 0.95) as hi from rw{n} group by all),
+    pr{n} as (select pair, sample_name, layer, gene, median(greatest(least(value, hi), lo)) as v from rw{n} join wq{n} using (pair, sample_name, layer, gene) group by all),
+    pf{n} as (select pair, sample_name, gene, max(v) filter (layer = 'interface') as a, max(v) filter (layer = 'core') as b from pr{n} group by all having max(v) filter (layer = 'interface') is not null and max(v) filter (layer = 'core') is not null),
+    pt{n} as (select pair, gene, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t from pf{n} group by all having count(*) >= 3),
+    ps{n} as (select *, log2(mean_a + 1) - log2(mean_b + 1) as log2fc, {Q.student('t', '(n - 1)')} as p from pt{n}),
+    pk{n} as (select * from ps{n} where p <= {c.p_max} and abs(log2fc) >= {c.min_lfc}),
+    {to} as ({Q.bh('pair', 'p').replace('from tests', f'from pk{n}')})"""
 
 
-@query("A9 P10 P11 U8", f"""{_B}, {_TAGB}, {_CX}, {_DEPROF.format(m=2)}, {_PT.format(n=3)}
-    select pair, gene, n, round(log2(mean_a + 1) - log2(mean_b + 1), 6) as log2fc, round(p, 5) as p, round(q, 5) as q, false as fallback from final where p <= 0.3 order by q, log2fc desc""")
+_STRICT, _RELAXED = X.Contrast(0.4, 0.25, 6, 0.05, 0.02), X.Contrast(0.3, 0.15, 3, 0.2, 0.01)
+
+
+@query("A9 P10 P11 X4 U8", f"""{_B}, {_PX}, {_CX}, {_contrast_sql(_STRICT, 'strict')}, {_contrast_sql(_RELAXED, 'relaxed', 'pair not in (select pair from strict)')}
+    select pair, gene, n, round(log2fc, 6) as log2fc, round(p, 5) as p, round(q, 5) as q, fallback from (select *, false as fallback from strict union all select *, true from relaxed)""")
 def interface_expression_balanced(spark, sf):
-    t = tagged(spark, sf, delta=0.15, quantile=0.6)
-    d = X.paired_expression(X.layer_profiles(t, cell_expr(spark, sf), ["sample_name", "node_idx"], 2), test="ttest", eps=1.0, min_samples=3)
-    strict = d.where("p <= 0.3")
-    relaxed = X.paired_expression(profiles(spark, sf), test="ttest", eps=1.0).where("p <= 0.5")
-    out = X.with_fallback(strict, relaxed)
-    return out.select("pair", "gene", "n", F.round("log2fc", 6).alias("log2fc"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"), "fallback").orderBy("q", F.desc("log2fc"))
+    d = X.interface_expression(mixed(spark, sf), "mix", cell_expr(spark, sf), PAIRS, _STRICT, _RELAXED, delta=0.25, quantile=0.6, subsample=20, test="ttest", eps=1.0)
+    return d.select("pair", "gene", "n", F.round("log2fc", 6).alias("log2fc"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"), "fallback")
 
 
 @query("U8 U2", f"""with {MEASURES}, m as (select gene, avg(value) as v from measures group by gene) select gene, round(v, 6) as v, true as fallback from m""")
@@ -212,7 +220,7 @@ def relaxed_fallback(spark, sf):
     return X.with_fallback(m.where("v > 1000"), m.where("v > 0")).withColumns(r6("v"))
 
 
-@query("G54", f"""{_B}, {_TAG}, s as (select distinct sample_name from cells), p as (select unnest(['P0_P2', 'P2_P4', 'P1_P3']) as pair),
+@query("G54", f"""{_B}, {_TAG}, s as (select distinct sample_name from cells), p as (select 'P' || i || '_P' || j as pair from pij),
     d as (select pair, sample_name, (select count(*) from tag t where t.pair = p.pair and t.sample_name = s.sample_name and layer = 'interface') as n_interface, (select count(*) from tag t where t.pair = p.pair and t.sample_name = s.sample_name and layer = 'core') as n_core from s, p)
     select *, case when n_interface < 8 and n_core < 8 then 'few_both' when n_interface < 8 then 'few_interface' when n_core < 8 then 'few_core' else 'used' end as reason from d""")
 def filter_diagnostics(spark, sf):

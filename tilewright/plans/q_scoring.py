@@ -163,12 +163,17 @@ def fused_bank(spark, sf):
     return fused(spark, sf)[0].select("prototype", "tag", "gene")
 
 
-_SETS = "sets as (select distinct 'set' || (p_size % 4) as name, upper(replace(p_brand, '#', '')) as gene from part)"
+_SETS = """sets as (select 'set' || k as name, gene from (select distinct upper(replace(p_brand, '#', '')) as gene from part), (select unnest(range(0, 8)) as k)
+      where ('0x' || substr(md5(k || ':' || gene), 1, 8))::bigint % (k + 2) = 0)"""
 
 
 def gene_sets(spark, sf):
-    p = load(spark, sf, "part")
-    return p.select(F.concat(F.lit("set"), (F.col("p_size") % 4).cast("string")).alias("name"), F.upper(F.regexp_replace("p_brand", "#", "")).alias("gene")).distinct()
+    """Eight overlapping sets, each a hashed share of the genes."""
+    genes = load(spark, sf, "part").select(F.upper(F.regexp_replace("p_brand", "#", "")).alias("gene")).distinct()
+    k = F.col("k")
+    draw = F.conv(F.substring(F.md5(F.concat(k.cast("string"), F.lit(":"), F.col("gene"))), 1, 8), 16, 10).cast("long")
+    sets = genes.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).where(draw % (k + 2) == 0)
+    return sets.select(F.concat(F.lit("set"), k.cast("string")).alias("name"), "gene")
 
 
 _UE = "ue as (select unit, gene, sum(value) as value from measures group by all)"
@@ -182,13 +187,13 @@ def unit_expr(spark, sf):
     h as (select unit, name, sum(rk) as s, count(*) as f from r join sets using (gene) group by all)
     select u.unit, n.name, round(greatest(1 - (coalesce(s, 0) + (n - coalesce(f, 0)) * 31 - n * (n + 1) / 2) / (n * 30), 0), 6) as score from (select distinct unit from ue) u join n on true left join h on h.unit = u.unit and h.name = n.name""")
 def rank_signature_scores(spark, sf):
-    return Sc.rank_score(unit_expr(spark, sf), gene_sets(spark, sf), ["unit"], 30).withColumns(r6("score"))
+    return Sc.rank_score_everywhere(unit_expr(spark, sf), gene_sets(spark, sf), ["unit"], 30).withColumns(r6("score"))
 
 
 @query("A40 W18", f"""with {MEASURES}, {_SETS}, se as (select sample_name, gene, avg(value) as value from measures group by all),
     r as (select *, row_number() over (partition by sample_name order by value desc, gene) as pos, count(*) over (partition by sample_name) as n from se),
     x as (select r.*, s.name, s4.gene is not null as hit from r join (select distinct name from sets) s on true left join sets s4 on s4.name = s.name and s4.gene = r.gene),
-    c as (select *, sum(case when hit then pow(n - pos + 1, 0.25) else 0 end) over w / sum(case when hit then pow(n - pos + 1, 0.25) else 0 end) over p as pin, sum((not hit)::int) over w / sum((not hit)::int) over p as pout from x
+    c as (select *, sum(case when hit then pow(n - pos + 1, 0.25) else 0 end) over w / sum(case when hit then pow(n - pos + 1, 0.25) else 0 end) over p as pin, sum((not hit)::int) over w / nullif(sum((not hit)::int) over p, 0) as pout from x
       window w as (partition by sample_name, name order by pos), p as (partition by sample_name, name))
     select sample_name, name, round(sum(pin - pout), 5) as score from c group by all""")
 def single_sample_enrichment(spark, sf):
@@ -317,65 +322,3 @@ def top_ligand_receptor(spark, sf):
     return c.orderBy(F.desc("prob"), "ligand", "receptor", "source", "target").limit(20).withColumns(r6("prob", digits=4))
 
 
-# ---------------------------------------------------------------- weight search
-
-_FEAT = """feat as (select c_custkey as unit, (c_nationkey % 2)::int as y, c_acctbal / 1000 as a, sum(o_totalprice) / 100000 as b, count(*)::double as c from customer join orders on c_custkey = o_custkey group by c_custkey, c_nationkey, c_acctbal)"""
-_HX = "('0x' || substr(md5('{s}:' || {i}), 1, 13))::bigint"
-_SEARCH = f"""fold as (select *, ((row_number() over (order by {_HX.format(s=42, i='unit')}, md5('42:' || unit)) - 1) % 5 + 1)::int as fold from feat),
-    lng as (select unit, y, fold, f, case f when 0 then a when 1 then b else c end as x from fold, (select unnest(range(0, {{n}})) as f)),
-    md as (select t.fold as fold, l.f, median(x) as mu, stddev_samp(x) as sd from lng l, (select unnest(range(1, 6)) as fold) t where l.fold <> t.fold group by t.fold, l.f),
-    ft as (select t.fold, t.f, mu, sd, 1.4826 * median(abs(x - mu)) as mad from md t join lng l on l.f = t.f and l.fold <> t.fold group by all),
-    z as (select unit, y, l.fold, l.f, (x - mu) / (case when mad > 0 then mad when sd > 0 then sd else 1 end) as z from lng l join ft on ft.fold = l.fold and ft.f = l.f),
-    zs as (select unit, y, fold, list(z order by f) as zs from z group by all)"""
-
-
-def features(spark, sf):
-    c, o = load(spark, sf, "customer"), load(spark, sf, "orders")
-    return c.join(o, c.c_custkey == o.o_custkey).groupBy("c_custkey", "c_nationkey", "c_acctbal").agg(
-        (F.sum("o_totalprice") / 100000).alias("b"), F.count(F.lit(1)).cast("double").alias("c")
-    ).select(F.col("c_custkey").alias("unit"), (F.col("c_nationkey") % 2).cast("int").alias("y"), (F.col("c_acctbal") / 1000).alias("a"), "b", "c")
-
-
-def _searchsql(n, cand, s):
-    return f"""with {_FEAT}, {_SEARCH.format(n=n)}, cd as ({cand}), sc as (select fold, cand, y, {s} as s from zs, cd), rk as (select *, {Q.avg_rank('fold, cand', 's')} as rk from sc),
-    au as (select fold, cand, (sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0::double) / (sum(y) * sum(1 - y)) as auc from rk group by all) select cand, round(avg(auc), 6) as auc from au group by cand"""
-
-
-@query("A49 L11", _searchsql(2, "select i as cand, i / 20.0::double as w0, (20 - i) / 20.0::double as w1 from (select unnest(range(0, 21)) as i)", "0 + w0 * zs[1] + w1 * zs[2]"))
-def two_feature_weights(spark, sf):
-    return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b"], Sc.simplex_grid(spark, 2, 20)).select("cand", F.round("auc", 6).alias("auc"))
-
-
-_TWO = _searchsql(2, "select i as cand, i / 20.0::double as w0, (20 - i) / 20.0::double as w1 from (select unnest(range(0, 21)) as i)", "0 + w0 * zs[1] + w1 * zs[2]").replace("round(avg(auc), 6) as auc from au", "avg(auc) as auc from au")
-
-
-@query("A49 L11", f"select cand, cand / 20.0::double as w0, round(auc, 6) as auc from ({_TWO}) order by round(auc, 12) desc, cand limit 1")
-def chosen_two_feature_weights(spark, sf):
-    best = Sc.best_candidate(Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b"], Sc.simplex_grid(spark, 2, 20)))
-    return best.select("cand", F.col("w")[0].alias("w0"), F.round("auc", 6).alias("auc"))
-
-
-@query("A50", _searchsql(3, "select i + 101 * j as cand, i / 100.0::double as w0, j / 100.0::double as w1, (100 - i - j) / 100.0::double as w2 from (select unnest(range(0, 101)) as i), (select unnest(range(0, 101)) as j) where i + j <= 100", "0 + w0 * zs[1] + w1 * zs[2] + w2 * zs[3]"))
-def three_feature_weights(spark, sf):
-    return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b", "c"], Sc.simplex_grid(spark, 3, 100)).select("cand", F.round("auc", 6).alias("auc"))
-
-
-@query("A51 E4", _searchsql(3, f"""select i as cand, e0 / (0 + e0 + e1 + e2) as w0, e1 / (0 + e0 + e1 + e2) as w1, e2 / (0 + e0 + e1 + e2) as w2 from (
-    select i, {', '.join(f"-ln(({_HX.format(s='42d', i=f'i || chr(58) || {k}')} + 1) / {float(16**13 + 1)}::double) as e{k}" for k in range(3))} from (select unnest(range(0, 2000)) as i))""", "0 + w0 * zs[1] + w1 * zs[2] + w2 * zs[3]"))
-def random_simplex_weights(spark, sf):
-    return Sc.weight_search(features(spark, sf), "unit", "y", ["a", "b", "c"], Sc.dirichlet_candidates(spark, 3, 2000)).select("cand", F.round("auc", 6).alias("auc"))
-
-
-@query("A52")
-def elastic_net_weights(spark, sf):
-    return Sc.elastic_weights(features(spark, sf), "y", ["a", "b", "c"], [0.0, 0.25, 0.5, 0.75, 1.0], 5).withColumns(r6("weight", digits=4))
-
-
-@query("A53", f"""with {_FEAT}, l as (select unit, y, f, case f when 'a' then a when 'b' then b else c end as x from feat, (select unnest(['a', 'b', 'c']) as f)),
-    m as (select f, median(x) as mu, stddev_samp(x) as sd from l group by f), md as (select f, mu, sd, 1.4826 * median(abs(x - mu)) as mad from l join m using (f) group by all), z as (select unit, y, f as combo, (x - mu) / (case when mad > 0 then mad when sd > 0 then sd else 1 end) as s from l join md using (f)),
-    alls as (select unit, y, combo, s from z union all select unit, y, 'tuned', sum(case combo when 'a' then 0.5 when 'b' then 0.3 else 0.2 end * s) from z group by unit, y),
-    r as (select *, {Q.avg_rank('combo', 'round(s, 9)')} as rk from alls), u as (select combo, (sum(rk * y) - sum(y) * (sum(y) + 1) / 2.0::double) / (sum(y) * sum(1 - y)) as a, median(s) filter (y = 1) < median(s) filter (y = 0) as down from r group by combo)
-    select combo, round(case when down then 1 - a else a end, 5) as auc, case when down then '>' else '<' end as direction from u""")
-def combination_report(spark, sf):
-    r = Sc.combination_report(features(spark, sf), "unit", "y", ["a", "b", "c"], {"tuned": [0.5, 0.3, 0.2]})
-    return r.select("combo", F.round("auc", 5).alias("auc"), "direction")

@@ -229,16 +229,17 @@ def pearson_mean(spark, sf):
     return S.pearson_per_gene(measures(spark, sf), "gene", "value", "weight").agg(F.round(F.avg("r"), 6).alias("mean_r"))
 
 
-@query("A54 J14 E7", f"""with {MEASURES}, u as (select distinct p_name as gene from part), h as (select distinct p_name as gene from part where p_retailprice > 1500),
-    s as (select distinct p_brand as name, p_name as gene from part),
+@query("A54 J14 E7", f"""with {MEASURES}, u as (select distinct p_partkey as gene from part), h as (select distinct p_partkey as gene from part where p_retailprice > 970 or p_brand like 'Brand#1%'),
+    s as (select distinct p_brand as name, p_partkey as gene from part union all select distinct 'Name ' || p_name, p_partkey from part),
     o as (select name, count(*) as set_size, count(h.gene) as overlap from s left join h using (gene) group by name),
     tests as (select *, {Q.hypergeom('overlap', 'drawn', 'set_size', 'universe')} as p from (select *, (select count(*) from h) as drawn, (select count(*) from u) as universe from o)),
     final as ({Q.bh('', 'p')})
-    select name, set_size, overlap, drawn, universe, round(p, 6) as p, round(q, 6) as q from final""")
+    select name, set_size, overlap, drawn, universe, round(log10(p), 4) as log10_p, round(q, 6) as q from final""")
 def over_representation(spark, sf):
-    p = load(spark, sf, "part").withColumn("gene", F.col("p_name"))
-    t = S.over_representation(p.where("p_retailprice > 1500"), p.withColumn("name", F.col("p_brand")), p)
-    return t.select("name", "set_size", "overlap", "drawn", "universe", F.round("p", 6).alias("p"), F.round("q", 6).alias("q"))
+    p = load(spark, sf, "part").withColumn("gene", F.col("p_partkey"))
+    sets = p.select(F.explode(F.array("p_brand", F.concat(F.lit("Name "), F.col("p_name")))).alias("name"), "gene")
+    t = S.over_representation(p.where("p_retailprice > 970 or p_brand like 'Brand#1%'"), sets, p)
+    return t.select("name", "set_size", "overlap", "drawn", "universe", F.round(F.log10("p"), 4).alias("log10_p"), F.round("q", 6).alias("q"))
 
 
 _PAIR = "pair as (select event_id % 5 as t, (event_id + case when value > 40 then user_id else 0 end) % 5 as p from events)"

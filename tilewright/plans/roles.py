@@ -1,6 +1,7 @@
 """How the driver tables stand in for the domain tables, as DataFrames and as SQL common table expressions.
 
-``cells``        embeddings: one cell per vector, position from the first two components, sample from the label
+``cells``        embeddings: one cell per vector, position from the first two components, sample from the label (a third of
+                 all cells are moved to S0), prototype and cell type from the largest of five components, unevenly
 ``tiles``        cells averaged over a square grid per sample; expression in long form
 ``measures``     lineitem with its order, customer and part: unit, gene, value, weight, sample, layer
 ``patients``     orders with their customer: follow-up time, event, risk and group
@@ -17,32 +18,46 @@ CELL_TYPES = ["Connective", "Neoplastic", "Dead", "Epithelial", "Inflammatory"]
 SCALE = 1000.0
 TILE = 50.0
 GENES = 64  # every vector component is a gene of a tile
+PROTO_BIAS = [0.1, 0.04, 0.0, -0.02, -0.06]
+TYPE_BIAS = [0.06, 0.03, 0.0, 0.0, -0.03]
+
+
+def _largest(first: int, bias: list[float]):
+    """Place (from 0) of the largest of five vector components, each raised by its bias."""
+    five = F.transform(F.slice("embedding", first, 5), lambda x, i: x.cast("double") + F.array(*map(F.lit, bias))[i])
+    return (F.array_position(five, F.array_max(five)) - 1).cast("int")
+
+
+def _largest_sql(first: int, bias: list[float]) -> str:
+    five = "[" + ", ".join(f"embedding[{first + i}]::double + {b}::double" for i, b in enumerate(bias)) + "]"
+    return f"(list_position({five}, list_max({five})) - 1)::int"
 
 
 def cells(spark: SparkSession, sf: str) -> DataFrame:
     types = F.array(*[F.lit(t) for t in CELL_TYPES])
     e = load(spark, sf, "embeddings")
+    sample = F.when(F.col("vec_id") % 3 == 0, 0).otherwise(F.col("label"))
     return e.select(
-        F.concat(F.lit("S"), F.col("label").cast("string")).alias("sample_name"),
+        F.concat(F.lit("S"), sample.cast("string")).alias("sample_name"),
         F.col("vec_id").alias("node_idx"),
-        F.concat(F.lit("C"), (F.col("label") % 3).cast("string")).alias("cohort"),
-        (F.col("label") % 2).cast("int").alias("label"),
+        F.concat(F.lit("C"), (sample % 3).cast("string")).alias("cohort"),
+        (sample % 2).cast("int").alias("label"),
         (F.col("embedding")[0].cast("double") * SCALE).alias("pos_x"),
         (F.col("embedding")[1].cast("double") * SCALE).alias("pos_y"),
-        (F.col("vec_id") % 5).cast("int").alias("prototype_id"),
-        types[(F.floor(F.col("vec_id") / 5) % 5).cast("int")].alias("cell_type"),
+        _largest(4, PROTO_BIAS).alias("prototype_id"),
+        types[_largest(9, TYPE_BIAS)].alias("cell_type"),
         F.col("embedding")[2].cast("double").alias("score"),
         "embedding",
     )
 
 
-CELLS = """cells as (
-  select 'S' || label as sample_name, vec_id as node_idx, 'C' || (label % 3) as cohort, (label % 2)::int as label,
+CELLS = f"""cells as (
+  select 'S' || s as sample_name, vec_id as node_idx, 'C' || (s % 3) as cohort, (s % 2)::int as label,
     embedding[1]::double * 1000.0::double as pos_x, embedding[2]::double * 1000.0::double as pos_y,
-    (vec_id % 5)::int as prototype_id,
-    (['Connective','Neoplastic','Dead','Epithelial','Inflammatory'])[((vec_id // 5) % 5 + 1)::int] as cell_type,
+    {_largest_sql(4, PROTO_BIAS)} as prototype_id,
+    ({CELL_TYPES})[{_largest_sql(9, TYPE_BIAS)} + 1] as cell_type,
     embedding[3]::double as score, embedding
-  from embeddings)"""
+  from (select *, case when vec_id % 3 = 0 then 0 else label end as s from embeddings))"""
 
 
 def knn_sql(k: int, by_sample: bool = True, name: str = "knn") -> str:
