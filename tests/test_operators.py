@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tilewright.functions import tails
-from tilewright.operators import ecology, expression, lookup, neighbors, ordered, prototypes, sampling, stats, survival
+from tilewright.operators import expression, lookup, neighbors, ordered, prototypes, sampling, stats, survival, thinning
 
 
 def rows(df):
@@ -133,7 +133,7 @@ def test_kaplan_meier_reaches_zero_and_never_rises(spark):
 def test_greedy_thinning_keeps_first_and_third_of_a_chain(spark):
     d = [("s", 1, 0.0, 0.0), ("s", 2, 4.0, 0.0), ("s", 3, 8.0, 0.0), ("s", 4, 8.0, 0.0)]
     df = spark.createDataFrame(d, "g string, node_idx long, pos_x double, pos_y double")
-    assert sorted(r.node_idx for r in ecology.deduplicate(df, 5.0, ["g"]).collect()) == [1, 3]
+    assert sorted(r.node_idx for r in thinning.deduplicate(df, 5.0, ["g"]).collect()) == [1, 3]
 
 
 def test_components_of_a_long_chain(spark):

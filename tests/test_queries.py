@@ -17,11 +17,12 @@ CROSS_SECTION = [
     "mann_whitney_all_and_cohort", "interface_expression_signed_rank", "tagged_result_union", "interaction_exports",
     "tenx_directory", "top_cells_per_prototype", "largest_samples", "placed_cells", "contrasts_in_long_form",
     "matrix_market_prefilter", "gene_map_file", "log_normalised_counts", "bootstrap_stability", "spatial_deduplication",
-    "training_expression_files", "tile_expression_files", "sample_expression_files",
+    "training_expression_files", "sample_expression_files",
     "all_gene_prediction_files", "all_label_values", "top_genes_of_all_prototypes",
-    "all_gene_set_paired_test",
+    "all_gene_set_paired_test", "elastic_net_weights", "combination_report", "chosen_two_feature_weights",
+    "component_reconstruction", "single_sample_enrichment", "over_representation", "prior_alignment", "cohort_config",
 ]
-ROWS_ONLY = {"principal_components", "elastic_net_weights"}
+ROWS_ONLY = {"principal_components"}
 QUERIES = all_queries()
 
 

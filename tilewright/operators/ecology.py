@@ -331,34 +331,3 @@ def assemble_metrics(density: DataFrame, proximity: DataFrame, core: DataFrame,
         .join(shares, "sample_name", "left")
         .join(about, "sample_name", "left")
     )
-
-
-def deduplicate(points: DataFrame, radius: float, groups: Sequence[str], order: str = "node_idx") -> DataFrame:
-    """Greedy spatial thinning: in id order keep a point unless an earlier kept one lies within the radius.
-
-    Fixed point instead of a sequential scan: a point with no undecided or kept earlier neighbour is kept, a point with a
-    kept earlier neighbour is dropped; repeat on the rest. The outcome equals the scan's. Exact copies of a position
-    are settled up front, since the first of them always decides.
-    """
-    from tilewright.operators.neighbors import within_radius
-    from tilewright.session import cut_lineage, forget
-
-    groups = list(groups)
-    first = points.groupBy(*groups, "pos_x", "pos_y").agg(F.min(order).alias("node_idx"))
-    pairs = cut_lineage(within_radius(first, first, radius, groups).where("src < dst").select(*groups, "src", "dst"))
-    state = cut_lineage(first.select(*groups, "node_idx", F.lit(None).cast("int").alias("keep")))
-    while True:  # every round settles at least the first undecided point of each group
-        earlier = (
-            pairs.join(state.select(*groups, F.col("node_idx").alias("src"), "keep"), [*groups, "src"])
-            .groupBy(*groups, F.col("dst").alias("node_idx"))
-            .agg(F.max("keep").alias("near_kept"), F.count_if(F.col("keep").isNull()).alias("open"))
-        )
-        decided = F.when(F.col("keep").isNotNull(), F.col("keep")).when(F.col("near_kept") == 1, 0).when(
-            F.coalesce("open", F.lit(0)) == 0, 1
-        )
-        before, state = state, cut_lineage(state.join(earlier, [*groups, "node_idx"], "left").select(*groups, "node_idx", decided.alias("keep")))
-        forget(before)
-        if state.where("keep is null").limit(1).count() == 0:
-            break
-    kept = state.where("keep = 1").select(*groups, "node_idx")
-    return points.join(kept.withColumnRenamed("node_idx", order), [*groups, order], "left_semi")

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -100,18 +103,78 @@ def variable_genes(df: DataFrame, n: int, gene: str = "gene", value: str = "valu
     return df.groupBy(gene).agg(F.var_samp(value).alias("variance")).orderBy(F.desc("variance"), gene).limit(n)
 
 
-def pca(df: DataFrame, features: str, k: int, seed: int = 0) -> DataFrame:
-    """First k principal components of standardised feature arrays (``pyspark.ml``)."""
-    from pyspark.ml import Pipeline
-    from pyspark.ml.feature import PCA, StandardScaler
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-
-    v = df.withColumn("_v", array_to_vector(F.col(features)))
-    steps = [
-        StandardScaler(inputCol="_v", outputCol="_s", withMean=True, withStd=True),
-        PCA(k=k, inputCol="_s", outputCol="_p"),
-    ]
-    return Pipeline(stages=steps).fit(v).transform(v).withColumn("components", vector_to_array("_p")).drop("_v", "_s", "_p")
+MAX_FEATURES = 4096
+
+
+def _feature_moments(df: DataFrame, features: str, width: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """Rows, means and standard deviations (n - 1; 0 becomes 1) of each feature, in one aggregate."""
+    f = [F.col(features)[i].cast("double") for i in range(width)]
+    row = df.agg(F.count(F.lit(1)), *[F.avg(c) for c in f], *[F.stddev_samp(c) for c in f]).first()
+    spread = np.array([s if s else 1.0 for s in row[1 + width :]], float)
+    return row[0], np.array([m or 0.0 for m in row[1 : 1 + width]], float), spread
+
+
+def gram(df: DataFrame, features: str, mean: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Products of the standardised features, summed over all rows: every task adds up its rows as one matrix product and
+    sends one line per feature."""
+    width = len(mean)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for b in batches:
+            x = (b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - mean) / spread
+            total += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(range(width), pa.int32()), pa.array(total.tolist(), pa.list_(pa.float64()))], ["i", "g"])
+
+    parts = df.select(F.col(features).cast("array<double>").alias("x")).mapInArrow(run, "i int, g array<double>")
+    cells = parts.select("i", F.posexplode("g").alias("j", "v")).groupBy("i", "j").agg(F.sum("v").alias("v"))
+    out = np.zeros((width, width))
+    for r in cells.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("r")).toLocalIterator():  # one row per feature
+        out[r["i"]] = [c["v"] for c in r["r"]]
+    return (out + out.T) / 2
+
+
+def principal_axes(df: DataFrame, features: str, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(variances, axes, mean, spread): the ``k`` largest variances of the standardised features with their axes (columns),
+    each turned so that its largest entry is positive. Only rows with all features present count; at most 4096 features."""
+    width = df.agg(F.max(F.size(features))).first()[0] or 0
+    if width > MAX_FEATURES:
+        raise ValueError(f"more than {MAX_FEATURES} features: choose the variable ones first")
+    whole = df.where((F.size(features) == width) & F.forall(features, lambda v: v.isNotNull() & ~F.isnan(v)))
+    n, mean, spread = _feature_moments(whole, features, width)
+    values, axes = np.linalg.eigh(gram(whole, features, mean, spread) / max(n - 1, 1))
+    order = np.argsort(values)[::-1][:k]
+    axes = axes[:, order]
+    turn = np.sign(axes[np.abs(axes).argmax(axis=0), np.arange(axes.shape[1])])
+    return values[order], axes * np.where(turn == 0, 1, turn), mean, spread
+
+
+def pca(df: DataFrame, features: str, k: int) -> DataFrame:
+    """``df`` with ``components``: the first ``k`` principal components of the standardised feature arrays; null where a
+    feature is missing. Rows are read three times (moments, products, scores) and never shuffled."""
+    _, axes, mean, spread = principal_axes(df, features, k)
+    width = len(mean)
+
+    @F.pandas_udf("array<double>")
+    def scores(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            ok = [v is not None and len(v) == width and not any(x is None or x != x for x in v) for v in batch]
+            out = np.empty(len(batch), object)
+            if any(ok):
+                x = (np.array([v for v, o in zip(batch, ok, strict=True) if o], float) - mean) / spread
+                out[np.flatnonzero(ok)] = list(x @ axes)
+            yield pd.Series(out)
+
+    return df.withColumn("components", scores(F.col(features).cast("array<double>")))
+
+
+def reconstructed_correlation(df: DataFrame, features: str, k: int) -> DataFrame:
+    """(i, j, value): the correlation matrix as the sum of the first ``k`` axes times their variances. With all axes it is
+    the correlation matrix itself; with fewer, what is lacking is what these components leave unexplained."""
+    values, axes, _, _ = principal_axes(df, features, k)
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate((axes * values) @ axes.T)]
+    table = df.sparkSession.createDataFrame(rows, "i int, r array<double>")
+    return table.select("i", F.posexplode("r").alias("j", "value"))
 
 
 # ---------------------------------------------------------------- profiles

@@ -112,16 +112,33 @@ def combine_first(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def match_cohort(df: DataFrame, roots: DataFrame) -> DataFrame:
-    """Root of each cohort name: equal after normalising, else the first root whose key contains it or is contained.
+    """Root of each cohort name: equal after normalising, else the first root (by key) whose key contains it or is contained.
 
-    Cohort names and roots are configuration, so both sides are reduced to distinct names before the containment join.
+    A key that contains another has it among its pieces of the other's length. So each side is cut into pieces of the
+    lengths that the other side has, and pieces meet keys by equality; a name costs its own pieces, however many
+    roots there are. Blank names and roots match nothing.
     """
-    from tilewright.operators.prototypes import gathered
-
-    names = df.select("cohort").distinct().withColumn("_k", T.cohort_key(F.col("cohort")))
-    table = roots.select(T.cohort_key(F.col("name")).alias("k"), "root").groupBy("k").agg(F.min("root").alias("root"))
-    c = names.withColumn("_t", gathered(table, "k"))
-    same = F.filter("_t", lambda t: t["k"] == F.col("_k"))
-    part = F.filter("_t", lambda t: F.contains(t["k"], F.col("_k")) | F.contains(F.col("_k"), t["k"]))
-    found = c.select("cohort", F.coalesce(F.get(same, F.lit(0))["root"], F.get(part, F.lit(0))["root"]).alias("root"))
+    names = df.select("cohort").distinct().withColumn("k", T.cohort_key(F.col("cohort"))).where("k is not null and k <> ''")
+    table = roots.select(T.cohort_key(F.col("name")).alias("k"), "root").where("k is not null and k <> ''")
+    table = table.groupBy("k").agg(F.min("root").alias("root"))
+    inside = _pieces(names, table).join(table.select(F.col("k").alias("_piece"), F.col("root").alias("_root")), "_piece")
+    inside = inside.select("cohort", "k", F.col("_piece").alias("at"), "_root")
+    around = _pieces(table, names).join(names.select(F.col("k").alias("_piece"), "cohort"), "_piece")
+    around = around.select("cohort", F.col("_piece").alias("k"), F.col("k").alias("at"), F.col("root").alias("_root"))
+    found = inside.unionByName(around).groupBy("cohort").agg(
+        F.min_by("_root", F.struct((F.col("k") != F.col("at")).alias("other"), F.col("at"))).alias("root")
+    )
     return df.join(found, "cohort", "left")
+
+
+def _pieces(df: DataFrame, other: DataFrame) -> DataFrame:
+    """Rows with each distinct ``_piece`` of their key that has the length of some key of the other table."""
+    lengths = other.agg(F.coalesce(F.collect_set(F.length("k")), F.array().cast("array<int>"))).scalar()
+    whole = F.length("k")
+    cuts = F.flatten(
+        F.transform(
+            F.filter("_lengths", lambda n: n <= whole),
+            lambda n: F.transform(F.sequence(F.lit(1), whole - n + 1), lambda i: F.substr("k", i, n)),
+        )
+    )
+    return df.withColumn("_lengths", lengths).withColumn("_piece", F.explode(F.array_distinct(cuts))).drop("_lengths")

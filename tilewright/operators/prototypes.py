@@ -292,21 +292,60 @@ def adjusted_rand(df: DataFrame, keys: Sequence[str], a: str, b: str, weight: st
     return j.select(*keys, F.when(top == 0, F.lit(1.0)).otherwise((F.col("sij") - expect) / F.when(top != 0, top)).alias("ari"))
 
 
-def kmeans_centers(df: DataFrame, k: int, rounds: int = 10, vector: str = "embedding", node: str = "vec_id") -> DataFrame:
-    """(k, vec): centres of the unit vectors after ``rounds`` of Lloyd's algorithm.
+def _nearest(centers: Sequence[Sequence[float]]) -> Column:
+    """Squared distances of ``u`` to each centre, as an array."""
+    away = [F.aggregate(F.zip_with("u", F.lit(list(c)), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v) for c in centers]
+    return F.array(*away)
+
+
+def _seeds(unit: DataFrame, node: str, k: int, start: int, passes: int, seed: int) -> list[list[float]]:
+    """First centres by oversampling (k-means||): from one hashed vector on, every pass takes each vector with a probability
+    in proportion to its squared distance to what was taken, 2k in expectation, and the few candidates are thinned to k by
+    the vectors that they stand for: the next is the one with the largest weight times squared distance."""
+    from tilewright.operators.sampling import _SPACE, draw_key, draw_number
+
+    taken = [list(r["u"]) for r in unit.orderBy(draw_key([node], seed, f"s{start}"), node).limit(1).collect()]
+    if not taken:
+        return []
+    for p in range(passes):
+        far = unit.withColumn("_d", F.array_min(_nearest(taken)))
+        total = far.agg(F.sum("_d")).first()[0] or 0.0
+        if total <= 0:
+            break
+        u = draw_number([node], seed, f"s{start}p{p}") / F.lit(float(_SPACE))
+        taken += [list(r["u"]) for r in far.where(u < 2.0 * k * F.col("_d") / total).orderBy(node).select("u").collect()]  # about 2k rows
+    near = unit.select(_nearest(taken).alias("d"))
+    counts = near.groupBy(F.array_position("d", F.array_min("d")).alias("at")).agg(F.count(F.lit(1)).alias("n")).collect()
+    weight = {r["at"] - 1: r["n"] for r in counts}
+    square = lambda a, b: sum((x - y) * (x - y) for x, y in zip(a, b))
+    chosen: list[int] = []
+    while len(chosen) < min(k, len(taken)):
+        score = lambda c: weight.get(c, 0) * (min(square(taken[c], taken[o]) for o in chosen) if chosen else 1.0)
+        chosen.append(max((c for c in range(len(taken)) if c not in chosen), key=lambda c: (round(score(c), 9), -c)))
+    return [taken[c] for c in chosen]
+
+
+def kmeans_centers(
+    df: DataFrame, k: int, rounds: int = 10, vector: str = "embedding", node: str = "vec_id", starts: int = 2, passes: int = 2,
+    seed: int = 42,
+) -> DataFrame:
+    """(k, vec): centres of the unit vectors after ``rounds`` of Lloyd's algorithm, from the start with the least inertia.
 
-    The first centres are the vectors with the k smallest ids, so the outcome is fixed; a vector goes to the nearest centre,
-    the lowest number on a tie, and a centre without vectors stays. Each round is one aggregate of k rows.
+    Each start takes its first centres by hashed oversampling (``passes`` over the rows), so the outcome is fixed; a vector
+    goes to the nearest centre, the lowest number on a tie, and a centre without vectors stays. Each round is one aggregate
+    of k rows; the driver holds centres and candidates alone. Fewer distinct vectors than ``k`` give fewer centres.
     """
     unit = cut_lineage(df.where(F.col(vector).isNotNull()).select(node, A.l2_normalize(F.col(vector)).alias("u")))
-    centers = [list(r[0]) for r in unit.orderBy(node).select("u").limit(k).collect()]
-    size = len(centers[0]) if centers else 0
-    for _ in range(rounds if centers else 0):
-        square = [
-            F.aggregate(F.zip_with("u", F.lit(c), lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, v: t + v) for c in centers
-        ]
-        near = unit.select("u", F.array(*square).alias("d"))
-        near = near.select("u", F.array_position("d", F.array_min("d")).alias("at"))
-        for r in near.groupBy("at").agg(*[F.avg(F.col("u")[i]) for i in range(size)]).collect():
-            centers[r[0] - 1] = list(r[1:])
-    return df.sparkSession.createDataFrame(list(enumerate(centers)), "k int, vec array<double>")
+    best: tuple[float, list] = (float("inf"), [])
+    for start in range(starts):
+        centers = _seeds(unit, node, k, start, passes, seed)
+        if not centers:
+            break
+        for _ in range(rounds):
+            near = unit.select("u", _nearest(centers).alias("d")).select("u", F.array_position("d", F.array_min("d")).alias("at"))
+            for r in near.groupBy("at").agg(*[F.avg(F.col("u")[i]) for i in range(len(centers[0]))]).collect():
+                centers[r[0] - 1] = list(r[1:])
+        inertia = round(unit.agg(F.sum(F.array_min(_nearest(centers)))).first()[0], 9)
+        if inertia < best[0]:
+            best = inertia, centers
+    return df.sparkSession.createDataFrame(list(enumerate(best[1])), "k int, vec array<double>")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tilewright.operators.ordered import quantiles, running, top_n
+from tilewright.session import cut_lineage
 
 _SPACE = 16**13
 
@@ -108,20 +109,24 @@ def k_folds(df: DataFrame, k: int, ids: Sequence[str], seed: int = 42, name: str
 
 
 def bootstrap(df: DataFrame, rounds: int, ids: Sequence[str], fraction: float = 1.0, seed: int = 42) -> DataFrame:
-    """Each row with its weight per bootstrap round: Poisson(fraction) counts by inversion of a hash, zeros left out.
+    """Each row with its ``weight`` per bootstrap ``round``: how often it is among the round's max(1, int(fraction * n)) draws
+    with replacement; rows that aren't drawn are left out.
 
-    Poisson counts are the form of drawing with replacement that needs no total and no shuffle.
+    The ids must be unique. Rows have places 1..n in their hash order; draw number j of a round falls on a place by a hash of
+    (round, j), so every round has exactly its size, and a retry draws the same. What is moved is one pair of numbers per
+    draw, combined before it is joined with the rows.
     """
-    import math
-
-    rep = df.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    u = draw_number([*ids, "round"], seed, "b") / F.lit(float(_SPACE))
-    weight, term, below = F.lit(0), math.exp(-fraction), 0.0
-    for i in range(0, 12):
-        below += term
-        weight = weight + (u >= below).cast("int")
-        term *= fraction / (i + 1)
-    return rep.withColumn("weight", weight).where("weight > 0")
+    placed = cut_lineage(_positions(df, [], ids, seed))
+    n = placed.count()
+    if not n:
+        return df.withColumn("round", F.lit(1)).withColumn("weight", F.lit(1).cast("long"))
+    size = max(1, int(fraction * n))
+    draws = df.sparkSession.range(rounds * size).select(
+        (F.floor(F.col("id") / size) + 1).cast("int").alias("round"), (F.col("id") % size).alias("_j")
+    )
+    place = F.floor(draw_number(["round", "_j"], seed, "b") / F.lit(float(_SPACE)) * n) + 1
+    drawn = draws.groupBy("round", place.alias("_pos")).agg(F.count(F.lit(1)).alias("weight"))
+    return placed.join(drawn, "_pos").select(*df.columns, "round", "weight")
 
 
 def quartile_stratum(df: DataFrame, time: str, event: str, name: str = "stratum") -> DataFrame:

@@ -8,6 +8,7 @@ from tilewright.operators import ecology as E
 from tilewright.operators import neighbors as nb
 from tilewright.operators import ordered as O
 from tilewright.operators import prototypes as P
+from tilewright.operators import thinning
 from tilewright.plans.q_neighbors import _BETWEEN
 from tilewright.plans.q_prototypes import _ENRICH, _TRANS, enrichment, transition
 from tilewright.plans.registry import query, r6
@@ -281,4 +282,4 @@ def clipped_scalar_transfer(spark, sf):
       from k join c on c.sample_name = k.sample_name and c.rn = k.rn + 1)
     select sample_name, unnest(kept) as node_idx from (select sample_name, arg_max(kept, rn) as kept from k group by sample_name)""")
 def spatial_deduplication(spark, sf):
-    return E.deduplicate(cells(spark, sf), 30.0, ["sample_name"]).select("sample_name", "node_idx")
+    return thinning.deduplicate(cells(spark, sf), 30.0, ["sample_name"]).select("sample_name", "node_idx")

@@ -126,11 +126,32 @@ def top_expressed_genes(spark, sf):
     return measures(spark, sf).groupBy("gene").agg(F.avg("value").alias("mean")).orderBy(F.desc("mean"), "gene").limit(5).withColumns(r6("mean"))
 
 
+def _features(spark, sf):
+    return cells(spark, sf).select("node_idx", F.col("embedding").cast("array<double>").alias("f"))
+
+
 @query("A58")
 def principal_components(spark, sf):
-    c = cells(spark, sf).select("node_idx", F.col("embedding").cast("array<double>").alias("f"))
-    p = X.pca(c, "f", 5)
-    return p.select("node_idx", *[F.round(F.abs(F.col("components")[i]), 4).alias(f"pc{i + 1}") for i in range(5)])
+    p = X.pca(_features(spark, sf), "f", 5)
+    return p.select("node_idx", *[F.round(F.col("components")[i], 4).alias(f"pc{i + 1}") for i in range(5)])
+
+
+@query("A58", f"""with {CELLS}, v as (select node_idx, unnest(embedding)::double as x, generate_subscripts(embedding, 1) - 1 as p from cells)
+    select a.p::int as i, b.p::int as j, round(corr(a.x, b.x), 6) as value from v a join v b using (node_idx) group by a.p, b.p""")
+def component_reconstruction(spark, sf):
+    return X.reconstructed_correlation(_features(spark, sf), "f", 64).withColumns(r6("value"))
+
+
+@query("A58", f"""with {CELLS}, v as (select node_idx, unnest(embedding)::double as x, generate_subscripts(embedding, 1) as p from cells) select count(distinct p)::double as total, 0.0::double as shared, 0 as unordered from v""")
+def component_variances(spark, sf):
+    """All components: their variances add up to the number of features, they share nothing, and they come in order."""
+    p = X.pca(_features(spark, sf), "f", 64)
+    c = lambda i: F.col("components")[i]
+    r = p.agg(*[F.var_samp(c(i)).alias(f"v{i}") for i in range(64)], *[F.covar_samp(c(i), c(i + 1)).alias(f"s{i}") for i in range(63)])
+    total = sum((F.col(f"v{i}") for i in range(1, 64)), F.col("v0"))
+    shared = F.greatest(*[F.abs(f"s{i}") for i in range(63)])
+    unordered = sum(((F.col(f"v{i}") < F.col(f"v{i + 1}") - 1e-9).cast("int") for i in range(1, 63)), (F.col("v0") < F.col("v1") - 1e-9).cast("int"))
+    return r.select(F.round(total, 6).alias("total"), F.round(shared, 6).alias("shared"), unordered.alias("unordered"))
 
 
 # ---------------------------------------------------------------- differential expression
@@ -233,25 +254,17 @@ def pair_sample_counts(spark, sf):
     return X.pair_totals(X.layer_diagnostics(tagged(spark, sf), cells(spark, sf), PAIRS, 8))
 
 
-@query("A10", f"""{_B}, {_TAG}, {_CX}, {_DEPROF.format(m=3)}, st as (select * from (values ('even', 'G0'), ('even', 'G2'), ('even', 'G4'), ('odd', 'G1'), ('odd', 'G3')) v(name, gene)),
-    sm as (select pair, name as gene, sample_name, avg(a) as a, avg(b) as b from prof join st using (gene) group by all),
-    pt as (select pair, gene, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t from sm group by all), tests as (select *, {Q.student('t', '(n - 1)')} as p from pt), final as ({Q.bh('pair', 'p')})
-    select pair, gene as name, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(p, 5) as p, round(q, 5) as q from final""")
-def gene_set_paired_test(spark, sf):
-    return _paired_sets(profiles(spark, sf), F.col("gene").isin("G0", "G1", "G2", "G3", "G4"))
-
-
 @query("A10", f"""{_B}, {_TAG}, {_CX}, {_DEPROF.format(m=3)}, st as (select distinct case when substr(gene, 2)::int % 2 = 1 then 'odd' else 'even' end as name, gene from prof),
     sm as (select pair, name as gene, sample_name, avg(a) as a, avg(b) as b from prof join st using (gene) group by all),
-    pt as (select pair, gene, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t from sm group by all), tests as (select *, {Q.student('t', '(n - 1)')} as p from pt), final as ({Q.bh('pair', 'p')})
+    pt as (select pair, gene, count(*) as n, avg(a) as mean_a, avg(b) as mean_b, avg(a - b) / (stddev_samp(a - b) / sqrt(count(*))) as t from sm group by all having count(*) >= 2), tests as (select *, {Q.student('t', '(n - 1)')} as p from pt), final as ({Q.bh('pair', 'p')})
     select pair, gene as name, n, round(mean_a, 6) as mean_a, round(mean_b, 6) as mean_b, round(p, 5) as p, round(q, 5) as q from final""")
 def all_gene_set_paired_test(spark, sf):
-    return _paired_sets(profiles(spark, sf), F.lit(True))
+    return _paired_sets(profiles(spark, sf))
 
 
-def _paired_sets(prof, wanted):
+def _paired_sets(prof):
     odd = F.substring("gene", 2, 9).cast("int") % 2 == 1
-    sets = prof.select("gene").distinct().where(wanted).select(F.when(odd, "odd").otherwise("even").alias("name"), "gene")
+    sets = prof.select("gene").distinct().select(F.when(odd, "odd").otherwise("even").alias("name"), "gene")
     d = X.paired_expression(X.set_means(prof, sets, ["pair", "sample_name"]), test="ttest", eps=1.0)
     return d.select("pair", F.col("gene").alias("name"), "n", F.round("mean_a", 6).alias("mean_a"), F.round("mean_b", 6).alias("mean_b"), F.round("p", 5).alias("p"), F.round("q", 5).alias("q"))
 
@@ -341,12 +354,6 @@ def sparse_markers(spark, sf):
     return m.select("cell_type", "target", "gene", F.round("pct1", 6).alias("pct1"), F.round("pct2", 6).alias("pct2"), F.round("avg_log2fc", 5).alias("avg_log2fc"), F.round("z", 4).alias("z"), F.round("p", 4).alias("p"))
 
 
-@query("P19 L1 L2", f"""with {MEASURES}, g as (select gene, {', '.join(f"log2(avg(value) filter (prototype_id = {k}) / avg(value) filter (prototype_id <> {k})) as c{k}" for k in range(3))} from measures group by gene)
-    select gene, round(greatest(abs(c0), abs(c1), abs(c2)), 6) as effect from g order by greatest(abs(c0), abs(c1), abs(c2)) desc, gene limit 8""")
-def top_genes_by_effect(spark, sf):
-    return _top_genes(spark, sf, range(3))
-
-
 _FIVE = ", ".join(f"abs(c{k})" for k in range(5))
 
 

@@ -148,18 +148,6 @@ def _label_values(e):
     )
 
 
-@query(
-    "F3 P14",
-    """select event_id, case when try_cast(event_type as double) is not null then try_cast(event_type as int)
-        when lower(event_type) in ('purchase', 'signup') then 1 else 0 end as by_set,
-      coalesce(map {'view': 2, 'click': 3, 'default': 9}[event_type], 9) as by_map,
-      try_cast(try_cast(regexp_extract(props, '(\\d+)', 1) as double) as int) as by_number
-    from events where event_type in ('view', 'click', 'purchase', 'error')""",
-)
-def label_values(spark, sf):
-    return _label_values(load(spark, sf, "events").where(F.col("event_type").isin("view", "click", "purchase", "error")))
-
-
 @query(
     "F3 P14",
     """select event_id, case when try_cast(event_type as double) is not null then try_cast(event_type as int)

@@ -7,6 +7,7 @@ from tilewright.operators import ecology as E
 from tilewright.operators import lookup as L
 from tilewright.operators import ordered as O
 from tilewright.operators import sampling as X
+from tilewright.plans.tail_sql import PLACES
 from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import CELLS, EDGES, MEASURES, PATIENTS, TILES, cells, edges, measures, patients, tiles
 from tilewright.session import load
@@ -218,12 +219,8 @@ def k_fold_assignment(spark, sf):
     return X.k_folds(load(spark, sf, "customer").select("c_custkey"), 5, ["c_custkey"])
 
 
-_POIS = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.9999167588507119, 0.9999897508033253]
-
-
-@query("X8", f"""with u as (select c_custkey, r as round, ('0x' || substr(md5('42b:' || c_custkey || ':' || r), 1, 13))::bigint / {float(16**13)}::double as u from customer, (select unnest(range(1, 51)) as r)),
-    w as (select *, {' + '.join(f'(u >= {v!r})::int' for v in _POIS)} as weight from u) select round, count(*) as drawn, sum(weight)::bigint as total from w where weight > 0 group by round""")
+@query("X8", f"""with {PLACES.format(i='c_custkey', t='customer', f=1.0, space=float(16**13))} select round, count(*) as drawn, sum(weight)::bigint as total, sum(weight * c_custkey)::bigint as weighted_ids from dr join pl using (pos) group by round""")
 def bootstrap_weights(spark, sf):
     b = X.bootstrap(load(spark, sf, "customer").select("c_custkey"), 50, ["c_custkey"])
     g = b.groupBy(F.col("round").cast("long").alias("round"))
-    return g.agg(F.count(F.lit(1)).alias("drawn"), F.sum("weight").alias("total"))
+    return g.agg(F.count(F.lit(1)).alias("drawn"), F.sum("weight").alias("total"), F.sum(F.col("weight") * F.col("c_custkey")).alias("weighted_ids"))

@@ -6,6 +6,7 @@ from tilewright.operators import ecology as E
 from tilewright.operators import ordered as O
 from tilewright.operators import prototypes as P
 from tilewright.operators import sampling as X
+from tilewright.plans import tail_sql as Q
 from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import _N, CELL_TYPES, CELLS, CENTERS, MEASURES, SOFT, cells, centers, knn, knn_sql, measures
 from tilewright.session import load
@@ -229,28 +230,42 @@ _ARI = """n2 as (select *, n * (n - 1) / 2 as c from cont), i as (select rnd, su
     select rnd as round, round((sij - a.s * b.s / (i.n * (i.n - 1) / 2)) / ((a.s + b.s) / 2 - a.s * b.s / (i.n * (i.n - 1) / 2)), 6) as ari from i join a using (rnd) join b using (rnd)"""
 
 
-@query("A37 X8", f"""{_BASE}, h as (select node_idx, k as a from soft where rk = 1), u as (select node_idx, a, c.prototype_id as b, r as rnd,
-      ('0x' || substr(md5('42b:' || node_idx || ':' || r), 1, 13))::bigint / {float(16**13)}::double as u from h join cells c using (node_idx), (select unnest(range(1, 51)) as r)),
-    w as (select *, (u >= 0.44932896411722156)::int + (u >= 0.8087921354109988)::int + (u >= 0.9525774039285098)::int + (u >= 0.990920142199846)::int + (u >= 0.9985886898541133)::int + (u >= 0.9998156574787961)::int + (u >= 0.9999792531620871)::int as w from u),
-    cont as (select rnd, a, b, sum(w)::double as n from w where w > 0 group by all), {_ARI}""")
+@query("A37 X8", f"""{_BASE}, h as (select node_idx, k as a from soft where rk = 1), {Q.PLACES.format(i='node_idx', t='h', f=0.8, space=float(16**13))},
+    cont as (select round as rnd, a, c.prototype_id as b, sum(weight)::double as n from dr join pl using (pos) join cells c using (node_idx) group by all), {_ARI}""")
 def bootstrap_stability(spark, sf):
     a = assigned(spark, sf).select("node_idx", "prototype", "prototype_id")
     b = X.bootstrap(a, 50, ["node_idx"], 0.8)
     return P.adjusted_rand(b, ["round"], "prototype", "prototype_id", "weight").withColumns(r6("ari")).withColumn("round", F.col("round").cast("long"))
 
 
-def _lloyd(k, rounds):
-    """Fixed rounds from the vectors with the smallest ids, unrolled."""
-    out = [f"""u as (select vec_id, list_transform(embedding, lambda x: x::double / ({_N.format(v='embedding')} + 1e-8)) as u from embeddings where embedding is not null),
-    c0 as (select (row_number() over (order by vec_id) - 1)::int as k, u as vec from u order by vec_id limit {k})"""]
-    for i in range(rounds):
-        out.append(f"""a{i} as (select vec_id, u, arg_min(k, (round(d, 12), k)) as k from (select vec_id, u, k, list_sum(list_transform(list_zip(u, vec), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from u, c{i}) group by vec_id, u),
-    m{i} as (select k, list(m order by p) as vec from (select k, p, avg(v) as m from (select k, unnest(u) as v, generate_subscripts(u, 1) as p from a{i}) group by k, p) group by k),
-    c{i + 1} as materialized (select c.k, coalesce(m.vec, c.vec) as vec from c{i} c left join m{i} m using (k))""")
+def _seeded(k, rounds, starts=2, passes=2):
+    """Hashed oversampling, thinning to k and fixed rounds of Lloyd's algorithm for every start, unrolled; the best start."""
+    d2 = lambda a, b: f"list_sum(list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    out = [f"""u as materialized (select vec_id, list_transform(embedding, lambda x: x::double / ({_N.format(v='embedding')} + 1e-8)) as u from embeddings where embedding is not null)"""]
+    for s in range(starts):
+        out.append(f"t{s}_0 as materialized (select 1 as c, u as vec from u order by md5('42s{s}:' || vec_id), vec_id limit 1)")
+        for p in range(passes):
+            out.append(f"""f{s}_{p} as materialized (select vec_id, u, min({d2('u', 'vec')}) as d from u, t{s}_{p} group by vec_id, u),
+    t{s}_{p + 1} as materialized (select * from t{s}_{p} union all select (select count(*) from t{s}_{p}) + row_number() over (order by vec_id), u from f{s}_{p}
+      where ('0x' || substr(md5('42s{s}p{p}:' || vec_id), 1, 13))::bigint / {float(16**13)}::double < {2.0 * k}::double * d / (select sum(d) from f{s}_{p}))""")
+        out.append(f"""w{s} as materialized (select t.c, t.vec, coalesce(n, 0) as n from t{s}_{passes} t left join (
+      select c, count(*) as n from (select vec_id, arg_min(c, ({d2('u', 'vec')}, c)) as c from u, t{s}_{passes} group by vec_id) group by c) x on x.c = t.c),
+    h{s}_0 as materialized (select 0 as k, c, vec from w{s} order by n desc, c limit 1)""")
+        for i in range(1, k):
+            out.append(f"""h{s}_{i} as materialized (select * from h{s}_{i - 1} union all select {i}, c, vec from (
+      select w.c, w.vec, round(w.n * min({d2('w.vec', 'h.vec')}), 9) as score from w{s} w, h{s}_{i - 1} h where w.c not in (select c from h{s}_{i - 1}) group by w.c, w.vec, w.n order by score desc, c limit 1))""")
+        out.append(f"l{s}_0 as materialized (select k, vec from h{s}_{k - 1})")
+        for i in range(rounds):
+            out.append(f"""l{s}_{i + 1} as materialized (select c.k, coalesce(m.vec, c.vec) as vec from l{s}_{i} c left join (select k, list(m order by p) as vec from (
+      select k, p, avg(v) as m from (select k, unnest(u) as v, generate_subscripts(u, 1) as p from (select vec_id, u, arg_min(k, ({d2('u', 'vec')}, k)) as k from u, l{s}_{i} group by vec_id, u)) group by k, p) group by k) m using (k))""")
+        out.append(f"e{s} as (select {s} as start, round(sum(d), 9) as inertia from (select vec_id, min({d2('u', 'vec')}) as d from u, l{s}_{rounds} group by vec_id))")
+    every = " union all ".join(f"select {s} as start, k, vec from l{s}_{rounds}" for s in range(starts))
+    inertia = " union all ".join(f"select * from e{s}" for s in range(starts))
+    out.append(f"every as ({every}), top as (select start from ({inertia}) order by inertia, start limit 1)")
     return ",\n    ".join(out)
 
 
-@query("A38", f"with {_lloyd(5, 10)} select k, (generate_subscripts(vec, 1) - 1)::int as pos, round(unnest(vec), 4) as v from c10")
+@query("A38", f"with {_seeded(5, 10)} select k, (generate_subscripts(vec, 1) - 1)::int as pos, round(unnest(vec), 4) as v from every where start = (select start from top)")
 def kmeans_centres(spark, sf):
     c = P.kmeans_centers(load(spark, sf, "embeddings"), 5)
     return c.select("k", F.posexplode("vec").alias("pos", "v")).withColumns(r6("v", digits=4))

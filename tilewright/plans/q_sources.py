@@ -10,13 +10,13 @@ from tilewright.sources import readers as R
 from tilewright.sources import writers as W
 
 
-@query("S1 D10", "select 'cohort ' || n_name as name, 'csv' as label_format, case when n_regionkey = 0 then 'who' else 'patient' end as patient_column, 'pCR' as value_column, 4 as n_positive, n_nationkey as pos_level from nation")
+@query("S1 D10", "select 'cohort ' || s_name as name, 'csv' as label_format, case when s_nationkey % 5 = 0 then 'who' else 'patient' end as patient_column, 'pCR' as value_column, 4 as n_positive, (s_suppkey % 7)::int as pos_level from supplier")
 def cohort_config(spark, sf):
     path = new_path(spark, "cohorts")
-    n = load(spark, sf, "nation")
-    label = F.struct(F.lit("f.csv").alias("file"), F.when(F.col("n_regionkey") == 0, "who").alias("patient_column"))
-    c = F.struct(F.concat(F.lit("cohort "), "n_name").alias("name"), F.col("n_nationkey").alias("pos_level"), label.alias("label"))
-    n.groupBy("n_regionkey").agg(F.collect_list(c).alias("cohorts")).select(F.lit("m").alias("model_path"), "cohorts").write.option("maxRecordsPerFile", 1).json(path)
+    n = load(spark, sf, "supplier")
+    label = F.struct(F.lit("f.csv").alias("file"), F.when(F.col("s_nationkey") % 5 == 0, "who").alias("patient_column"))
+    c = F.struct(F.concat(F.lit("cohort "), "s_name").alias("name"), (F.col("s_suppkey") % 7).alias("pos_level"), label.alias("label"))
+    n.groupBy("s_nationkey").agg(F.collect_list(c).alias("cohorts")).select(F.lit("m").alias("model_path"), "cohorts").write.option("maxRecordsPerFile", 1).json(path)
     s = R.cohort_specs(spark, path)
     return s.select("name", "label_format", "patient_column", "value_column", F.size("positive_values").alias("n_positive"), "pos_level")
 
@@ -70,11 +70,6 @@ def sample_expression_files(spark, sf):
     return R.tile_expression(spark, path).withColumns(r6("value"))
 
 
-@query("S5 D6", f"with {CELLS}, {TILE_EXPR} select tile_x as x, tile_y as y, gene, round(value, 6) as value from tile_expr where sample_name = 'S3'")
-def tile_expression_files(spark, sf):
-    return sample_expression_files(spark, sf).where("sample_name = 'S3'").drop("sample_name")
-
-
 @query("S6 D7 F16", f"with {CELLS}, {TILE_EXPR} select 'slide_' || sample_name as sample_name, tile_x::int as x, tile_y::int as y, gene, round(value, 6) as value from tile_expr")
 def training_expression_files(spark, sf):
     path = new_path(spark, "train")
@@ -84,33 +79,33 @@ def training_expression_files(spark, sf):
 
 
 def _folder(spark, sf):
-    """One small text file per nation below a folder per region."""
+    """One small text file per supplier below a folder per nation."""
     path = new_path(spark, "files")
-    load(spark, sf, "nation").select("n_regionkey", "n_nationkey", "n_name").write.partitionBy("n_regionkey", "n_nationkey").text(path)
+    load(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name").write.partitionBy("s_nationkey", "s_suppkey").text(path)
     return path
 
 
-@query("S8", "select n_regionkey::int as r, count(*) as n from nation group by 1")
+@query("S8", "select s_nationkey::int as r, count(*) as n from supplier group by 1")
 def discovered_files(spark, sf):
     f = R.files(spark, _folder(spark, sf), ["TXT", ".svs"])
-    return f.groupBy(F.regexp_extract("path", r"n_regionkey=(\d+)", 1).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    return f.groupBy(F.regexp_extract("path", r"s_nationkey=(\d+)", 1).cast("int").alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("S32 F6 S20", "select n_name as sample_name, true as found from nation where n_nationkey <> 3 union all select n_name, false from nation where n_nationkey = 3")
+@query("S32 F6 S20", "select s_name as sample_name, s_suppkey % 9 <> 3 as found from supplier")
 def asset_status(spark, sf):
-    n = load(spark, sf, "nation")
-    listed = n.where("n_nationkey <> 3").select(F.concat(F.lit("/data/slides/"), F.replace("n_name", F.lit("_"), F.lit("-")), F.lit("-01.svs")).alias("path"))
-    return W.asset_report(n.select(F.col("n_name").alias("sample_name")), listed).select("sample_name", "found")
+    n = load(spark, sf, "supplier")
+    listed = n.where("s_suppkey % 9 <> 3").select(F.concat(F.lit("/data/slides/"), F.replace("s_name", F.lit("_"), F.lit("-")), F.lit("-01.svs")).alias("path"))
+    return W.asset_report(n.select(F.col("s_name").alias("sample_name")), listed).select("sample_name", "found")
 
 
-@query("S7 F16", "select 'nation' as sample, n_nationkey * 10 as x, n_regionkey as y from nation where n_nationkey <> 7")
+@query("S7 F16", "select 'supplier' as sample, s_suppkey * 10 as x, s_nationkey::bigint as y from supplier where s_suppkey % 7 <> 0")
 def patch_index(spark, sf):
     from tilewright.functions.text import stem_parts
 
     path = new_path(spark, "patches")
-    n = load(spark, sf, "nation")
-    stem = F.when(F.col("n_nationkey") == 7, "broken").otherwise(F.concat_ws("_", F.lit("nation"), F.col("n_nationkey") * 10, "n_regionkey"))
-    n.select(stem.alias("stem"), "n_name").write.partitionBy("stem").text(path)
+    n = load(spark, sf, "supplier")
+    stem = F.when(F.col("s_suppkey") % 7 == 0, "broken").otherwise(F.concat_ws("_", F.lit("supplier"), F.col("s_suppkey") * 10, "s_nationkey"))
+    n.select(stem.alias("stem"), "s_name").write.partitionBy("stem").text(path)
     f = R.files(spark, path, [".txt"]).select(stem_parts(F.regexp_extract("path", r"stem=([^/]+)/", 1)).alias("p"))
     return f.select("p.sample", "p.x", "p.y").na.drop()
 
@@ -161,17 +156,17 @@ def gtf_exon_lengths(spark, sf):
 @query("S11", "select row_number() over (order by p_name) - 1 as idx, 'GENE-' || replace(p_name, ' ', '-') as gene from (select distinct p_name from part) where p_name >= 'd'")
 def gene_list_file(spark, sf):
     path = new_path(spark, "genes")
-    p = load(spark, sf, "part").select("p_name").distinct().repartitionByRange(1, "p_name").sortWithinPartitions("p_name")  # the name list
+    p = load(spark, sf, "part").select("p_name").distinct().repartitionByRange("p_name").sortWithinPartitions("p_name")
     k, name = F.col("p_name"), F.replace("p_name", F.lit(" "), F.lit("-"))
     p.select(F.when(k < "c", "  ").when(k < "d", "# note").otherwise(F.concat(F.lit("GENE-"), name, F.lit(", extra")))).write.text(path)
     return R.gene_list(spark, path)
 
 
-@query("S13 S12 D12", "select n_nationkey::bigint as idx, n_name as symbol, 'ENSG' || n_nationkey as ensembl from nation")
+@query("S13 S12 D12", "select row_number() over (order by c_custkey) - 1 as idx, c_name as symbol, 'ENSG' || c_custkey as ensembl from customer")
 def gene_map_file(spark, sf):
     path = new_path(spark, "genemap")
-    n = load(spark, sf, "nation").repartitionByRange(1, "n_nationkey").sortWithinPartitions("n_nationkey")
-    n.select("n_name", F.concat(F.lit("ENSG"), "n_nationkey", F.lit(".3"))).write.option("sep", "\t").csv(path)
+    n = load(spark, sf, "customer").repartitionByRange("c_custkey").sortWithinPartitions("c_custkey")
+    n.select("c_name", F.concat(F.lit("ENSG"), "c_custkey", F.lit(".3"))).write.option("sep", "\t").csv(path)
     return R.gene_map(spark, path)
 
 
@@ -310,12 +305,6 @@ def per_sample_manifest(spark, sf):
     return W.write_per_sample(cells(spark, sf).drop("embedding"), new_path(spark, "persample")).select("sample_name", "rows")
 
 
-@query("S26 F42", f"with {CELLS}, {TILE_EXPR} select sample_name, tile_x::bigint || '_' || tile_y::bigint as spot, {', '.join(f'''round(max(value) filter (gene = 'G{i}'), 6) as G{i}''' for i in range(3))} from tile_expr group by all")
-def wide_prediction_files(spark, sf):
-    t = tile_expr(spark, sf).withColumnsRenamed({"tile_x": "x", "tile_y": "y"})
-    return W.write_predictions_wide(t, new_path(spark, "pred"), ["G0", "G1", "G2"]).withColumns(r6("G0", "G1", "G2"))
-
-
 _ALL = [f"G{i}" for i in range(GENES)]
 
 

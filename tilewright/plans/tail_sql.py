@@ -51,3 +51,9 @@ def bh(keys: str, p: str) -> str:
         f"from (select *, {p} * m / rk as raw from (select *, count({p}) over ({part}) as m, "
         f"count({p}) over ({part} order by {p} range between unbounded preceding and current row) as rk from tests))"
     )
+
+
+#: Places of rows in their hash order, and 50 rounds of draws with replacement: {i} the id, {t} the table, {f} the share drawn.
+PLACES = """pl as (select *, row_number() over (order by ('0x' || substr(md5('42:' || {i}), 1, 13))::bigint, md5('42:' || {i})) as pos, count(*) over () as n from {t}),
+    dr as (select r as round, floor(('0x' || substr(md5('42b:' || r || ':' || j), 1, 13))::bigint / {space}::double * (select max(n) from pl)) + 1 as pos, count(*) as weight
+      from (select unnest(range(1, 51)) as r), (select unnest(range(0, (select greatest(1, floor({f}::double * max(n))) from pl)::bigint)) as j) group by all)"""
