@@ -162,9 +162,12 @@ def test_rules_reject_depleted_documents(spark):
     rows = [(i, f"{bar}\nonly {i} words here", "h") for i in range(12)]
     rows += [(20 + i, " ".join(f"w{i}x{j}" for j in range(60)) + "\n" + bar, "h") for i in range(5)]
     rows += [(40 + i, bar + "\na", "other") for i in range(3)] + [(50 + i, bar + f"\n{i}", None) for i in range(11)]
+    # a host that holds most rows: the limit doesn't grow with it
+    rows += [(1000 + i, " ".join(f"y{i}x{j}" for j in range(25)), "big") for i in range(400)]
+    rows += [(2000 + i, bar + f"\nitem {i}", "big") for i in range(10)]
     found = rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     kept = dict(cases.pairs(found, "doc_id", "kept"))
-    assert {i for i, k in kept.items() if not k} == {*range(12), *range(50, 61)}
+    assert {i for i, k in kept.items() if not k} == {*range(12), *range(50, 61), *range(2000, 2010)}
 
 
 def test_rules_take_frequent_lines_out_of_kept_documents(spark):

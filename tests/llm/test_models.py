@@ -95,10 +95,11 @@ def test_importance_weights_and_sample(spark):
         [(i, 1, 9) for i in range(40)] + [(i, 0, 9) for i in range(100, 120)] + [(None, 1, 9), (3, None, 9), (45, 0, 9), (45, 1, 9)],
         "doc_id long, quality int, row int",
     )
-    found = importance.resample(docs, labels)
+    assert importance.resample(docs, labels).where("kept").count() == round(40 / 60 * (len(good) + len(bad) + 2))
+    found = importance.resample(docs, labels, share=62 / 92)
     kept = Counter(r["row"]["doc_id"] for r in found.collect() if r["kept"])
     assert kept == Counter([*range(60), 1, None])
-    # the weights are the mean log ratios of the two models
+    # the weights are the log ratios of the two models
     raw = np.zeros(importance.KINDS * importance.SLOTS)
     target = raw.copy()
     for i, t in [*good, *bad, *edge]:
@@ -111,7 +112,7 @@ def test_importance_weights_and_sample(spark):
     for row in found.collect():
         slots = next(importance.ngram_slots([row["row"]["text"] or ""], importance.Memo()))
         assert (row["log_weight"] is None) == (len(slots) == 0)
-        assert not len(slots) or math.isclose(row["log_weight"], ratio[slots].mean(), rel_tol=1e-9)
+        assert not len(slots) or math.isclose(row["log_weight"], ratio[slots].sum(), rel_tol=1e-9)
     # the k largest keys
     some = importance.resample(docs, labels, k=25)
     keys = sorted((x["gumbel_key"] for x in some.collect() if x["gumbel_key"] is not None), reverse=True)
@@ -120,6 +121,21 @@ def test_importance_weights_and_sample(spark):
     assert importance.resample(docs, labels.where("false")).where("kept").count() == len(good) + len(bad) + 2
 
 
+def test_sample_follows_the_weights(spark):
+    docs = spark.createDataFrame([(i, ["aa", "bb", "cc"][i % 3]) for i in range(900)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0 or i % 3 == 1 and i < 90)) for i in range(600)], "doc_id long, quality int")
+    seeds, got = range(6), np.zeros(3)
+    for seed in seeds:
+        rows = importance.resample(docs, labels, k=300, seed=seed).collect()
+        got += np.bincount([r["row"]["doc_id"] % 3 for r in rows if r["kept"]], minlength=3)
+    weight = np.exp([next(r["log_weight"] for r in rows if r["row"]["doc_id"] == i) for i in range(3)])
+    r = np.random.default_rng(1)
+    chance = np.tile(weight, 300) / (300 * weight.sum())
+    drawn = np.array([np.bincount(r.choice(900, 300, replace=False, p=chance) % 3, minlength=3) for _ in range(300)])
+    assert (np.abs(got / len(seeds) - drawn.mean(axis=0)) < 4 * drawn.std(axis=0) / len(seeds) ** 0.5 + 1).all()
+    assert got[0] > got[1] > got[2] > 0  # likelier ones more often, none always
+
+
 def test_kth_largest(spark):
     r = random.Random(2)
     values = [r.gauss(0, 1) for _ in range(9000)] + [1e6, -1e6] + [0.25] * 500

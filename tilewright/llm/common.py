@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tilewright.session import new_path
@@ -26,16 +28,30 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+#: Tables that `fresh` wrote and nothing deleted yet.
+MADE: list[str] = []
+
+
 def fresh(df: DataFrame, stem: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once under the shared folder and read it back: later branches see the same rows, and a lost executor
     costs a re-read instead of the whole lineage."""
     path = new_path(df.sparkSession, stem)
+    MADE.append(path)
     df.write.parquet(path, compression=compression)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._state_path = path
     return out
 
 
+def discard(spark: SparkSession, since: int, keep: DataFrame) -> None:
+    """Delete the tables made after the first ``since`` ones, all but ``keep``."""
+    for path in MADE[since:]:
+        if path != keep._state_path:
+            at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    MADE[since:] = [keep._state_path]
+
+
 def only(df: DataFrame, **columns: str | Column) -> DataFrame:
     """Exactly the named columns, so that other columns of the input can't clash with a result."""
     return df.select(*[(df[c] if isinstance(c, str) else c).alias(name) for name, c in columns.items()])
@@ -60,6 +76,8 @@ def give_back() -> None:
     """Return freed memory to the system: idle workers stay for a while beside those of the next stage."""
     gc.collect()
     pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep theirs
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_groups(column: pa.Array, most: int = 2_000_000) -> Iterator[list[str]]:

@@ -1,9 +1,10 @@
 """Quality classifier by importance resampling.
 
 Two generative models of hashed n-grams are estimated: one of target text (rows labelled good), one of all raw text. The log
-ratio of a document under the two is its weight, and a sample without replacement is drawn by Gumbel top-k: each weight gets
-independent Gumbel noise, and the k largest sums are the sample. n-grams are words, pairs of words, and the last two bytes of
-words; a word that follows itself is one pair whatever it is.
+ratio of a document under the two, summed over its n-grams, is its log importance weight, and a sample without replacement is
+drawn by Gumbel top-k: each weight gets independent standard Gumbel noise, and the k largest sums are the sample, which takes
+documents one after the other with a probability in proportion to their weights. n-grams are words, pairs of words, and the
+last two bytes of words; a word that follows itself is one pair whatever it is.
 """
 
 from __future__ import annotations
@@ -12,16 +13,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import Memo, fresh, in_groups, text_groups
+from tilewright.llm.common import Memo, fresh, give_back, text_groups
 
 #: Slots of each of the three kinds of n-grams, and how many rows of a slot's count are doubted.
 SLOTS, DOUBT = 1 << 14, 16.0
 KINDS = 3
+#: Characters of text whose slots are held at a time.
+AT_ONCE = 200_000
 MULTIPLIER, MIXER = np.uint64(0x9E3779B1), np.uint64(0x9E3779B97F4A7C15)
 
 def _hashes(words: list[bytes]) -> list[int]:
@@ -41,7 +43,7 @@ def ngram_slots(group: list[str], memo: Memo) -> Iterator[np.ndarray]:
         pair[word[:-1] == word[1:]] = 0
         yield np.concatenate(
             [word % np.uint64(SLOTS), pair + np.uint64(SLOTS), end % np.uint64(SLOTS) + np.uint64(2 * SLOTS)]
-        ).astype("i8")
+        ).astype("i4")
 
 
 def _labelled(labels: DataFrame, fit_rows: int) -> dict:
@@ -61,7 +63,7 @@ def fit(df: DataFrame, id_col: str, text_col: str, labelled: dict) -> np.ndarray
         raw, target = np.zeros((2, KINDS * SLOTS), "int64")
         for b in batches:
             ids = iter(b.column(0).to_pylist())
-            for group in text_groups(b.column(1)):
+            for group in text_groups(b.column(1), AT_ONCE):
                 found = list(ngram_slots(group, memo))
                 wanted = [slots for slots in found if next(ids) in good]
                 for counts, some in ((raw, found), (target, wanted)):
@@ -71,6 +73,8 @@ def fit(df: DataFrame, id_col: str, text_col: str, labelled: dict) -> np.ndarray
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, pa.int64()) for x in (used, raw[used], target[used])], ["slot", "raw", "target"]
         )
+        del memo
+        give_back()
 
     counts = df.select(id_col, text_col).mapInArrow(run, "slot bigint, raw bigint, target bigint")
     raw, target = np.zeros((2, KINDS, SLOTS))
@@ -80,34 +84,28 @@ def fit(df: DataFrame, id_col: str, text_col: str, labelled: dict) -> np.ndarray
     return np.log((target + DOUBT) / (raw * share + DOUBT)).ravel()
 
 
-def weigh(df: DataFrame, id_col: str, text_col: str, carry: list[str], ratio: np.ndarray, seed: int,
-          sharpness: float) -> DataFrame:
-    """(row, log_weight, gumbel_key): the mean log ratio over a text's n-grams, and that mean times ``sharpness`` plus
-    noise that follows the row's id. A text without words has no weight."""
+def weigh(df: DataFrame, id_col: str, text_col: str, carry: list[str], ratio: np.ndarray, seed: int) -> DataFrame:
+    """(row, log_weight, gumbel_key): the log ratio summed over a text's n-grams, and that plus standard Gumbel noise that
+    follows the row's id. A text without words has no weight."""
 
-    @F.pandas_udf("double")
-    def weight(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def weight(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         memo = Memo()
         for batch in batches:
-            slots = (s for g in in_groups(t or "" for t in batch) for s in ngram_slots(g, memo))
-            yield pd.Series([float(ratio[s].mean()) if len(s) else None for s in slots], dtype="float64")
+            slots = (s for g in text_groups(batch, AT_ONCE) for s in ngram_slots(g, memo))
+            yield pa.array([float(ratio[s].sum()) if len(s) else None for s in slots], pa.float64())
+        del memo
+        give_back()
 
     # only texts go to Python, and only numbers come back; the rows stay where they are
-    out = df.select(F.struct(*carry).alias("row"), weight(F.col(text_col)).alias("w"), F.col(id_col).alias("id"))
-    out = out.select("row", F.when(~F.isnan("w"), F.col("w")).alias("log_weight"), "id")
-    unit = (F.shiftrightunsigned(F.xxhash64("id", F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
-    return out.withColumn("gumbel_key", F.col("log_weight") * sharpness - F.log(-F.log(unit))).drop("id")
+    out = df.select(F.struct(*carry).alias("row"), weight(F.col(text_col)).alias("log_weight"), F.col(id_col).alias("id"))
+    return out.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("id"), seed)).drop("id")
 
 
-def border(weights: DataFrame, labelled_weights: list[tuple[float, bool]]) -> tuple[float, int]:
-    """The weight half-way between the lower edge of the good labelled rows and the upper edge of the others, and how many
-    rows lie at or above it."""
-    good = [w for w, g in labelled_weights if g]
-    bad = [w for w, g in labelled_weights if not g]
-    low = np.quantile(good, 0.005) if good else -math.inf
-    high = np.quantile(bad, 0.95) if bad else -math.inf
-    cut = float((low + high) / 2) if math.isfinite(low + high) else -math.inf
-    return cut, weights.where(F.col("log_weight") >= F.lit(cut)).count()
+def gumbel(id_: Column, seed: int) -> Column:
+    """Standard Gumbel noise by the hash of an id."""
+    unit = (F.shiftrightunsigned(F.xxhash64(id_, F.lit(seed)), 11) + F.lit(0.5)) / F.lit(2.0**53)
+    return -F.log(-F.log(unit))
 
 
 def kth_largest(df: DataFrame, column: str, k: int) -> float:
@@ -132,26 +130,26 @@ def kth_largest(df: DataFrame, column: str, k: int) -> float:
 
 
 def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-             carry: list[str] | None = None, k: int | None = None, fit_rows: int = 20_000, sharpness: float = 200.0,
+             carry: list[str] | None = None, k: int | None = None, share: float | None = None, fit_rows: int = 20_000,
              seed: int = 11) -> DataFrame:
     """Weigh every row, draw k of them, and say which.
 
     Returns ``row`` (a struct of the ``carry`` columns, all of them by default), ``log_weight``, ``gumbel_key`` and
     ``kept``. The target model is fitted on at most ``fit_rows`` rows of ``labels(doc_id, quality)``; the raw model and the
-    weights cover all rows. ``k`` defaults to the number of rows whose weight is on the target's side of the border between
-    the labelled classes; without labels of both classes every row with a weight is kept. ``sharpness`` multiplies the
-    weights before the noise. Null, empty and blank texts have no weight and are not kept; repeated rows share their noise
-    and stay or go together, as do ties at the k-th key; an empty table gives no rows.
+    weights cover all rows. The size of the sample is ``k``, or ``share`` of the rows with a weight, by default the target's
+    share of the labelled rows, so that the sample is as large as the part of the corpus that is like the target; without
+    labels of both classes every row with a weight is kept. Null, empty and blank texts have no weight and are not kept;
+    repeated rows share their noise and stay or go together, as do ties at the k-th key; an empty table gives no rows.
     """
     labelled = _labelled(labels, fit_rows)
     ratio = fit(df, id_col, text_col, labelled)
-    held = weigh(df, id_col, text_col, [*dict.fromkeys([id_col, *(carry or df.columns)])], ratio, seed, sharpness)
+    held = weigh(df, id_col, text_col, [*dict.fromkeys([id_col, *(carry or df.columns)])], ratio, seed)
     held = fresh(held, "weights")
-    id_ = F.col(f"row.{id_col}")
-    known = df.sparkSession.createDataFrame([(i, g) for i, g in labelled.items()], f"id {dict(df.dtypes)[id_col]}, good boolean")
-    seen = held.where("log_weight is not null").join(F.broadcast(known), id_ == known["id"])
-    cut, n = border(held, [tuple(r) for r in seen.select("log_weight", "good").limit(2 * fit_rows).collect()])
-    k = n if k is None else k
-    total = held.where("log_weight is not null").count()
-    at = -math.inf if k >= total else kth_largest(held.where("log_weight is not null"), "gumbel_key", k) if k > 0 else math.inf
+    weighted = held.where("log_weight is not null")
+    total = weighted.count()
+    if k is None:
+        good = sum(labelled.values())
+        like = share if share is not None else good / len(labelled) if 0 < good < len(labelled) else 1.0
+        k = round(like * total)
+    at = -math.inf if k >= total else kth_largest(weighted, "gumbel_key", k) if k > 0 else math.inf
     return held.withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(at), F.lit(False)))

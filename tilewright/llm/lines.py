@@ -140,6 +140,7 @@ def variants(suspects: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(keys).view("int64")), pa.array(np.concatenate(places)), at], ["key", "place", "at"]
                 )
+        give_back()
 
     kind = dict(suspects.dtypes)["at"]
     return suspects.select("line", "at").mapInArrow(run, f"key bigint, place int, at {kind}")

@@ -55,7 +55,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(rules.RULES_SQL)
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.quality_rules(load(spark, sf_dir, "documents")).drop("text")
+    return rules.quality_rules(load(spark, sf_dir, "documents")).withColumn("left_md5", F.md5("text")).drop("text")
 
 
 @query()

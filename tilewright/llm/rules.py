@@ -1,8 +1,9 @@
 """Quality rules in DataFrame functions only: measures of each text, and the frequency of lines across documents of a host.
 
 A text's own measures need no shuffle. A line is hashed in normal form (ASCII lower case, single blanks), and the distinct
-documents that hold it are counted per host. Lines above both limits are taken out, and a document that keeps too little of
-itself is rejected. Documents with the same text at one host are one document for these counts.
+documents that hold it are counted per host. Lines that reach the limit, a number of documents whatever the host's size, are
+taken out, and a document that keeps too little of itself is rejected. Documents with the same text at one host are one
+document for these counts.
 """
 
 from __future__ import annotations
@@ -121,57 +122,55 @@ def without_lines(text: Column, hashes: Column) -> Column:
     return F.when(hashes.isNull(), text).otherwise(F.array_join(rest, "\n"))
 
 
-def line_verdicts(df: DataFrame, host: str, text: str, min_docs: int, share: float, least_left: float) -> DataFrame:
-    """(d_host, d_doc, frequent, depleted) of the texts with frequent lines: the hashes of these lines, and whether the text
-    keeps less than ``least_left`` of its words without them."""
+def line_verdicts(df: DataFrame, host: str, text: str, min_docs: int, least_left: float, min_words: int) -> DataFrame:
+    """(d_host, d_doc, frequent, depleted) of the texts with frequent lines: the hashes of these lines, and whether without
+    them fewer than ``min_words`` words are left that are less than ``least_left`` of all."""
     lines = fresh(line_counts(df, host, text), "lines")
     same_host = lambda a, b: a.eqNullSafe(b)  # noqa: E731  rows without a host are a host of their own
-    docs = df.select(F.col(host).alias("h"), _same_text(text).alias("doc")).distinct()
-    per_host = docs.groupBy("h").agg(F.count(F.lit(1)).alias("n_docs"))
     frequent = lines.groupBy("host", "line").agg(F.count(F.lit(1)).alias("found")).where(F.col("found") >= min_docs)
-    frequent = frequent.join(per_host, same_host(frequent["host"], per_host["h"])).where(
-        F.col("found") > share * F.col("n_docs")
-    )
     frequent = fresh(frequent.select(F.col("host").alias("f_host"), F.col("line").alias("f_line")), "frequent")
     marked = lines.join(frequent, same_host(F.col("host"), F.col("f_host")) & (F.col("line") == F.col("f_line")))
     lost = marked.groupBy(F.col("host").alias("d_host"), F.col("doc").alias("d_doc")).agg(
         F.sum("n_words").alias("lost"), F.collect_list("line").alias("frequent")
     )
     all_words = lines.groupBy("host", "doc").agg(F.sum("n_words").alias("all"))
+    left = F.col("all") - F.col("lost")
     return lost.join(all_words, same_host(F.col("d_host"), F.col("host")) & (F.col("d_doc") == F.col("doc"))).select(
-        "d_host", "d_doc", "frequent", (F.col("all") - F.col("lost") < least_left * F.col("all")).alias("depleted")
+        "d_host", "d_doc", "frequent", ((left < min_words) & (left < least_left * F.col("all"))).alias("depleted")
     )
 
 
 def quality_rules(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source",
-                  min_words: int = 20, most_repeated: int = 30, min_docs: int = 10, share: float = 0.1,
-                  least_left: float = 0.2) -> DataFrame:
+                  min_words: int = 20, most_repeated: int = 30, min_docs: int = 10, least_left: float = 0.5) -> DataFrame:
     """Per row: ``doc_id``, ``n_words``, ``word_chars``, ``n_symbols``, ``n_dup_lines``, ``n_repeat_words``,
-    ``base_failed``, ``kept``, and ``text`` without the frequent lines of its host.
+    ``base_failed``, ``kept``, ``n_removed_lines``, and ``text`` without the frequent lines of its host.
 
     A text fails by itself with fewer than ``min_words`` words or with over ``most_repeated`` percent of them in repeated
-    windows. A line is frequent at a host if at least ``min_docs`` distinct documents and over ``share`` of the host's hold
-    it; a text that keeps less than ``least_left`` of its words without frequent lines is rejected. The measures are those of
-    the whole text. A null text has no words, fails and stays null; rows without a host are one host; repeated rows have the
-    same verdict and count once; null ids stay null; an empty table gives no rows; other columns are not carried.
+    windows. A line is frequent at a host if at least ``min_docs`` distinct documents of it hold it; a text is depleted and
+    rejected if without frequent lines it has fewer than ``min_words`` words and less than ``least_left`` of its own. The
+    measures are those of the whole text. A null text has no words, fails and stays null; rows without a host are one
+    host; repeated rows have the same verdict and count once; null ids stay null; an empty table gives no rows; other
+    columns are not carried.
     """
     docs = only(df, doc_id=id_col, text=text_col, host=host_col)
-    found = line_verdicts(docs, "host", "text", min_docs, share, least_left)
+    found = line_verdicts(docs, "host", "text", min_docs, least_left, min_words)
     own = measures(docs.withColumn("doc", _same_text("text")), "text", min_words, most_repeated)
     out = own.join(found, own["host"].eqNullSafe(found["d_host"]) & (own["doc"] == found["d_doc"]), "left")
     kept = ~F.col("base_failed") & ~F.coalesce("depleted", F.lit(False))
+    out = out.withColumn("rest", without_lines(F.col("text"), F.col("frequent")))
+    removed = F.when(F.col("frequent").isNull(), 0).otherwise(F.size(lines_of(F.col("text"))) - F.size(lines_of(F.col("rest"))))
     return out.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"),
-        without_lines(F.col("text"), F.col("frequent")).alias("text"),
+        removed.cast("long").alias("n_removed_lines"), F.col("rest").alias("text"),
     )
 
 
 def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", min_words: int = 20,
-              most_repeated: int = 30, min_docs: int = 10, share: float = 0.1, least_left: float = 0.2) -> DataFrame:
+              most_repeated: int = 30, min_docs: int = 10, least_left: float = 0.5) -> DataFrame:
     """The rows of ``df`` that ``quality_rules`` keeps, with all their columns; the text goes without its frequent lines, and
     ``n_chars``, where it is a column, follows."""
     docs = df.select(F.struct(*df.columns).alias("row"), F.col(text_col).alias("text"), F.col(host_col).alias("host"))
-    found = line_verdicts(docs, "host", "text", min_docs, share, least_left)
+    found = line_verdicts(docs, "host", "text", min_docs, least_left, min_words)
     words = words_of(F.col("text"))
     good = docs.withColumn("_words", words).withColumns(
         {"n_words": F.size("_words"), "n_repeat_words": repeated_words(F.col("_words"))}
@@ -190,9 +189,9 @@ def keep_good(df: DataFrame, text_col: str = "text", host_col: str = "source", m
 #: The same over the table ``documents``, with the default limits.
 RULES_SQL = r"""
 with docs as (
-  select row_number() over () as row_id, doc_id, source, coalesce(text, '') as text from documents),
+  select row_number() over () as row_id, doc_id, source, coalesce(text, '') as text, text is null as missing from documents),
 split as (
-  select row_id, doc_id, source, text,
+  select row_id, doc_id, source, text, missing,
     list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda w: w <> '') as words,
     list_filter(string_split(text, chr(10)), lambda l: regexp_replace(l, '[\x20\x09-\x0D]+', '', 'g') <> '') as lines
   from docs),
@@ -209,23 +208,32 @@ each_line as (
   from (select source, text, trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' ') as inner_
         from (select source, text, unnest(lines) as l from texts))),
 frequent as (
-  select e.source, line from each_line e join (select source, count(*) as n_docs from texts group by source) h
-    on e.source is not distinct from h.source
-  group by e.source, line
-  having count(distinct text) >= 10 and count(distinct text) > 0.1 * min(n_docs)),
+  select source, line from each_line group by source, line having count(distinct text) >= 10),
 depleted as (
   select e.source, e.text from each_line e left join frequent f
     on e.source is not distinct from f.source and e.line = f.line
   group by e.source, e.text
-  having sum(case when f.line is null then n else 0 end) < 0.2 * sum(n)),
+  having sum(case when f.line is null then n else 0 end) < least(20, 0.5 * sum(n)) and count(f.line) > 0),
+placed as (
+  select source, text, i, l, translate(trim(regexp_replace(l, '[\x20\x09-\x0D]+', ' ', 'g'), ' '),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line
+  from (select source, text, unnest(string_split(text, chr(10))) as l,
+          generate_subscripts(string_split(text, chr(10)), 1) as i from texts)),
+rest as (
+  select p.source, p.text, coalesce(string_agg(l, chr(10) order by i) filter (f.line is null), '') as rest,
+    count(f.line) as n_removed
+  from placed p left join frequent f on p.source is not distinct from f.source and p.line = f.line
+  group by p.source, p.text),
 measured as (
-  select s.row_id, s.doc_id, s.source, s.text, len(words)::bigint as n_words,
+  select s.row_id, s.doc_id, s.source, s.text, s.missing, len(words)::bigint as n_words,
     length(array_to_string(words, ''))::bigint as word_chars,
     (length(s.text) - length(translate(s.text, '#*$%&|<>', '')))::bigint as n_symbols,
     (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(r.n, 0)::bigint as n_repeat_words
   from split s left join repeated r using (row_id))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   n_words < 20 or 100 * n_repeat_words > 30 * n_words as base_failed,
-  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and d.text is null as kept
+  not (n_words < 20 or 100 * n_repeat_words > 30 * n_words) and d.text is null as kept,
+  t.n_removed as n_removed_lines, case when not missing then md5(rest) end as left_md5
 from measured m left join depleted d on m.source is not distinct from d.source and m.text = d.text
+  join rest t on m.source is not distinct from t.source and m.text = t.text
 """

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import fresh, map_arrow, only, text_groups
+from tilewright.llm.common import fresh, give_back, map_arrow, only, text_groups
 from tilewright.llm.graph import component_roots
 
 SEED = 42
@@ -123,6 +123,7 @@ def _loads(nodes: DataFrame, tree: Tree, bits: int) -> dict[int, tuple[int, int]
         yield pa.RecordBatch.from_arrays(
             [pa.array(x, pa.int64()) for x in (used, counts[0][used], counts[1][used])], ["shard", "h", "v"]
         )
+        give_back()
 
     rows = nodes.mapInArrow(run, "shard bigint, h bigint, v bigint").groupBy("shard").agg(F.sum("h"), F.sum("v"))
     return {r[0]: (r[1], r[2]) for r in rows.collect()}
