@@ -42,6 +42,10 @@ SHORTEST, LONGEST = 3, 10
 WHOLE = "$"
 #: Letters of a word that settle whether it can match at all.
 HEAD = 5
+#: Minima by which copies among the training texts are told.
+SKETCHES = 3
+#: Likelihood ratio statistic from which a candidate is a term: millions of candidates are tried.
+LEAST_GAIN = 25.0
 #: Pseudo-observations behind each estimated weight.
 DOUBT = 2.0
 FEATURES = 8
@@ -148,7 +152,7 @@ class Matcher:
 
     def __init__(self, lexicon: Lexicon, bound: int):
         self.lexicon, self.bound = lexicon, bound
-        self.may = lru_cache(50_000)(lambda head: may_match(head, lexicon, bound))
+        self.may = lru_cache(100_000)(lambda head: may_match(head, lexicon, bound))
 
     def __call__(self, word: str) -> list[tuple[int, int]]:
         if len(word) < SHORTEST or not self.may(word[:HEAD]):
@@ -214,6 +218,35 @@ def training(df: DataFrame, labels: DataFrame, fit_rows: int) -> dict:
     return {r[0]: bool(r[1]) for r in per_id.select("doc_id", "most").collect()}
 
 
+def distinct_texts(rows: DataFrame, known: dict) -> dict:
+    """``known`` without copies and near copies: a labelled text that is copied a hundred times says no more than once, and
+    its own words would look like signs of its label. Of texts that share one of ``SKETCHES`` minima over their hashed
+    three-word shingles, the first by (minima, id) counts. What comes to the driver is a few numbers a training row."""
+    seeds = np.random.default_rng(5).integers(1, 1 << 63, SKETCHES, dtype="u8") | np.uint64(1)
+
+    def each(text: str) -> list[int]:
+        words = np.array([zlib.crc32(w.encode()) for w in TOKEN.findall(text.lower())], "u8")
+        if len(words) > 2:
+            words = words[:-2] * np.uint64(0x9E3779B97F4A7C15) + words[1:-1] * np.uint64(0xC2B2AE3D27D4EB4F) + words[2:]
+        mixed = (words ^ (words >> np.uint64(29)))[:, None] * seeds
+        return ((mixed ^ (mixed >> np.uint64(32))).min(axis=0) >> np.uint64(1)).tolist() if len(words) else [0] * SKETCHES
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = [each(t) for group in text_groups(b.column(1)) for t in group]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "m"])
+
+    kind = dict(rows.dtypes)["doc_id"]
+    sketches = sorted((r["m"], r["doc_id"]) for r in rows.mapInArrow(run, f"doc_id {kind}, m array<bigint>").collect())
+    seen, first = [set() for _ in range(SKETCHES)], {}
+    for minima, doc_id in sketches:
+        if not any(m in s for m, s in zip(minima, seen, strict=True)):
+            first[doc_id] = known[doc_id]
+        for m, s in zip(minima, seen, strict=True):
+            s.add(m)
+    return first
+
+
 def candidates(word: str) -> Iterator[str]:
     if len(word) >= SHORTEST:
         yield word + WHOLE
@@ -241,7 +274,7 @@ def learn_terms(rows: DataFrame, known: dict, most_terms: int, min_docs: int) ->
     part = lambda x, e: F.when(x > 0, x * F.log(x / e)).otherwise(0.0)
     share = seen / (n0 + n1)
     gain = part(a, share * n1) + part(b, share * n0) + part(n1 - a, (1 - share) * n1) + part(n0 - b, (1 - share) * n0)
-    better = counts.where((a >= min_docs) & (a * n0 > 4 * b * n1)).withColumn("gain", 2 * gain).where("gain > 12")
+    better = counts.where((a >= min_docs) & (a * n0 > 4 * b * n1)).withColumn("gain", 2 * gain).where(F.col("gain") > LEAST_GAIN)
     ranked = better.orderBy(F.desc(F.round("gain", 9)), F.desc(F.length("key")), "key").limit(8 * most_terms)
     taken, heads = [], set()  # heads: every beginning of a chosen term
     for row in ranked.select("key").collect():
@@ -289,8 +322,14 @@ def learn_weights(rows: DataFrame, known: dict, terms: list[str], bound: int) ->
     blank = Lexicon(terms, np.ones((len(terms), bound + 1)))
 
     def make():
-        matcher = Matcher(blank, bound)
-        return lambda tokens: {f"{t} {d}" for w in set(tokens) for t, d in matcher(w)}
+        memo, matcher = Memo(60_000), Matcher(blank, bound)
+
+        def keys(tokens: list[str]) -> set[str]:
+            words = set(tokens)
+            memo.fill(words, lambda new: [matcher(w) for w in new])
+            return {f"{t} {d}" for w in words for t, d in memo[w]}
+
+        return keys
 
     n1 = max(sum(known.values()), 1)
     n0 = max(len(known) - n1, 1)
@@ -358,11 +397,12 @@ class Model:
 
 
 def fit(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", fit_rows: int = 20_000,
-        most_terms: int = 1024, min_docs: int = 3, bound: int = 1) -> Model:
-    """Learn lexicon, evidence and model from about ``fit_rows`` labelled rows of the training folds. The model has at most
+        most_terms: int = 256, min_docs: int = 3, bound: int = 1) -> Model:
+    """Learn lexicon, evidence and model from about ``fit_rows`` labelled rows of the training folds, copies once. The model has at most
     ``most_terms`` terms, whatever the corpus; terms need ``min_docs`` toxic texts."""
     docs = only(df, doc_id=id_col, text=text_col)
     known = training(docs, labels, fit_rows)
+    known = distinct_texts(_labelled_texts(docs, known), known)
     rows = _labelled_texts(docs, known)
     terms = learn_terms(rows, known, most_terms, min_docs)
     lexicon = learn_weights(rows, known, terms, bound)
@@ -388,7 +428,7 @@ def toxicity(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     Returns ``doc_id``, ``held_out``, ``score`` (0 to 1) and ``predicted`` (1 from a score of 0.7). Rows whose crc32 of the id
     leaves 1 modulo 3 are held out. Null, empty and blank texts have no hits and get the score of a text without words; a
-    null id is scored and never trains; repeated rows get the same score, and each trains if labelled; without labels of
+    null id is scored and never trains; repeated rows get the same score, and train if labelled; without labels of
     both classes the score is their share; an empty table gives no rows. Other columns are neither used nor carried.
     """
     return score(df, fit(df, labels, id_col, text_col, **settings), id_col, text_col)
