@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.llm.common import SPACE_RUN, SPACES, ascii_lower, fresh, only
+from tilewright.llm.common import LOWER, SPACE_RUN, SPACES, UPPER, fresh, only
 
 SYMBOLS = "#*$%&|<>"
 
@@ -100,25 +100,26 @@ def _same_text(text: str) -> Column:
 def line_counts(df: DataFrame, host: str, text: str) -> DataFrame:
     """(host, doc, line, n_words): the lines of each distinct text of a host, with the words that they hold in all its
     copies."""
-    each = df.select(
-        F.col(host).alias("host"), _same_text(text).alias("doc"), F.explode(lines_of(F.col(text))).alias("raw")
-    )
-    words = each.select("host", "doc", F.split(F.btrim("raw", F.lit(SPACES)), SPACE_RUN).alias("words"))
-    one = words.select(
-        "host", "doc", normal_line(F.col("words")).alias("line"), F.size("words").alias("n")
-    )
+    raw = F.explode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)).alias("raw")
+    words = df.select(F.col(host).alias("host"), _same_text(text).alias("doc"), raw).select("host", "doc", normal_words(F.col("raw")).alias("words"))
+    one = words.select("host", "doc", normal_line(F.col("words")).alias("line"), F.size("words").alias("n")).where("n > 0")
     return one.groupBy("host", "doc", "line").agg(F.sum("n").alias("n_words"))
 
 
+def normal_words(line: Column) -> Column:
+    """Words of a line in ASCII lower case: one pass over its characters and a plain split, no regular expression per line."""
+    blanks = "\t\x0b\x0c\r"
+    return F.array_remove(F.split(F.translate(line, UPPER + blanks, LOWER + " " * len(blanks)), " "), "")
+
+
 def normal_line(words: Column) -> Column:
     """Hash of a line in normal form, from its words."""
-    return F.xxhash64(ascii_lower(F.array_join(words, " ")))
+    return F.xxhash64(F.array_join(words, " "))
 
 
 def without_lines(text: Column, hashes: Column) -> Column:
     """``text`` without the lines of these hashes; without hashes, the text as it is."""
-    line = lambda x: normal_line(F.split(F.btrim(x, F.lit(SPACES)), SPACE_RUN))
-    rest = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(hashes, line(x)))
+    rest = F.filter(F.split(text, "\n", -1), lambda x: ~F.array_contains(hashes, normal_line(normal_words(x))))
     return F.when(hashes.isNull(), text).otherwise(F.array_join(rest, "\n"))
 
 
