@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from unicodedata import is_normalized
 
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.byte_bpe import byte_characters
-from tilewright.llm.common import Memo, fresh, map_arrow, only, single_threaded, text_groups, tokenizer_path
+from tilewright.llm.common import Memo, fresh, give_back, only, single_threaded, text_groups, tokenizer_path
 
 PIECE = "start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint"
 #: A piece may leave this part of its share unused.
@@ -95,16 +95,15 @@ def cuts(n: int, capacity: int) -> tuple[int, ...]:
     return tuple(out)
 
 
-def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int, path: str) -> DataFrame:
-    """A row per piece: where it starts in the document's ids, how long it is, and the CRC-32 of its ids."""
-    kind = dict(df.dtypes)[id_col]
+def cutter(capacity: int, end_id: int, path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """From (doc_id, text) to a row per piece: where it starts in the document's ids, how long it is, and the CRC-32 of its
+    ids."""
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         use, end = WordIds(path), np.array([end_id], "<u4").tobytes()
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+        for batch in batches:
             at, start, length, crc, total = [], [], [], [], []
-            all_ids = (x for group in text_groups(batch.column(1)) for x in use.ids(group))
+            all_ids = (x for group in text_groups(batch.column(1), 300_000) for x in use.ids(group))
             for row, ids in enumerate(all_ids):
                 ids += end
                 here, n = 0, len(ids) // 4
@@ -116,21 +115,19 @@ def pieces(df: DataFrame, id_col: str, text_col: str, capacity: int, end_id: int
                     total.append(n)
                     here += size
             numbers = [pa.array(x, pa.int64()) for x in (start, length, crc, total)]
-            return pa.RecordBatch.from_arrays(
+            yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(at, pa.int64())), *numbers],
                 ["doc_id", "start", "length", "ids_crc32", "doc_tokens"],
             )
+        del use
 
-        return each
-
-    return map_arrow(only(df, doc_id=id_col, text=text_col), make, f"doc_id {kind}, {PIECE}")
+    return run
 
 
-def fill(df: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
-    """Fill each worker's bins. Pieces in full bins get a sequence and an offset; those left in hand get none, or are packed
+def filler(capacity: int, level: int, last: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Fill a worker's bins. Pieces in full bins get a sequence and an offset; those left in hand get none, or are packed
     by decreasing length if this is the last worker."""
-
-    columns, id_kind = [*df.columns, "sequence_id", "offset"], dict(df.dtypes)["doc_id"]
+    columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         base, made = (level << 56) | (TaskContext.get().partitionId() << 32), 0
@@ -176,7 +173,7 @@ def fill(df: DataFrame, capacity: int, level: int, last: bool) -> DataFrame:
         if out:
             yield batch(out)
 
-    return df.mapInArrow(run, f"doc_id {id_kind}, {PIECE}, sequence_id bigint, offset bigint")
+    return run
 
 
 def harmonic_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = 4096, end_id: int = 2,
@@ -190,14 +187,21 @@ def harmonic_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     where = path or tokenizer_path("word_bpe_49k.json")
     level = 0
-    cut = pieces(df, id_col, text_col, capacity, end_id, where)
-    parts = cut.rdd.getNumPartitions()
-    done = fresh(fill(cut, capacity, level, parts <= 1), "packed")
+    docs = only(df, doc_id=id_col, text=text_col)
+    schema = f"doc_id {dict(docs.dtypes)['doc_id']}, {PIECE}, sequence_id bigint, offset bigint"
+    parts = docs.rdd.getNumPartitions()
+    cut, first = cutter(capacity, end_id, where), filler(capacity, level, parts <= 1)
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from first(cut(batches))  # in one worker process
+        give_back()
+
+    done = fresh(docs.mapInArrow(packed, schema), "packed")
     rounds = [done]
     while parts > 1:
         level, parts = level + 1, -(-parts // FAN_IN)
         rest = done.where(F.col("sequence_id").isNull()).drop("sequence_id", "offset").coalesce(parts)
-        done = fresh(fill(rest, capacity, level, parts == 1), "packed")
+        done = fresh(rest.mapInArrow(filler(capacity, level, parts == 1), schema), "packed")
         rounds.append(done)
     out = rounds[0]
     for more in rounds[1:]:
