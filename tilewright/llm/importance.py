@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import Memo, fresh, give_back, text_groups
+from tilewright.session import forget
 
 #: Slots of each of the three kinds of n-grams, and how many rows of a slot's count are doubted.
 SLOTS, DOUBT = 1 << 14, 16.0
@@ -98,7 +99,8 @@ def weigh(df: DataFrame, id_col: str, text_col: str, carry: list[str], ratio: np
         give_back()
 
     # only texts go to Python, and only numbers come back; the rows stay where they are
-    out = df.select(F.struct(*carry).alias("row"), weight(F.col(text_col)).alias("log_weight"), F.col(id_col).alias("id"))
+    row = F.struct(*carry) if carry else F.lit(None)
+    out = df.select(row.alias("row"), weight(F.col(text_col)).alias("log_weight"), F.col(id_col).alias("id"))
     return out.withColumn("gumbel_key", F.col("log_weight") + gumbel(F.col("id"), seed)).drop("id")
 
 
@@ -140,10 +142,14 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     share of the labelled rows, so that the sample is as large as the part of the corpus that is like the target; without
     labels of both classes every row with a weight is kept. Null, empty and blank texts have no weight and are not kept;
     repeated rows share their noise and stay or go together, as do ties at the k-th key; an empty table gives no rows.
+
+    Named ``carry`` columns are written with the weights. For whole rows the texts are weighed a second time instead, so that
+    the corpus is not written once more.
     """
     labelled = _labelled(labels, fit_rows)
     ratio = fit(df, id_col, text_col, labelled)
-    held = weigh(df, id_col, text_col, [*dict.fromkeys([id_col, *(carry or df.columns)])], ratio, seed)
+    again = carry is None
+    held = weigh(df, id_col, text_col, [id_col] if again else [*dict.fromkeys([id_col, *carry])], ratio, seed)
     held = fresh(held, "weights")
     weighted = held.where("log_weight is not null")
     total = weighted.count()
@@ -152,4 +158,7 @@ def resample(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         like = share if share is not None else good / len(labelled) if 0 < good < len(labelled) else 1.0
         k = round(like * total)
     at = -math.inf if k >= total else kth_largest(weighted, "gumbel_key", k) if k > 0 else math.inf
+    if again:
+        forget(held)
+        held = weigh(df, id_col, text_col, [*dict.fromkeys([id_col, *df.columns])], ratio, seed)
     return held.withColumn("kept", F.coalesce(F.col("gumbel_key") >= F.lit(at), F.lit(False)))
