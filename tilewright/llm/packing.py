@@ -8,6 +8,7 @@ end is filled again by ever fewer workers. The last remainder, bounded by the ca
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
 from collections.abc import Callable, Iterator
@@ -43,7 +44,10 @@ class WordIds:
 
         single_threaded()
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.specials = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = re.compile("|".join(f"({re.escape(s)})" for s in self.specials)) if self.specials else None
+        # their strings stand for themselves as written; lower-cased words that only look like them are ordinary text
+        self.tokenizer.encode_special_tokens = True
         self.shown = dict(enumerate(byte_characters()))
         self.memo, self.stems = Memo(200_000), Memo()
 
@@ -67,14 +71,31 @@ class WordIds:
         """Marks after a letter are a word of the tokenizer by themselves."""
         texts = [w.decode() for w in words]
         stems = [t.rstrip(MARKS) for t in texts]
-        apart = [s[-1:] < LETTERS and len(c := s[-1:].lower()) == 1 and c.isalpha() for s in stems]  # lower case may add marks
+        apart = [
+            s is not t and s[-1:] < LETTERS and len(c := s[-1:].lower()) == 1 and c.isalpha()  # lower case may add marks
+            for s, t in zip(stems, texts, strict=True)
+        ]
         stems = [s if a else t for s, a, t in zip(stems, apart, texts, strict=True)]
         ends = [t[len(s) :] for s, t in zip(stems, texts, strict=True)]
         self.stems.fill({*stems, *ends} - {""}, self._encode)
         return [self.stems[s] + (self.stems[e] if e else b"") for s, e in zip(stems, ends, strict=True)]
 
     def ids(self, group: list[str]) -> list[bytes]:
-        """Ids of each text as little-endian 32-bit numbers."""
+        """Ids of each text as little-endian 32-bit numbers. A special token's string is its id, and the text on each side
+        of it is encoded by itself."""
+        found = {i: None for i, t in enumerate(group) if any(s in t for s in self.specials)}
+        if not found:
+            return self._ids(group)
+        parts = [self.special.split(group[i]) for i in found]
+        parts = [[p for p in own if p is not None] for own in parts]
+        flat = [p for own in parts for p in own if p not in self.specials]
+        plain = iter(self._ids([t for i, t in enumerate(group) if i not in found] + flat))
+        out = [b"" if i in found else next(plain) for i in range(len(group))]
+        for i, own in zip(found, parts, strict=True):
+            out[i] = b"".join(struct.pack("<I", self.specials[p]) if p in self.specials else next(plain) for p in own)
+        return out
+
+    def _ids(self, group: list[str]) -> list[bytes]:
         words = [t.encode().lower().split() for t in group]  # the tokenizer lowers letters anyway
         self.memo.fill(set().union(*words), self._solve)
         return [b"".join(map(self.memo.__getitem__, w)) for w in words]
@@ -181,7 +202,7 @@ def harmonic_packing(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """Tokenise, cut and pack every whole text.
 
     Returns a row per piece: ``doc_id``, ``start``, ``length``, ``ids_crc32``, ``doc_tokens``, ``sequence_id``, ``offset``.
-    A null or empty text is the end id alone; repeated rows are packed each; null ids stay null; an empty table gives no
+    A null or empty text is the end id alone; strings of special tokens become their ids, as the tokenizer has it; repeated rows are packed each; null ids stay null; an empty table gives no
     rows; other columns are not carried. ``path`` is the tokenizer's file. Each round is written once to the shared
     folder, so that a lost executor doesn't deal pieces anew.
     """
