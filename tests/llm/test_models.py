@@ -149,11 +149,17 @@ def brute_top(rows, k=5, every=50):
     v = {}
     for i, x in rows:
         if i is not None and x is not None and all(c is not None and math.isfinite(c) for c in x):
-            v[i] = [math.floor(256 * c) for c in x]
+            v.setdefault(i, []).append([math.floor(256 * c) for c in x])
     out = set()
-    for q, x in v.items():
+    for q in v:
         if q % every == 0:
-            s = sorted((-sum(a * b for a, b in zip(x, y)), i) for i, y in v.items() if i != q and len(y) == len(x))
+            best = {}
+            for x in v[q]:
+                for i, ys in v.items():
+                    for y in ys:
+                        if i != q and len(y) == len(x):
+                            best[i] = max(best.get(i, -math.inf), sum(a * b for a, b in zip(x, y)))
+            s = sorted((-s_, i) for i, s_ in best.items())
             out |= {(q, n + 1, i, -s_) for n, (s_, i) in enumerate(s[:k])}
     return out
 
@@ -166,6 +172,8 @@ def test_top_k_against_brute_force(spark, monkeypatch):
     rows += [(700 + i, rows[0][1]) for i in range(20)] + [(750, [0.0] * 8), (751, [0.0] * 8)]  # ties and zero vectors
     rows += [(800, [1.0, 2.0]), (850, [3.0]), (801, [1.0, -2.0]), (900, []), (901, None), (None, [1.0] * 8), (950, [1.0, None] * 4)]
     rows += [(951, [float("nan")] * 8), (1000, [float("inf")] * 8), rows[5]]
+    long_ = [9.0 * c for c in rows[0][1]]  # ids with several vectors: one best product each
+    rows += [(7, long_), (7, [2 * c for c in long_]), (7, [c + 1 for c in long_]), (100, long_), (100, rows[3][1]), (14, long_)]
     df = spark.createDataFrame([(i, x, 1) for i, x in rows], "vec_id long, embedding array<double>, rank int").repartition(3)
     found = topk.top_k(df)
     assert set(cases.pairs(found, "query_id", "rank", "vec_id", "score")) == brute_top(rows)
@@ -188,6 +196,19 @@ def test_buckets_prune_by_coordinate_without_loss():
     assert got == want
 
 
+def test_pairs_are_made_only_with_buckets_that_are_long_enough(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BUCKET", 50)
+    seen, searched = [], topk._searched
+    monkeypatch.setattr(topk, "_searched", lambda pairs, k: (seen.append(pairs.count()), searched(pairs, k))[1])
+    r = random.Random(8)
+    rows = [(i, [r.gauss(0, 1) / (1 + i) for _ in range(4)]) for i in range(1000)] + [(2000, [1.0, 1.0, 1.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert set(cases.pairs(topk.top_k(df, scale=2.0**20), "query_id", "rank", "vec_id", "score")) == brute_top(
+        [(i, [c * 4096 for c in x]) for i, x in rows]
+    )
+    assert seen[1] < 10  # of 21 buckets
+
+
 def test_products_beyond_double_precision():
     a = np.array([[2**31, 1]])
     assert topk.products(a, np.array([[2**30, 1]]))[0, 0] == 2**61 + 1
@@ -224,6 +245,21 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read_archives(warc.archive(df.where("false"), f"file://{tmp_path}/b"), f"file://{tmp_path}/b").count() == 0
 
 
+def test_dictionary_sample_is_drawn_by_hash(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(i, f"u{i}", f"page {i} " * 20) for i in range(3000)] + [(None, None, "hot page " * 20)] * 1500
+    df = spark.createDataFrame(rows, "id long, uri string, html string").repartition(6)
+    df = df.select("id", F.coalesce("uri", F.lit("")).alias("uri"), F.encode("html", "UTF-8").alias("payload"))
+    df = df.withColumns({"length": F.length("payload"), "digest": F.sha1("payload")})
+    few = warc.sampled_records(df, 4500, 100, 1000, 1 << 20)
+    assert len(few) == 100 == len(set(few))
+    assert few == warc.sampled_records(df.repartition(2), 4500, 100, 1000, 1 << 20)
+    assert len(warc.sampled_records(df, 4500, 100, 1000, 1000)) < 10
+    assert len(warc.sampled_records(df, 4500, 10_000, 1000, 1 << 24)) == 3001
+    assert warc.sampled_records(df.where("false"), 0, 100, 1000, 1000) == []
+
+
 def test_a_damaged_archive_is_noticed(spark, tmp_path):
     import pytest
 

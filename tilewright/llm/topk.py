@@ -2,19 +2,20 @@
 
 Candidates are sorted by length and packed into buckets of neighbouring lengths. A query's best scores so far are a lower
 bound of what is still wanted, so in each bucket a query needs a certain cosine: bound / (query length * longest vector). A
-bucket whose needed cosine is over 1 is skipped. Where it is high, a candidate's coordinate along the query's largest
-coordinate must lie in a narrow range (coordinate pruning); else only candidates that are long enough remain (length
-pruning). What remains is verified by exact products.
+bucket whose needed cosine is over 1 never meets a block of such queries. Where it is high, a candidate's coordinate along
+the query's largest coordinate must lie in a narrow range (coordinate pruning); else only candidates that are long enough
+remain (length pruning). What remains is verified by exact products.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tilewright.llm.common import fresh, only
@@ -39,39 +40,40 @@ def integers(df: DataFrame, id_col: str, vector_col: str, scale: float) -> DataF
 
 
 def _packed(df: DataFrame, size: int, stem: str) -> DataFrame:
-    """Rows of up to ``size`` vectors of one dimension, longest first: (dim, block, longest, ids, vectors as bytes)."""
+    """Rows of up to ``size`` vectors of one dimension, highest ``rank_by`` first: (dim, block, most, least, ids, vectors,
+    bounds), where ``most`` and ``least`` are the ends of ``rank_by`` in the block; ids, vectors and bounds are bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, n = TaskContext.get().partitionId(), 0
         held: list[pd.DataFrame] = []
-        for b in [*batches, None]:
-            rows = pd.concat([*held, *([b.to_pandas()] if b is not None else [])]) if held or b is not None else None
+        for b in chain(batches, [None]):
+            parts = [*held, *([] if b is None else [b.to_pandas()])]
             held = []
-            if rows is None:
+            if not parts:
                 continue
-            for dim, own in rows.groupby("dim", sort=False):
+            for dim, own in pd.concat(parts).groupby("dim", sort=False):
                 for at in range(0, len(own), size):
                     some = own.iloc[at : at + size]
                     if len(some) < size and b is not None:
                         held.append(some)
                         continue
                     columns = [
-                        [int(dim)], [(part << 32) + n], [float(some["norm"].max())],
+                        [int(dim)], [(part << 32) + n], [float(some["rank_by"].max())], [float(some["rank_by"].min())],
                         [some["id"].to_numpy("int64").tobytes()], [np.stack(some["v"].to_numpy()).astype("int64").tobytes()],
+                        [some["bound"].to_numpy("float64").tobytes()],
                     ]
-                    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+                    kinds = (pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.binary(), pa.binary(), pa.binary())
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                        ["dim", "block", "longest", "ids", "vectors"],
+                        ["dim", "block", "most", "least", "ids", "vectors", "bounds"],
                     )
                     n += 1
 
-    packed = df.sortWithinPartitions("dim", F.col("norm").desc(), "id").mapInArrow(
-        run, "dim int, block bigint, longest double, ids binary, vectors binary"
-    )
-    return fresh(packed, stem)
+    rows = df.select("dim", "id", "v", "rank_by", "bound").sortWithinPartitions("dim", F.col("rank_by").desc(), "id")
+    schema = "dim int, block bigint, most double, least double, ids binary, vectors binary, bounds binary"
+    return fresh(rows.mapInArrow(run, schema), stem)
 
 
 def _unpacked(ids: bytes, vectors: bytes, dim: int) -> tuple[np.ndarray, np.ndarray]:
@@ -88,8 +90,9 @@ def products(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def bucket_best(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query, id, score) of the at most k best of one bucket for each query, ties to the smaller id; none below its bound.
-    The bucket's vectors come longest first."""
+    """(query, id, score) of the at most k best of one bucket for each query, ties to the smaller id; none below its bound,
+    and of a repeated id the best. The bucket's vectors come longest first."""
+    repeats = len(np.unique(ids)) < len(ids)
     lengths = np.sqrt((v.astype("float64") ** 2).sum(axis=1))
     own = np.sqrt((q.astype("float64") ** 2).sum(axis=1))
     longest = lengths[0] if len(lengths) else 0.0
@@ -115,7 +118,7 @@ def bucket_best(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.nd
         low = -1.0 if -c >= needed[i] else middle - spread
         high = 1.0 if c >= needed[i] else middle + spread
         some = np.sort(at[np.searchsorted(values, low - 1e-9) : np.searchsorted(values, high + 1e-9, "right")])
-        yield from _best(q_ids[i], products(q[i : i + 1], v[some])[0], ids[some], bounds[i], k)
+        yield from _best(q_ids[i], products(q[i : i + 1], v[some])[0], ids[some], bounds[i], k, repeats)
     for at in range(0, len(whole), 256):
         rows = np.array(whole[at : at + 256])
         with np.errstate(divide="ignore", invalid="ignore"):
@@ -123,11 +126,14 @@ def bucket_best(q_ids: np.ndarray, q: np.ndarray, bounds: np.ndarray, ids: np.nd
         enough = int((lengths >= np.nanmin(least)).sum())  # a prefix, as lengths fall
         scores = products(q[rows], v[:enough])
         for i, s in zip(rows, scores, strict=True):
-            yield from _best(q_ids[i], s, ids[:enough], bounds[i], k)
+            yield from _best(q_ids[i], s, ids[:enough], bounds[i], k, repeats)
 
 
-def _best(query: int, scores: np.ndarray, ids: np.ndarray, bound: float, k: int) -> Iterator[tuple]:
+def _best(query: int, scores: np.ndarray, ids: np.ndarray, bound: float, k: int, repeats: bool) -> Iterator[tuple]:
     keep = np.flatnonzero((ids != query) & (scores >= bound))
+    if repeats:
+        keep = keep[np.lexsort((-scores[keep], ids[keep]))]
+        keep = keep[np.unique(ids[keep], return_index=True)[1]]
     if len(keep) > k:
         edge = np.partition(scores[keep], -k)[-k]
         keep = keep[scores[keep] >= edge]
@@ -136,22 +142,30 @@ def _best(query: int, scores: np.ndarray, ids: np.ndarray, bound: float, k: int)
 
 
 def _searched(pairs: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, score) of the joined rows of a query block (q_ids, q_vectors, bounds) and a bucket."""
+    """(query_id, vec_id, score) of the joined rows of a query block (q_ids, q_vectors, q_bounds) and a bucket. A pair is
+    unpacked at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for r in b.to_pylist():
+            for at in range(b.num_rows):
+                r = b.slice(at, 1).to_pylist()[0]
                 ids, v = _unpacked(r["ids"], r["vectors"], r["dim"])
                 q_ids, q = _unpacked(r["q_ids"], r["q_vectors"], r["dim"])
-                found = list(bucket_best(q_ids, q, np.frombuffer(r["bounds"], "f8").copy(), ids, v, k))
+                found = list(bucket_best(q_ids, q, np.frombuffer(r["q_bounds"], "f8"), ids, v, k))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([f[i] for f in found], pa.int64()) for i in range(3)], ["query_id", "vec_id", "score"]
                 )
 
-    columns = ["dim", "ids", "vectors", "q_ids", "q_vectors", "bounds"]
+    columns = ["dim", "ids", "vectors", "q_ids", "q_vectors", "q_bounds"]
     return pairs.select(*columns).mapInArrow(run, "query_id bigint, vec_id bigint, score bigint")
 
 
+def _query_blocks(asked: DataFrame, size: int, stem: str) -> DataFrame:
+    """Blocks of queries under the names that a pair has: (dim, q_least, q_ids, q_vectors, q_bounds)."""
+    names = {"least": "q_least", "ids": "q_ids", "vectors": "q_vectors", "bounds": "q_bounds"}
+    return _packed(asked, size, stem).select("dim", *[F.col(a).alias(b) for a, b in names.items()])
+
+
 def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, every: int = 50,
           scale: float = 256.0) -> DataFrame:
     """Per query (rows whose id is divisible by ``every``) the ``k`` best other rows by integer inner product.
@@ -159,54 +173,46 @@ def top_k(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding",
     Returns ``query_id``, ``rank`` from 1, ``vec_id`` and ``score``; ties go to the smaller id, and a query with fewer than
     ``k`` candidates gets all of them. Only vectors of a query's own dimension are its candidates. Rows with a null id or
     an unusable vector take no part; rows that repeat an id with the same vector count once (the id itself is never its own
-    candidate); an empty table gives no rows. Queries come in blocks and candidates in buckets; a task holds one of each.
+    candidate), and an id with several vectors counts once, with its best product; an empty table gives no rows. Queries
+    come in blocks and candidates in buckets; a task holds one of each.
     """
     spark = df.sparkSession
     own = fresh(integers(df, id_col, vector_col, scale).dropDuplicates(["id", "v"]), "vectors")
     n = own.count()
     spread = max(1, min(-(-n // BUCKET), 100_000))
-    buckets = _packed(own.repartitionByRange(spread, F.col("dim"), F.col("norm").desc(), F.xxhash64("id")), BUCKET, "buckets")
+    unbounded = F.lit(float("-inf"))
+    dealt = own.withColumns({"rank_by": F.col("norm"), "bound": unbounded})
+    dealt = dealt.repartitionByRange(spread, F.col("dim"), F.col("norm").desc(), F.xxhash64("id"))
+    buckets = _packed(dealt, BUCKET, "buckets").drop("bounds")
     asked = own.where(F.col("id") % every == 0)
-    blocks = _packed(asked.repartition(max(1, -(-n // (every * BLOCK))), F.xxhash64("id")), BLOCK, "queries")
-    blocks = blocks.select("dim", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"))
+    parts = max(1, -(-n // (every * BLOCK)))
 
     # the bucket with the longest vectors of each dimension gives every query its first bound
-    first = buckets.groupBy("dim").agg(F.max_by("block", F.struct("longest", "block")).alias("block"))
+    first = buckets.groupBy("dim").agg(F.max_by("block", F.struct("most", "block")).alias("block"))
     seeds = fresh(buckets.join(first, ["dim", "block"]), "seeds")
-    unbounded = F.udf(lambda ids: np.full(len(ids) // 8, -np.inf).tobytes(), "binary")
-    begun = _searched(blocks.withColumn("bounds", unbounded("q_ids")).join(seeds, "dim"), k)
-    worst = begun.groupBy("query_id").agg(
-        F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).otherwise(F.lit(float("-inf"))).alias("bound")
+    begun = asked.withColumns({"rank_by": unbounded, "bound": unbounded}).repartition(parts, F.xxhash64("id"))
+    begun = _searched(_query_blocks(begun, BLOCK, "begun").join(seeds, "dim"), k)
+    begun = begun.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    worst = begun.groupBy(F.col("query_id").alias("id")).agg(
+        F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).otherwise(unbounded).alias("bound")
     )
-    bounded = _with_bounds(blocks, fresh(worst, "bounds"))
 
-    # every bucket meets every block of queries: buckets are dealt to lanes, and the blocks go to each lane
-    lanes = max(1, min(spread, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    dealt = buckets.withColumn("lane", F.pmod(F.xxhash64("block"), F.lit(lanes)))
-    each = bounded.withColumn("lane", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(lanes - 1).cast("long"))))
-    found = _searched(dealt.join(each, ["dim", "lane"]), k)
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    from pyspark.sql import Window
+    # a better product needs a vector of at least bound / own length; queries of like need share a block
+    bounded = asked.join(worst, "id", "left").withColumn("bound", F.coalesce("bound", unbounded))
+    need = F.when(F.col("bound") > 0, F.col("bound") / F.col("norm")).otherwise(unbounded)
+    bounded = bounded.withColumn("rank_by", need)
+    bounded = bounded.repartitionByRange(parts, F.col("dim"), F.col("rank_by").desc(), F.xxhash64("id"))
+    bounded = _query_blocks(bounded, BLOCK, "queries")
 
+    # buckets are dealt to lanes, and the blocks go to each lane; a pair is made only if the bucket is long enough for it
+    lanes = max(1, min(spread, 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    lane = F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int")
+    b = buckets.select(F.col("dim").alias("b_dim"), lane.alias("b_lane"), "most", "ids", "vectors")
+    each = bounded.withColumn("lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
+    enough = F.col("most") * F.lit(1 + 1e-9) >= F.col("q_least")
+    pairs = b.join(each, (F.col("dim") == F.col("b_dim")) & (F.col("lane") == F.col("b_lane")) & enough)
+    best = _searched(pairs, k).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select(
         "query_id", "rank", "vec_id", "score"
     )
-
-
-def _with_bounds(blocks: DataFrame, bounds: DataFrame) -> DataFrame:
-    """Each block of queries with the bounds of its queries, in its own order."""
-    flat = blocks.select("dim", "q_block", F.posexplode(_longs("q_ids")).alias("at", "query_id"))
-    listed = (
-        flat.join(bounds, "query_id", "left")
-        .groupBy("dim", "q_block")
-        .agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("bound", F.lit(float("-inf"))).alias("b")))).alias("l"))
-    )
-    packed = F.udf(lambda xs: np.array(xs, "f8").tobytes(), "binary")
-    return fresh(
-        blocks.join(listed, ["dim", "q_block"]).withColumn("bounds", packed(F.col("l")["b"])).drop("l"), "blocks"
-    )
-
-
-def _longs(column: str):
-    return F.udf(lambda b: np.frombuffer(b, "int64").tolist(), "array<bigint>")(column)

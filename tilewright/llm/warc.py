@@ -24,6 +24,8 @@ from tilewright.session import new_path
 SKIPPABLE, FRAME, DICTIONARY = 0x184D2A5D, 0xFD2FB528, 0xEC30A437
 LEVEL = 3
 WINDOW = 1 << 16
+#: So many times the records wanted for the dictionary are drawn by hash, out of this many hashes.
+DRAWN, HASHES = 4, 1 << 40
 
 
 def record(kind: str, id_: int | None, uri: str, payload: bytes, digest: str, refers_to: int | None) -> bytes:
@@ -68,10 +70,15 @@ def build_dictionary(samples: list[bytes], size: int) -> bytes:
         return b"".join(samples)[-size:]
 
 
-def sampled_records(rows: DataFrame, records: int, longest: int, total: int) -> list[bytes]:
+def sampled_records(rows: DataFrame, n: int, records: int, longest: int, total: int) -> list[bytes]:
     """Whole records for the dictionary: those with the smallest hashes among those of at most ``longest`` bytes, up to
-    ``total`` bytes. This is all that the driver gets."""
-    some = rows.where(F.col("length").between(1, longest)).orderBy(F.xxhash64("id"), "digest").limit(records)
+    ``total`` bytes. This is all that the driver gets. ``n`` is the number of all rows: only about ``DRAWN`` times
+    ``records`` of them, chosen by hash before a payload is looked at, leave their tasks, and repeated rows count once."""
+    h = F.xxhash64("id", "uri")
+    share = min(1.0, DRAWN * records / max(1, n))
+    few = rows.where(F.pmod(h, F.lit(HASHES)) < F.lit(int(share * HASHES)))
+    few = few.where(F.col("length").between(1, longest)).dropDuplicates(["id", "uri", "digest"])
+    some = few.orderBy(h, "digest").limit(records)
     out, size = [], 0
     for r in some.select("id", "uri", "payload", "digest").toLocalIterator():
         out.append(record("response", r[0], r[1], bytes(r[2]), r[3], None))
@@ -230,7 +237,7 @@ def archive(df: DataFrame, folder: str, id_col: str = "page_id", uri_col: str =
     The payload is the UTF-8 body (null: empty). Among equal payloads of at least ``least`` bytes the row with the largest
     id is the response and the others revisit it; rows that repeat the largest id are responses each. A null id never is a
     referent while its group has another id. Control characters are left out of the URI. The dictionary is built from at
-    most ``sample_records`` whole records or ``sample_bytes``. An empty table gives an empty manifest. Other columns are
+    most ``sample_records`` whole records or ``sample_bytes``, whatever the table's size. An empty table gives an empty manifest. Other columns are
     not archived. ``folder`` is a URI that all executors reach.
     """
     rows = with_referents(df, id_col, uri_col, body_col, least)
@@ -238,7 +245,7 @@ def archive(df: DataFrame, folder: str, id_col: str = "page_id", uri_col: str =
                  payload=F.encode(F.coalesce(df[body_col], F.lit("")), "UTF-8"))
     plain = plain.withColumns({"length": F.length("payload"), "digest": F.sha1("payload")})
     longest = max(least, sample_bytes // 64)
-    samples = sampled_records(plain, sample_records, longest, sample_bytes)
+    samples = sampled_records(plain, df.count(), sample_records, longest, sample_bytes)
     return write_archives(rows, folder, build_dictionary(samples, dictionary_bytes), rotate)
 
 
