@@ -16,7 +16,16 @@ def within_one(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + (len(a) == len(b)) :] if len(a) - len(b) <= 1 else False
 
 
-def brute_lines(rows, least=20):
+def within(a: str, b: str, edits: int) -> bool:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+    return row[-1] <= edits
+
+
+def brute_lines(rows, least=20, near_enough=within_one):
     """(doc_id, kept text, lines, exact, near) of rows (doc_id, text) that are distinct."""
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
@@ -30,7 +39,7 @@ def brute_lines(rows, least=20):
                 if line in seen:
                     counts[1] += 1
                     continue
-                near[line] = len(line) >= least and any(len(s) >= least and within_one(line, s) for s in seen)
+                near[line] = len(line) >= least and any(len(s) >= least and near_enough(line, s) for s in seen)
                 seen[line] = True
                 if near[line]:
                     counts[2] += 1
@@ -59,6 +68,45 @@ def test_lines_against_brute_force(spark):
     assert sum(w[3] for w in want.values()) > 10
 
 
+@pytest.mark.parametrize("edits", [0, 2, 3])
+def test_lines_within_other_bounds(spark, edits):
+    r = random.Random(edits)
+    base = ["page 1 of the report", "aaaaaaaaaaaaaa", "Über die Straße"]
+
+    def edited(s, times):
+        for _ in range(times):
+            i, c = r.randrange(len(s)), r.choice("a1é ")
+            s = r.choice([s[:i] + s[i + 1 :], s[:i] + c + s[i:], s[:i] + c + s[i + 1 :]])
+        return s
+
+    rows = [(i, "\n".join(edited(r.choice(base), r.randrange(2 * edits + 3)) for _ in range(3))) for i in range(20)]
+    rows += [(20, None), (21, base[0] + "\n" + base[0].upper())]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_lines(rows, 8, lambda a, b: within(a, b, edits))
+    got = {(x["row"]["doc_id"], x["row"]["text"]): (x["text"], *x[2:]) for x in lines.dedup_lines(docs, least=8, edits=edits).collect()}
+    assert got == want
+    assert sum(w[3] for w in want.values()) > 5 or not edits
+
+
+def test_keys_meet_exactly_within_the_bound():
+    r = random.Random(3)
+    words = ["".join(r.choice("ab") for _ in range(r.randrange(7))) for _ in range(60)]
+    keys = [set(np.concatenate(list(lines._keys_within(w, 2))).tolist()) for w in words]
+    for a, x in zip(words, keys, strict=True):
+        assert [bool(x & y) for y in keys] == [within(a, b, 2) for b in words]
+
+
+def test_parts_are_shared_within_the_bound():
+    r = random.Random(4)
+    for edits in (1, 2, 3):
+        for _ in range(500):
+            a = b = "".join(r.choice("abcd") for _ in range(r.randrange(6, 16)))
+            for _ in range(edits):
+                i = r.randrange(len(b))
+                b = r.choice([b[:i] + b[i + 1 :], b[:i] + "x" + b[i:], b[:i] + "y" + b[i + 1 :]])
+            assert set(lines._parts(a.encode(), len(a), edits)) & set(lines._parts(b.encode(), len(b), edits))
+
+
 def test_lines_edge_rows(spark):
     docs = cases.documents(spark)
     found = lines.dedup_lines(docs)

@@ -6,13 +6,18 @@ itself or a line without one character. All variants are emitted as hashes; line
 characters were taken out at the same place, so within a variant the earliest line of each place, of the whole lines and of
 the shortened ones are all that is needed, and no pairs are listed. The partner found is verified by its edit distance.
 
-Only lines that could have a partner emit variants: one edit leaves either the first or the last half of the shorter line
-intact, so a line takes part if another line has one of its halves.
+With a larger bound, a variant lacks up to that many characters, and its key also holds the places where a partner may differ:
+the line's own, filled up with all others to the full bound. Lines that share such a key are within the bound, so the earliest
+line of a key is again all that is needed.
+
+Only lines that could have a partner emit variants: k edits leave one of k + 1 parts of the shorter line intact, so a line takes
+part if another line has one of its parts, moved by no more than the edits on either side of it can move it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import combinations, combinations_with_replacement, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,14 +49,21 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _halves(line: bytes, n: int) -> list[int]:
-    """Hashes of the first and last halves of a line, as the shorter and as the longer one of a pair."""
+def _parts(line: bytes, n: int, edits: int) -> list[int]:
+    """Hashes of the edits + 1 parts of a line, as the shorter and as the longer one of a pair. Some part is left alone by the
+    edits with at most i of them before part i and the rest after it: that bounds how far it can have moved."""
     cut = line if len(line) == n else line.decode()
-    out = []
-    for h in {n // 2, (n - 1) // 2}:
-        for side, half in enumerate((cut[:h], cut[n - h :])):
-            out.append(_signed(xxh64_intdigest(half, 2 * h + side)))
-    return out
+    out = set()
+    for longer in range(min(edits, n) + 1):
+        m = n - longer  # characters of the shorter line
+        size = m // (edits + 1)
+        for i in range(edits + 1):
+            own = i * (m - size) // edits if edits else 0
+            for moved in range(max(-i, longer - (edits - i)), min(i, longer + edits - i) + 1):
+                at = own + moved
+                if 0 <= at <= n - size:
+                    out.add(_signed(xxh64_intdigest(cut[at : at + size], (edits + 1) * size + i)))
+    return list(out)
 
 
 def _mapped(docs: DataFrame, each: Callable, kinds: list[pa.DataType], schema: str) -> DataFrame:
@@ -84,15 +96,15 @@ def _placed(lines: DataFrame) -> DataFrame:
     return lines.withColumns({"at": at, "h": F.struct("a", "b", "n")}).drop(*AT, "a", "b", "n")
 
 
-def _lines(docs: DataFrame) -> DataFrame:
-    """(at, h, halves): every line with a word, by place and digest; the text itself stays behind."""
+def _lines(docs: DataFrame, edits: int = 1) -> DataFrame:
+    """(at, h, parts): every line with a word, by place and digest; the text itself stays behind."""
 
     def each(text: str) -> Iterator[tuple]:
         for no, line, n in _each_line(text):
-            yield no, *_digest(line), n, _halves(line, n)
+            yield no, *_digest(line), n, _parts(line, n, edits)
 
     kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64())]
-    return _placed(_mapped(docs, each, kinds, "no int, a bigint, b bigint, n int, halves array<bigint>"))
+    return _placed(_mapped(docs, each, kinds, "no int, a bigint, b bigint, n int, parts array<bigint>"))
 
 
 #: Bits of the filter that spares most lines a join with the suspects.
@@ -146,29 +158,81 @@ def variants(suspects: DataFrame) -> DataFrame:
     return suspects.select("line", "at").mapInArrow(run, f"key bigint, place int, at {kind}")
 
 
-def _variant_keys(line: str) -> np.ndarray:
-    """A polynomial hash of the line and of it without each character, from prefix sums."""
+def _prefix_sums(line: str) -> np.ndarray:
+    """The polynomial hashes of all beginnings of a line."""
     with np.errstate(over="ignore"):
         c = np.frombuffer(line.encode("utf-32-le"), "<u4").astype("u8") + np.uint64(1)
         c = (c ^ (c << np.uint64(25))) * np.uint64(0xD6E8FEB86659FD93)
         c ^= c >> np.uint64(32)
         power = np.cumprod(np.concatenate([np.ones(1, "u8"), np.full(len(c), BASE, "u8")]))
-        prefix = np.concatenate([np.zeros(1, "u8"), np.cumsum(c * power[:-1])])
+        return np.concatenate([np.zeros(1, "u8"), np.cumsum(c * power[:-1])])
+
+
+def _mixed(keys: np.ndarray) -> np.ndarray:
+    keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return keys ^ (keys >> np.uint64(32))
+
+
+def _some(tuples: Iterable[tuple], width: int, most: int = 1024) -> Iterator[np.ndarray]:
+    """Tuples of ``width`` numbers as arrays of at most ``most`` rows."""
+    tuples = iter(tuples)
+    while rows := list(islice(tuples, most)):
+        yield np.array(rows, "i8").reshape(len(rows), width)
+
+
+def _keys_within(line: str, edits: int) -> Iterator[np.ndarray]:
+    """Keys of the variants without up to ``edits`` characters, each with every multiset of ``edits`` gaps of the variant that
+    holds the gaps of the characters taken out. Two lines share a key exactly if they are within the bound; the keys of long
+    lines come in arrays of bounded size."""
+    prefix, n = _prefix_sums(line), len(line)
+    inverse = np.uint64(pow(BASE, -1, 1 << 64))
+    for gone in range(min(edits, n) + 1):
+        for cuts in _some(combinations(range(n), gone), gone):
+            with np.errstate(over="ignore"):
+                value, scale = np.zeros(len(cuts), "u8"), np.uint64(1)
+                for j in range(gone + 1):  # the stretch before each cut, moved to where it stands in the variant
+                    start = prefix[cuts[:, j - 1] + 1] if j else np.uint64(0)
+                    end = prefix[cuts[:, j]] if j < gone else prefix[n]
+                    value += (end - start) * scale
+                    scale *= inverse
+            gaps = cuts - np.arange(gone)
+            for more in _some(combinations_with_replacement(range(n - gone + 1), edits - gone), edits - gone):
+                both = np.empty((len(gaps), len(more), edits), "i8")
+                both[:, :, :gone], both[:, :, gone:] = gaps[:, None], more[None]
+                both.sort(axis=2)
+                with np.errstate(over="ignore"):
+                    keys = np.repeat(_mixed(value), len(more))
+                    for j in range(edits):
+                        keys = _mixed(keys * np.uint64(BASE) + both[:, :, j].ravel().astype("u8") + np.uint64(1))
+                yield np.unique(keys)
+
+
+def variants_within(suspects: DataFrame, edits: int) -> DataFrame:
+    """(key, at): the keys of all variants of each line within the bound."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                for keys in _keys_within(b.column(0)[i].as_py(), edits):
+                    at = b.column(1).take(pa.array(np.full(len(keys), i)))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys.view("int64")), at], ["key", "at"])
+        give_back()
+
+    kind = dict(suspects.dtypes)["at"]
+    return suspects.select("line", "at").mapInArrow(run, f"key bigint, at {kind}")
+
+
+def _variant_keys(line: str) -> np.ndarray:
+    """A polynomial hash of the line and of it without each character, from prefix sums."""
+    prefix = _prefix_sums(line)
+    with np.errstate(over="ignore"):
         suffix = prefix[-1] - prefix[1:]  # without the characters up to the place; one power too high
         inverse = np.uint64(pow(BASE, -1, 1 << 64))
-        keys = np.concatenate([prefix[-1:], prefix[:-1] + suffix * inverse])
-        keys = (keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        return keys ^ (keys >> np.uint64(32))
+        return _mixed(np.concatenate([prefix[-1:], prefix[:-1] + suffix * inverse]))
 
 
-def near_lines(first: DataFrame, docs: DataFrame, least: int) -> DataFrame:
-    """(h): distinct lines that have an earlier distinct line within one edit. ``first(h, at, halves)`` holds the distinct
-    lines of ``docs``."""
-    halves = first.where(F.col("h.n") >= least).select("h", "at", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("half")
-    suspects = halves.join(shared, "half", "left_semi").select("h", "at").distinct()
-    found = fresh(_texts_of(fresh(suspects, "asked"), docs), "suspects")
-
+def _one_edit_pairs(found: DataFrame) -> DataFrame:
+    """(at, other): to each line the earliest ones that it meets in a variant within one edit."""
     key, place = Window.partitionBy("key"), Window.partitionBy("key", "place")
     whole = F.col("place") == WHOLE
     met = variants(found).select(
@@ -177,19 +241,33 @@ def near_lines(first: DataFrame, docs: DataFrame, least: int) -> DataFrame:
         F.when(whole, F.min(F.when(~whole, F.col("at"))).over(key)).alias("by_part"),
         F.when(~whole, F.min("at").over(place)).alias("by_place"),
     )
-    pairs = met.select("at", F.explode(F.array_distinct(F.array("by_whole", "by_part", "by_place"))).alias("other"))
-    pairs = pairs.where("other < at").distinct()
+    return met.select("at", F.explode(F.array_distinct(F.array("by_whole", "by_part", "by_place"))).alias("other"))
+
+
+def near_lines(first: DataFrame, docs: DataFrame, least: int, edits: int = 1) -> DataFrame:
+    """(h): distinct lines that have an earlier distinct line within ``edits`` edits. ``first(h, at, parts)`` holds the distinct
+    lines of ``docs``."""
+    parts = first.where(F.col("h.n") >= least).select("h", "at", F.explode("parts").alias("part"))
+    shared = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("part")
+    suspects = parts.join(shared, "part", "left_semi").select("h", "at").distinct()
+    found = fresh(_texts_of(fresh(suspects, "asked"), docs), "suspects")
+    if edits == 1:
+        met = _one_edit_pairs(found)
+    else:
+        met = variants_within(found, edits).select("at", F.min("at").over(Window.partitionBy("key")).alias("other"))
+    pairs = met.where("other < at").distinct()
     a = found.select("at", "h", "line")
     b = found.select(F.col("at").alias("other"), F.col("line").alias("earlier"))
-    checked = pairs.join(a, "at").join(b, "other").where(F.levenshtein("line", "earlier", 1) >= 0)
+    checked = pairs.join(a, "at").join(b, "other").where(F.levenshtein("line", "earlier", edits) >= 0)
     return checked.select("h").distinct()
 
 
-def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20) -> DataFrame:
-    """Drop lines that repeat an earlier one.
+def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 20, edits: int = 1) -> DataFrame:
+    """Drop lines that repeat an earlier one, or one within ``edits`` edits (none: equal lines alone).
 
     Returns ``row`` (a struct of all columns of ``df``), ``text`` without the dropped lines, ``n_lines`` (lines with a
-    word), ``n_exact`` and ``n_near`` (dropped as equal, and as within one edit). Lines of fewer than ``least`` characters
+    word), ``n_exact`` and ``n_near`` (dropped as equal, and as within the bound). The keys of a line grow with its length to the
+    power of ``edits``: bounds beyond one are for short lines. Lines of fewer than ``least`` characters
     are dropped only if they are equal to an earlier one; lines without a word stay. The order is that of ids, then of
     lines; a document whose lines are all dropped keeps an empty text. A null text is empty; rows without an id come last in
     the order; rows that repeat an id and its text are one document and lose the same lines; an empty table gives no rows.
@@ -197,9 +275,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     text = F.coalesce(F.col(text_col), F.lit(""))
     doc = F.xxhash64(text).alias("doc")
     docs = df.select(F.col(id_col).alias("doc_id"), text.alias("text"), doc)
-    lines = fresh(_lines(docs), "lines")
-    first = fresh(lines.groupBy("h").agg(F.min("at").alias("at"), F.first("halves").alias("halves")), "first")
-    near = near_lines(first, docs, least).withColumn("near", F.lit(True))
+    lines = fresh(_lines(docs, edits), "lines")
+    first = fresh(lines.groupBy("h").agg(F.min("at").alias("at"), F.first("parts").alias("parts")), "first")
+    near = near_lines(first, docs, least, edits).withColumn("near", F.lit(True))
     known = fresh(first.select("h", F.col("at").alias("first")).join(near, "h", "left"), "known")
     places = lines.select("h", "at").join(known, "h")
     gone = places.select(
