@@ -81,53 +81,40 @@ def concordance(df: DataFrame, groups: Sequence[str] = (), time: str = "t", even
 
     Counting is by digits, not by pairs. With risks as dense ranks in base 4, risk_j < risk_i exactly when the two ranks
     agree above some digit and j has the smaller digit there. So every row is listed once per digit under its higher
-    digits, and the later rows with a smaller digit are read off running counts: n log n rows, not n squared pairs.
+    digits, and the later rows with a smaller digit are read off running counts: n log n rows, not n squared pairs. Equal
+    risks (all digits agree) and comparable pairs (none looked at) are two more such lists, so one pass counts all three.
     """
     groups = list(groups)
     base = df.where(
         F.col(time).isNotNull() & F.col(risk).isNotNull() & ~F.isnan(F.col(time)) & ~F.isnan(F.col(risk))
     )
-    cells = base.groupBy(*groups, time, risk).agg(F.count(F.lit(1)).alias("n"), F.sum(event).alias("d"))
-    dense = running(
-        cells.select(*groups, risk).distinct().withColumn("_1", F.lit(1)), groups, risk, {"rk": ("sum", "_1")}, unique=True
-    )
-    ranked = cut_lineage(cells.join(dense.select(*groups, risk, "rk"), [*groups, risk]).drop(risk))
+    cells = cut_lineage(base.groupBy(*groups, time, risk).agg(F.count(F.lit(1)).alias("n"), F.sum(event).alias("d")))
+    per_risk = cells.groupBy(*groups, risk).agg(F.lit(1).alias("_1"), F.count(F.lit(1)).alias("_times"))
+    dense = running(per_risk, groups, risk, {"rk": ("sum", "_1"), "_times": ("own", "_times")}, unique=True)
+    ranked = cut_lineage(cells.join(dense.select(*groups, risk, "rk", "_times"), [*groups, risk]).drop(risk))
     top = ranked.agg(F.max("rk")).first()[0]  # one number: how many digits the ranks have
     places = max(1, (int(top or 1).bit_length() + 1) // 2)
-    below = [F.sum(F.when(F.col("digit") < k, F.col("n")).otherwise(0)).alias(f"b{k}") for k in (1, 2, 3)]
-    events = [F.sum(F.when(F.col("digit") == k, F.col("d")).otherwise(0)).alias(f"e{k}") for k in (1, 2, 3)]
-    digits = (
-        ranked.withColumn("place", F.explode(F.sequence(F.lit(0), F.lit(places - 1))))
-        .withColumn("prefix", F.expr("shiftright(rk, 2 * place + 2)"))
-        .withColumn("digit", F.expr("shiftright(rk, 2 * place) & 3"))
-        .groupBy(*groups, "place", "prefix", time)
-        .agg(*below, *events)
-    )
+    # place -1 keeps whole ranks together (only those with several times can tie), the place above all digits everything
+    first = F.when(F.col("_times") > 1, F.lit(-1)).otherwise(F.lit(0))
+    inner = F.col("place").between(0, places - 1)
+    listed = (
+        ranked.withColumn("place", F.explode(F.sequence(first, F.lit(places))))
+        .withColumn("prefix", F.expr("case when place < 0 then rk else shiftright(rk, 2 * place + 2) end"))
+        .withColumn("digit", F.when(inner, F.expr("shiftright(rk, 2 * place) & 3")))
+    )
+    # a digit wins over those below it; the outer lists use the sums of digit 1 and count every later row
+    sums = lambda on, c, name: F.sum(F.when(on, F.col(c)).otherwise(0)).alias(name)
+    below = [sums(~inner | (F.col("digit") < k), "n", f"b{k}") for k in (1, 2, 3)]
+    events = [sums((F.col("digit") == k) | (~inner & F.lit(k == 1)), "d", f"e{k}") for k in (1, 2, 3)]
     keys = [*groups, "place", "prefix"]
+    digits = listed.groupBy(*keys, time).agg(*below, *events)
     runs = {f"r{k}": ("sum", f"b{k}") for k in (1, 2, 3)}
-    own = {c: ("own", c) for c in ("b1", "b2", "b3", "e1", "e2", "e3")}
+    own = {f"{c}{k}": ("own", f"{c}{k}") for c in "be" for k in (1, 2, 3)}
     later = running(digits, keys, time, {**runs, **own}, ascending=False, unique=True)
-    won = [F.col(f"e{k}") * (F.col(f"r{k}") - F.col(f"b{k}")) for k in (1, 2, 3)]
-    good = later.where("e1 + e2 + e3 > 0").groupBy(*groups).agg(F.sum(won[0] + won[1] + won[2]).alias("concordant"))
-    own = {"n": ("own", "n"), "d": ("own", "d")}
-    # ties need two rows with the same risk, so risks seen once drop out first
-    again = ranked.groupBy(*groups, "rk").agg(F.count(F.lit(1)).alias("_c")).where("_c > 1").drop("_c")
-    same = ranked.join(again, [*groups, "rk"], "left_semi")
-    tied = (
-        running(same, [*groups, "rk"], time, {"m": ("sum", "n"), **own}, ascending=False, unique=True)
-        .groupBy(*groups)
-        .agg(F.sum(F.col("d") * (F.col("m") - F.col("n"))).alias("tied"))
-    )
-    per_time = ranked.groupBy(*groups, time).agg(F.sum("n").alias("n"), F.sum("d").alias("d"))
-    pairs = (
-        running(per_time, groups, time, {"m": ("sum", "n"), **own}, ascending=False, unique=True)
-        .groupBy(*groups)
-        .agg(F.sum(F.col("d") * (F.col("m") - F.col("n"))).alias("comparable"))
-    )
-    if groups:
-        out = pairs.join(good, groups, "left").join(tied, groups, "left")
-    else:
-        out = pairs.withColumn("concordant", good.scalar()).withColumn("tied", tied.scalar())
+    won = sum((F.col(f"e{k}") * (F.col(f"r{k}") - F.col(f"b{k}")) for k in (1, 2, 3)), F.lit(0))
+    kinds = {"comparable": F.col("place") == places, "tied": F.col("place") < 0, "concordant": inner}
+    counted = later.select(*groups, "place", won.alias("won")).groupBy(*groups)
+    out = counted.agg(*[F.sum(F.when(on, F.col("won"))).alias(name) for name, on in kinds.items()])
     out = out.fillna(0, ["concordant", "tied"])
     return out.select(
         *groups,
