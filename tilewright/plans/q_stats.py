@@ -239,7 +239,8 @@ def over_representation(spark, sf):
     p = load(spark, sf, "part").withColumn("gene", F.col("p_partkey"))
     sets = p.select(F.explode(F.array("p_brand", F.concat(F.lit("Name "), F.col("p_name")))).alias("name"), "gene")
     t = S.over_representation(p.where("p_retailprice > 970 or p_brand like 'Brand#1%'"), sets, p)
-    return t.select("name", "set_size", "overlap", "drawn", "universe", F.round(F.log10("p"), 4).alias("log10_p"), F.round("q", 6).alias("q"))
+    log = F.when(F.col("p") == 0, float("-inf")).otherwise(F.log10("p"))  # Spark has null for the logarithm of a p below the smallest double
+    return t.select("name", "set_size", "overlap", "drawn", "universe", F.round(log, 4).alias("log10_p"), F.round("q", 6).alias("q"))
 
 
 _PAIR = "pair as (select event_id % 5 as t, (event_id + case when value > 40 then user_id else 0 end) % 5 as p from events)"
