@@ -1,8 +1,10 @@
 """Faults that only larger or more skewed tables show, on small tables made for them."""
 
+import numpy as np
 from check import compare, connect
 from pyspark.sql import functions as F
 
+from tilewright.operators import ordered, stats, weights
 from tilewright.plans import all_queries
 
 
@@ -17,3 +19,24 @@ def test_over_representation_of_a_set_whose_p_underflows(spark, tmp_path):
     q = all_queries()["over_representation"]
     assert q.build(spark, str(tmp_path)).where("log10_p = double('-inf')").count() == 1
     assert compare(spark, con, q, str(tmp_path))[0].startswith("ok")
+
+
+def test_weight_search_ranks_by_range_without_rows_for_each_score(spark, monkeypatch):
+    monkeypatch.setattr(weights, "RANGE", 16, raising=False)
+    monkeypatch.setattr(weights, "SCORES", 4000, raising=False)
+    written, keep = [], weights.cut_lineage
+    monkeypatch.setattr(weights, "cut_lineage", lambda df: written.append(keep(df)) or written[-1])
+    r = np.random.default_rng(5)
+    y, x = r.integers(0, 2, 600), np.round(r.normal(size=(600, 2)), 1)  # ties
+    x[:150] = x[0]  # copies
+    df = spark.createDataFrame([(i, int(y[i]), float(x[i, 0]), float(x[i, 1])) for i in range(600)], "unit long, y int, a double, b double")
+    found = {c["cand"]: c["auc"] for c in weights.weight_search(df, "unit", "y", ["a", "b"], weights.simplex_grid(spark, 2, 10)).collect()}
+    rows = weights._scaled_by_fold(df, "unit", "y", ["a", "b"], 5, 42)
+    scored = rows.crossJoin(weights.simplex_grid(spark, 2, 10)).withColumn("s", F.lit(0.0) + F.col("w")[0] * F.col("zs")[0] + F.col("w")[1] * F.col("zs")[1])
+    want = {c["cand"]: c["auc"] for c in stats.auc_interval(scored, ["fold", "cand"], "s", "y").groupBy("cand").agg(F.avg("auc").alias("auc")).collect()}
+    assert found.keys() == want.keys() and len(found) == 11 and all(abs(found[c] - want[c]) < 1e-12 for c in want)
+    assert len(written) > 6 and max(w.count() for w in written) <= 600
+    seen = []
+    monkeypatch.setattr(ordered, "cut_lineage", lambda d: seen.append(keep(d)) or seen[-1])
+    weights.weight_search(df, "unit", "y", ["a", "b"], weights.simplex_grid(spark, 2, 10)).count()
+    assert all("cand" not in d.columns for d in seen)  # one record per row and candidate before

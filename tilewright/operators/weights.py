@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import reduce
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -56,6 +57,94 @@ def _scaled_by_fold(df: DataFrame, unit: str, label: str, features: Sequence[str
     return cut_lineage(rows.select(F.col(label).alias("y"), "fold", F.transform("v", lambda p: p["z"]).alias("zs")))
 
 
+#: Scores that are on disk at a time, of 16 bytes each, and scores of a fold that a task ranks at a time.
+SCORES, RANGE = 1 << 28, 1 << 16
+
+
+def _edges(w: np.ndarray, sizes: dict[int, int], sample: list) -> dict[int, np.ndarray]:
+    """Per fold, for each weighting: scores that cut it into ranges of about RANGE rows, from a sample (of any quality: edges
+    only balance the ranges)."""
+    out = {}
+    for fold, n in sizes.items():
+        z = np.array([r["zs"] for r in sample if r["fold"] == fold])
+        cuts = -(-n // RANGE) - 1
+        out[fold] = np.quantile(z @ w.T, np.arange(1, cuts + 1) / (cuts + 1), axis=0).T if cuts > 0 and len(z) else np.empty((len(w), 0))
+    return out
+
+
+def _fold_aucs(rows: DataFrame, totals: dict[int, tuple[int, int]], some: list, edges: dict[int, np.ndarray], tasks: int) -> DataFrame:
+    """(fold, cand, auc) of some candidates over the distinct (fold, zs, n1, n0).
+
+    A task scores its rows and sends the sorted scores of a (fold, candidate, range) as one record; the records come back in
+    the order of the ranges, and running counts follow them, a range at a time.
+    """
+    names, w = [r["cand"] for r in some], np.array([r["w"] for r in some], float)
+    count = "i4" if sum(map(sum, totals.values())) < 1 << 31 else "i8"
+    schema = "fold int, cand long, place int, s binary, n1 binary, n0 binary"
+
+    def merged(s, n1, n0, kind=None):
+        order = np.argsort(s, kind=kind)
+        s, n1, n0 = s[order], n1[order], n0[order]
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        return (s, n1, n0) if len(first) == len(s) else (s[first], np.add.reduceat(n1, first, dtype=n1.dtype), np.add.reduceat(n0, first, dtype=n0.dtype))
+
+    def chunks(batches, size=1 << 17):
+        held, n = [], 0
+        for b in batches:
+            held.append(b)
+            n += b.num_rows
+            if n >= size:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held, n = [], 0
+        if n:
+            yield pa.Table.from_batches(held).combine_chunks()
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in chunks(batches):
+            folds, n1, n0 = (t.column(i).to_numpy() for i in (0, 2, 3))
+            z = pa.concat_arrays([c.flatten() for c in t.column(1).chunks]).to_numpy().reshape(len(folds), -1)
+            for fold in np.unique(folds).tolist():
+                mine = folds == fold
+                x, ones, zeros = np.ascontiguousarray(z[mine].T), n1[mine].astype(count), n0[mine].astype(count)
+                sent = []
+                for name, each, cuts in zip(names, w, edges[fold], strict=True):
+                    s = 0.0
+                    for a, b in zip(each, x, strict=True):  # in the order of the features, as SQL adds them
+                        s = s + a * b
+                    s[np.isnan(s)] = np.inf  # last, as Spark orders them
+                    s, a1, a0 = merged(s, ones, zeros)
+                    at = [0, *np.searchsorted(s, cuts, side="right").tolist(), len(s)]
+                    sent += [(fold, name, i, *(v[lo:hi].tobytes() for v in (s, a1, a0))) for i, (lo, hi) in enumerate(zip(at, at[1:])) if lo < hi]
+                kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
+                for i in range(0, len(sent), 256):
+                    columns = [pa.array(v, kind) for v, kind in zip(zip(*sent[i : i + 256]), kinds, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, ["fold", "cand", "place", "s", "n1", "n0"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        records = (r for b in batches for r in zip(*(b.column(i).to_pylist() for i in range(6))))
+        for (fold, cand), group in groupby(records, key=lambda r: r[:2]):
+            before, pairs, middle = [0, 0], 0.0, [{}, {}]
+            for _, same in groupby(group, key=lambda r: r[2]):
+                same = list(same)
+                s, n1, n0 = (np.concatenate([np.frombuffer(r[i], kind) for r in same]) for i, kind in ((3, "f8"), (4, count), (5, count)))
+                s, n1, n0 = merged(s, n1.astype("i8"), n0.astype("i8"), "stable")
+                c1, c0 = before[0] + np.cumsum(n1), before[1] + np.cumsum(n0)
+                pairs += float((n1 * (c0 - n0 / 2)).sum())
+                for i, c in enumerate((c1, c0)):
+                    last = totals[fold][i] - 1
+                    for p in {last // 2, -(-last // 2)}:
+                        if before[i] <= p < c[-1]:
+                            middle[i][p] = s[np.searchsorted(c, p, side="right")]
+                before = [int(c1[-1]), int(c0[-1])]
+            m1, m0 = ((min(m.values()) + max(m.values())) / 2 for m in middle)
+            auc = pairs / before[0] / before[1]
+            yield pa.RecordBatch.from_pydict({"fold": pa.array([fold], pa.int32()), "cand": [cand], "auc": [1 - auc if m1 < m0 else auc]})
+
+    sent = rows.where(F.col("fold").isin([f for f, n in totals.items() if min(n)])).mapInArrow(score, schema)
+    dealt = sent.repartition(tasks, "fold", "cand").sortWithinPartitions("fold", "cand", "place")
+    return dealt.mapInArrow(rank, "fold int, cand long, auc double")
+
+
 def weight_search(
     df: DataFrame, unit: str, label: str, features: Sequence[str], candidates: DataFrame, k: int = 5, seed: int = 42,
     signs: Sequence[int] | None = None, block: int = 2048,
@@ -63,21 +152,33 @@ def weight_search(
     """(cand, w, auc): mean over folds of the AUC of each weighting of the features, oriented by the class medians, with the
     scaling learned on the other folds. ``signs`` turns features beforehand.
 
-    Candidates are a table of any size, cut into blocks of about ``block`` by a hash of their number. A block meets the
-    rows as one array, and all its AUCs come from one pass of running counts, so neither the number of candidates nor
-    that of rows meets a limit: a block costs rows times ``block`` short records.
+    Candidates are a table of any size, cut into blocks by a hash of their number: at most about ``block`` of them, and about
+    SCORES scores. Scores travel as packed arrays, a block at a time, and are gone before the next one, so the disk holds
+    16 bytes for each of SCORES scores whatever the number of candidates and rows; the work is rows times candidates.
     """
+    spark = df.sparkSession
     rows = _scaled_by_fold(signed(df, features, signs), unit, label, features, k, seed)
+    rows = rows.where(F.col("y").isNotNull() & ~F.exists("zs", F.isnull))
+    one = F.col("y").cast("int").cast("long")
+    rows = cut_lineage(rows.groupBy("fold", "zs").agg(F.sum(one).alias("n1"), F.sum(1 - one).alias("n0")).select("fold", "zs", "n1", "n0"))
+    folds = rows.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.sum("n1").alias("n1"), F.sum("n0").alias("n0")).collect()
+    sizes, totals = {r["fold"]: r["n"] for r in folds}, {r["fold"]: (r["n1"], r["n0"]) for r in folds}
+    n = sum(sizes.values())
+    sample = rows.select("fold", "zs").orderBy(F.xxhash64("fold", "zs")).limit(8192).collect() if max(sizes.values(), default=0) > RANGE else []
     candidates = cut_lineage(candidates)
-    blocks = max(1, -(-candidates.count() // block))
+    many = candidates.count()
+    blocks = max(1, -(-many // block), -(-many * n // SCORES))
     place = F.pmod(F.xxhash64("cand"), F.lit(blocks))
     found = []
     for b in range(blocks):
-        some = candidates.where(place == b).agg(F.collect_list(F.struct("cand", "w"))).scalar()
-        scored = rows.withColumn("_c", some).select("y", "fold", "zs", F.explode("_c").alias("c"))
-        s = reduce(lambda t, i: t + F.col("c.w")[i] * F.col("zs")[i], range(len(features)), F.lit(0.0))
-        auc = auc_interval(scored.select("fold", F.col("c.cand").alias("cand"), "y", s.alias("s")), ["fold", "cand"], "s", "y")
-        found.append(cut_lineage(auc.groupBy("cand").agg(F.avg("auc").alias("auc"))))
+        some = candidates.where(place == b).collect()
+        if some:
+            tasks = max(1, min(len(some) * len(sizes), len(some) * n >> 20))
+            auc = _fold_aucs(rows, totals, some, _edges(np.array([r["w"] for r in some], float), sizes, sample), tasks)
+            found.append(cut_lineage(auc.groupBy("cand").agg(F.avg("auc").alias("auc"))))
+            if blocks > 1:
+                del auc
+                spark.sparkContext._jvm.System.gc()  # Spark deletes the shuffled scores of a block once nothing refers to them
     return candidates.join(reduce(DataFrame.unionByName, found), "cand")
 
 
