@@ -4,7 +4,8 @@ import numpy as np
 from check import compare, connect
 from pyspark.sql import functions as F
 
-from tilewright.operators import ordered, stats, weights
+from tilewright import session
+from tilewright.operators import ordered, scoring, stats, weights
 from tilewright.plans import all_queries
 
 
@@ -40,3 +41,15 @@ def test_weight_search_ranks_by_range_without_rows_for_each_score(spark, monkeyp
     monkeypatch.setattr(ordered, "cut_lineage", lambda d: seen.append(keep(d)) or seen[-1])
     weights.weight_search(df, "unit", "y", ["a", "b"], weights.simplex_grid(spark, 2, 10)).count()
     assert all("cand" not in d.columns for d in seen)  # one record per row and candidate before
+
+
+def test_bank_scores_do_not_leave_the_partitions_to_bytes(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD", 100, raising=False)
+    df = spark.range(2000).select((F.col("id") % 500).alias("unit"), F.concat(F.lit("g"), F.floor(F.col("id") / 500)).alias("gene"), F.col("id").cast("double").alias("value"))
+    bank = spark.createDataFrame([(p, t, f"g{i}") for p in range(3) for i, t in enumerate(("identity_up", "identity_down", "core", "edge"))], "prototype int, tag string, gene string")
+    weights = bank.withColumn("weight", F.lit(1.0))
+    out = scoring.bank_scores(df, bank, weights, ["unit"])
+    assert out.select(F.spark_partition_id()).distinct().count() >= 10
+    assert {(r["identity"], r["spatial"], r["functional"]) for r in out.collect()} == {(-500.0, -500.0, 0.0)} and out.count() == 1500
+    ranks = scoring.rank_score_everywhere(df, bank.select(F.col("tag").alias("name"), "gene").distinct(), ["unit"], 30)
+    assert ranks.count() == 2000

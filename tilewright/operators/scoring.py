@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from tilewright.functions.scores import LIGAND_RECEPTOR
 from tilewright.operators.ordered import group_minmax, quantiles, top_n
 from tilewright.operators.prototypes import gathered
-from tilewright.session import cut_lineage, forget
+from tilewright.session import cut_lineage, forget, spread
 
 # ---------------------------------------------------------------- discovery and banks
 
@@ -242,7 +242,8 @@ def bank_scores(df: DataFrame, bank: DataFrame, weights: DataFrame, unit: Sequen
     b = bank.select("prototype", "tag", F.upper("gene").alias("gene")).distinct()
     clean = F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(0.0))
     g = b.join(weights.select("prototype", "tag", F.upper("gene").alias("gene"), "weight"), ["prototype", "tag", "gene"], "left").withColumn("w", clean)
-    s = df.withColumn("gene", F.upper("gene")).join(g, "gene").groupBy(*unit, "prototype", "tag").agg(
+    g = cut_lineage(g)  # small, and known to be: units stay where they were dealt
+    s = spread(df.select(*unit, F.upper("gene").alias("gene"), value), unit).join(g, "gene").groupBy(*unit, "prototype", "tag").agg(
         F.sum("w").alias("sw"), F.sum(F.col("w") * F.col(value)).alias("swv"), F.avg(value).alias("plain")
     ).withColumn("score", F.when(F.col("sw") > 0, F.col("swv") / F.col("sw")).otherwise(F.col("plain")))
     pick = lambda t: F.coalesce(F.max(F.when(F.col("tag") == t, F.col("score"))), F.lit(0.0))

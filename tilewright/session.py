@@ -8,6 +8,7 @@ import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -81,6 +82,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Rows of a partition that :func:`spread` aims at.
+SPREAD = 1 << 18
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows materialised and dealt by ``keys`` to partitions of about SPREAD rows.
+
+    For steps that make several rows or groups of each row behind the shuffle: adaptive execution merges partitions by the
+    bytes that arrive, so a task's memory would follow from what it makes of them.
+    """
+    rows = cut_lineage(df)
+    return rows.repartition(max(1, -(-rows.count() // SPREAD)), *keys)
+
+
 def forget(df: DataFrame) -> None:
     """Delete the files of an iteration's state that nothing reads any more."""
     path = getattr(df, "_state_path", None)
