@@ -259,7 +259,7 @@ def call_prototypes(
     s = s.join(prior, ["prototype", "macro"], "left")
     factor = F.pow(F.greatest(F.coalesce("frac", F.lit(1.0)), F.lit(1e-6)), F.lit(float(beta)))
     s = s.withColumn("raw", (F.col("identity") + w_spatial * F.col("spatial") + w_func * F.col("functional")) * factor)
-    s = cut_lineage(s)  # read for the spread of each prototype and again for the scores
+    s = spread(s, [unit])  # read for the spread of each prototype and again for the scores
     st = s.groupBy("prototype").agg(F.avg("raw").alias("mu"), F.stddev_samp("raw").alias("sd"))
     st = st.withColumn("sd", F.when(F.col("sd") >= 1e-6, F.col("sd")).otherwise(1.0))
     positive = sum(((F.col(t) > 0).cast("int") for t in ("spatial", "functional")), (F.col("identity") > 0).cast("int"))
