@@ -197,6 +197,7 @@ def zero_rule(sets: DataFrame, max_rank: int = 1500) -> DataFrame:
 def rank_score_everywhere(df: DataFrame, sets: DataFrame, unit: Sequence[str], max_rank: int = 1500, value: str = "value") -> DataFrame:
     """:func:`rank_score` with a row for every unit and set, as a table of few sets is wanted in wide form. The result has
     units times sets rows; sets meet units through blocks of names, each one array of at most 1024."""
+    df = spread(df.select(*unit, "gene", value), unit)
     found = rank_score(df, sets, unit, max_rank, value)
     rule = cut_lineage(zero_rule(sets, max_rank))
     blocks = rule.groupBy(F.pmod(F.xxhash64("name"), F.lit(max(1, rule.count() // 512))).alias("_b")).agg(
