@@ -11,7 +11,7 @@ from tilewright.plans import tail_sql as Q
 from tilewright.plans.q_ecology import _B, PAIRS, PROTOS, mixed
 from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import CELLS, EDGES, MEASURES, TILE_EXPR, TILES, cells, edges, measures, staged, tile_expr, tiles
-from tilewright.session import load
+from tilewright.session import load, spread
 
 _CX = f"""{TILES}, {TILE_EXPR}, {EDGES}, cx as (select w.sample_name, src as node_idx, gene, sum(weight * value) / sum(weight) as value from weighted w
     join tiles t on t.sample_name = w.sample_name and t.tile_id = w.dst join tile_expr e on e.sample_name = t.sample_name and e.tile_x = t.tile_x and e.tile_y = t.tile_y group by all having sum(weight) > 0)"""
@@ -298,10 +298,10 @@ _OVR = """dom as (select unit, arg_min(prototype_id, struct_pack(n := -n, p := p
 
 
 def _dominant_units(spark, sf, gene):
-    m = measures(spark, sf)
+    m = spread(measures(spark, sf).select("unit", "prototype_id", F.col(gene).alias("gene"), "value"), ["unit"])
     c = m.groupBy("unit", "prototype_id").agg(F.count(F.lit(1)).alias("n"))
     dom = c.groupBy("unit").agg(F.max_by("prototype_id", F.struct("n", -F.col("prototype_id"))).alias("d"))
-    x = m.join(dom, "unit").groupBy("unit", "d", F.col(gene).alias("gene")).agg(F.avg("value").alias("value"))
+    x = m.join(dom, "unit").groupBy("unit", "d", "gene").agg(F.avg("value").alias("value"))
     return X.one_vs_rest(x, "d", range(5))
 
 
