@@ -5,7 +5,7 @@ from check import compare, connect
 from pyspark.sql import functions as F
 
 from tilewright import session
-from tilewright.operators import ordered, scoring, stats, weights
+from tilewright.operators import expression, ordered, scoring, stats, weights
 from tilewright.plans import all_queries
 
 
@@ -53,3 +53,36 @@ def test_bank_scores_do_not_leave_the_partitions_to_bytes(spark, monkeypatch):
     assert {(r["identity"], r["spatial"], r["functional"]) for r in out.collect()} == {(-500.0, -500.0, 0.0)} and out.count() == 1500
     ranks = scoring.rank_score_everywhere(df, bank.select(F.col("tag").alias("name"), "gene").distinct(), ["unit"], 30)
     assert ranks.count() == 2000
+
+
+def test_quantiles_send_only_the_ranges_that_hold_them(spark, monkeypatch):
+    r = np.random.default_rng(3)
+    v = [float(x) for x in np.round(r.normal(size=20000), 4)] + [float("nan"), None] * 20
+    df = spark.createDataFrame([(i % 4, x) for i, x in enumerate(v)], "g long, v double")
+    written, keep = [], ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda d: written.append(keep(d)) or written[-1])
+    got = {x["g"]: x["q"] for x in ordered.quantiles(df, ["g"], "v", [0.05, 0.5, 0.95]).collect()}
+    for g in range(4):
+        own = [x for x in v[g::4] if x is not None and x == x]
+        assert np.allclose(got[g], np.quantile(own, [0.05, 0.5, 0.95]), atol=1e-12)
+    # a row for each wanted range of a group, next to the values; every range of a group was joined before
+    assert len(written) == 2 and written[1].count() <= 4 * 6
+    w = {x["g"]: x["v"] for x in expression.robust_profile(df, ["g"], "v").collect()}
+    plain = {x["g"]: x["v"] for x in expression.robust_profile(df.where("not isnan(v) and v is not null"), ["g"], "v").collect()}
+    for g in range(4):
+        own = np.array([x for x in v[g::4] if x is not None and x == x])
+        lo, hi = np.quantile(own, [0.05, 0.95])
+        odd = [hi] * sum(x is None or x != x for x in v[g::4])
+        assert abs(plain[g] - np.median(np.clip(own, lo, hi))) < 1e-12 and abs(w[g] - np.median([*np.clip(own, lo, hi), *odd])) < 1e-12
+
+
+def test_expression_of_a_cell_is_added_up_where_its_edges_lie(spark, monkeypatch):
+    monkeypatch.setattr(session, "SPREAD", 100)
+    edges = spark.range(3000).select(F.lit("S").alias("sample_name"), (F.col("id") % 300).alias("src"), (F.col("id") % 7).alias("dst"), (F.col("id") % 3).cast("double").alias("weight"))
+    tiles = spark.range(70).select(F.lit("S").alias("sample_name"), (F.col("id") % 7).alias("tile_id"), F.concat(F.lit("g"), F.floor(F.col("id") / 7)).alias("gene"), F.col("id").cast("double").alias("value"))
+    out = expression.weighted_expression(edges, tiles)
+    assert out.select(F.spark_partition_id()).distinct().count() >= 10  # one partition before, whatever it grew to
+    e = edges.join(tiles.withColumnRenamed("tile_id", "dst"), ["sample_name", "dst"])
+    want = e.groupBy("src", "gene").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("w"), F.sum("weight").alias("s")).where("s > 0")
+    both = out.join(want, (out.node_idx == want.src) & (out.gene == want.gene))
+    assert both.where("abs(value - w) < 1e-9").count() == out.count() == want.count()

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tilewright.operators.ordered import quantiles
-from tilewright.session import cut_lineage
+from tilewright.operators.ordered import between, order_statistics, quantiles, with_ranges
+from tilewright.session import cut_lineage, spread
 
 
 def robust_scale(df: DataFrame, keys: Sequence[str], value: str, name: str = "scaled") -> DataFrame:
@@ -50,13 +50,16 @@ def robust_z(df: DataFrame, keys: Sequence[str], value: str, name: str = "z") ->
 def weighted_expression(edges: DataFrame, tile_expr: DataFrame, groups: Sequence[str] = ("sample_name",)) -> DataFrame:
     """(groups, node_idx, gene, value): edge-weighted mean tile expression per cell; cells whose weights sum to 0 drop out.
 
-    A missing weight counts as 1. Edges whose tile is not in the table vanish in the join.
+    A missing weight counts as 1. Edges whose tile is not in the table vanish in the join. Edges are dealt by cell and meet
+    the genes of a tile as one row, so that a row for each edge and gene need not travel.
     """
     groups = list(groups)
     w = F.coalesce(F.col("weight"), F.lit(1.0))
-    e = edges.select(*groups, "src", F.col("dst").alias("tile_id"), w.alias("_w"))
+    e = spread(edges.select(*groups, F.col("src"), F.col("dst").alias("tile_id"), w.alias("_w")), [*groups, "src"])
+    genes = tile_expr.groupBy(*groups, "tile_id").agg(F.collect_list(F.struct("gene", "value")).alias("_g"))
     return (
-        e.join(tile_expr, [*groups, "tile_id"])
+        e.join(genes, [*groups, "tile_id"])
+        .select(*groups, "src", "_w", F.inline("_g"))
         .groupBy(*groups, F.col("src").alias("node_idx"), "gene")
         .agg(F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("value")).alias("_sv"))
         .where("_sw > 0")
@@ -197,12 +200,33 @@ def winsorise(df: DataFrame, keys: Sequence[str], value: str, low: float, high:
 
 
 def robust_profile(df: DataFrame, keys: Sequence[str], value: str = "value", how: str = "median", winsor: tuple | None = (0.05, 0.95)) -> DataFrame:
-    """Median or mean of the winsorised values per keys, nulls ignored."""
-    w = cut_lineage(winsorise(df, keys, value, *winsor).select(*keys, value)) if winsor else df
+    """Median or mean of the winsorised values per keys; a missing value counts as the upper quantile, see below."""
+    keys = list(keys)
     if how == "mean":
+        w = winsorise(df, keys, value, *winsor) if winsor else df
         return w.groupBy(*keys).agg(F.avg(value).alias(value))
     if how != "median":
         raise ValueError(f"unknown aggregate {how!r}")
+    if not winsor:
+        return quantiles(df, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias(value))
+    return winsorised_median(cut_lineage(with_ranges(df.select(*keys, value), value)), keys, value, *winsor)
+
+
+def winsorised_median(df: DataFrame, keys: Sequence[str], value: str, low: float, high: float) -> DataFrame:
+    """Median per keys after values beyond the two quantiles are moved to them; ``df`` comes from ``with_ranges``, written.
+
+    Moving values keeps their order, so that the median lies between the same two order statistics, moved. Null and NaN are
+    not counted in the quantiles; ``least`` turns them into the upper one, here as in the SQL, and rows that hold any are
+    written again with the moved values.
+    """
+    keys = list(keys)
+    odd = df.where(F.col(value).isNull() | F.isnan(value))
+    if odd.isEmpty():
+        s, n = order_statistics(df, keys, value, [low, 0.5, high]), F.col("_n")
+        move = lambda c: F.greatest(F.least(F.col(c), F.col("_hi")), F.col("_lo"))
+        s = s.withColumns({"_lo": between(F.col("_l0"), F.col("_h0"), low, n), "_hi": between(F.col("_l2"), F.col("_h2"), high, n)})
+        return s.select(*keys, between(move("_l1"), move("_h1"), 0.5, n).alias(value))
+    w = winsorise(df.drop("_range"), keys, value, low, high)
     return quantiles(w, keys, value, [0.5], "_q").select(*keys, F.col("_q")[0].alias(value))
 
 
@@ -246,8 +270,13 @@ def layer_profiles(
     kept = tagged.join(ok, ["pair", "sample_name"], "left_semi")
     if subsample:
         kept = equal_subsample(cut_lineage(kept), ["pair", "sample_name"], "layer", subsample, ["pair", "node_idx"], seed, least=1)
-    rows = cut_lineage(kept.join(expr, list(unit)))
-    p = robust_profile(rows, ["pair", "sample_name", "layer", "gene"], "value", how, winsor)
+    by = ["pair", "sample_name", "layer", "gene"]
+    if how == "median" and winsor:
+        # ranges are found once per expression value, not for every pair that reads it
+        rows = kept.join(with_ranges(expr, "value"), list(unit)).select(*by, "value", "_range")
+        p = winsorised_median(cut_lineage(rows), by, "value", *winsor)
+    else:
+        p = robust_profile(cut_lineage(kept.join(expr, list(unit)).select(*by, "value")), by, "value", how, winsor)
     on = lambda layer: F.max(F.when(F.col("layer") == layer, F.col("value")))
     wide = p.groupBy("pair", "sample_name", "gene").agg(on("interface").alias("a"), on("core").alias("b"))
     return wide.where(F.col("a").isNotNull() & F.col("b").isNotNull())

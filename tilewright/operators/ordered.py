@@ -52,6 +52,17 @@ def _range_of(value: Column, edges: Column, buckets: int) -> Column:
 SKETCHES = 16
 
 
+def _edges(df: DataFrame, value: str, buckets: int) -> Column:
+    """Edges between ``buckets`` ranges of about equal row count, as an array in a scalar subquery."""
+    # sketches of many partitions merge in SKETCHES tasks first, and one task merges what is left of those
+    grid, exact = [i / buckets for i in range(1, buckets)], max(10000, 4 * buckets)
+    fine = [i / (4 * buckets) for i in range(1, 4 * buckets)]
+    some = df.groupBy(F.pmod(F.xxhash64(value), F.lit(SKETCHES))).agg(
+        F.percentile_approx(F.col(value).cast("double"), fine, exact).alias("_q")
+    )
+    return some.select(F.explode("_q").alias("_q")).agg(F.percentile_approx("_q", grid, exact)).scalar()
+
+
 def running(
     df: DataFrame,
     groups: Sequence[str],
@@ -79,13 +90,7 @@ def running(
             *[_FOLD[fold](col).alias(f"_v_{name}") for name, (fold, col) in measures.items()]
         )
     cells = cut_lineage(cells)  # read three times below; the input itself is computed once, however deep its plan
-    # sketches of many partitions merge in SKETCHES tasks first, and one task merges what is left of those
-    grid, exact = [i / buckets for i in range(1, buckets)], max(10000, 4 * buckets)
-    fine = [i / (4 * buckets) for i in range(1, 4 * buckets)]
-    some = cells.groupBy(F.pmod(F.xxhash64(order), F.lit(SKETCHES))).agg(
-        F.percentile_approx(F.col(order).cast("double"), fine, exact).alias("_q")
-    )
-    edges = some.select(F.explode("_q").alias("_q")).agg(F.percentile_approx("_q", grid, exact)).scalar()
+    edges = _edges(cells, order, buckets)
     # coalesce makes the range a non-null column: otherwise Spark infers "range is not null" from the join below and
     # pushes the whole search down to every input row
     ranged = (
@@ -237,36 +242,70 @@ def numbered(df: DataFrame, groups: Sequence[str], order: str, name: str = "ordi
     return df.join(run.select(*groups, order, (F.col("_pos") - 1 + start).alias(name)), [*groups, order])
 
 
+#: Ranges of a value when its order statistics are looked for in many groups.
+RANGES = 64
+
+
+def with_ranges(df: DataFrame, value: str, buckets: int = RANGES) -> DataFrame:
+    """Rows with the number of the range that holds the value (``_range``), null for missing values.
+
+    The ranges hold about equally many rows. They only divide the work of :func:`order_statistics`, so the edges may come
+    from rows that are repeated later.
+    """
+    v = F.col(value).cast("double")
+    known = v.isNotNull() & ~F.isnan(v)
+    edges = _edges(df.select(v.alias(value)).where(known), value, buckets)
+    at = F.when(known, F.coalesce(_range_of(F.col(value).cast("double"), F.col("_edges"), buckets), F.lit(0)))
+    return df.withColumn("_edges", edges).withColumn("_range", at).drop("_edges")
+
+
+def order_statistics(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float]) -> DataFrame:
+    """(groups, _n, _l0, _h0, _l1, ...): number of values and the two order statistics around each wanted quantile.
+
+    ``df`` comes from :func:`with_ranges` and is read twice. Rows are counted by (group, range); only rows of the few ranges
+    that hold a wanted position travel, equal ones as one.
+    """
+    rows = df.where(F.col("_range").isNotNull())
+    counts = rows.groupBy(*groups, "_range").agg(F.count(F.lit(1)).alias("_c"))
+    before = Window.partitionBy(*groups).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counts.withColumns(
+        {"_b": F.coalesce(F.sum("_c").over(before), F.lit(0)), "_n": F.sum("_c").over(Window.partitionBy(*groups))}
+    )
+    steps = [F.lit(float(p)) * (F.col("_n") - 1) for p in probs]
+    wanted = [f(h) for h in steps for f in (F.floor, F.ceil)]
+    held = F.lit(False)
+    for at in wanted:
+        held = held | ((F.col("_b") <= at) & (at < F.col("_b") + F.col("_c")))
+    # written, so that its size is known before the rows are: they need not travel for the join
+    picked = rows.join(cut_lineage(placed.where(held).drop("_c")), [*groups, "_range"])
+    equal = picked.groupBy(*groups, "_range", "_b", "_n", F.col(value).cast("double").alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    inside = Window.partitionBy(*groups, "_range").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = equal.withColumn("_end", F.col("_b") + F.sum("_c").over(inside))
+    at = [F.max(F.when((F.col("_end") - F.col("_c") <= h) & (h < F.col("_end")), F.col("_v"))) for h in wanted]
+    names = [f"_{side}{i}" for i in range(len(probs)) for side in "lh"]
+    return run.groupBy(*groups).agg(F.max("_n").alias("_n"), *[c.alias(n) for c, n in zip(at, names, strict=True)])
+
+
+def between(low: Column, high: Column, p: float, n: Column) -> Column:
+    """Linear interpolation between the order statistics around quantile ``p`` of ``n`` values."""
+    h = F.lit(float(p)) * (n - 1)
+    return low + (high - low) * (h - F.floor(h))
+
+
 def quantiles(
     df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], name: str = "q"
 ) -> DataFrame:
     """Exact linearly interpolated quantiles per group, as one array column.
 
-    ``percentile`` keeps every distinct value of a group in one buffer; here the ranks come from running counts and each
-    wanted order statistic is picked with a conditional maximum, so the aggregate carries two numbers per quantile.
+    ``percentile`` keeps every distinct value of a group in one buffer; here each wanted order statistic is looked for in
+    the range of values that holds it, so the aggregates carry a few numbers per group.
     """
-    base = (
-        df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value)))
-        .groupBy(*groups, F.col(value).cast("double").alias(value))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    cum = running(base, groups, value, {"_cum": ("sum", "_n"), "_n": ("own", "_n")}, unique=True)
-    first, last = F.col("_cum") - F.col("_n"), F.col("_cum") - 1
-
-    def at(position: Column) -> Column:
-        return F.max(F.when((first <= position) & (position <= last), F.col(value)))
-
-    picks = []
-    for p in probs:
-        h = F.lit(float(p)) * (F.col("_cum_all") - 1)
-        picks += [at(F.floor(h)).alias(f"_l{len(picks)}"), at(F.ceil(h)).alias(f"_h{len(picks)}")]
-    agg = cum.groupBy(*groups).agg(F.max("_cum_all").alias("_n"), *picks)
-    out = []
-    for i, p in enumerate(probs):
-        lo, hi = F.col(f"_l{2 * i}"), F.col(f"_h{2 * i}")
-        h = F.lit(float(p)) * (F.col("_n") - 1)
-        out.append(lo + (hi - lo) * (h - F.floor(h)))
-    return agg.select(*groups, F.array(*out).alias(name))
+    groups = list(groups)
+    rows = cut_lineage(df.where(F.col(value).isNotNull()).select(*groups, F.col(value).cast("double").alias(value)))
+    buckets = RANGES if groups else bucket_count(df)
+    found = order_statistics(with_ranges(rows, value, buckets), groups, value, probs)
+    out = [between(F.col(f"_l{i}"), F.col(f"_h{i}"), p, F.col("_n")) for i, p in enumerate(probs)]
+    return found.select(*groups, F.array(*out).alias(name))
 
 
 def with_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: Sequence[float], name: str = "q") -> DataFrame:
