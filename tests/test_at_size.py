@@ -5,7 +5,7 @@ from check import compare, connect
 from pyspark.sql import functions as F
 
 from tilewright import session
-from tilewright.operators import expression, ordered, scoring, stats, weights
+from tilewright.operators import ecology, expression, neighbors, ordered, scoring, stats, weights
 from tilewright.plans import all_queries
 
 
@@ -86,3 +86,20 @@ def test_expression_of_a_cell_is_added_up_where_its_edges_lie(spark, monkeypatch
     want = e.groupBy("src", "gene").agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("w"), F.sum("weight").alias("s")).where("s > 0")
     both = out.join(want, (out.node_idx == want.src) & (out.gene == want.gene))
     assert both.where("abs(value - w) < 1e-9").count() == out.count() == want.count()
+
+
+def test_files_lie_in_few_folders_and_many_tasks_write_them(spark, monkeypatch):
+    from tilewright.plans import q_sources
+
+    monkeypatch.setattr(q_sources, "FILES", 2, raising=False)
+    f = q_sources.R.files(spark, q_sources._folder(spark, "/root/testdata/sf0.001"), [".txt"])
+    n = spark.read.parquet("/root/testdata/sf0.001/supplier.parquet")
+    assert f.count() == n.count()
+    folders = f.select(F.regexp_extract("path", "(.*)/", 1)).distinct().count()
+    assert folders == n.select("s_nationkey").distinct().count()  # one for each supplier before
+    roots = []
+    keep = q_sources.R.files
+    monkeypatch.setattr(q_sources.R, "files", lambda s, p, e: roots.append(p) or keep(s, p, e))
+    assert q_sources.patch_index(spark, "/root/testdata/sf0.001").count() == n.where("s_suppkey % 7 <> 0").count()
+    tasks = keep(spark, roots[0], [".txt"]).select(F.regexp_extract("name", r"part-(\d+)", 1)).distinct().count()
+    assert tasks > 1  # one task wrote all before

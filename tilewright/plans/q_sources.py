@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tilewright.operators import neighbors as nb
 from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import CELL_TYPES, CELLS, GENES, MEASURES, PATIENTS, TILE_EXPR, cells, measures, patients, tile_expr
-from tilewright.session import load, new_path
+from tilewright.session import dealt, load, new_path
 from tilewright.sources import readers as R
 from tilewright.sources import writers as W
 
@@ -78,10 +78,19 @@ def training_expression_files(spark, sf):
     return R.training_expression(spark, path).withColumns(r6("value"))
 
 
+FILES = 256  # that one task writes
+
+
+def _files(writer):
+    """Tasks put their files in place themselves; otherwise the driver would move one after the other."""
+    return writer.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+
+
 def _folder(spark, sf):
     """One small text file per supplier below a folder per nation."""
     path = new_path(spark, "files")
-    load(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name").write.partitionBy("s_nationkey", "s_suppkey").text(path)
+    rows = dealt(load(spark, sf, "supplier").select("s_nationkey", "s_suppkey", "s_name"), ["s_suppkey"], FILES)
+    _files(rows.drop("s_suppkey").write.partitionBy("s_nationkey").option("maxRecordsPerFile", 1)).text(path)
     return path
 
 
@@ -105,7 +114,8 @@ def patch_index(spark, sf):
     path = new_path(spark, "patches")
     n = load(spark, sf, "supplier")
     stem = F.when(F.col("s_suppkey") % 7 == 0, "broken").otherwise(F.concat_ws("_", F.lit("supplier"), F.col("s_suppkey") * 10, "s_nationkey"))
-    n.select(stem.alias("stem"), "s_name").write.partitionBy("stem").text(path)
+    rows = dealt(n.select("s_suppkey", stem.alias("stem"), "s_name"), ["s_suppkey"], FILES)
+    _files(rows.drop("s_suppkey").write.partitionBy("stem")).text(path)
     f = R.files(spark, path, [".txt"]).select(stem_parts(F.regexp_extract("path", r"stem=([^/]+)/", 1)).alias("p"))
     return f.select("p.sample", "p.x", "p.y").na.drop()
 

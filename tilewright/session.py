@@ -92,8 +92,12 @@ def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     For steps that make several rows or groups of each row behind the shuffle: adaptive execution merges partitions by the
     bytes that arrive, so a task's memory would follow from what it makes of them.
     """
-    rows = cut_lineage(df)
-    return rows.repartition(max(1, -(-rows.count() // SPREAD)), *keys)
+    return dealt(cut_lineage(df), keys, SPREAD)
+
+
+def dealt(df: DataFrame, keys: Sequence[str], size: int) -> DataFrame:
+    """Rows of a written table dealt by ``keys`` to partitions of about ``size`` rows; they are counted first."""
+    return df.repartition(max(1, -(-df.count() // size)), *keys)
 
 
 def forget(df: DataFrame) -> None:
