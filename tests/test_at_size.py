@@ -103,3 +103,14 @@ def test_files_lie_in_few_folders_and_many_tasks_write_them(spark, monkeypatch):
     assert q_sources.patch_index(spark, "/root/testdata/sf0.001").count() == n.where("s_suppkey % 7 <> 0").count()
     tasks = keep(spark, roots[0], [".txt"]).select(F.regexp_extract("name", r"part-(\d+)", 1)).distinct().count()
     assert tasks > 1  # one task wrote all before
+
+
+def test_candidates_of_neighbours_are_dealt_by_positions(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    df = spark.createDataFrame([(i, float(x), float(y)) for i, (x, y) in enumerate(r.normal(size=(300, 2)))], "node_idx long, pos_x double, pos_y double")
+    want = sorted(tuple(x) for x in neighbors.knn_join(df, 4).collect())
+    monkeypatch.setattr(neighbors, "ASKS", 20, raising=False)
+    pairs = neighbors.knn_join(df, 4)
+    # the bytes of the positions decided before, and all came to one task
+    assert "RepartitionByExpression" in pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(tuple(x) for x in pairs.collect()) == want and len(want) == 1200

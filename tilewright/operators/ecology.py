@@ -140,10 +140,10 @@ def radial_profile(cells: DataFrame, anchor: int, radii: Sequence[float], label:
     from tilewright.operators.neighbors import within_radius
 
     anchors = cells.where(F.col("prototype_id") == anchor)
-    near = within_radius(cells, anchors, max(radii), groups).where("src <> dst")
-    kinds = cells.select(*groups, F.col("node_idx").alias("src"), F.col(label).alias(label))
+    # the label comes with the cell: pairs are counted in the task that finds them and never travel
+    near = within_radius(cells, anchors, max(radii), groups, keep=[label]).where("src <> dst")
     rows = F.array(*[F.lit(float(r)) for r in radii])
-    e = near.join(kinds, [*groups, "src"]).withColumn("radius", F.explode(F.filter(rows, lambda r: F.col("dist") <= r)))
+    e = near.withColumn("radius", F.explode(F.filter(rows, lambda r: F.col("dist") <= r)))
     c = e.groupBy("radius", label).agg(F.count(F.lit(1)).alias("n"))
     return c.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("radius")))
 

@@ -22,6 +22,12 @@ from tilewright.session import cut_lineage
 
 MAX_LEVEL = 24
 
+#: Query positions whose candidates one task lists.
+ASKS = 1 << 13
+
+#: Candidate pairs of a radius join that one task compares.
+PAIRS = 1 << 24
+
 
 def placed(points: DataFrame, x: str, y: str) -> DataFrame:
     """Points with both coordinates: neither null nor NaN nor infinite."""
@@ -113,7 +119,9 @@ def nearest(
 
     # a hair of slack keeps border ties; the exact order decides afterwards
     radius = F.sqrt(F.pow(reach("px", x0, cx), 2) + F.pow(reach("py", y0, cy), 2)) * (1 + 1e-9) + 1e-12
-    aimed = level.select(*groups, "px", "py", "lv", "w", radius.alias("r"))
+    # a position makes many more candidates than bytes: dealt by number, or one task would list those of all
+    aimed = cut_lineage(level.select(*groups, "px", "py", "lv", "w", radius.alias("r")))
+    parts = max(1, -(-aimed.count() // ASKS))
 
     def side(coord: str, origin: float, sign: int) -> Column:
         return F.floor((F.col(coord) + sign * F.col("r") - F.lit(origin)) / F.col("w"))
@@ -135,7 +143,8 @@ def nearest(
     )
     dx, dy = F.col("px") - F.col("qx"), F.col("py") - F.col("qy")
     pairs = (
-        wanted.join(offered, [*groups, "lv", "cx", "cy"])
+        wanted.repartition(parts, *groups, "lv", "cx", "cy")
+        .join(offered.repartition(parts, *groups, "lv", "cx", "cy"), [*groups, "lv", "cx", "cy"])
         .withColumn("d2", dx * dx + dy * dy)
         .where(F.col("d2") <= F.col("r") * F.col("r"))
         .select(*groups, "px", "py", "d2", F.explode("ids").alias("dst"))
@@ -219,13 +228,16 @@ def within_radius(
     y: str = "pos_y",
     left_id: str = "node_idx",
     right_id: str = "node_idx",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """All (src, dst, dist) with distance at most ``radius``: a 3 x 3 grid-cell equi-join and an exact filter.
 
-    The right side is replicated over the nine cells around it; pass the smaller relation there. A crowded cell is a hot
-    join key, which adaptive skew-join splitting cuts by rows because only matching pairs leave the task.
+    The right side is replicated over the nine cells around it; pass the smaller relation there. ``keep`` names columns of the
+    left side to carry. Tasks are dealt by candidate pairs: a crowded cell's left rows are cut into slices, each of which
+    meets all its right rows, so that no task compares more than about PAIRS, whatever the bytes that arrive.
     """
-    groups = list(groups)
+    groups, keep = list(groups), list(keep)
+    at = [*groups, "cx", "cy"]
     cell = lambda c: F.floor(F.col(c) / F.lit(float(radius)))
     near = F.array(F.lit(-1), F.lit(0), F.lit(1))
     a = placed(left, x, y).select(
@@ -233,6 +245,7 @@ def within_radius(
         F.col(left_id).alias("src"),
         F.col(x).cast("double").alias("ax"),
         F.col(y).cast("double").alias("ay"),
+        *keep,
     ).withColumns({"cx": cell("ax"), "cy": cell("ay")})
     b = (
         placed(right, x, y).select(
@@ -246,12 +259,21 @@ def within_radius(
         .withColumns({"cx": cell("bx") + F.col("_i"), "cy": cell("by") + F.col("_j")})
         .drop("_i", "_j")
     )
+    size = a.groupBy(*at).agg(F.count(F.lit(1)).alias("na")).join(b.groupBy(*at).agg(F.count(F.lit(1)).alias("nb")), at)
+    slices = F.ceil(F.col("na") * F.col("nb") / F.lit(PAIRS)).cast("int")
+    size = cut_lineage(size.select(*at, slices.alias("_s"), (F.col("na") * F.col("nb")).alias("_p")))
+    parts = -(-int(size.agg(F.sum("_p")).first()[0] or 1) // PAIRS)  # one number
+    size = size.drop("_p")
+    a = a.join(size, at).withColumn("_slice", F.pmod(F.xxhash64("src"), F.col("_s")).cast("int")).drop("_s")
+    b = b.join(size, at).withColumn("_slice", F.explode(F.sequence(F.lit(0), F.col("_s") - 1))).drop("_s")
+    by = [*at, "_slice"]
     dx, dy = F.col("ax") - F.col("bx"), F.col("ay") - F.col("by")
     return (
-        a.join(b, [*groups, "cx", "cy"])
+        a.repartition(parts, *by)
+        .join(b.repartition(parts, *by), by)
         .withColumn("d2", dx * dx + dy * dy)
         .where(F.col("d2") <= float(radius) * float(radius))
-        .select(*groups, "src", "dst", F.sqrt("d2").alias("dist"))
+        .select(*groups, "src", "dst", F.sqrt("d2").alias("dist"), *keep)
     )
 
 
@@ -262,9 +284,16 @@ def undirected(edges: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
 
 
 def spatial_graph(points: DataFrame, kind: str, groups: Sequence[str], k: int = 8, radius: float = 0.0) -> DataFrame:
-    """Undirected neighbour graph on given coordinates, by ``radius`` or ``knn``."""
+    """Undirected neighbour graph on given coordinates, by ``radius`` or ``knn``.
+
+    A radius join of points with themselves lists both directions already, and each once if no id repeats; only otherwise
+    are the pairs, which grow faster than the points, made distinct.
+    """
     if kind == "radius":
-        return undirected(within_radius(points, points, radius, groups), groups)
+        pairs = within_radius(points, points, radius, groups)
+        if points.groupBy(*groups, "node_idx").count().where("count > 1").isEmpty():
+            return pairs.where("src <> dst").select(*groups, "src", "dst")
+        return undirected(pairs, groups)
     if kind == "knn":
         return undirected(knn_join(points, k, groups), groups)
     raise ValueError(f"unknown graph kind {kind!r}")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tilewright import session
 from tilewright.functions import predicates as B
 from tilewright.functions.scores import clip01
 from tilewright.operators import ecology as E
@@ -15,6 +16,7 @@ from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import (
     CELL_TYPES, CELLS, CENTERS, EDGES, TILE_EXPR, TILES, cells, centers, edges, knn, knn_sql, staged, tile_expr, tiles,
 )
+from tilewright.session import dealt
 
 PROTOS = list(range(5))
 PAIRS = [(i, j) for i in PROTOS for j in PROTOS if i < j]
@@ -27,7 +29,7 @@ _B = f"with {CELLS}, {knn_sql(15)}, {_MIX}"
 
 def mixed(spark, sf):
     def build():
-        c, pairs = cells(spark, sf), knn(spark, sf, 15)
+        c, pairs = cells(spark, sf), dealt(knn(spark, sf, 15), ["sample_name", "dst"], session.SPREAD)
         m = E.with_mix(c, E.neighbor_mix(pairs, c, "prototype_id", PROTOS), "mix", 5)
         return E.with_mix(m, E.neighbor_mix(pairs, c, "cell_type", CELL_TYPES, "types"), "types", 5).drop("embedding")
 
@@ -72,7 +74,8 @@ _DENSITY = """density as (select sample_name, count(*) filter (false) as z, grea
 @query("G8", f"""with {CELLS}, {knn_sql(15)}, {_DENSITY} select sample_name, n_cells, round(total_edge_len, 3) as total_edge_len, round(edges_cross_rate, 6) as edges_cross_rate,
     round(ID_2_0, 6) as ID_2_0, round(ID_2_4, 6) as ID_2_4 from density join (select sample_name, count(*) as n_cells from cells group by 1) using (sample_name) where n_cells >= 17""")
 def interface_density(spark, sf):
-    d = E.interface_density(knn(spark, sf, 15), cells(spark, sf), [(2, 0), (2, 4)], 15)
+    pairs = dealt(knn(spark, sf, 15), ["sample_name", "src"], session.SPREAD)
+    d = E.interface_density(pairs, cells(spark, sf), [(2, 0), (2, 4)], 15)
     return d.withColumns(r6("edges_cross_rate", "ID_2_0", "ID_2_4")).withColumn("total_edge_len", F.round("total_edge_len", 3))
 
 
