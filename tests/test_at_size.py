@@ -114,3 +114,25 @@ def test_candidates_of_neighbours_are_dealt_by_positions(spark, monkeypatch):
     # the bytes of the positions decided before, and all came to one task
     assert "RepartitionByExpression" in pairs._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(tuple(x) for x in pairs.collect()) == want and len(want) == 1200
+
+
+def test_radius_pairs_are_dealt_by_candidates_and_not_made_distinct(spark, monkeypatch):
+    monkeypatch.setattr(neighbors, "PAIRS", 500, raising=False)
+    r = np.random.default_rng(9)
+    xy = np.round(r.normal(size=(200, 2)), 2)  # most of them in one grid cell or two
+    df = spark.createDataFrame([(i, float(x), float(y), i % 3) for i, (x, y) in enumerate(xy)], "node_idx long, pos_x double, pos_y double, prototype_id int")
+    d = np.sqrt(((xy[:, None] - xy[None]) ** 2).sum(-1))
+    want = {(i, j) for i, j in zip(*np.where(d <= 2.0), strict=True) if i != j}
+    graph = neighbors.spatial_graph(df, "radius", [], radius=2.0)
+    assert sorted((x.src, x.dst) for x in graph.collect()) == sorted(want)
+    assert "Aggregate" not in graph._jdf.queryExecution().optimizedPlan().toString()  # a distinct over all pairs before
+    tasks = neighbors.within_radius(df, df, 2.0).groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 10 and max(t["count"] for t in tasks) < len(want) // 3
+    twice = neighbors.spatial_graph(df.unionByName(df.limit(5)), "radius", [], radius=2.0)
+    assert sorted((x.src, x.dst) for x in twice.collect()) == sorted(want)
+    near = ecology.radial_profile(df, 1, [0.5, 2.0], "prototype_id")
+    got = {(x.radius, x.prototype_id): x.n for x in near.collect()}
+    for radius in (0.5, 2.0):
+        for kind in range(3):
+            assert got[radius, kind] == sum(d[i, j] <= radius and i != j for i in range(kind, 200, 3) for j in range(1, 200, 3))
+    assert near._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 5  # one more, over all pairs, before
