@@ -136,3 +136,13 @@ def test_radius_pairs_are_dealt_by_candidates_and_not_made_distinct(spark, monke
         for kind in range(3):
             assert got[radius, kind] == sum(d[i, j] <= radius and i != j for i in range(kind, 200, 3) for j in range(1, 200, 3))
     assert near._jdf.queryExecution().optimizedPlan().toString().count("Join") <= 5  # one more, over all pairs, before
+
+
+def test_markers_rank_once_for_all_targets(spark, monkeypatch):
+    seen, keep = [], ordered.cut_lineage
+    monkeypatch.setattr(ordered, "cut_lineage", lambda d: seen.append(keep(d)) or seen[-1])
+    cells = spark.range(60).select(F.col("id").alias("unit"), F.lit("a").alias("kind"), (F.col("id") % 3).cast("int").alias("proto"))
+    counts = spark.range(60).where("id % 2 = 0").select(F.col("id").alias("unit"), F.lit("g").alias("gene"), (F.col("id") % 7 + 1).cast("double").alias("value"))
+    m = expression.find_markers(cells, counts, ["kind"], "proto", [0, 1, 2], 0.0, 0.0).collect()
+    assert sorted(x["target"] for x in m) == [0, 1, 2] and all(abs(x["pct1"] - 0.5) < 1e-12 for x in m)
+    assert seen and all("target" not in d.columns for d in seen)  # every row once for each target before

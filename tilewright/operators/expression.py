@@ -455,19 +455,29 @@ def find_markers(
     are never written out: they enter the means through the group sizes and the rank test as one block of ties.
     """
     from tilewright.functions.tails import normal_p
-    from tilewright.operators.ordered import value_ranks
+    from tilewright.operators.ordered import running
 
-    keys = list(keys)
+    keys, targets = list(keys), list(targets)
+    # every target sees the same cells and the same ranks, only the flags differ: they are columns until the sums are made
+    flag = [(F.col(label) == F.lit(t)).cast("int") for t in targets]
     t = one_vs_rest(cells, label, targets)
     size = t.groupBy(*keys, "target").agg(F.sum("flag").alias("c1"), F.sum(1 - F.col("flag")).alias("c0"))
-    rows = counts.join(t.select("unit", *keys, "target", "flag"), "unit")
-    by = [*keys, "target", "gene"]
-    on = lambda f: F.sum(F.when(F.col("flag") == f, F.expm1("value")).otherwise(0.0))
+    rows = counts.select("unit", "gene", "value").join(cells.select("unit", *keys, label), "unit")
+    by = [*keys, "gene"]
+    on = lambda f, i: F.sum(F.when(flag[i] == f, F.expm1("value")).otherwise(0.0))
+    each = range(len(targets))
+    per_target = lambda **cols: F.array(
+        *[F.struct(F.lit(targets[i]).alias("target"), *[make(i).alias(name) for name, make in cols.items()]) for i in each]
+    )
     m = rows.groupBy(*by).agg(
-        F.count_if(F.col("flag") == 1).alias("z1"), F.count_if(F.col("flag") == 0).alias("z0"), on(1).alias("s1"), on(0).alias("s0")
-    ).join(size, [*keys, "target"])
+        per_target(
+            z1=lambda i: F.count_if(flag[i] == 1), z0=lambda i: F.count_if(flag[i] == 0), s1=lambda i: on(1, i), s0=lambda i: on(0, i)
+        ).alias("_t")
+    )
+    m = m.select(*by, F.inline("_t")).join(size, [*keys, "target"])
+    by_target = [*keys, "target", "gene"]
     m = m.select(
-        *by,
+        *by_target,
         "c1",
         "c0",
         "z1",
@@ -476,17 +486,23 @@ def find_markers(
         (F.col("z0") / F.col("c0")).alias("pct2"),
         (F.log2(F.col("s1") / F.col("c1") + 1) - F.log2(F.col("s0") / F.col("c0") + 1)).alias("avg_log2fc"),
     ).where((F.greatest("pct1", "pct2") >= min_pct) & (F.abs("avg_log2fc") >= min_lfc))
-    ranks = value_ranks(rows, by, "value", {"n1": F.col("flag")})
-    # ranks above the block of zeros: shift by the number of zeros
-    shift = F.col("c1") + F.col("c0") - F.col("z1") - F.col("z0")
-    r = ranks.join(m, by).groupBy(*by, "c1", "c0", "z1", "z0", "pct1", "pct2", "avg_log2fc").agg(
-        F.sum(F.col("n1") * (F.col("avg_rank") + shift)).alias("r1"),
+    base = rows.where(F.col("value").isNotNull()).groupBy(*by, "value").agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(flag[i]).alias(f"n1_{i}") for i in each]
+    )
+    own = {"n": ("own", "n"), **{f"n1_{i}": ("own", f"n1_{i}") for i in each}}
+    ranks = running(base, by, "value", {"cum": ("sum", "n"), **own}, unique=True)
+    rank = F.col("cum") - (F.col("n") - 1) / 2
+    sums = ranks.groupBy(*by).agg(
+        per_target(r=lambda i: F.sum(F.col(f"n1_{i}") * rank), f=lambda i: F.sum(f"n1_{i}")).alias("_t"),
         F.sum(F.pow("n", F.lit(3)) - F.col("n")).alias("ties"),
     )
+    # ranks above the block of zeros: shift by the number of zeros
+    shift = F.col("c1") + F.col("c0") - F.col("z1") - F.col("z0")
+    r = sums.select(*by, "ties", F.inline("_t")).join(m, by_target).withColumn("r1", F.col("r") + F.col("f") * shift)
     n1, n0 = F.col("c1"), F.col("c0")
     n = n1 + n0
     u = F.col("r1") + (n1 - F.col("z1")) * (shift + 1) / 2 - n1 * (n1 + 1) / 2
     ties = F.col("ties") + F.pow(shift, F.lit(3)) - shift
     var = n1 * n0 / 12 * (n + 1 - ties / (n * (n - 1)))
     z = F.when(var > 0, F.greatest(F.abs(u - n1 * n0 / 2) - 0.5, F.lit(0.0)) / F.sqrt(var)).otherwise(F.lit(0.0))
-    return r.select(*by, "pct1", "pct2", "avg_log2fc", z.alias("z")).withColumn("p", normal_p("z"))
+    return r.select(*by_target, "pct1", "pct2", "avg_log2fc", z.alias("z")).withColumn("p", normal_p("z"))

@@ -324,14 +324,28 @@ _SPARSE = """cnt as (select unit, gene, ln(1 + sum(value) / any_value(lib) * 100
     mall as (select mt.cell_type, mt.target, mt.flag, g.gene, coalesce(cnt.value, 0) as value from mt, (select distinct gene from cnt) g left join cnt on cnt.unit = mt.unit and cnt.gene = g.gene)"""
 
 
+def sparse(spark, sf):
+    """(unit, gene, value, cell_type, proto): normalised counts with the class of their unit, written once."""
+
+    def build():
+        m = spread(measures(spark, sf).select("unit", "gene", "value", "cell_type"), ["unit"])
+        raw = m.groupBy("unit", "gene").agg(F.sum("value").alias("value"))
+        c = m.groupBy("unit").agg(F.min("cell_type").alias("cell_type")).withColumn("proto", (F.col("unit") % 5).cast("int"))
+        x = X.log_normalize(raw, ["unit"]).select("unit", "gene", F.col("norm").alias("value"))
+        return x.join(c, "unit")
+
+    return staged(spark, ("sparse", sf), build)
+
+
 def sparse_cells(spark, sf):
-    m = measures(spark, sf)
-    return m.groupBy("unit").agg(F.min("cell_type").alias("cell_type")).withColumn("proto", (F.col("unit") % 5).cast("int"))
+    def build():
+        return sparse(spark, sf).groupBy("unit").agg(F.min("cell_type").alias("cell_type"), F.min("proto").alias("proto"))
+
+    return staged(spark, ("sparse_cells", sf), build)
 
 
 def sparse_counts(spark, sf):
-    raw = measures(spark, sf).groupBy("unit", "gene").agg(F.sum("value").alias("value"))
-    return X.log_normalize(raw, ["unit"]).select("unit", "gene", F.col("norm").alias("value"))
+    return sparse(spark, sf).select("unit", "gene", "value")
 
 
 def markers(spark, sf):

@@ -8,10 +8,10 @@ from tilewright.operators import prototypes as P
 from tilewright.operators import scoring as Sc
 from tilewright.operators import stats as S
 from tilewright.plans import tail_sql as Q
-from tilewright.plans.q_expression import _SPARSE, _MK, markers, sparse_cells, sparse_counts
+from tilewright.plans.q_expression import _SPARSE, _MK, markers, sparse, sparse_cells
 from tilewright.plans.registry import query, r6
 from tilewright.plans.roles import CELLS, MEASURES, cells, measures, staged
-from tilewright.session import load
+from tilewright.session import cut_lineage, load, spread
 
 _DUELS = [(0, 2), (0, 4), (2, 4)]
 _SIG = f"""srow as (
@@ -105,17 +105,25 @@ _REFINE = """tagm as (select cell_type, target as prototype, gene, avg_log2fc, t
 def seed_correlation(spark, sf):
     """(cell_type, prototype, tag, gene, r): correlation of each gene with the mean of the seed genes over the cells of a type.
 
-    From sparse sums: cells without an entry count as zeros through the number of cells.
+    From sparse sums: cells without an entry count as zeros through the number of cells. All of them follow from the sums of
+    products of two genes of a cell, one of them a seed, which are added up in one pass.
     """
-    c, x = sparse_cells(spark, sf).select("unit", "cell_type"), sparse_counts(spark, sf)
+    x = sparse(spark, sf)
     b = bank(spark, sf).where("tag in ('core', 'edge')")
     size = b.groupBy("prototype", "tag").agg(F.count(F.lit(1)).alias("m"))
-    sig = x.join(b, "gene").groupBy("unit", "prototype", "tag").agg(F.sum("value").alias("s")).join(size, ["prototype", "tag"])
-    sig = sig.select("unit", "prototype", "tag", (F.col("s") / F.col("m")).alias("s")).join(c, "unit")
-    n = c.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
-    ss = sig.groupBy("cell_type", "prototype", "tag").agg(F.sum("s").alias("s1"), F.sum(F.col("s") * F.col("s")).alias("s2"))
-    xs = x.join(c, "unit").groupBy("cell_type", "gene").agg(F.sum("value").alias("x1"), F.sum(F.col("value") * F.col("value")).alias("x2"))
-    xy = sig.join(x, "unit").groupBy("cell_type", "prototype", "tag", "gene").agg(F.sum(F.col("s") * F.col("value")).alias("xy"))
+    seeds = b.join(size, ["prototype", "tag"]).select("prototype", "tag", F.col("gene").alias("seed"), "m")
+    n = sparse_cells(spark, sf).groupBy("cell_type").agg(F.count(F.lit(1)).alias("n"))
+    # the genes of a cell, then every pair of them
+    own = spread(x, ["unit"]).groupBy("unit", "cell_type").agg(F.collect_list(F.struct("gene", "value")).alias("_g"))
+    pairs = own.select("cell_type", "_g", F.explode("_g").alias("a")).select("cell_type", "a", F.explode("_g").alias("b"))
+    prod = pairs.groupBy("cell_type", F.col("a.gene").alias("seed"), F.col("b.gene").alias("gene")).agg(F.sum(F.col("a.value") * F.col("b.value")).alias("ab"))
+    prod = cut_lineage(prod.join(b.select(F.col("gene").alias("seed")).distinct(), "seed", "left_semi"))
+    xs = cut_lineage(x.groupBy("cell_type", "gene").agg(F.sum("value").alias("x1"), F.sum(F.col("value") * F.col("value")).alias("x2")))
+    s1 = xs.withColumnRenamed("gene", "seed").join(seeds, "seed").groupBy("cell_type", "prototype", "tag").agg(F.sum(F.col("x1") / F.col("m")).alias("s1"))
+    xy = prod.join(seeds, "seed").groupBy("cell_type", "prototype", "tag", "gene").agg(F.sum(F.col("ab") / F.col("m")).alias("xy"))
+    inside = seeds.select("prototype", "tag", F.col("seed").alias("gene"), "m")
+    s2 = xy.join(inside, ["prototype", "tag", "gene"]).groupBy("cell_type", "prototype", "tag").agg(F.sum(F.col("xy") / F.col("m")).alias("s2"))
+    ss = s1.join(s2, ["cell_type", "prototype", "tag"])
     j = ss.join(xs, "cell_type").join(n, "cell_type").join(xy, ["cell_type", "prototype", "tag", "gene"], "left").fillna(0.0, ["xy"])
     cov = F.col("n") * F.col("xy") - F.col("s1") * F.col("x1")
     var = (F.col("n") * F.col("s2") - F.col("s1") * F.col("s1")) * (F.col("n") * F.col("x2") - F.col("x1") * F.col("x1"))
