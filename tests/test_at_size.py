@@ -1,11 +1,13 @@
 """Faults that only larger or more skewed tables show, on small tables made for them."""
 
+import random
+
 import numpy as np
 from check import compare, connect
 from pyspark.sql import functions as F
 
 from tilewright import session
-from tilewright.operators import ecology, expression, neighbors, ordered, scoring, stats, weights
+from tilewright.operators import ecology, expression, neighbors, ordered, scoring, stats, survival, weights
 from tilewright.plans import all_queries
 
 
@@ -76,6 +78,25 @@ def test_quantiles_send_only_the_ranges_that_hold_them(spark, monkeypatch):
         assert abs(plain[g] - np.median(np.clip(own, lo, hi))) < 1e-12 and abs(w[g] - np.median([*np.clip(own, lo, hi), *odd])) < 1e-12
 
 
+def test_ranges_are_the_same_in_every_read(spark, monkeypatch):
+    keep = F.percentile_approx
+
+    def arrives_anew(*of):
+        shift = lambda edges: edges and [x + d for d in [random.SystemRandom().uniform(0, 0.5)] for x in edges]
+        return F.udf(shift, "array<double>").asNondeterministic()(keep(*of))
+
+    monkeypatch.setattr(F, "percentile_approx", arrives_anew)  # as sketches that merge in another order at each run
+    v = np.round(np.random.default_rng(8).normal(size=5000), 3)
+    df = spark.createDataFrame([(i, float(x), int(i % 3 > 0)) for i, x in enumerate(v)], "id long, risk double, e int")
+    probs = [i / 20 for i in range(21)]
+    assert np.allclose(ordered.quantiles(df, [], "risk", probs).first()["q"], np.quantile(v, probs), atol=1e-12)
+    run = ordered.running(df.withColumn("one", F.lit(1)), [], "risk", {"n": ("sum", "one")})
+    assert all(x["n"] == (v <= x["risk"]).sum() for x in run.collect())
+    found = survival.threshold_search(df.withColumn("t", F.col("id") % 50), "cindex", 100).collect()
+    assert len(found) == len(set(np.quantile(v, [0.1 + 0.8 * i / 99 for i in range(100)])))
+    assert all(x["high"] == (v >= x["cut"]).sum() for x in found)
+
+
 def test_expression_of_a_cell_is_added_up_where_its_edges_lie(spark, monkeypatch):
     monkeypatch.setattr(session, "SPREAD", 100)
     edges = spark.range(3000).select(F.lit("S").alias("sample_name"), (F.col("id") % 300).alias("src"), (F.col("id") % 7).alias("dst"), (F.col("id") % 3).cast("double").alias("weight"))

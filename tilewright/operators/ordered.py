@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tilewright import session
 from tilewright.session import cut_lineage
 
 _FOLD = {"sum": F.sum, "min": F.min, "max": F.max, "own": F.sum}
@@ -53,14 +54,19 @@ SKETCHES = 16
 
 
 def _edges(df: DataFrame, value: str, buckets: int) -> Column:
-    """Edges between ``buckets`` ranges of about equal row count, as an array in a scalar subquery."""
+    """Edges between ``buckets`` ranges of about equal row count, as an array in a scalar subquery.
+
+    Where sketches are full, their edges depend on the order in which they arrive and merge. So the edges are written: all
+    reads see the same ranges, in whichever query they occur.
+    """
     # sketches of many partitions merge in SKETCHES tasks first, and one task merges what is left of those
     grid, exact = [i / buckets for i in range(1, buckets)], max(10000, 4 * buckets)
     fine = [i / (4 * buckets) for i in range(1, 4 * buckets)]
     some = df.groupBy(F.pmod(F.xxhash64(value), F.lit(SKETCHES))).agg(
         F.percentile_approx(F.col(value).cast("double"), fine, exact).alias("_q")
     )
-    return some.select(F.explode("_q").alias("_q")).agg(F.percentile_approx("_q", grid, exact)).scalar()
+    merged = some.select(F.explode("_q").alias("_q")).agg(F.percentile_approx("_q", grid, exact).alias("_edges"))
+    return session.cut_lineage(merged).scalar()
 
 
 def running(
