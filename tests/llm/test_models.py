@@ -209,6 +209,40 @@ def test_pairs_are_made_only_with_buckets_that_are_long_enough(spark, monkeypatc
     assert seen[1] < 10  # of 21 buckets
 
 
+def test_pairs_are_dealt_without_broadcast_and_leave_tasks_as_the_best(spark, monkeypatch):
+    for name, value in (("BUCKET", 40), ("BLOCK", 3), ("LANES", 4), ("HELD", 400), ("KEPT", 2)):
+        monkeypatch.setattr(topk, name, value, raising=False)
+    plans, found, searched = [], [], topk._searched
+
+    def watched(pairs, k):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        out = searched(pairs, k)
+        found.append(out.where("query_id = 0"))
+        return out
+
+    monkeypatch.setattr(topk, "_searched", watched)
+    r = random.Random(10)
+    rows = [(i, [r.gauss(0, 1) for _ in range(6)]) for i in range(900)] + [(i, [float(i % 3)] * 6) for i in range(0, 900, 30)]
+    rows += [(1000 + i, [r.choice([-2.0, 1e5, 9e6]), 1.0]) for i in range(120)]  # other dimension, other sizes of integers
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert set(cases.pairs(topk.top_k(df, k=3), "query_id", "rank", "vec_id", "score")) == brute_top(rows, k=3)
+    assert len(plans) == 2 and not any("Broadcast" in p for p in plans)  # copies of the blocks passed the driver before
+    assert found[1].count() <= 3 * 4 * 8  # k by lane and partition at most; k of every bucket before
+
+
+def test_best_so_far_counts_an_id_once():
+    rows = np.array([(1, 7, 5), (1, 7, 9), (1, 3, 9), (1, 2, 8), (0, 5, -4), (1, 9, 8)])
+    assert topk._best_so_far(rows, 3).tolist() == [[0, 5, -4], [1, 3, 9], [1, 7, 9], [1, 2, 8]]
+    assert topk._best_so_far(rows[:0], 3).shape == (0, 3)
+    assert topk._floor(np.array([1, 0, 4, 1]), topk._best_so_far(rows, 3), 3).tolist() == [8, -np.inf, -np.inf, 8]
+    assert topk._floor(np.array([1, 0]), rows[:0], 3).tolist() == [-np.inf, -np.inf]
+    for top, size in ((127, 1), (128, 2), (2**20, 4), (2**40, 8)):
+        v = np.array([[top, -3], [0, 1]])
+        assert topk._narrow(v).itemsize == size
+        i, back = topk._unpacked(np.arange(2).tobytes(), topk._narrow(v).tobytes(), 2)
+        assert (back == v).all() and back.dtype == np.int64 and len(i) == 2
+
+
 def test_products_beyond_double_precision():
     a = np.array([[2**31, 1]])
     assert topk.products(a, np.array([[2**30, 1]]))[0, 0] == 2**61 + 1
