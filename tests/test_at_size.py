@@ -97,6 +97,16 @@ def test_ranges_are_the_same_in_every_read(spark, monkeypatch):
     assert all(x["high"] == (v >= x["cut"]).sum() for x in found)
 
 
+def test_cuts_that_are_prices_are_rounded_as_in_sql(spark, tmp_path):
+    con, prices = connect("/root/testdata/sf0.001"), [203091.55, 102076.65, 201823.55, 101661.25, 150000.0]
+    con.execute(f"copy (select * replace ({prices}[1 + o_orderkey % 5]::double as o_totalprice) from orders) to '{tmp_path}/orders.parquet'")
+    con.execute(f"copy customer to '{tmp_path}/customer.parquet'")
+    con.execute(f"create or replace view orders as select * from '{tmp_path}/orders.parquet'")
+    for name in ("threshold_search_cindex", "best_threshold_logrank"):
+        message, good = compare(spark, con, all_queries()[name], str(tmp_path))
+        assert good, message
+
+
 def test_expression_of_a_cell_is_added_up_where_its_edges_lie(spark, monkeypatch):
     monkeypatch.setattr(session, "SPREAD", 100)
     edges = spark.range(3000).select(F.lit("S").alias("sample_name"), (F.col("id") % 300).alias("src"), (F.col("id") % 7).alias("dst"), (F.col("id") % 3).cast("double").alias("weight"))

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tilewright.operators import survival as V
 from tilewright.plans import tail_sql as Q
-from tilewright.plans.registry import query, r6
+from tilewright.plans.registry import query, r6, scaled6
 from tilewright.plans.roles import PATIENTS, patients
 
 
@@ -52,7 +52,7 @@ _GRID = f"g as (select unnest(list_distinct(quantile_cont(risk, {[0.1 + 0.8 * i
     z as (select cut, sum(d1 * (aft - aft1) + d1 * aft1 / 2 + (d - d1) * (aft - aft1) / 2) / sum(d * aft) as score from r group by cut)
     select round(cut, 6) as cut, round(score, 6) as score, high::bigint as high, (total - high)::bigint as low from z join s using (cut) where least(high, total - high) >= greatest(10, total * 0.05)""")
 def threshold_search_cindex(spark, sf):
-    return V.threshold_search(patients(spark, sf), "cindex", 100).withColumns(r6("cut", "score"))
+    return V.threshold_search(patients(spark, sf), "cindex", 100).withColumns(scaled6("cut", "score"))
 
 
 @query("A33 L11", f"""with {PATIENTS}, {_GRID}, m as (select cut, t, e, (risk >= cut)::int as hi from patients, g),
@@ -63,7 +63,7 @@ def threshold_search_cindex(spark, sf):
     f as (select cut, score, high, total - high as low from z join s using (cut) where least(high, total - high) >= greatest(10, total * 0.05))
     select round(cut, 6) as cut, round(score, 6) as score, high::bigint as high, low::bigint as low from f order by round(score, 12) desc, abs(high - low), cut limit 1""")
 def best_threshold_logrank(spark, sf):
-    return V.best_threshold(V.threshold_search(patients(spark, sf), "logrank", 100)).withColumns(r6("cut", "score"))
+    return V.best_threshold(V.threshold_search(patients(spark, sf), "logrank", 100)).withColumns(scaled6("cut", "score"))
 
 
 def _newton(steps):
